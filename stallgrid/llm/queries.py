@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from .chat_format import OP10_SQL, op10_chat_format
+from .language_id import op1_language_id
+from .license_scan import op4_license_scan
+from .packing import op8_best_fit_packing
 from .quality import OP5_SQL, op5_quality
+from .token_counts import op9_token_counts
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
 }
 
