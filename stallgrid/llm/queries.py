@@ -8,9 +8,11 @@ from .license_scan import op4_license_scan
 from .packing import op8_best_fit_packing
 from .quality import OP5_SQL, op5_quality
 from .token_counts import op9_token_counts
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
     "op8_best_fit_packing": op8_best_fit_packing,
