@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import OP10_SQL, op10_chat_format
+from .decontaminate import op3_decontaminate
 from .language_id import op1_language_id
 from .license_scan import op4_license_scan
 from .packing import op8_best_fit_packing
@@ -13,6 +14,7 @@ from .toxicity import op2_toxicity
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_decontaminate": op3_decontaminate,
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
     "op8_best_fit_packing": op8_best_fit_packing,
