@@ -6,6 +6,7 @@ from .chat_format import OP10_SQL, op10_chat_format
 from .decontaminate import op3_decontaminate
 from .language_id import op1_language_id
 from .license_scan import op4_license_scan
+from .ngram_join import op6_ngram_jaccard_join
 from .packing import op8_best_fit_packing
 from .quality import OP5_SQL, op5_quality
 from .token_counts import op9_token_counts
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
