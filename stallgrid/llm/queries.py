@@ -9,6 +9,7 @@ from .license_scan import op4_license_scan
 from .ngram_join import op6_ngram_jaccard_join
 from .packing import op8_best_fit_packing
 from .quality import OP5_SQL, op5_quality
+from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op9_token_counts
 from .toxicity import op2_toxicity
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_quality": op5_quality,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
