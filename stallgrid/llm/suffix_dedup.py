@@ -356,13 +356,15 @@ def _cut(columns: list[str], length: int):
             kept.append(b"".join(parts) + raw[at:])
             out.append([{"start": b, "end": c} for b, c in mine])
             sizes.append(len(raw))
-        return docs[columns].assign(n_bytes=sizes, spans=out, kept=kept)
+        return docs[columns].assign(n_bytes=sizes, spans=out, kept=kept, kept_text=[x.decode("utf-8", "ignore") for x in kept])
 
     return run
 
 
 def mark_repeats(docs: DataFrame, length: int = 50, parts: int | None = None) -> DataFrame:
-    """``docs`` with n_bytes, spans (removed byte stretches, maximal) and kept (the remaining bytes, binary).
+    """``docs`` with n_bytes, spans (removed byte stretches, maximal), kept (the remaining bytes) and kept_text.
+
+    A stretch may begin or end inside a character; kept_text leaves out the bytes of such torn characters.
 
     Null text is empty. Rows with a null doc_id keep everything and count for nobody. Rows with one doc_id are
     judged as one document's text each. Texts under ``length`` bytes are untouched. ``parts`` is the number of
@@ -370,7 +372,7 @@ def mark_repeats(docs: DataFrame, length: int = 50, parts: int | None = None) ->
     """
     spark = docs.sparkSession
     n = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept", "_g")]
+    columns = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept", "kept_text", "_g")]
     src = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("text", F.col("text").cast("string"))
     sure = src.where("doc_id IS NOT NULL")
 
@@ -387,17 +389,17 @@ def mark_repeats(docs: DataFrame, length: int = 50, parts: int | None = None) ->
     pieces = grouped.groupBy("_g").cogroup(known.groupBy("g")).applyInPandas(_send_pieces(length, n, K), "part bigint, n bigint, body binary")
     marks = pieces.groupBy("part").applyInPandas(_find_marks(length, n), "g bigint, d binary, s binary, e binary")
     marks = marks.withColumn("copy", F.lit(None).cast("string")).unionByName(copies.select("g", *nothing("d", "s", "e"), "copy"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema) + ", n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema) + ", n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_text string"
     cut = grouped.groupBy("_g").cogroup(marks.groupBy("g")).applyInPandas(_cut(columns, length), schema)
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    whole = src.where("doc_id IS NULL").select("*", F.octet_length(raw).cast("bigint").alias("n_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), raw.alias("kept"))
+    whole = src.where("doc_id IS NULL").select("*", F.octet_length(raw).cast("bigint").alias("n_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), raw.alias("kept"), F.coalesce("text", F.lit("")).alias("kept_text"))
     return cut.unionByName(whole)
 
 
 def drop_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """Documents with repeated stretches cut out of their text; those of which nothing is left go."""
     cut = mark_repeats(docs, length)
-    text = F.when(F.size("spans") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
+    text = F.when(F.size("spans") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return cut.withColumn("text", text).where("octet_length(kept) > 0 OR n_bytes = 0").select(*docs.columns)
 
 
