@@ -1,4 +1,8 @@
 """Registered queries of the catalog and analytics operators."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from stallgrid.plans import analytics_queries, catalog_queries
+
+QUERIES = {**analytics_queries.QUERIES, **catalog_queries.QUERIES}
+ORACLE_SQL = {**analytics_queries.ORACLE_SQL, **catalog_queries.ORACLE_SQL}
