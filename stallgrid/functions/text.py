@@ -99,7 +99,7 @@ def gid_id(c: Column) -> Column:
 
 
 def _char_of(number: Column) -> Column:
-    return F.when(number.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), F.lit("UTF-32"))).otherwise(F.lit(" "))
+    return F.when(number.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit(" "))
 
 
 def strip_html(c: Column, limit: int = 5000) -> Column:
@@ -109,7 +109,7 @@ def strip_html(c: Column, limit: int = 5000) -> Column:
     parts = F.split(t, r"(?=&#)")
     decimal = lambda p: F.regexp_extract(p, r"^&#(\d{1,7});", 1)
     hexa = lambda p: F.regexp_extract(p, r"(?i)^&#x([0-9a-f]{1,6});", 1)
-    rest = lambda p: F.substring_index(p, ";", -1) if False else F.regexp_replace(p, r"(?i)^&#x?[0-9a-f]{1,7};", "")
+    rest = lambda p: F.regexp_replace(p, r"(?i)^&#x?[0-9a-f]{1,7};", "")
     decoded = F.transform(
         parts,
         lambda p: F.when(decimal(p) != "", F.concat(_char_of(decimal(p).cast("int")), rest(p)))

@@ -15,6 +15,10 @@ WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
 _FIELDS = (("title", "A"), ("skus", "A"), ("vendor", "B"), ("product_type", "B"), ("tags", "B"), ("variant_text", "B"), ("description", "C"))
 
 
+def _labelled_tokens(text: Column, field: str, weight: str) -> Column:
+    return F.transform(tokenize(text), lambda t: F.struct(t.alias("token"), F.lit(field).alias("field"), F.lit(weight).alias("weight")))
+
+
 def build_postings(products: DataFrame, stems: DataFrame | None = None) -> DataFrame:
     """shop_id, token, product_id, field, weight, pos: every word of every product, positions running over the fields.
 
@@ -26,7 +30,7 @@ def build_postings(products: DataFrame, stems: DataFrame | None = None) -> DataF
         if field in products.columns:
             kind = dict(products.dtypes)[field]
             text = F.array_join(field, " ") if kind.startswith("array") else F.col(field)
-            parts.append(F.transform(tokenize(text), lambda t, f=field, w=weight: F.struct(t.alias("token"), F.lit(f).alias("field"), F.lit(w).alias("weight"))))
+            parts.append(_labelled_tokens(text, field, weight))
     keep = ["shop_id", "product_id"] + (["lang"] if stems is not None else [])
     rows = products.select(*keep, F.posexplode(F.concat(*parts)).alias("pos", "x")).select(*keep, "x.token", "x.field", "x.weight", (F.col("pos") + 1).alias("pos"))
     if stems is not None:

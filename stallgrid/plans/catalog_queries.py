@@ -1,2 +1,288 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Registered queries of search, facets, suggestions and recommendations, with their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stallgrid.functions import text as T
+from stallgrid.operators import facets as FA
+from stallgrid.operators import index as X
+from stallgrid.operators import prepare as P
+from stallgrid.operators import recommend as R
+from stallgrid.operators import search as S
+from stallgrid.plans.fixtures import AS_OF, Tables, with_views
+from stallgrid.plans.requests import TEXT, requests, requests_cte
+
+SYNONYMS = [(f"shop{i}", f"s{i}{n}", kind, inp, terms) for i in range(4) for n, (kind, inp, terms) in enumerate([("multiway", None, ["plate", "plat"]), ("oneway", "gear", ["bolt", "ring"]), ("multiway", None, ["hot bolt", "screw"])])]
+CONDITIONS = '[{"field":"tag","op":"eq","value":"hot","action":"bury","weight":7},{"field":"vendor","op":"contains","value":"brand#1","action":"boost","weight":0},{"field":"metafield:material","op":"eq","value":"m4","action":"hide"},{"field":"x","op":"bad","value":"","action":"boost"}]'
+RULES = [
+    (1, "shop1", 5, "all", "red widget", None, None, True, None, None, ["5", "17"], [], ["1", "33", "9"], ["13"]),
+    (2, "shop2", 3, "all", None, None, CONDITIONS, True, None, None, [], [], [], []),
+    (3, "shop0", 9, "a", None, "c1", None, True, None, None, ["8"], [], [], []),
+    (4, "shop3", 9, "all", "plate", None, None, True, "2025-01-01 00:00:00", None, [], [], [], []),
+    (5, "shop3", 1, "all", "plate", None, None, False, None, None, [], [], [], []),
+]
+_RULE_SCHEMA = "rule_id int, shop_id string, priority int, variant string, trigger_query string, trigger_collection string, conditions_json string, active boolean, starts_at string, ends_at string, pinned array<string>, hidden array<string>, boosted array<string>, buried array<string>"
+
+
+def synonyms(spark):
+    return spark.createDataFrame(SYNONYMS, "shop_id string, rule_id string, type string, input string, terms array<string>")
+
+
+def merch_rules(spark):
+    r = spark.createDataFrame(RULES, _RULE_SCHEMA)
+    return r.withColumn("conditions", P.parse_conditions(F.col("conditions_json"))).withColumns({c: F.col(c).cast("timestamp") for c in ("starts_at", "ends_at")})
+
+
+def browse_rows(spark, d):
+    q, p = requests(spark), Tables(spark, d).products()
+    return S.evaluated(q, p, S.candidates(q, p))
+
+
+def text_rows(spark, d, rules=False):
+    q, p = requests(spark, TEXT), Tables(spark, d).products()
+    c = S.candidates(q, p, synonyms(spark))
+    if not rules:
+        return S.evaluated(q, p, c)
+    m = merch_rules(spark)
+    return S.evaluated(q, p, c, m, P.match_rules(q, m, AS_OF))
+
+
+def _long(df):
+    return df.withColumn("rank", F.col("rank").cast("bigint")) if "rank" in df.columns else df
+
+
+def filtered_page(spark, d):
+    return _long(S.page(S.ranked(browse_rows(spark, d)))).select("query_id", "rank", "product_id", "title", "price_min", "price_max", "strategy")
+
+
+def _terms(spark):
+    return P.query_terms(P.expand_synonyms(requests(spark, TEXT), synonyms(spark)))
+
+
+def _fulltext(spark, d):
+    return S.match_fulltext(_terms(spark), requests(spark, TEXT), X.build_postings(S.eligible(Tables(spark, d).products()))).select("query_id", "product_id")
+
+
+def _fuzzy(spark, d):
+    return S.match_fuzzy(requests(spark, TEXT), S.eligible(Tables(spark, d).products())).select("query_id", "product_id", F.round("sim", 6).alias("sim"))
+
+
+def _substring(spark, d):
+    return S.match_substring(requests(spark, TEXT), S.eligible(Tables(spark, d).products())).select("query_id", "product_id")
+
+
+def _sku(spark, d):
+    q = Tables(spark, d).products().where("product_id % 10 = 3").select(F.col("product_id").cast("int").alias("query_id"), "shop_id", F.upper(F.concat(F.lit(" sku"), "product_id")).alias("term"))
+    return S.match_sku(q, X.sku_postings(Tables(spark, d).products())).select("query_id", "product_id")
+
+
+def _text_rank(spark, d):
+    q = requests(spark, TEXT)
+    return S.cover_density(_terms(spark).where("query_id IN (27, 29, 32)"), q, X.build_postings(S.eligible(Tables(spark, d).products()))).select("query_id", "product_id", F.round("text_rank", 6).alias("text_rank"))
+
+
+def search_ranked(spark, d):
+    return _long(S.page(S.ranked(text_rows(spark, d)))).select("query_id", "rank", "product_id", F.round("score", 6).alias("score"), "strategy")
+
+
+def search_explain(spark, d):
+    names = ("x_text", "x_similarity", "x_semantic", "x_prefix", "x_popularity", "x_merchandising")
+    return S.ranked(text_rows(spark, d, True)).select("query_id", "product_id", *[F.round(c, 6).alias(c) for c in names])
+
+
+def pinned_page(spark, d):
+    q, p, m = requests(spark, TEXT), Tables(spark, d).products(), merch_rules(spark)
+    matched = P.match_rules(q, m, AS_OF)
+    rows = text_rows(spark, d, True)
+    pins = S.apply_pins(q, p, m, matched)
+    missing = pins.join(rows.select("query_id", "product_id"), ["query_id", "product_id"], "left_anti").select("query_id", "product_id").withColumns({"fulltext": F.lit(False), "sim": F.lit(0.0), "dist": F.lit(9.0), "sku": F.lit(False), "text_rank": F.lit(0.0)})
+    every = rows.unionByName(S.evaluated(q, p, missing, m, matched))
+    return _long(S.page(S.ranked(every, pins))).select("query_id", "rank", "product_id", "pinned_hit")
+
+
+def _rule_match(spark, d):
+    """Every distinct title of the catalog as a request, with the rule that serves it."""
+    q = Tables(spark, d).products().select("shop_id", F.col("title").alias("term"), F.col("collections")[0].alias("collection")).distinct()
+    q = q.withColumn("query_id", F.concat_ws("|", "shop_id", "term", "collection")).withColumn("bucket", F.when(F.length("term") % 2 == 0, "a").otherwise("b"))
+    return P.match_rules(q, merch_rules(spark), AS_OF).select("query_id", "rule_id")
+
+
+def _signatures(spark, d):
+    """Facets evaluated once per signature, then joined back to all requests."""
+    base = requests(spark)
+    q = base.unionByName(base.withColumns({"query_id": F.col("query_id") + 100, "page": F.lit(2), "sort": F.lit("newest")}))
+    p = Tables(spark, d).products()
+    one = FA.distinct_signatures(q)
+    counts = FA.value_facets(S.evaluated(one, p, S.candidates(one, p)))
+    return FA.facet_signature(q).select(F.col("query_id").alias("request_id"), "signature").join(counts.withColumnRenamed("query_id", "signature"), "signature").select(F.col("request_id").alias("query_id"), "source", "value", "count")
+
+
+def _labelled(spark, d):
+    rows = browse_rows(spark, d)
+    titles = Tables(spark, d).products().select("shop_id", F.explode("collections").alias("handle")).distinct().withColumn("title", F.concat(F.lit("Title of "), "handle"))
+    return FA.labelled(FA.value_facets(rows), requests(spark), collections=titles).select("query_id", "source", "label", "facet_no", "value_label", "count")
+
+
+def _spelling(spark, d):
+    q, p = requests(spark, TEXT), Tables(spark, d).products()
+    return S.suggest_spelling(q, p, S.totals(S.evaluated(q, p, S.candidates(q, p))))
+
+
+def _vectors(spark, d):
+    t = Tables(spark, d)
+    v = t.read("embeddings").select(F.col("vec_id").cast("string").alias("product_id"), F.concat(F.lit("shop"), (F.col("vec_id") % 4).cast("string")).alias("shop_id"), "embedding", "label")
+    return v, v.where("product_id % 50 = 0").select(F.col("product_id").alias("query_id"), "shop_id", F.col("embedding").alias("query_vec"))
+
+
+def _vector_topk(spark, d):
+    v, q = _vectors(spark, d)
+    return _long(R.vector_topk(q, v, 10, within=0.9))
+
+
+def _related_vectors(spark, d):
+    return _long(R.related_vectors(_vectors(spark, d)[0], 5))
+
+
+def _semantic(spark, d):
+    v, q = _vectors(spark, d)
+    return S.match_semantic(q, v, 0.8).select("query_id", "product_id", F.round("dist", 6).alias("dist"))
+
+
+def _seen(spark, d):
+    p = Tables(spark, d).products().select("shop_id", "product_id")
+    return R.recently_viewed(Tables(spark, d).actions()).select("shop_id", "session_token", "product_id").join(p, ["shop_id", "product_id"], "left_semi")
+
+
+def _names(spark, d):
+    names = Tables(spark, d).read("pages").select(F.concat(F.lit("shop"), (F.col("page_id") % 4).cast("string")).alias("shop_id"), F.col("page_id").cast("string").alias("item_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    q = names.where("item_id % 25 = 0").select(F.col("item_id").alias("query_id"), "shop_id", F.left("title", F.lit(9)).alias("term"), F.lit(True).alias("typo_tolerance"))
+    return _long(R.name_suggestions(q, names))
+
+
+QUERIES = {
+    "browse_page": lambda s, d: _long(S.page(S.ranked(browse_rows(s, d)))).where("query_id IN (1, 12)").select("query_id", "rank", "product_id"),
+    "filtered_page": filtered_page,
+    "totals": lambda s, d: S.totals(browse_rows(s, d)),
+    "price_overlap": lambda s, d: S.ranked(browse_rows(s, d)).where("query_id IN (7, 11)").select("query_id", "product_id"),
+    "facets_exclude_own": lambda s, d: FA.value_facets(browse_rows(s, d)).select("query_id", "source", "value", "count"),
+    "facet_price": lambda s, d: FA.price_facet(browse_rows(s, d)),
+    "facet_signature": _signatures,
+    "facet_labels": _labelled,
+    "facet_values": lambda s, d: X.facet_values(Tables(s, d).products()),
+    "fulltext_match": _fulltext,
+    "substring_match": _substring,
+    "sku_match": _sku,
+    "trigram_fuzzy": _fuzzy,
+    "semantic_match": _semantic,
+    "text_rank": _text_rank,
+    "search_ranked": search_ranked,
+    "search_explain": search_explain,
+    "pinned_page": pinned_page,
+    "rule_match": _rule_match,
+    "did_you_mean": _spelling,
+    "product_suggestions": lambda s, d: _long(R.product_suggestions(text_rows(s, d))).select("query_id", "product_id", F.round("score", 6).alias("score"), "rank"),
+    "page_suggestions": _names,
+    "postings": lambda s, d: X.build_postings(Tables(s, d).products()).groupBy("field", "weight").agg(F.count("*").alias("n"), F.countDistinct("token").alias("tokens"), F.max("pos").alias("last")),
+    "first_variant": lambda s, d: S.first_variant(Tables(s, d).variants()),
+    "embedding_text": lambda s, d: Tables(s, d).products().select("product_id", F.sha2(X.embedding_text(), 256).alias("h")),
+    "normalize_text": lambda s, d: Tables(s, d).read("documents").select("doc_id", F.sha2(T.normalize_query(F.col("text")), 256).alias("h"), F.size(T.tokenize(F.col("text"))).cast("bigint").alias("tokens"), T.ts_config(F.col("lang")).alias("config")),
+    "bestsellers": lambda s, d: _long(R.bestsellers(Tables(s, d).products())).select("shop_id", "product_id", "rank"),
+    "recent": lambda s, d: _long(R.recent(Tables(s, d).products())).select("shop_id", "product_id", "rank"),
+    "related_attributes": lambda s, d: _long(R.related_attributes(Tables(s, d).products(), 6)),
+    "personalized": lambda s, d: _long(R.personalized(_seen(s, d), Tables(s, d).products(), 6)),
+    "vector_topk": _vector_topk,
+    "related_vectors": _related_vectors,
+}
+
+# ---- DuckDB ----
+
+_CAND = requests_cte() + """,
+cand AS (
+  SELECT q.query_id, q.page, q.per_page, q.sort, p.*,
+    len(coalesce(q.filters['vendor'], [])) = 0 OR list_contains(q.filters['vendor'], p.vendor) AS ok_vendor,
+    len(coalesce(q.filters['productType'], [])) = 0 OR list_contains(q.filters['productType'], p.product_type) AS ok_type,
+    len(coalesce(q.filters['tag'], [])) = 0 OR list_has_any(q.filters['tag'], p.tags) AS ok_tag,
+    len(coalesce(q.filters['collection'], [])) = 0 OR list_contains(q.filters['collection'], p.collection) AS ok_collection,
+    len(coalesce(q.filters['option:Size'], [])) = 0 OR list_contains(q.filters['option:Size'], p.opt_size) AS ok_size,
+    len(coalesce(q.filters['option:Color'], [])) = 0 OR coalesce(list_contains(q.filters['option:Color'], p.opt_color), false) AS ok_color,
+    len(coalesce(q.filters['metafield:material'], [])) = 0 OR coalesce(list_contains(q.filters['metafield:material'], p.material), false) AS ok_material,
+    (len(coalesce(q.filters['availability'], [])) = 0 OR list_contains(q.filters['availability'], CASE WHEN p.available THEN 'in_stock' ELSE 'out_of_stock' END)) AND (p.available OR q.include_unavailable) AS ok_stock,
+    (q.price_min IS NULL OR p.price_max >= q.price_min) AND (q.price_max IS NULL OR p.price_min <= q.price_max) AS ok_price,
+    q.collection IS NULL OR p.collection = q.collection AS ok_scope
+  FROM req q JOIN v_products p ON p.shop_id = q.shop_id WHERE p.status = 'ACTIVE' AND p.published_online),
+hit AS (SELECT * FROM cand WHERE ok_vendor AND ok_type AND ok_tag AND ok_collection AND ok_size AND ok_color AND ok_material AND ok_stock AND ok_price AND ok_scope),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
+    CASE sort WHEN 'price_asc' THEN -price_min WHEN 'price_desc' THEN price_max WHEN 'newest' THEN epoch_us(published_at)::DOUBLE WHEN 'title_asc' THEN NULL WHEN 'title_desc' THEN NULL ELSE popularity END DESC NULLS LAST,
+    CASE WHEN sort = 'title_asc' THEN title END ASC NULLS LAST, CASE WHEN sort = 'title_desc' THEN title END DESC NULLS LAST,
+    CASE WHEN sort IN ('bestselling', 'relevance') THEN published_at END DESC NULLS LAST, product_id) AS rank FROM hit)"""
+
+_FLAGS = {"vendor": "ok_vendor", "productType": "ok_type", "tag": "ok_tag", "collection": "ok_collection", "option:Size": "ok_size", "option:Color": "ok_color", "metafield:material": "ok_material", "availability": "ok_stock", "price": "ok_price", "scope": "ok_scope"}
+_VALUES = {"vendor": "vendor", "productType": "product_type", "tag": "unnest(list_distinct(tags))", "collection": "collection", "option:Size": "opt_size", "option:Color": "opt_color", "metafield:material": "material", "availability": "CASE WHEN available THEN 'in_stock' ELSE 'out_of_stock' END"}
+
+
+def _others(source: str) -> str:
+    return " AND ".join(v for k, v in _FLAGS.items() if k != source)
+
+
+# One query per facet, each with all predicates but its own.
+_FACETS = "fac AS (" + " UNION ALL ".join(f"SELECT query_id, '{s}' AS source, {v} AS value FROM cand WHERE {_others(s)}" for s, v in _VALUES.items()) + "), cnt AS (SELECT query_id, source, value, count(*) AS count FROM fac WHERE value IS NOT NULL GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY count DESC, value) AS n FROM cnt)"
+
+
+def _cat(sql: str) -> str:
+    return with_views(_CAND + sql, "v_products")
+
+
+_TOK = r"list_filter(regexp_split_to_array(lower(strip_accents({0})), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+_EXP = [(21, ["red widget"]), (22, ["hot bolt", "screw"]), (23, ["blue plat", "plate", "plat"]), (24, ["sku4"]), (25, ["small ring"]), (26, ["wdget"]), (27, ["economy"]), (28, ["the ring"]), (29, ["r"]), (30, ["gren gear", "bolt", "ring"]), (31, ["plate", "plat"]), (32, ["hot"])]
+_GROUPS = "grp AS (" + " UNION ALL ".join(f"SELECT {q} AS query_id, {n} AS g, ['" + "','".join(p.split()) + "'] AS toks" for q, ps in _EXP for n, p in enumerate(ps)) + ")"
+_ELIG = "elig AS (SELECT * FROM v_products WHERE status = 'ACTIVE' AND published_online)"
+_FIELDS = ["title", "sku", "vendor", "product_type", "array_to_string(tags, ' ')", "description"]
+_DOC = "doc AS (SELECT shop_id, product_id, list_distinct(" + _TOK.format("concat_ws(' ', " + ", ".join(_FIELDS) + ")") + ") AS toks FROM elig)"
+_FULL = f"{requests_cte(TEXT)}, {_ELIG}, {_GROUPS}, {_DOC}, ft AS (SELECT DISTINCT q.query_id, d.product_id FROM req q JOIN grp ON grp.query_id = q.query_id JOIN doc d ON d.shop_id = q.shop_id WHERE list_has_all(d.toks, grp.toks))"
+
+
+def _grams(x: str) -> str:
+    return f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+_SIM = f"tt AS (SELECT DISTINCT shop_id, lower(title) AS t FROM elig), sm AS (SELECT query_id, shop_id, t, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE AS sim FROM (SELECT q.query_id, q.shop_id, t, {_grams('q.term')} AS a, {_grams('t')} AS b FROM req q JOIN tt ON tt.shop_id = q.shop_id))"
+_UNIT = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+_VEC = "ve AS (SELECT CAST(vec_id AS VARCHAR) AS id, 'shop' || (vec_id % 4) AS shop_id, embedding, label, vec_id FROM embeddings)"
+_KEYS = "sell AS (SELECT * FROM v_products WHERE status = 'ACTIVE' AND published_online AND available)"
+_SCORE = "3 * CAST(a.collection = b.collection AS INT) + 2 * CAST(a.product_type = b.product_type AS INT) + CAST(a.vendor = b.vendor AS INT) + CAST(list_has_any(a.tags, b.tags) AS INT)"
+
+ORACLE_SQL = {
+    "browse_page": _cat(" SELECT query_id, rank, product_id FROM ranked WHERE query_id IN (1, 12) AND rank > (page - 1) * per_page AND rank <= page * per_page"),
+    "filtered_page": _cat(" SELECT query_id, rank, product_id, title, price_min, price_max, 'browse' AS strategy FROM ranked WHERE rank > (page - 1) * per_page AND rank <= page * per_page"),
+    "totals": _cat(" SELECT query_id, count(*) AS total FROM hit GROUP BY 1"),
+    "price_overlap": _cat(" SELECT query_id, product_id FROM hit WHERE query_id IN (7, 11)"),
+    "facets_exclude_own": _cat(", " + _FACETS + " SELECT query_id, source, value, count FROM top WHERE n <= 50"),
+    "facet_price": _cat(f" SELECT query_id, min(price_min) AS min, max(price_max) AS max FROM cand WHERE {_others('price')} GROUP BY 1"),
+    "facet_signature": _cat(", " + _FACETS + " SELECT query_id, source, value, count FROM top WHERE n <= 50 UNION ALL SELECT query_id + 100, source, value, count FROM top WHERE n <= 50"),
+    "facet_labels": _cat(", " + _FACETS + " SELECT query_id, source, CASE source WHEN 'productType' THEN 'Product type' WHEN 'vendor' THEN 'Brand' WHEN 'option:Color' THEN 'Color' ELSE 'Size' END AS label, CAST(CASE source WHEN 'productType' THEN 1 WHEN 'vendor' THEN 2 WHEN 'option:Color' THEN 3 ELSE 4 END AS INT) AS facet_no, value AS value_label, count FROM top WHERE n <= 50 AND source IN ('productType', 'vendor', 'option:Color', 'option:Size')"),
+    "facet_values": with_views(" UNION ALL ".join(f"SELECT shop_id, product_id, '{s}' AS source, {v} AS value FROM v_products" + (f" WHERE {v} IS NOT NULL" if "unnest" not in v else "") for s, v in _VALUES.items()), "v_products"),
+    "fulltext_match": with_views(_FULL + " SELECT query_id, product_id FROM ft", "v_products"),
+    "substring_match": with_views(f"{requests_cte(TEXT)}, {_ELIG} SELECT query_id, product_id FROM req q JOIN elig p ON p.shop_id = q.shop_id AND contains(lower(p.title), lower(q.term))", "v_products"),
+    "sku_match": with_views("SELECT CAST(product_id AS INT) AS query_id, product_id FROM v_products WHERE CAST(product_id AS INT) % 10 = 3", "v_products"),
+    "trigram_fuzzy": with_views(f"{requests_cte(TEXT)}, {_ELIG}, {_SIM} SELECT query_id, product_id, round(sim, 6) AS sim FROM sm JOIN elig p ON p.shop_id = sm.shop_id AND lower(p.title) = sm.t WHERE sim > 0.2", "v_products"),
+    "text_rank": with_views(_FULL + f", f AS (SELECT shop_id, product_id, {_TOK.format('title')} AS a, {_TOK.format('sku')} AS a2, {_TOK.format(chr(39) + chr(39) + ' || vendor')} AS b, {_TOK.format('product_type')} AS b2, {_TOK.format(chr(97) + 'rray_to_string(tags, chr(32))')} AS b3, {_TOK.format('description')} AS c FROM elig), one(query_id, tok) AS (VALUES (27, 'economy'), (29, 'r'), (32, 'hot')), n AS (SELECT o.query_id, f.product_id, len(list_filter(list_concat(a, a2), lambda x: x = tok)) * 1.0 + len(list_filter(list_concat(list_concat(b, b2), b3), lambda x: x = tok)) * 0.4 + len(list_filter(c, lambda x: x = tok)) * 0.2 AS r FROM one o JOIN req q ON q.query_id = o.query_id JOIN f ON f.shop_id = q.shop_id) SELECT query_id, product_id, round(r::DOUBLE, 6) AS text_rank FROM n WHERE r > 0", "v_products"),
+    "rule_match": with_views("""q AS (SELECT DISTINCT shop_id, title AS term, collection, shop_id || '|' || title || '|' || collection AS query_id FROM v_products)
+SELECT query_id, CAST(CASE shop_id WHEN 'shop0' THEN 3 WHEN 'shop1' THEN 1 ELSE 2 END AS INT) AS rule_id FROM q WHERE (shop_id = 'shop1' AND term = 'red widget') OR shop_id = 'shop2' OR (shop_id = 'shop0' AND collection = 'c1' AND length(term) % 2 = 0)""", "v_products"),
+    "first_variant": with_views("SELECT shop_id, product_id, min_by(variant_id, (NOT available, variant_id)) AS variant_id, count(*) AS n_variants FROM v_variants GROUP BY ALL", "v_variants"),
+    "embedding_text": with_views("SELECT product_id, sha256(substr(concat_ws('. ', nullif(trim(title), ''), nullif(trim(product_type), ''), nullif(trim(vendor), ''), nullif(trim(array_to_string(tags, ', ')), ''), nullif(trim(substr(description, 1, 1000)), '')), 1, 4000)) AS h FROM v_products", "v_products"),
+    "normalize_text": r"WITH n AS (SELECT doc_id, lang, trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, sha256(t) AS h, len(list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS tokens, 'simple' AS config FROM n",
+    "bestsellers": with_views(f"{_KEYS} SELECT * FROM (SELECT shop_id, product_id, row_number() OVER (PARTITION BY shop_id ORDER BY popularity DESC, published_at DESC NULLS LAST, product_id) AS rank FROM sell) WHERE rank <= 12", "v_products"),
+    "recent": with_views(f"{_KEYS} SELECT * FROM (SELECT shop_id, product_id, row_number() OVER (PARTITION BY shop_id ORDER BY published_at DESC NULLS LAST, product_id) AS rank FROM sell) WHERE rank <= 12", "v_products"),
+    "related_attributes": with_views(f"{_KEYS} SELECT * FROM (SELECT a.shop_id, a.product_id AS anchor_id, b.product_id, {_SCORE} AS score, row_number() OVER (PARTITION BY a.shop_id, a.product_id ORDER BY {_SCORE} DESC, b.popularity DESC, b.product_id) AS rank FROM sell a JOIN sell b ON b.shop_id = a.shop_id AND b.product_id <> a.product_id WHERE {_SCORE} > 0) WHERE rank <= 6", "v_products"),
+    "personalized": with_views(f"""{_KEYS}, lastv AS (SELECT shop_id, session_token, product_id FROM (SELECT shop_id, session_token, product_id, row_number() OVER (PARTITION BY shop_id, session_token ORDER BY max(ts) DESC, product_id) AS n FROM v_actions WHERE kind <> 'search' GROUP BY shop_id, session_token, product_id) WHERE n <= 20),
+seen AS (SELECT l.* FROM lastv l JOIN v_products p ON p.shop_id = l.shop_id AND p.product_id = l.product_id),
+prof AS (SELECT s.shop_id, s.session_token, list(DISTINCT p.collection) AS cs, list(DISTINCT p.product_type) AS ts, list(DISTINCT p.vendor) AS vs, list_distinct(flatten(list(p.tags))) AS gs FROM seen s JOIN v_products p ON p.shop_id = s.shop_id AND p.product_id = s.product_id GROUP BY s.shop_id, s.session_token),
+sc AS (SELECT f.shop_id, f.session_token, b.product_id, b.popularity, 3 * CAST(list_contains(cs, b.collection) AS INT) + 2 * CAST(list_contains(ts, b.product_type) AS INT) + CAST(list_contains(vs, b.vendor) AS INT) + CAST(list_has_any(gs, b.tags) AS INT) AS score FROM prof f JOIN sell b ON b.shop_id = f.shop_id
+  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.shop_id = f.shop_id AND s.session_token = f.session_token AND s.product_id = b.product_id))
+SELECT * EXCLUDE (popularity) FROM (SELECT *, row_number() OVER (PARTITION BY shop_id, session_token ORDER BY score DESC, popularity DESC, product_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 6""", "v_products", "v_actions"),
+    "vector_topk": f"WITH {_VEC} SELECT * FROM (SELECT a.id AS query_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - {_UNIT}, 6), b.id) AS rank FROM ve a JOIN ve b ON b.shop_id = a.shop_id WHERE a.vec_id % 50 = 0 AND round(1 - {_UNIT}, 6) < 0.9) WHERE rank <= 10",
+    "related_vectors": f"WITH {_VEC} SELECT * FROM (SELECT a.id AS anchor_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - {_UNIT}, 6), b.id) AS rank FROM ve a JOIN ve b ON b.label = a.label AND b.id <> a.id) WHERE rank <= 5",
+    "semantic_match": f"WITH {_VEC} SELECT a.id AS query_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist FROM ve a JOIN ve b ON b.shop_id = a.shop_id WHERE a.vec_id % 50 = 0 AND 1 - {_UNIT} < 0.8",
+}

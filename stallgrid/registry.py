@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from stallgrid.plans import analytics_queries, catalog_queries
+from stallgrid.plans import analytics_queries, catalog_queries, ingest_queries, stream_queries
 
-QUERIES = {**analytics_queries.QUERIES, **catalog_queries.QUERIES}
-ORACLE_SQL = {**analytics_queries.ORACLE_SQL, **catalog_queries.ORACLE_SQL}
+_PARTS = (analytics_queries, catalog_queries, ingest_queries, stream_queries)
+QUERIES = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
