@@ -151,11 +151,12 @@ class ItemIndex:
             return []
         gap = max(c.reach for c in self.classes) + 2
         blank = np.full(gap, -1, np.int32)
-        parts, where = [], []
+        parts, where, stop = [], [], []
         total = 0
         for d in docs:
             ids = np.fromiter(map(self.vocab.get, words_of(d), repeat(-1)), np.int32)
             where.append(total)
+            stop.append(total + len(ids))
             parts += [ids, blank]
             total += len(ids) + gap
         seq = np.concatenate(parts)
@@ -163,12 +164,14 @@ class ItemIndex:
         np.cumsum(seq >= 0, out=hits[1:])
         found: dict[tuple[int, int], set[int]] = {}
         n_samples = len(self.samples) // len(self.classes)
-        where_a = np.array(where)
+        where_a, stop_a = np.array(where), np.array(stop)
         for c, cls in enumerate(self.classes):
             np.cumsum(cls.rare[seq], out=rare[1:])
             # The gap behind the last document is longer than any reach, so no start is left out.
             near = np.flatnonzero(rare[cls.reach :] - rare[: total + 1 - cls.reach] >= cls.least_rare)
             starts = near[hits[np.minimum(near + cls.reach, total)] - hits[near] >= cls.least]
+            # A window starts in a document, not in the gap behind one.
+            starts = starts[starts < stop_a[np.searchsorted(where_a, starts, side="right") - 1]]
             if not len(starts):
                 continue
             for size_, places, walk, names, items in self.samples[c * n_samples : (c + 1) * n_samples]:
@@ -179,9 +182,9 @@ class ItemIndex:
                     doc = int(np.searchsorted(where_a, starts[w], side="right")) - 1
                     for k in items[pos[w]]:
                         found.setdefault((doc, k), set()).add(int(starts[w]))
-        return self._verified(seq, where_a, found, gap)
+        return self._verified(seq, where_a, stop_a, found)
 
-    def _verified(self, seq, where, found, gap) -> list[tuple[int, int, int, int, int, int]]:
+    def _verified(self, seq, where, stop, found) -> list[tuple[int, int, int, int, int, int]]:
         if not found:
             return []
         pairs = [(d, k, s) for (d, k), ss in found.items() for s in ss]
@@ -204,7 +207,7 @@ class ItemIndex:
                 continue
             m = int(most[i])
             a = max(int(where[pair[0]]), int(s[i]) - m)
-            stretch = seq[a : int(s[i]) + int(length[i]) + m]
+            stretch = seq[a : min(int(stop[pair[0]]), int(s[i]) + int(length[i]) + m)]
             dist, start, end = edit_distance(self.items[pair[1]], stretch, m)
             if dist <= m:
                 out[pair] = (dist, a + start - int(where[pair[0]]), end - start)
