@@ -212,8 +212,8 @@ def _term_counts(sample: DataFrame) -> DataFrame:
 
 def learn_terms(sample: DataFrame, n_toxic: int, n_clean: int, max_terms: int = 100) -> list[tuple[str, bool]]:
     """Seed terms and the words and stems that set toxic documents apart: the best ``max_terms`` by support."""
-    least = max(5, n_toxic // 50)
-    good = _term_counts(sample).where((F.col("toxic") >= least) & (F.col("toxic") / max(1, n_toxic) >= 50 * (F.col("clean") + 0.05) / max(1, n_clean)))
+    least = max(4, n_toxic // 80)
+    good = _term_counts(sample).where((F.col("toxic") >= least) & (F.col("toxic") / max(1, n_toxic) >= 25 * (F.col("clean") + 0.05) / max(1, n_clean)))
     rows = good.orderBy(F.col("toxic").desc(), F.length("term"), "term", "stem").limit(20 * max_terms).collect()
     support = {(r.term, r.stem): r.toxic for r in rows}
     terms = [(t, False) for t in SEED_TERMS]
@@ -263,9 +263,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000,
             rows = [features(t.as_py() or "", shared.value).tobytes() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["x", "y"])
 
-    if not n_toxic:
-        return ToxicityModel(terms, automaton, np.array([1.0, 0.2, -0.5, 0.5, 0.1, 4.0, 0.5]), -4.0)
-    got = sorted((bytes(r.x), r.y) for r in sample.mapInArrow(run, "x binary, y int").collect())
+    plain = ToxicityModel(terms, automaton, np.array([1.0, 0.2, -0.5, 0.5, 0.1, 4.0, 0.5]), -4.0)
+    got = n_toxic and sorted((bytes(r.x), r.y) for r in sample.mapInArrow(run, "x binary, y int").collect())
+    if not got or not any(k for _, k in got):
+        return plain
     x, y = np.stack([np.frombuffer(v) for v, _ in got]), np.array([k for _, k in got], float)
     return ToxicityModel(terms, automaton, *_fit_logistic(x, y))
 
