@@ -44,7 +44,8 @@ class _Encoder:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known, new = {"": b""}, [w for w in words if w]
-        marked = [w for w in new if w[-1] in ".,;:!?" and w[-2:-1].isalpha()]
+        # Up to U+024F a letter is one whatever the normaliser does, unless lower-casing gives it a mark.
+        marked = [w for w in new if w[-1] in ".,;:!?" and w[-2:-1] < "\u0250" and w[-2:-1].lower().isalpha()]
         cores = {w[:-1] for w in marked} | {w[-1] for w in marked} | set(new).difference(marked)
         self._encode_all([w for w in cores if w not in self.known])
         for w in marked:
