@@ -368,10 +368,11 @@ def mark_repeats(docs: DataFrame, length: int = 50, parts: int | None = None) ->
 
     Null text is empty. Rows with a null doc_id keep everything and count for nobody. Rows with one doc_id are
     judged as one document's text each. Texts under ``length`` bytes are untouched. ``parts`` is the number of
-    hash ranges and document groups, by default four times spark.sql.shuffle.partitions.
+    hash ranges, by default four times spark.sql.shuffle.partitions; there are a fourth as many document groups.
     """
     spark = docs.sparkSession
     n = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_groups = max(1, n // 4)  # what goes between ranges and groups is one row for each pair that meets
     columns = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept", "kept_text", "_g")]
     src = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("text", F.col("text").cast("string"))
     sure = src.where("doc_id IS NOT NULL")
@@ -379,15 +380,15 @@ def mark_repeats(docs: DataFrame, length: int = 50, parts: int | None = None) ->
     # 128-bit digests stand for whole texts; texts under the length are never removed.
     digests = sure.where(F.octet_length("text") >= length).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    g = F.pmod(F.hash("doc_id").cast("bigint"), F.lit(n))
+    g = F.pmod(F.hash("doc_id").cast("bigint"), F.lit(n_groups))
     copies = checkpointed(digests.join(first, "digest").where("doc_id > first").select(g.alias("g"), F.col("doc_id").cast("string").alias("copy")))
     send = sure.select("doc_id", "text").mapInArrow(_send_minimizers(length, n), "part bigint, h binary, d binary")
-    known = send.groupBy("part").applyInPandas(_find_repeated(n), "g bigint, h binary, d binary")
+    known = send.groupBy("part").applyInPandas(_find_repeated(n_groups), "g bigint, h binary, d binary")
     nothing = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
     known = known.withColumn("copy", F.lit(None).cast("string")).unionByName(copies.select("g", *nothing("h", "d"), "copy"))
     grouped = sure.withColumn("_g", g)
     pieces = grouped.groupBy("_g").cogroup(known.groupBy("g")).applyInPandas(_send_pieces(length, n, K), "part bigint, n bigint, body binary")
-    marks = pieces.groupBy("part").applyInPandas(_find_marks(length, n), "g bigint, d binary, s binary, e binary")
+    marks = pieces.groupBy("part").applyInPandas(_find_marks(length, n_groups), "g bigint, d binary, s binary, e binary")
     marks = marks.withColumn("copy", F.lit(None).cast("string")).unionByName(copies.select("g", *nothing("d", "s", "e"), "copy"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema) + ", n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_text string"
     cut = grouped.groupBy("_g").cogroup(marks.groupBy("g")).applyInPandas(_cut(columns, length), schema)
