@@ -111,10 +111,13 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 48, within: flo
     return _top(rows.where(F.col("dist") < within).select("query_id", "product_id", "dist"), k, ["query_id"], F.asc("dist"), F.asc("product_id"))
 
 
-def related_vectors(vectors: DataFrame, k: int = 12, block: str = "label") -> DataFrame:
-    """Nearest neighbours of every vector among those of its block, without itself."""
-    a = vectors.select(F.col("product_id").alias("anchor_id"), block, unit(F.col("embedding")).alias("qv"))
-    rows = a.join(vectors.select("product_id", block, unit(F.col("embedding")).alias("pv")), block).where("product_id <> anchor_id").withColumn("dist", F.round(cosine_distance(F.col("qv"), F.col("pv")), 6))
+def related_vectors(anchors: DataFrame, vectors: DataFrame, k: int = 12, keys: tuple[str, ...] = ("shop_id",)) -> DataFrame:
+    """Nearest neighbours of each anchor among the vectors of its shop, without itself.
+
+    ``anchors`` is a stated set of products (those of a page, a session, a campaign), not the whole catalog.
+    """
+    q = anchors.select(F.col("product_id").alias("anchor_id"), *keys, unit(F.col("embedding")).alias("qv"))
+    rows = q.join(vectors.select(*keys, "product_id", unit(F.col("embedding")).alias("pv")), list(keys)).where("product_id <> anchor_id").withColumn("dist", F.round(cosine_distance(F.col("qv"), F.col("pv")), 6))
     return _top(rows.select("anchor_id", "product_id", "dist"), k, ["anchor_id"], F.asc("dist"), F.asc("product_id"))
 
 
@@ -129,7 +132,7 @@ def name_suggestions(queries: DataFrame, names: DataFrame, k: int = 4) -> DataFr
     """Collections or pages (shop_id, item_id, title) for each request: title holds the term, or is similar; prefixes first."""
     q = queries.select("query_id", "shop_id", normalize_query(F.col("term")).alias("norm")).where("norm <> ''")
     n = names.select("shop_id", "item_id", "title", normalize_query(F.col("title")).alias("folded_title"))
-    sims = title_similarity(queries, names.select("shop_id", "title"))
+    sims = title_similarity(queries, n.select("shop_id", F.col("folded_title").alias("title")))
     inside = q.join(n.select("shop_id", "folded_title").distinct(), "shop_id").where(F.col("folded_title").contains(F.col("norm"))).select("query_id", "shop_id", "folded_title", F.lit(0.0).alias("sim"))
     best = sims.unionByName(inside).groupBy("query_id", "shop_id", "folded_title").agg(F.max("sim").alias("sim"))
     rows = best.join(q.select("query_id", "norm"), "query_id").join(n, ["shop_id", "folded_title"])

@@ -42,11 +42,24 @@ def _folded(products: DataFrame) -> DataFrame:
     return products.select("shop_id", "product_id", F.lower(fold_accents(F.col("title"))).alias("folded_title"))
 
 
+def _raw_grams(c: Column) -> Column:
+    """Distinct stretches of three characters, across word ends."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
+
+
 def match_substring(queries: DataFrame, products: DataFrame) -> DataFrame:
-    """Products whose folded title holds the term. Distinct titles are tested, then spread to their products."""
+    """Products whose folded title holds the term.
+
+    Distinct titles are found by the term's last three characters, then tested, then spread to their products.
+    Terms of one or two characters have no such stretch and test the distinct titles of their shop.
+    """
     q = queries.select("query_id", "shop_id", normalize_query(F.col("term")).alias("norm")).where("norm <> ''")
     titles = _folded(products).select("shop_id", "folded_title").distinct()
-    hit = q.join(titles, "shop_id").where(F.col("folded_title").contains(F.col("norm"))).select("query_id", "shop_id", "folded_title")
+    long = q.where("length(norm) >= 3").withColumn("gram", F.right("norm", F.lit(3)))
+    grams = titles.where("length(folded_title) >= 3").withColumn("gram", F.explode(_raw_grams(F.col("folded_title"))))
+    inside = F.col("folded_title").contains(F.col("norm"))
+    names = ["query_id", "shop_id", "folded_title"]
+    hit = long.join(grams, ["shop_id", "gram"]).where(inside).select(*names).unionByName(q.where("length(norm) < 3").join(titles, "shop_id").where(inside).select(*names))
     return hit.join(_folded(products), ["shop_id", "folded_title"]).select("query_id", "shop_id", "product_id")
 
 

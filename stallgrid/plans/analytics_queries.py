@@ -137,7 +137,12 @@ _BEST = f"SELECT shop_id, product_id, popularity, published_at, row_number() OVE
 _DELTA = f""", w AS (SELECT shop_id, CASE WHEN ts >= {_NOW} - INTERVAL 15 DAY AND ts <= {_NOW} THEN 'current' WHEN ts >= {_NOW} - INTERVAL 30 DAY AND ts < {_NOW} - INTERVAL 15 DAY THEN 'previous' END AS period, * EXCLUDE (shop_id) FROM searches),
 f AS (SELECT shop_id, period, {_FUN} FROM w WHERE period IS NOT NULL GROUP BY ALL)"""
 
+# 32-bit FNV-1a over the token's characters.
+_FNV = "list_reduce(list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS UBIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS UBIGINT)) % 2 = 0"
+
 ORACLE_SQL = {
+    "ab_bucket": with_views(f"SELECT event_id, CASE WHEN {_FNV.format('session_token')} THEN 'a' ELSE 'b' END AS bucket FROM v_actions", "v_actions"),
+    "ab_arms": _on_searches(f", b AS (SELECT *, CASE WHEN {_FNV.format('session_token')} THEN 'a' ELSE 'b' END AS bucket FROM searches WHERE {_WIN}), f AS (SELECT shop_id, bucket, {_FUN} FROM b GROUP BY ALL), r AS (SELECT *, {_rate('purchases')} AS purchase_rate FROM f) SELECT *, purchase_rate = max(purchase_rate) OVER (PARTITION BY shop_id) AND min(purchase_rate) OVER (PARTITION BY shop_id) < purchase_rate AND searches >= 20 AS winner FROM r"),
     "funnel_totals": _on_searches(_DELTA + " SELECT * FROM f"),
     "funnel_rates": _on_searches(f", f AS (SELECT shop_id, 'current' AS period, {_FUN} FROM searches WHERE {_WIN} GROUP BY shop_id) SELECT * EXCLUDE (revenue), {_rate('clicks')} AS click_rate, {_rate('conversions')} AS conversion_rate, {_rate('purchases')} AS purchase_rate, {_rate('zero_results')} AS zero_rate, {_rate('searches - clicks')} AS no_click_rate FROM f"),
     "period_delta": _on_searches(_DELTA + f""", x AS (SELECT *, {_rate('clicks')} AS click_rate, {_rate('zero_results')} AS zero_rate FROM f),

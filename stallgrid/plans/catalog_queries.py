@@ -141,7 +141,8 @@ def _vector_topk(spark, d):
 
 
 def _related_vectors(spark, d):
-    return _long(R.related_vectors(_vectors(spark, d)[0], 5))
+    v = _vectors(spark, d)[0]
+    return _long(R.related_vectors(v.where("product_id % 50 = 0"), v, 5))
 
 
 def _semantic(spark, d):
@@ -183,7 +184,7 @@ QUERIES = {
     "did_you_mean": _spelling,
     "product_suggestions": lambda s, d: _long(R.product_suggestions(text_rows(s, d))).select("query_id", "product_id", F.round("score", 6).alias("score"), "rank"),
     "page_suggestions": _names,
-    "postings": lambda s, d: X.build_postings(Tables(s, d).products()).groupBy("field", "weight").agg(F.count("*").alias("n"), F.countDistinct("token").alias("tokens"), F.max("pos").alias("last")),
+    "postings": lambda s, d: X.build_postings(Tables(s, d).products()).groupBy("field", "weight").agg(F.count("*").alias("n"), F.countDistinct("token").alias("tokens")),
     "first_variant": lambda s, d: S.first_variant(Tables(s, d).variants()),
     "embedding_text": lambda s, d: Tables(s, d).products().select("product_id", F.sha2(X.embedding_text(), 256).alias("h")),
     "normalize_text": lambda s, d: Tables(s, d).read("documents").select("doc_id", F.sha2(T.normalize_query(F.col("text")), 256).alias("h"), F.size(T.tokenize(F.col("text"))).cast("bigint").alias("tokens"), T.ts_config(F.col("lang")).alias("config")),
@@ -268,6 +269,11 @@ ORACLE_SQL = {
     "sku_match": with_views("SELECT CAST(product_id AS INT) AS query_id, product_id FROM v_products WHERE CAST(product_id AS INT) % 10 = 3", "v_products"),
     "trigram_fuzzy": with_views(f"{requests_cte(TEXT)}, {_ELIG}, {_SIM} SELECT query_id, product_id, round(sim, 6) AS sim FROM sm JOIN elig p ON p.shop_id = sm.shop_id AND lower(p.title) = sm.t WHERE sim > 0.2", "v_products"),
     "text_rank": with_views(_FULL + f", f AS (SELECT shop_id, product_id, {_TOK.format('title')} AS a, {_TOK.format('sku')} AS a2, {_TOK.format(chr(39) + chr(39) + ' || vendor')} AS b, {_TOK.format('product_type')} AS b2, {_TOK.format(chr(97) + 'rray_to_string(tags, chr(32))')} AS b3, {_TOK.format('description')} AS c FROM elig), one(query_id, tok) AS (VALUES (27, 'economy'), (29, 'r'), (32, 'hot')), n AS (SELECT o.query_id, f.product_id, len(list_filter(list_concat(a, a2), lambda x: x = tok)) * 1.0 + len(list_filter(list_concat(list_concat(b, b2), b3), lambda x: x = tok)) * 0.4 + len(list_filter(c, lambda x: x = tok)) * 0.2 AS r FROM one o JOIN req q ON q.query_id = o.query_id JOIN f ON f.shop_id = q.shop_id) SELECT query_id, product_id, round(r::DOUBLE, 6) AS text_rank FROM n WHERE r > 0", "v_products"),
+    "postings": with_views("w AS (" + " UNION ALL ".join(f"SELECT '{n}' AS field, '{k}' AS weight, unnest({_TOK.format(c)}) AS token FROM v_products" for n, k, c in (("title", "A", "title"), ("skus", "A", "sku"), ("vendor", "B", "vendor"), ("product_type", "B", "product_type"), ("tags", "B", "array_to_string(tags, ' ')"), ("description", "C", "description"))) + ") SELECT field, weight, count(*) AS n, count(DISTINCT token) AS tokens FROM w GROUP BY ALL", "v_products"),
+    "page_suggestions": f"""WITH n AS (SELECT 'shop' || (page_id % 4) AS shop_id, page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
+f AS (SELECT *, trim(regexp_replace(lower(strip_accents(title)), '\\s+', ' ', 'g')) AS t FROM n), q AS (SELECT page_id AS query_id, shop_id, trim(regexp_replace(lower(strip_accents(substr(title, 1, 9))), '\\s+', ' ', 'g')) AS norm FROM n WHERE page_id % 25 = 0),
+s AS (SELECT q.query_id, f.page_id, f.title, f.t, q.norm, CASE WHEN sim > 0.2 THEN sim ELSE 0 END AS sim FROM (SELECT q.*, f.page_id, len(list_intersect({_grams('q.norm')}, {_grams('strip_accents(f.title)')})) / len(list_distinct(list_concat({_grams('q.norm')}, {_grams('strip_accents(f.title)')})))::DOUBLE AS sim FROM q JOIN f ON f.shop_id = q.shop_id WHERE q.norm <> '') q JOIN f ON f.page_id = q.page_id WHERE sim > 0.2 OR contains(f.t, q.norm))
+SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(page_id AS VARCHAR) AS item_id, title, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY starts_with(t, norm) DESC, sim DESC, CAST(page_id AS VARCHAR)) AS rank FROM s) WHERE rank <= 4""",
     "rule_match": with_views("""q AS (SELECT DISTINCT shop_id, title AS term, collection, shop_id || '|' || title || '|' || collection AS query_id FROM v_products)
 SELECT query_id, CAST(CASE shop_id WHEN 'shop0' THEN 3 WHEN 'shop1' THEN 1 ELSE 2 END AS INT) AS rule_id FROM q WHERE (shop_id = 'shop1' AND term = 'red widget') OR shop_id = 'shop2' OR (shop_id = 'shop0' AND collection = 'c1' AND length(term) % 2 = 0)""", "v_products"),
     "first_variant": with_views("SELECT shop_id, product_id, min_by(variant_id, (NOT available, variant_id)) AS variant_id, count(*) AS n_variants FROM v_variants GROUP BY ALL", "v_variants"),
@@ -283,6 +289,6 @@ sc AS (SELECT f.shop_id, f.session_token, b.product_id, b.popularity, 3 * CAST(l
   WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.shop_id = f.shop_id AND s.session_token = f.session_token AND s.product_id = b.product_id))
 SELECT * EXCLUDE (popularity) FROM (SELECT *, row_number() OVER (PARTITION BY shop_id, session_token ORDER BY score DESC, popularity DESC, product_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 6""", "v_products", "v_actions"),
     "vector_topk": f"WITH {_VEC} SELECT * FROM (SELECT a.id AS query_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - {_UNIT}, 6), b.id) AS rank FROM ve a JOIN ve b ON b.shop_id = a.shop_id WHERE a.vec_id % 50 = 0 AND round(1 - {_UNIT}, 6) < 0.9) WHERE rank <= 10",
-    "related_vectors": f"WITH {_VEC} SELECT * FROM (SELECT a.id AS anchor_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - {_UNIT}, 6), b.id) AS rank FROM ve a JOIN ve b ON b.label = a.label AND b.id <> a.id) WHERE rank <= 5",
+    "related_vectors": f"WITH {_VEC} SELECT * FROM (SELECT a.id AS anchor_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - {_UNIT}, 6), b.id) AS rank FROM ve a JOIN ve b ON b.shop_id = a.shop_id AND b.id <> a.id WHERE a.vec_id % 50 = 0) WHERE rank <= 5",
     "semantic_match": f"WITH {_VEC} SELECT a.id AS query_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist FROM ve a JOIN ve b ON b.shop_id = a.shop_id WHERE a.vec_id % 50 = 0 AND 1 - {_UNIT} < 0.8",
 }
