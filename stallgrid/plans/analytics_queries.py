@@ -140,7 +140,19 @@ f AS (SELECT shop_id, period, {_FUN} FROM w WHERE period IS NOT NULL GROUP BY AL
 # 32-bit FNV-1a over the token's characters.
 _FNV = "list_reduce(list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS UBIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS UBIGINT)) % 2 = 0"
 
+# Windows of five days that begin at a session's first event after the last one ended; three events of each stay.
+CAPPED = """
+t AS (SELECT event_id, shop_id, session_token, ts FROM v_actions),
+k(shop_id, session_token, ts) AS (
+  SELECT shop_id, session_token, min(ts) FROM t GROUP BY ALL
+  UNION ALL
+  SELECT k.shop_id, k.session_token, min(n.ts) FROM k JOIN t n ON n.shop_id = k.shop_id AND n.session_token = k.session_token AND n.ts >= k.ts + INTERVAL 120 HOUR GROUP BY k.shop_id, k.session_token),
+w AS (SELECT t.event_id, t.shop_id, t.session_token, row_number() OVER (PARTITION BY t.shop_id, t.session_token, k.ts ORDER BY t.ts, t.event_id) AS n
+  FROM t JOIN k ON k.shop_id = t.shop_id AND k.session_token = t.session_token AND t.ts >= k.ts AND t.ts < k.ts + INTERVAL 120 HOUR)
+"""
+
 ORACLE_SQL = {
+    "event_cap": with_views(CAPPED + "SELECT shop_id, session_token, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM w WHERE n <= 3 GROUP BY ALL", "v_actions").replace("WITH ", "WITH RECURSIVE ", 1),
     "ab_bucket": with_views(f"SELECT event_id, CASE WHEN {_FNV.format('session_token')} THEN 'a' ELSE 'b' END AS bucket FROM v_actions", "v_actions"),
     "ab_arms": _on_searches(f", b AS (SELECT *, CASE WHEN {_FNV.format('session_token')} THEN 'a' ELSE 'b' END AS bucket FROM searches WHERE {_WIN}), f AS (SELECT shop_id, bucket, {_FUN} FROM b GROUP BY ALL), r AS (SELECT *, {_rate('purchases')} AS purchase_rate FROM f) SELECT *, purchase_rate = max(purchase_rate) OVER (PARTITION BY shop_id) AND min(purchase_rate) OVER (PARTITION BY shop_id) < purchase_rate AND searches >= 20 AS winner FROM r"),
     "funnel_totals": _on_searches(_DELTA + " SELECT * FROM f"),

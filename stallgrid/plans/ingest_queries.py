@@ -10,7 +10,7 @@ from stallgrid.operators import merge as M
 from stallgrid.operators import search as S
 from stallgrid.operators import sinks
 from stallgrid.plans.analytics_queries import _SEARCHES, searches
-from stallgrid.plans.catalog_queries import browse_rows
+from stallgrid.plans.catalog_queries import _cat, browse_rows
 from stallgrid.plans.fixtures import AS_OF, Tables, with_views
 from stallgrid.sources import catalog as C
 
@@ -196,5 +196,6 @@ SELECT p.shop_id, p.product_id, p.title, p.vendor, p.status, coalesce(w.a, false
     "csv_sections": with_views(_SEARCHES + f""", z AS (SELECT shop_id, ['=', '+', 'ok', '@'][search_id % 4 + 1] || term AS term, results_count, clicked FROM searches WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND ts <= TIMESTAMP '{AS_OF}'),
 u AS (SELECT 'top' AS section, shop_id, term, count(*) AS searches FROM z GROUP BY ALL UNION ALL SELECT 'zero results', shop_id, term, count(*) FROM z WHERE results_count = 0 GROUP BY ALL UNION ALL SELECT 'no clicks', shop_id, term, count(*) FROM z WHERE results_count > 0 GROUP BY ALL HAVING count(*) >= 3 AND count(*) FILTER (clicked) = 0)
 SELECT section, shop_id, CAST(row_number() OVER (PARTITION BY section, shop_id ORDER BY searches DESC, term) AS VARCHAR) AS rank, CASE WHEN term[1] IN ('=', '+', '@') THEN '''' || term ELSE term END AS term, CAST(searches AS VARCHAR) AS searches FROM u QUALIFY row_number() OVER (PARTITION BY section, shop_id ORDER BY searches DESC, term) <= 25""", "v_actions"),
+    "feed_export": _cat(" SELECT query_id, rank, title AS name, printf('%.2f', price_min) AS price, 'https://schema.org/' || CASE WHEN available THEN 'InStock' ELSE 'OutOfStock' END AS availability FROM ranked WHERE rank > (page - 1) * per_page AND rank <= page * per_page"),
     "highlight": r"SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '(?i)(the|of)', '<mark>\1</mark>', 'g')) AS h FROM documents",
 }

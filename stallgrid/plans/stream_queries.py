@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from stallgrid.operators.events import POPULARITY
-from stallgrid.plans.analytics_queries import _CLICK
+from stallgrid.plans.analytics_queries import _CLICK, CAPPED
 from stallgrid.plans.fixtures import Tables, with_views
 from stallgrid.streaming import events as ST
 
@@ -45,6 +45,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "stream_event_cap": with_views(CAPPED + "SELECT event_id FROM w WHERE n <= 3", "v_actions").replace("WITH ", "WITH RECURSIVE ", 1),
     "stream_daily_activity": with_views("SELECT shop_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS searches FROM v_actions WHERE kind = 'search' GROUP BY ALL", "v_actions"),
     "stream_click_attribution": with_views(_CLICK.format(kind="click", term="AND s.term = a.term", h=24), "v_actions"),
     "stream_synthetic": with_views("SELECT event_id FROM v_actions a WHERE kind = 'click' AND NOT EXISTS (SELECT 1 FROM v_actions s WHERE s.kind = 'search' AND s.shop_id = a.shop_id AND s.session_token = a.session_token AND s.term = a.term AND s.ts <= a.ts AND s.ts >= a.ts - INTERVAL 2 HOUR)", "v_actions"),
