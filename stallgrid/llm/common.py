@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that one vectorised step handles at once, in bytes; a longer document is a step of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
+
+
+#: Functions that drop a worker process's word caches: workers are reused, and the next operator needs the memory.
+FREE: list[Callable[[], None]] = []
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
@@ -38,6 +42,9 @@ def spread(col: str = "doc_id"):
 
 def text_chunks(texts: pa.ChunkedArray | pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, UTF-8 texts) of consecutive rows, at most about ``limit`` bytes together; null is empty."""
+    pa.default_memory_pool().release_unused()  # what earlier batches of this worker left
+    for free in FREE:
+        free()
     first, size, out = 0, 0, []
     for i, t in enumerate(texts):
         b = (t.as_py() or "").encode("utf-8", "replace")
@@ -81,7 +88,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """1, base, base**2, ... modulo 2**64; tables up to 4 M entries are kept for the worker's next chunk."""
+    """1, base, base**2, ... modulo 2**64; tables up to 2 M entries are kept for the worker's next chunk."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
@@ -89,6 +96,6 @@ def _powers(base: int, n: int) -> np.ndarray:
         have[0] = 1
         with np.errstate(over="ignore"):
             np.multiply.accumulate(have, out=have)
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _POWERS[base] = have
     return have[:n]

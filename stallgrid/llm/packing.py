@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import FREE, checkpointed
 
 #: Words kept by a worker process, and the longest that is kept; both bound memory only, not results.
-CACHE_WORDS, CACHE_CHARS = 600_000, 40
+CACHE_WORDS, CACHE_CHARS = 450_000, 40
 SEQUENCE = 2048
 _ENCODERS: dict[str, _Encoder] = {}
+FREE.append(_ENCODERS.clear)
 
 
 class _Encoder:
