@@ -7,7 +7,8 @@ similarity of at least ``threshold`` are links.
    never expanded into pairs.
 2. Each class carries ``PLACES`` min-hashes of its set. A repetition grows a tree: a node samples places (one,
    and with probability 1/threshold - 1 a second one), and its sets are split by their min-hash there. Nodes with
-   at most ``SMALL`` sets are brute-forced; larger ones are split again, to depth ``DEPTH``. Trees are rebuilt
+   at most ``SMALL`` sets are brute-forced, and so are dense ones, which keep most of their parent's sets; the
+   others are split again, to depth ``DEPTH``. Trees are rebuilt
    with other samples for ``repetitions`` rounds, enough for the target recall at the threshold.
 3. Only leaves with two sets or more matter, and of leaves with the same members one is kept. Their sets are
    fetched and all pairs of a leaf are compared exactly, by products of 0/1 matrices. Leaves with more than
@@ -117,7 +118,10 @@ def set_classes(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _grow(frontier: DataFrame, second: float, repetitions: int = 0) -> DataFrame:
-    """Child nodes (path, class_id) of (path, class_id, signs); with ``repetitions`` the roots of that many trees."""
+    """Child nodes (path, class_id, up) of (path, class_id, signs, n); with ``repetitions`` the roots of that many trees.
+
+    ``up`` is the number of sets in the parent node; null below a root.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,9 +132,10 @@ def _grow(frontier: DataFrame, second: float, repetitions: int = 0) -> DataFrame
             roots = [mix64(np.full(len(ids), 1000 + r, np.uint64)) for r in range(repetitions)] or [batch.column("path").to_numpy().view(np.uint64)]
             for root in roots:
                 rows, child = _children(root, signs, second)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[rows])], ["path", "class_id"])
+                up = pa.nulls(len(rows), pa.int64()) if repetitions else batch.column("n").take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[rows]), up], ["path", "class_id", "up"])
 
-    return frontier.mapInArrow(run, "path bigint, class_id bigint").distinct()
+    return frontier.mapInArrow(run, "path bigint, class_id bigint, up bigint").distinct()
 
 
 def path_leaves(classes: DataFrame, threshold: float, repetitions: int) -> DataFrame:
@@ -140,14 +145,17 @@ def path_leaves(classes: DataFrame, threshold: float, repetitions: int) -> DataF
     level = checkpointed(_grow(signs, second, repetitions))
     leaves = None
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("path").count()
-        large = sizes.where(F.col("count") > SMALL)
-        ends = sizes.where(F.col("count") >= 2) if depth == DEPTH else sizes.where(F.col("count").between(2, SMALL))
-        done = checkpointed(level.join(ends.select("path"), "path", "left_semi"))
+        sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.max("up").alias("up"))
+        # A node that keeps most of its parent's sets holds near copies: more splits would only repeat it.
+        dense = F.coalesce(F.col("n") >= threshold * F.col("up"), F.lit(False))
+        end = F.lit(depth == DEPTH) | (F.col("n") <= SMALL) | dense
+        large = sizes.where(~end)
+        ends = sizes.where((F.col("n") >= 2) & end)
+        done = checkpointed(level.join(ends.select("path"), "path", "left_semi").select("path", "class_id"))
         leaves = done if leaves is None else leaves.unionByName(done)
         if depth == DEPTH or large.isEmpty():
             break
-        deeper = level.join(large.select("path"), "path", "left_semi").join(signs, "class_id")
+        deeper = level.select("path", "class_id").join(large.select("path", "n"), "path").join(signs, "class_id")
         level = checkpointed(_grow(deeper, second))
     # Leaves with equal members: number of members, and two sums over scrambled ids.
     members = leaves.groupBy("path").agg(
