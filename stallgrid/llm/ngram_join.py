@@ -8,8 +8,10 @@ similarity of at least ``threshold`` are links.
 2. Each class carries ``PLACES`` min-hashes of its set. A repetition grows a tree: a node samples places (one,
    and with probability 1/threshold - 1 a second one), and its sets are split by their min-hash there. Nodes with
    at most ``SMALL`` sets are brute-forced, and so are dense ones, which keep most of their parent's sets; the
-   others are split again, to depth ``DEPTH``. Trees are rebuilt
-   with other samples for ``repetitions`` rounds, enough for the target recall at the threshold.
+   others are split again, to depth ``DEPTH``. Trees are rebuilt with other samples until a pair at the threshold
+   is found with the target recall: enough trees for ``SPLITS`` splits over all sets, and more of them over the sets
+   that were split further, for the depth that was reached. All trees draw from the same min-hashes, which
+   ``repetitions_for`` takes into account.
 3. Only leaves with two sets or more matter, and of leaves with the same members one is kept. Their sets are
    fetched and all pairs of a leaf are compared exactly, by products of 0/1 matrices. Leaves with more than
    ``BLOCK`` sets are compared as pairs of blocks, in separate tasks. A pair in several leaves counts in the
@@ -34,18 +36,29 @@ from pyspark.sql import functions as F
 
 from .common import PrefixHash, checkpointed, mix64, text_chunks
 
-WORDS, PLACES, SMALL, DEPTH, BLOCK = 5, 32, 64, 8, 256
+WORDS, PLACES, SMALL, SPLITS, DEPTH, BLOCK = 5, 64, 64, 4, 8, 256
 _SEEDS = np.random.default_rng(11).integers(1, 2**32, (PLACES, 2), dtype=np.uint64)
 _GAPS = bytes(0x20 if c in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D) else c for c in range(256))
 
 
-def repetitions_for(recall: float, threshold: float) -> int:
-    """Trees after which a pair at the threshold has met with probability ``recall``, if its nodes were split four times."""
-    meet, second = 1.0, 1 / threshold - 1
-    for _ in range(4):  # probability that at least one of a node's samples keeps the pair together down to a leaf
-        one = threshold * meet
+def repetitions_for(recall: float, threshold: float, depth: int = SPLITS, places: int = PLACES) -> int:
+    """Trees after which a pair at the threshold has met with probability ``recall``, if its nodes were split ``depth`` times.
+
+    All trees sample the same ``places``. So trees miss independently only for a given number of places at which
+    the pair agrees, and the chance to meet is averaged over that number.
+    """
+    second, agree = 1 / threshold - 1, np.arange(places + 1)
+    weight = np.array([math.comb(places, k) * threshold**k * (1 - threshold) ** (places - k) for k in range(places + 1)])
+    meet = np.ones(places + 1)
+    for _ in range(depth):  # probability that at least one of a node's samples keeps the pair together down to a leaf
+        one = agree / places * meet
         meet = 1 - (1 - one) * (1 - second * one)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    trees = 1
+    while weight @ (1 - (1 - meet) ** trees) < recall:
+        trees += 1
+        if trees > 10_000:
+            raise ValueError("too few min-hashes for this recall and threshold")
+    return trees
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -117,8 +130,8 @@ def set_classes(docs: DataFrame, text: str = "text") -> DataFrame:
     return src.mapInArrow(run, "doc_id bigint, digest binary, signs binary")
 
 
-def _grow(frontier: DataFrame, second: float, repetitions: int = 0) -> DataFrame:
-    """Child nodes (path, class_id, up) of (path, class_id, signs, n); with ``repetitions`` the roots of that many trees.
+def _grow(frontier: DataFrame, second: float, trees: range = range(0)) -> DataFrame:
+    """Child nodes (path, class_id, up) of (path, class_id, signs, n); with ``trees`` the roots of these.
 
     ``up`` is the number of sets in the parent node; null below a root.
     """
@@ -129,22 +142,23 @@ def _grow(frontier: DataFrame, second: float, repetitions: int = 0) -> DataFrame
                 continue
             signs = np.stack([np.frombuffer(s.as_py(), np.uint32) for s in batch.column("signs")])
             ids = batch.column("class_id").to_numpy()
-            roots = [mix64(np.full(len(ids), 1000 + r, np.uint64)) for r in range(repetitions)] or [batch.column("path").to_numpy().view(np.uint64)]
+            roots = [mix64(np.full(len(ids), 1000 + r, np.uint64)) for r in trees] or [batch.column("path").to_numpy().view(np.uint64)]
             for root in roots:
                 rows, child = _children(root, signs, second)
-                up = pa.nulls(len(rows), pa.int64()) if repetitions else batch.column("n").take(pa.array(rows))
+                up = pa.nulls(len(rows), pa.int64()) if trees else batch.column("n").take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[rows]), up], ["path", "class_id", "up"])
 
     return frontier.mapInArrow(run, "path bigint, class_id bigint, up bigint").distinct()
 
 
-def path_leaves(classes: DataFrame, threshold: float, repetitions: int) -> DataFrame:
-    """(leaf, class_id) of all leaves with two sets or more; of leaves with the same members only one."""
+def _trees(signs: DataFrame, threshold: float, trees: range) -> tuple[DataFrame, DataFrame | None, int]:
+    """Leaves (path, class_id) with two sets or more, the nodes behind ``SPLITS`` splits, and the depth reached."""
     second = 1 / threshold - 1
-    signs = classes.select("class_id", "signs")
-    level = checkpointed(_grow(signs, second, repetitions))
-    leaves = None
+    level = checkpointed(_grow(signs, second, trees))
+    leaves = beyond = None
     for depth in range(1, DEPTH + 1):
+        if depth == SPLITS + 1:
+            beyond = level
         sizes = level.groupBy("path").agg(F.count("*").alias("n"), F.max("up").alias("up"))
         # A node that keeps most of its parent's sets holds near copies: more splits would only repeat it.
         dense = F.coalesce(F.col("n") >= threshold * F.col("up"), F.lit(False))
@@ -154,9 +168,21 @@ def path_leaves(classes: DataFrame, threshold: float, repetitions: int) -> DataF
         done = checkpointed(level.join(ends.select("path"), "path", "left_semi").select("path", "class_id"))
         leaves = done if leaves is None else leaves.unionByName(done)
         if depth == DEPTH or large.isEmpty():
-            break
+            return leaves, beyond, depth
         deeper = level.select("path", "class_id").join(large.select("path", "n"), "path").join(signs, "class_id")
         level = checkpointed(_grow(deeper, second))
+
+
+def path_leaves(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(leaf, class_id) of all leaves with two sets or more; of leaves with the same members only one."""
+    signs = classes.select("class_id", "signs")
+    grown = repetitions_for(recall, threshold)
+    leaves, beyond, depth = _trees(signs, threshold, range(grown))
+    # A pair with a set whose nodes all end within SPLITS splits is settled; the others are looked for in more trees.
+    while depth > SPLITS and (target := repetitions_for(recall, threshold, depth)) > grown:
+        signs = checkpointed(signs.join(beyond.select("class_id").distinct(), "class_id", "left_semi")) if beyond is not None else signs
+        more, _, reached = _trees(signs, threshold, range(grown, target))
+        leaves, beyond, depth, grown = leaves.unionByName(more), None, max(depth, reached), target
     # Leaves with equal members: number of members, and two sums over scrambled ids.
     members = leaves.groupBy("path").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("class_id")).alias("x"), F.bit_xor(F.xxhash64("class_id", F.lit(1))).alias("y"), F.min("class_id").alias("low"), F.max("class_id").alias("high")
@@ -268,7 +294,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     # One row per distinct set; signs are the same within it. A text without words stays alone.
     per = all_rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("signs").alias("signs"))
     classes = checkpointed(per)
-    leaves = checkpointed(path_leaves(classes, threshold, repetitions_for(recall, threshold)))
+    leaves = checkpointed(path_leaves(classes, threshold, recall))
     own = leaves.groupBy("class_id").agg(F.collect_set("leaf").alias("leaves")).join(classes.select("class_id", "copies", "digest"), "class_id")
     src = docs.select(F.col("doc_id").cast("bigint").alias("class_id"), F.col(text).cast("string").alias("text"))
     texts = own.join(src, "class_id")

@@ -211,6 +211,53 @@ def test_join_against_brute_force(spark):
     assert sum(got[i].class_id == find(i) for i in got) >= 0.99 * len(sets)
 
 
+@pytest.mark.parametrize("depth", [1, 4, 6, 8])
+def test_trees_find_pairs_at_every_depth(depth):
+    rng = np.random.default_rng(depth)
+    n = 3000
+    one = rng.integers(0, 2**32, (n, ngram_join.PLACES), dtype=np.uint64).astype(np.uint32)
+    two = np.where(rng.random(one.shape) < 0.8, one, ~one)
+    found = np.zeros(n, bool)
+    for tree in range(ngram_join.repetitions_for(0.995, 0.8, depth)):
+        pair, path = np.arange(n), ngram_join.mix64(np.arange(n, dtype=np.uint64) * np.uint64(4096) + np.uint64(tree))
+        for _ in range(depth):  # the nodes in which both sets of a pair stand
+            rows, a = ngram_join._children(path, one[pair], 0.25)
+            _, b = ngram_join._children(path, two[pair], 0.25)
+            pair, path = pair[rows[a == b]], a[a == b]
+        found[pair] = True
+    assert found.mean() >= 0.99
+
+
+def test_join_of_a_large_varied_family(spark):
+    random.seed(8)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for n in range(1500):  # a varied text of the family, and a near copy of it at a similarity of about 0.8
+        w = list(base)
+        for k in range(random.randint(12, 40)):
+            w[random.randrange(len(w))] = f"x{n}.{k}"
+        near = list(w)
+        for k in range(6):
+            near[random.randrange(len(w))] = f"y{n}.{k}"
+        texts += [w, near]
+    number: dict = {}
+    rows = [sorted({number.setdefault(tuple(w[k : k + 5]), len(number)) for k in range(len(w) - 4)}) for w in texts]
+    owners: dict = {}
+    for i, r in enumerate(rows):
+        for v in r:
+            owners.setdefault(v, []).append(i)
+    common = np.zeros((len(rows), len(rows)), np.int16)
+    for o in owners.values():
+        common[np.ix_(o, o)] += 1
+    size = np.array([len(r) for r in rows])
+    link = common >= 0.8 * (size[:, None] + size[None, :] - common) - 1e-9
+    want = link.sum(1) - 1
+    got = {r.doc_id: r.n_links for r in ngram_join.jaccard_classes(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")).collect()}
+    found = np.array([got[i] for i in range(len(texts))])
+    assert (found <= want).all()
+    assert found.sum() >= 0.995 * want.sum()
+
+
 def test_repeats_against_brute_force(spark):
     random.seed(6)
     words = ["".join(random.choice("abcdé") for _ in range(random.randint(1, 6))) for _ in range(60)]
