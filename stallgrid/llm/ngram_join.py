@@ -3,7 +3,7 @@
 Texts are sets of 5-word shingles (words: lower-cased runs between white space). All pairs with Jaccard
 similarity of at least ``threshold`` are links.
 
-1. Texts with equal shingle sets form a class; only classes go on (class = smallest doc_id). Copies are counted,
+1. Texts with equal shingle sets form a class; only classes go on (named by their digest). Copies are counted,
    never expanded into pairs.
 2. Each class carries ``PLACES`` min-hashes of its set. A repetition grows a tree: a node samples places (one,
    and with probability 1/threshold - 1 a second one), and its sets are split by their min-hash there. Nodes with
@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import PrefixHash, checkpointed, mix64, text_chunks
 
@@ -283,21 +284,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         label = new.select("node", "component")
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995, text: str = "text") -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its group of linked documents) and n_links of every row.
+def _labelled(docs: DataFrame, threshold: float, recall: float, text: str) -> DataFrame:
+    """doc_id, digest, class_id, n_links and head (doc_id and digest that stand for the row's class) of every row.
 
-    ``n_links`` counts all other rows with a similarity of at least ``threshold``, copies included. Rows with a
-    null doc_id are their own class with a null id unless a row with an id has the same set. Repeated rows are
-    copies of each other. One doc_id is taken to name one text: of several, one stands for the id.
+    The join works on sets, named by a number from their digest (class_id inside the join), so that several texts
+    under one doc_id are sets of their own. Class and head are null for a set that only rows without an id have.
     """
     all_rows = checkpointed(set_classes(docs, text))
     # One row per distinct set; signs are the same within it. A text without words stays alone.
-    per = all_rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("signs").alias("signs"))
-    classes = checkpointed(per)
+    per = all_rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("signs").alias("signs"))
+    classes = checkpointed(per.withColumn("class_id", F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("bigint")))
     leaves = checkpointed(path_leaves(classes, threshold, recall))
-    own = leaves.groupBy("class_id").agg(F.collect_set("leaf").alias("leaves")).join(classes.select("class_id", "copies", "digest"), "class_id")
-    src = docs.select(F.col("doc_id").cast("bigint").alias("class_id"), F.col(text).cast("string").alias("text"))
-    texts = own.join(src, "class_id")
+    own = leaves.groupBy("class_id").agg(F.collect_set("leaf").alias("leaves")).join(classes.select("class_id", "least_id", "copies", "digest"), "class_id")
+    src = docs.select(F.col("doc_id").cast("bigint").alias("least_id"), F.col(text).cast("string").alias("text"))
+    texts = own.join(src, "least_id")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,22 +310,57 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     sets = texts.mapInArrow(fetch, "class_id bigint, copies bigint, leaves array<bigint>, shingles binary").dropDuplicates(["class_id"])
     member = sets.join(leaves.select("leaf", "n", F.col("class_id")), "class_id")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    placed = member.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("class_id", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = member.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("class_id", F.lit(3)), F.col("blocks")).cast("int"))
     # A set of block i takes part in the pairs (i, j) and (j, i); a small leaf is the one pair (0, 0).
-    spread = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = spread.select("leaf", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), (F.col("mine") > F.col("with")).cast("int").alias("side"), "class_id", "copies", "leaves", "shingles")
     pairs = checkpointed(keyed.groupBy("leaf", "i", "j").applyInPandas(_compare(threshold), "class_id bigint, links bigint, root bigint"))
     links = pairs.groupBy("class_id").agg(F.sum("links").alias("links"))
     comp = components(pairs.where("root <> class_id"), "class_id", "root")
-    named = classes.select("digest", "class_id", "copies").join(links, "class_id", "left").join(comp.withColumnRenamed("node", "class_id"), "class_id", "left")
-    named = named.select("digest", F.coalesce("component", "class_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"))
-    return all_rows.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    placed = classes.join(comp.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    heads = placed.groupBy("component").agg(F.min(F.struct(F.col("least_id").alias("doc_id"), "digest")).alias("head"))
+    named = placed.join(heads, "component").join(links, "class_id", "left")
+    named = named.select("digest", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"))
+    return all_rows.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "digest", F.coalesce("head.doc_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "head")
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.995, text: str = "text") -> DataFrame:
+    """doc_id, class_id (smallest doc_id of its group of linked documents) and n_links of every row.
+
+    ``n_links`` counts all other rows with a similarity of at least ``threshold``, copies included. Rows with a
+    null doc_id are their own class with a null id unless a row with an id has the same set. Repeated rows are
+    copies of each other. Several texts under one doc_id are judged each on its own.
+    """
+    return _labelled(docs, threshold, recall, text).select("doc_id", "class_id", "n_links")
+
+
+def _with_digest(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with ``_digest``, the digest of their shingle set (null if empty)."""
+    at = docs.columns.index(text)
+    names = [*docs.columns, "_digest"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, raw in text_chunks(batch.column(at)):
+                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets(raw)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(raw)).columns, pa.array(digest, pa.binary())], names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_digest", T.BinaryType())]))
 
 
 def keep_representatives(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The row with the smallest doc_id of each group of linked documents (one row, if that id is repeated)."""
-    heads = jaccard_classes(docs, threshold).where("doc_id = class_id OR doc_id IS NULL").select(F.col("doc_id").alias("_head")).distinct()
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["_head"]), "left_semi").dropDuplicates(["doc_id"])
+    """The row with the smallest doc_id of each group of linked documents, decided per (doc_id, shingle set).
+
+    Of rows with equal doc_id and set one is kept. A row without an id is left out only if another row has its set;
+    of several such rows without any id one is kept. Rows with neither id nor words are all kept.
+    """
+    rows = _labelled(docs, threshold, 0.995, "text")
+    key = lambda i, d: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), F.hex(d))
+    head = F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.digest") == F.col("digest"))
+    left_out = rows.where(F.col("head").isNotNull() & ~head).select(key(F.col("doc_id"), F.col("digest")).alias("_key")).distinct()
+    alone = F.col("doc_id").isNull() & F.col("_digest").isNull()
+    keyed = _with_digest(docs).withColumn("_key", F.when(alone, F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))).otherwise(key(F.col("doc_id").cast("bigint"), F.col("_digest"))))
+    return keyed.join(left_out, "_key", "left_anti").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def op6_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -258,6 +258,17 @@ def test_join_of_a_large_varied_family(spark):
     assert found.sum() >= 0.995 * want.sum()
 
 
+def test_representatives_of_rows_without_or_with_one_id(spark):
+    w = " ".join(f"w{i}" for i in range(40))
+    v = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, "one text without id"), (None, "another text without id"), (None, "another text without id"), (None, w), (None, None), (None, ""), (1, w), (2, w + " x"), (3, v), (3, "a second text of three"), (3, w), (4, v + " y"), (4, v), (5, ""), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in ngram_join.keep_representatives(df).collect()))
+    assert kept == sorted([(0, "one text without id"), (0, "another text without id"), (0, ""), (0, ""), (1, w), (3, v), (3, "a second text of three"), (5, "")])
+    links = {(r.doc_id, r.class_id, r.n_links) for r in ngram_join.jaccard_classes(df).where("doc_id IS NOT NULL").collect()}
+    assert links == {(1, 1, 2), (2, 1, 2), (3, 3, 2), (3, 3, 0), (3, 1, 2), (4, 3, 2), (5, 5, 0)}
+
+
 def test_repeats_against_brute_force(spark):
     random.seed(6)
     words = ["".join(random.choice("abcdé") for _ in range(random.randint(1, 6))) for _ in range(60)]
