@@ -6,6 +6,10 @@ must be hit h = ceil(threshold * n) times has a prefix of its n - h + 1 rarest w
 them cannot reach h (prefix filter). Blocks of fewer than h words are skipped (length filter), and while a
 template's words are counted off in that order the rest must still suffice (positional filter).
 
+Blocks are lines, and notices are often wrapped over several: of a template of n words every stretch of n / threshold
+words that goes over a line end is a block too, unless one of its lines has the template already. Stretches overlap
+by all words but one; only those that hold a word of the template's prefix are looked at.
+
 Two passes over the texts: one counts the templates' words over the corpus, one joins. Templates are a bounded
 side (checked); texts stay where they are, so nothing but counts is shuffled.
 """
@@ -13,8 +17,10 @@ side (checked); texts stay where they are, so nothing but counts is shuffled.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +45,8 @@ TEMPLATES = (
 
 #: Most distinct words of all templates together that are sent to the workers.
 MAX_TEMPLATE_WORDS = 200_000
-#: A block is a line; a longer line is cut into windows of this many words, each starting half a window on.
+#: A longer line is cut into windows of this many words, or of two stretches of the longest template if that is more,
+#: each starting half a window on.
 BLOCK_WORDS = 200
 
 _WORD_BYTES = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -51,9 +58,10 @@ def normal_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").translate(_TO_WORDS)
 
 
-def template_words(templates=TEMPLATES) -> list[tuple[str, tuple[bytes, ...]]]:
-    out = [(label, tuple(sorted(set(normal_bytes(text).split())))) for label, text in templates]
-    if sum(len(w) for _, w in out) > MAX_TEMPLATE_WORDS:
+def template_words(templates=TEMPLATES) -> list[tuple[str, tuple[bytes, ...], int]]:
+    """Label, distinct words and number of words of each template."""
+    out = [(label, tuple(sorted(set(w))), len(w)) for label, w in ((label, normal_bytes(text).split()) for label, text in templates)]
+    if sum(len(w) for _, w, _ in out) > MAX_TEMPLATE_WORDS:
         raise ValueError("too many template words to send to every worker; scan in several calls")
     return [x for x in out if x[1]]
 
@@ -76,10 +84,13 @@ def corpus_counts(docs: DataFrame, words: set[bytes], text: str = "text") -> dic
 class TemplateIndex:
     """Templates with their words rarest first, found by the words of their prefixes."""
 
-    def __init__(self, templates: list[tuple[str, tuple[bytes, ...]]], counts: dict[bytes, int], threshold: float):
+    def __init__(self, templates: list[tuple[str, tuple[bytes, ...], int]], counts: dict[bytes, int], threshold: float):
         self.by_word: dict[bytes, list[tuple[int, int]]] = {}
         self.items = []
-        for k, (label, words) in enumerate(templates):
+        self.stretch = [max(1, math.ceil(n / threshold - 1e-9)) for _, _, n in templates]
+        self.block_words = max([BLOCK_WORDS, *(2 * n for n in self.stretch)])
+        self.word_sets = [frozenset(words) for _, words, _ in templates]
+        for k, (label, words, _) in enumerate(templates):
             ordered = sorted(words, key=lambda w: (counts.get(w, 0), w))
             need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
             self.items.append((label, ordered, need))
@@ -109,17 +120,68 @@ class TemplateIndex:
         return out
 
 
-def blocks_of(data: bytes, wanted: frozenset[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """(first word number, words) of the text's blocks; lines without a wanted word are passed over."""
+    def stretches(self, words: list[bytes], line_ends: list[int], found: set[tuple[int, int]]) -> list[tuple[int, int, float]]:
+        """(first word number, template, containment) of the stretches over line ends that contain a template.
+
+        Of overlapping stretches the first of the fullest ones; ``line_ends`` are the numbers of the words that begin
+        a line behind another, ``found`` the (template, line) that have been found.
+        """
+        if not line_ends:
+            return []
+        places: dict[int, list[int]] = {}
+        for p, w in enumerate(words):
+            for k, _ in self.by_word.get(w, ()):
+                places.setdefault(k, []).append(p)
+        out = []
+        for k, prefix in places.items():
+            size, need, of = self.stretch[k], self.items[k][2], self.word_sets[k]
+            runs: list[list[int]] = []  # words that a stretch with a prefix word can hold
+            for p in prefix:
+                a, b = max(0, p - size + 1), min(len(words), p + size)
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = b
+                else:
+                    runs.append([a, b])
+            for a, b in runs:
+                if bisect_left(line_ends, b) == bisect_right(line_ends, a):
+                    continue
+                at = [p for p in range(a, b) if words[p] in of]
+                held: Counter = Counter()
+                first, best = 0, None
+                for p in at:
+                    held[words[p]] += 1
+                    while at[first] <= p - size:
+                        w = words[at[first]]
+                        held[w] -= 1
+                        if not held[w]:
+                            del held[w]
+                        first += 1
+                    if len(held) < need:
+                        continue
+                    lines = range(bisect_right(line_ends, at[first]), bisect_right(line_ends, p) + 1)
+                    if len(lines) < 2 or any((k, line) in found for line in lines):
+                        continue
+                    if best and at[first] > best[1]:
+                        out.append((best[0], k, best[2] / len(of)))
+                        best = None
+                    if not best or len(held) > best[2]:
+                        best = (at[first], p, len(held))
+                if best:
+                    out.append((best[0], k, best[2] / len(of)))
+        return out
+
+
+def blocks_of(data: bytes, wanted: frozenset[bytes], most: int = BLOCK_WORDS) -> Iterator[tuple[int, list[bytes]]]:
+    """(first word number, words) of the text's lines and windows; lines without a wanted word are passed over."""
     at = 0
     for line in data.split(b"\n"):
         words = line.split()
         if not wanted.isdisjoint(words):
-            if len(words) <= BLOCK_WORDS:
+            if len(words) <= most:
                 yield at, words
             else:
-                for k in range(0, len(words) - BLOCK_WORDS // 2, BLOCK_WORDS // 2):
-                    yield at + k, words[k : k + BLOCK_WORDS]
+                for k in range(0, len(words) - most // 2, most // 2):
+                    yield at + k, words[k : k + most]
         at += len(words)
 
 
@@ -140,39 +202,43 @@ def phrase_places(data: bytes) -> list[tuple[int, str]]:
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, text: str = "text") -> DataFrame:
-    """doc_id, n_words, places array<struct<word,label>>, blocks array<struct<word,label,containment>> of every row.
+    """doc_id, n_words, places array<struct<word,label>>, blocks and wrapped array<struct<word,label,containment>> of every row.
 
+    ``blocks`` are matches of lines and their windows, ``wrapped`` those of stretches over line ends.
     Null text is empty: no words, empty arrays. Rows with equal ids are scanned on their own; ties between
     templates are all reported.
     """
     words = template_words(templates)
-    counts = corpus_counts(docs, {w for _, ws in words for w in ws}, text)
+    counts = corpus_counts(docs, {w for _, ws, _ in words for w in ws}, text)
     index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(words, counts, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         for batch in batches:
-            n, places, blocks = [], [], []
+            n, places, blocks, wrapped = [], [], [], []
             for t in batch.column(1):
                 data = normal_bytes(t.as_py())
                 words = data.split()
                 n.append(len(words))
                 places.append([{"word": w, "label": k} for w, k in phrase_places(data)])
-                found = []
+                hits, over = [], []
                 if not ix.prefix_words.isdisjoint(words):
-                    for at, block in blocks_of(data, ix.prefix_words):
-                        found += [{"word": at, "label": ix.items[k][0], "containment": c} for k, c in ix.matches(set(block))]
-                blocks.append(found)
+                    lines = [len(line.split()) for line in data.split(b"\n")]
+                    line_ends = sorted({e for e in accumulate(lines) if 0 < e < len(words)})
+                    hits = [(at, k, c) for at, block in blocks_of(data, ix.prefix_words, ix.block_words) for k, c in ix.matches(set(block))]
+                    over = ix.stretches(words, line_ends, {(k, bisect_right(line_ends, at)) for at, k, _ in hits})
+                for out, found in ((blocks, hits), (wrapped, over)):
+                    out.append([{"word": at, "label": ix.items[k][0], "containment": c} for at, k, c in found])
             place, block = pa.struct([("word", pa.int64()), ("label", pa.string())]), pa.struct([("word", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(places, pa.list_(place)), pa.array(blocks, pa.list_(block))], ["doc_id", "n_words", "places", "blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(places, pa.list_(place)), pa.array(blocks, pa.list_(block)), pa.array(wrapped, pa.list_(block))], ["doc_id", "n_words", "places", "blocks", "wrapped"])
 
-    schema = "doc_id bigint, n_words bigint, places array<struct<word:bigint,label:string>>, blocks array<struct<word:bigint,label:string,containment:double>>"
+    schema = "doc_id bigint, n_words bigint, places array<struct<word:bigint,label:string>>, blocks array<struct<word:bigint,label:string,containment:double>>, wrapped array<struct<word:bigint,label:string,containment:double>>"
     return docs.select(F.col("doc_id").cast("bigint"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     """License digest of every document: the base phrases, and the labels of the template join."""
-    found = license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("blocks", F.concat("blocks", "wrapped"))
     base = F.array_distinct(F.transform("places", lambda p: p["label"]))
     more = F.array_distinct(F.transform("blocks", lambda p: p["label"]))
     score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0)))

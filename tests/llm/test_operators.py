@@ -171,6 +171,24 @@ def test_license_join_against_containment(spark):
         assert sorted(b.label for b in r.blocks) == want
 
 
+def test_license_notices_on_several_lines(spark):
+    texts, want = [], []
+    for label, notice in license_scan.TEMPLATES:
+        w = notice.split()
+        for width in (3, 7, 12, len(w)):
+            lines = [" ".join(w[k : k + width]) for k in range(0, len(w), width)]
+            texts.append("some words before\n# " + "\n# ".join(lines) + "\nand behind it")
+            want.append((label, 3))
+    long = " ".join(f"l{k}" for k in range(180))
+    texts += ["x " * 90 + long + " y" * 90, "x\n" * 90 + long.replace(" ", "\n"), "the mit\n" + "of it\n" * 40 + "license under released"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.blocks + r.wrapped for r in license_scan.license_scan(df, [*license_scan.TEMPLATES, ("long", long)]).collect()}
+    for i, (label, _) in enumerate(want):
+        assert label in {b.label for b in got[i]}, texts[i]
+    assert [{b.label for b in got[len(want) + k]} for k in range(3)] == [{"long"}, {"long"}, set()]
+    assert all(b.containment <= 1 for bs in got.values() for b in bs)
+
+
 def test_license_phrases(spark):
     df = spark.createDataFrame([(1, "CC-BY cc by\ngeneral PUBLIC\nLicense all rights reserved"), (2, None)], "doc_id bigint, text string")
     r = {x.doc_id: x for x in license_scan.license_scan(df).collect()}
