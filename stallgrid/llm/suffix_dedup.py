@@ -6,19 +6,26 @@ Every window of ``length`` bytes has a minimizer: its leftmost k-gram with the s
 with one minimizer form a piece. Equal windows have equal minimizers, so pieces can be dealt out by minimizer,
 and each task sees all places of its windows. Steps:
 
-1. The minimizers of all documents, in packed arrays dealt by hash range: those found in one document only drop
-   out. What is left goes back to the documents' groups.
+1. The minimizers of all documents meet in hash ranges: those found in one document only drop out. What is left
+   goes back to the documents' groups. A minimizer that one scan step saw in several documents is known to be
+   repeated at once; of these documents only two are sent to its range.
 2. Each group of documents sends its pieces with a repeated minimizer to the minimizer's range. Exact copies of
    whole documents drop out first: all of a copy goes, and its strings are in the smallest doc_id of the copies.
+   Of equal pieces in a group only the smallest document's is sent, the others are marked at once. So a passage
+   that stands in a third of all documents sends one piece a group.
 3. In a range, equal pieces meet: the smallest document owns them, in all others they are removed. Different
-   pieces around one minimizer may still share windows. A shared window holds length - k bytes besides the k-gram,
-   half of them on one side, so pieces are grouped by the k-gram with that half before it, then with that half
-   behind it. The smallest document's piece of each group goes into a run-length index (run_length_index.py); the
-   others stream their matching statistics against it and mark matches of ``length`` bytes. Windows that are
-   shared by later pieces only are found among the unmarked rest, by exact comparison of whole windows.
+   pieces around one minimizer may still share windows, and these are found by a run-length index
+   (run_length_index.py) and matching statistics. A shared window holds length - k bytes besides the k-gram,
+   half of them on one side; windows with the half in front are compared among the pieces with equal bytes there,
+   the others among those with equal bytes behind. The documents of such a family are split into the smaller half
+   and the larger half by doc_id; one index holds the smaller halves of all families, the larger halves stream
+   their matching statistics against it, and what matches over ``length`` bytes is marked. Both halves go on as
+   families of their own, the larger one without what was marked, until one document is left in each. So every
+   window is compared with all smaller documents, in as many rounds as the largest family can be halved.
 4. Marked stretches return to their documents, which cut them out.
 
-Text is shuffled once, by document group; steps 2 and 4 use the same shuffle.
+Text is shuffled once, by document group; steps 2 and 4 use the same shuffle. Groups and ranges are of a size in
+bytes, whatever the number of shuffle partitions.
 """
 
 from __future__ import annotations
@@ -36,6 +43,8 @@ from .common import PrefixHash, checkpointed, text_chunks
 from .run_length_index import RunLengthIndex
 
 K = 24
+#: Text of a document group and of a hash range, in bytes.
+GROUP_BYTES, RANGE_BYTES = 6_000_000, 4_000_000
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -94,7 +103,7 @@ def pieces_of(texts: list[bytes], length: int, k: int = K):
 
 
 def _range_of(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+    return ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
 
 def _splits(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -106,217 +115,234 @@ def _splits(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(keys[part[0]]), part
 
 
-def _group_of(ids: np.ndarray, n: int) -> np.ndarray:
-    """pmod(hash(doc_id), n) as Spark's 32-bit Murmur3 gives it."""
-    x = ids.astype(np.int64).view(np.uint64)
-    h = np.full(len(x), 42, np.uint32)
-    for part in ((x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)):
-        k = part * np.uint32(0xCC9E2D51)
-        k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
-        h ^= k
-        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
-    h ^= np.uint32(8)
-    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
-        h ^= h >> np.uint32(shift)
-        h *= np.uint32(factor)
-    return h.view(np.int32).astype(np.int64) % n
+def _joined(rows: pd.Series, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), kind)
+
+
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Of sorted keys: True where a combination is there for the first time."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return new
+
+
+# ---- step 1 ----
 
 
 def _send_minimizers(length: int, n: int):
-    """Step 1, at the scan: per range one row of distinct (hash, doc_id)."""
+    """At the scan: minimizers (h, d, gs) for the ranges; (g, h) for the groups of documents that share one here.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held):
-            h, d = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = [(key, h[p].tobytes(), d[p].tobytes()) for key, p in _splits(_range_of(h, n))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "h", "d"])
+    The latter only pass through a range, which is chosen by the group.
+    """
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        h, d, g = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((d, h))
+        h, d, g = h[order], d[order], g[order]
+        keep = _firsts(h, d)
+        h, d, g = h[keep], d[keep], g[keep]
+        at = np.flatnonzero(_firsts(h))
+        count = np.diff(np.append(at, len(h)))
+        nth = np.arange(len(h)) - np.repeat(at, count)
+        rows: list[tuple] = []
+        some = np.flatnonzero(nth < 2)
+        for part, p in _splits(_range_of(h[some], n)):
+            rows.append((part, None, h[some[p]].tobytes(), d[some[p]].tobytes(), g[some[p]].tobytes()))
+        many = np.flatnonzero(np.repeat(count, count) > 1)
+        for group, p in _splits(g[many]):
+            rows.append((group % n, group, np.unique(h[many[p]]).tobytes(), None, None))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "g", "h", "d", "gs"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, groups = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 2))
             for first, raw in text_chunks(batch.column(1)):
                 doc, _, _, _, h = pieces_of(raw, length)
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                held.append((h[new], ids[first + doc[new]]))
-                size += int(new.sum())
+                held.append((h, ids[first + doc], groups[first + doc]))
+                size += len(h)
                 if size > 600_000:
                     yield from flush(held)
                     held, size = [], 0
-        if held:
+        if size:
             yield from flush(held)
 
     return run
 
 
-def _find_repeated(n: int):
-    """Step 1, in a range: the minimizers of two documents or more, per document group."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in rows["h"]])
-        d = np.concatenate([np.frombuffer(x, np.int64) for x in rows["d"]])
+def _find_repeated(rows: pd.DataFrame) -> pd.DataFrame:
+    """In a range: the minimizers of two documents or more, per document group."""
+    ready, own = rows[rows["g"].notna()], rows[rows["g"].isna()]
+    out = list(zip(ready["g"].astype("int64"), ready["h"], strict=True))
+    if len(own):
+        h, d, g = _joined(own["h"], np.uint64), _joined(own["d"], np.int64), _joined(own["gs"], np.int64)
         order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        start = np.ones(len(h), bool)
-        start[1:] = h[1:] != h[:-1]
-        other = start.copy()
-        other[1:] |= d[1:] != d[:-1]
-        many = np.add.reduceat(other, np.flatnonzero(start)) > 1
-        keep = many[np.cumsum(start) - 1] & other
-        h, d = h[keep], d[keep]
-        out = [(g, h[p].tobytes(), d[p].tobytes()) for g, p in _splits(_group_of(d, n))]
-        return pd.DataFrame(out, columns=["g", "h", "d"])
+        h, d, g = h[order], d[order], g[order]
+        at = np.flatnonzero(_firsts(h))
+        many = np.repeat(np.add.reduceat(_firsts(h, d).astype(np.int64), at) > 1, np.diff(np.append(at, len(h))))
+        out += [(group, np.unique(h[many][p]).tobytes()) for group, p in _splits(g[many])]
+    return pd.DataFrame(out, columns=["g", "h"])
 
-    return run
 
+# ---- step 2 ----
 
-def _send_pieces(length: int, n: int, width: int):
-    """Step 2: the pieces of a document group with a repeated minimizer, per range."""
 
-    def run(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+def _send_pieces(length: int, n: int):
+    """The pieces of a document group with a repeated minimizer, per range; stretches (r, s, e) marked already."""
+
+    def run(key: tuple, docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
+        columns = ["part", "g", "n", "body", "r", "s", "e"]
         copies = set(known["copy"].dropna().map(int))
         some = known[known["h"].notna()]
-        if len(some) and len(docs):
-            rh = np.concatenate([np.frombuffer(x, np.uint64) for x in some["h"]])
-            rd = np.concatenate([np.frombuffer(x, np.int64) for x in some["d"]])
-            wanted = np.sort(rh ^ (rd.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            ids, texts = docs["doc_id"].to_numpy(np.int64), docs["text"].to_list()
-            pick = [i for i in range(len(ids)) if int(ids[i]) not in copies]
-            held: list[list[np.ndarray]] = []
-            data: list[bytes] = []
-            step: list[int] = []
-            size = 0
-            for j, i in enumerate(pick):
-                step.append(i)
-                size += len(texts[i] or "")
-                if size < 1_000_000 and j + 1 < len(pick):
-                    continue
-                raw = [(texts[x] or "").encode("utf-8", "replace") for x in step]
-                doc, place, first, last, h = pieces_of(raw, length)
-                own = ids[np.array(step)]
-                key = h ^ (own[doc].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-                ok = np.flatnonzero(wanted[at] == key)
-                held.append([h[ok], own[doc[ok]], first[ok], (last[ok] + length - first[ok]).astype(np.int64), place[ok] - first[ok]])
-                data += [raw[a][b : b + c] for a, b, c in zip(doc[ok].tolist(), first[ok].tolist(), held[-1][3].tolist(), strict=True)]
-                step, size = [], 0
-            if not held:
-                return pd.DataFrame(out, columns=["part", "n", "body"])
-            h, own, first, lens, off = (np.concatenate(x) for x in zip(*held, strict=True))
-            packer = zstandard.ZstdCompressor(level=1)
-            for part, p in _splits(_range_of(h, n)):
-                body = own[p].tobytes() + first[p].astype(np.int64).tobytes() + lens[p].astype(np.int64).tobytes() + off[p].astype(np.int64).tobytes() + b"".join([data[i] for i in p.tolist()])
-                out.append((part, len(p), packer.compress(body)))
-        return pd.DataFrame(out, columns=["part", "n", "body"])
+        if not len(some) or not len(docs):
+            return pd.DataFrame(out, columns=columns)
+        group, wanted = int(key[0]), np.unique(_joined(some["h"], np.uint64))
+        ids, rows, texts = docs["doc_id"].to_numpy(np.int64), docs["_r"].to_numpy(np.int64), docs["text"].to_list()
+        pick = [i for i in range(len(ids)) if int(rows[i]) not in copies]
+        held: list[list[np.ndarray]] = []
+        data: list[bytes] = []
+        step: list[int] = []
+        size = 0
+        for j, i in enumerate(pick):
+            step.append(i)
+            size += len(texts[i] or "")
+            if size < 1_000_000 and j + 1 < len(pick):
+                continue
+            raw = [(texts[x] or "").encode("utf-8", "replace") for x in step]
+            doc, place, first, last, h = pieces_of(raw, length)
+            ok = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h)
+            who = np.array(step)[doc[ok]]
+            held.append([h[ok], ids[who], rows[who], first[ok], last[ok] + length - first[ok], place[ok] - first[ok]])
+            data += [raw[a][b : b + c] for a, b, c in zip(doc[ok].tolist(), first[ok].tolist(), held[-1][4].tolist(), strict=True)]
+            step, size = [], 0
+        if not data:
+            return pd.DataFrame(out, columns=columns)
+        h, d, r, first, lens, off = (np.concatenate(x) for x in zip(*held, strict=True))
+        # Of equal pieces the smallest document's goes on; in larger documents all of such a piece is marked.
+        least: dict[bytes, int] = {}
+        for i in np.argsort(d, kind="stable").tolist():
+            least.setdefault(data[i], int(d[i]))
+        over = d > np.fromiter((least[x] for x in data), np.int64, len(data))
+        if over.any():
+            spans = merged(r[over], first[over], first[over] + lens[over])
+            out.append((group % n, group, 0, None, *(x.tobytes() for x in spans)))
+        packer, left = zstandard.ZstdCompressor(level=1), np.flatnonzero(~over)
+        for part, p in _splits(_range_of(h[left], n)):
+            p = left[p]
+            body = b"".join(c[p].astype(np.int64).tobytes() for c in (d, r, first, lens, off)) + b"".join([data[i] for i in p.tolist()])
+            out.append((part, group, len(p), packer.compress(body), None, None, None))
+        return pd.DataFrame(out, columns=columns)
 
     return run
 
 
-def _mark_by_index(data, starts, lens, offs, docs, half_key, half_ok, length, marks):
-    """One pass of step 3: pieces grouped by ``half_key``; the smallest document's is indexed, the others stream."""
-    who = np.flatnonzero(half_ok)
-    if len(who) < 2:
-        return
-    order = who[np.lexsort((docs[who], half_key[who]))]
-    key = half_key[order]
-    new = np.ones(len(order), bool)
-    new[1:] = key[1:] != key[:-1]
-    group = np.cumsum(new) - 1
-    shared = np.bincount(group)[group] > 1
-    head = docs[order[np.flatnonzero(new)]][group]
-    indexed, queries = order[new & shared], order[~new & (docs[order] > head)]
-    if not len(indexed) or not len(queries):
-        return
-    index = RunLengthIndex(data, starts[indexed], lens[indexed])
-    for q, off, pos, held in index.matching_statistics(data, starts[queries], lens[queries]):
-        hit = np.flatnonzero(held >= length)
-        if len(hit):
-            piece = np.searchsorted(index.piece_start, pos[hit], side="right") - 1
-            smaller = docs[indexed[piece]] < docs[queries[q[hit]]]
-            hit = hit[smaller]
-            marks[starts[queries[q[hit]]] + off[hit]] = True
-
-
-def _find_marks(length: int, n: int, k: int = K):
-    """Step 3, in a range: the stretches of each document to remove."""
+# ---- step 3 ----
+
+
+def _numbered(keys: list[bytes]) -> np.ndarray:
+    """The number of each key among the distinct ones, by first appearance."""
+    seen: dict[bytes, int] = {}
+    return np.fromiter((seen.setdefault(k, len(seen)) for k in keys), np.int64, len(keys))
+
+
+def _halved(data: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray, family: np.ndarray, length: int, marks: np.ndarray) -> None:
+    """Mark in ``marks``, by first byte, the windows of data[start : start + size] that a smaller doc of the family has."""
+    while True:
+        order = np.lexsort((doc, family))
+        start, size, doc, family = start[order], size[order], doc[order], family[order]
+        fresh = _firsts(family)
+        number = np.cumsum(fresh) - 1
+        rank = np.cumsum(_firsts(family, doc))
+        rank -= rank[np.flatnonzero(fresh)][number]
+        n_docs = np.zeros(number[-1] + 1 if len(number) else 0, np.int64)
+        np.maximum.at(n_docs, number, rank + 1)
+        go = n_docs[number] > 1
+        if not go.any():
+            return
+        upper = (rank >= (n_docs[number] + 1) // 2) & go
+        lower = go & ~upper
+        index = RunLengthIndex(data, start[lower], size[lower], cap=length)
+        for who, at, _, held in index.matching_statistics(data, start[upper], size[upper]):
+            hit = held >= length
+            marks[start[upper][who[hit]] + at[hit]] = True
+        # What is left of the larger half: runs of windows that were not marked.
+        n_windows = size[upper] - length + 1
+        owner = np.repeat(np.flatnonzero(upper), n_windows)
+        place = np.repeat(start[upper] - (np.cumsum(n_windows) - n_windows), n_windows) + np.arange(int(n_windows.sum()))
+        free = ~marks[place]
+        edge = _firsts(owner) if len(owner) else np.zeros(0, bool)
+        first = np.flatnonzero(free & (edge | ~np.concatenate([[False], free[:-1]])))
+        last = np.flatnonzero(free & np.concatenate([edge[1:] | ~free[1:], [True]]))
+        start, size, doc, family = (
+            np.concatenate([start[lower], place[first]]), np.concatenate([size[lower], place[last] - place[first] + length]),
+            np.concatenate([doc[lower], doc[owner[first]]]), np.concatenate([2 * number[lower], 2 * number[owner[first]] + 1]),
+        )
+
+
+def repeated_windows(pieces: list[bytes], docs: np.ndarray, offs: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, offset) of every window of different pieces that a piece of a smaller document has too.
+
+    ``offs`` are the places of the pieces' minimizers. Every match is found by the run-length index.
+    """
+    lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    start = np.cumsum(lens) - lens
+    data, half = np.frombuffer(b"".join(pieces), np.uint8), (length - k + 1) // 2
+    marks = np.zeros(len(data), bool)
+    places = offs.tolist()
+    # Windows with half of the context before the minimizer, and those with more of it behind.
+    low, high = np.maximum(0, offs - half + 1), np.minimum(lens, offs - half + length)
+    who = np.flatnonzero(offs >= half)
+    _halved(data, start[who], high[who], docs[who], _numbered([pieces[i][places[i] - half : places[i] + k] for i in who.tolist()]), length, marks)
+    who = np.flatnonzero(lens - low >= length)
+    _halved(data, start[who] + low[who], lens[who] - low[who], docs[who], _numbered([pieces[i][places[i] : places[i] + k + half] for i in who.tolist()]), length, marks)
+    hit = np.flatnonzero(marks)
+    piece = np.searchsorted(start, hit, side="right") - 1
+    return piece, hit - start[piece]
+
+
+def _find_marks(length: int):
+    """In a range: the stretches of each row to remove, per document group."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ready, own = rows[rows["body"].isna()], rows[rows["body"].notna()]
+        out = list(zip(ready["g"], ready["r"], ready["s"], ready["e"], strict=True))
+        if not len(own):
+            return pd.DataFrame(out, columns=["g", "r", "s", "e"])
         unpack = zstandard.ZstdDecompressor()
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
-        for m, body in zip(rows["n"], rows["body"], strict=True):
+        texts: list[bytes] = []
+        for m, body in zip(own["n"], own["body"], strict=True):
             raw = unpack.decompress(body)
-            for j in range(4):
+            for j in range(5):
                 cols[j].append(np.frombuffer(raw, np.int64, m, 8 * m * j))
-            cols[4].append(np.frombuffer(raw, np.uint8, offset=32 * m))
-        docs, first, lens, offs, data = (np.concatenate(c) for c in cols)
-        starts = np.cumsum(lens) - lens
-        # Equal pieces: the smallest document owns them, in the others all of it goes.
-        prefix = PrefixHash(data)
-        same = prefix.of(starts, starts + lens) + offs.astype(np.uint64)
-        order = np.lexsort((docs, same))
-        new = np.ones(len(order), bool)
-        new[1:] = same[order][1:] != same[order][:-1]
-        owner = np.empty(len(order), np.int64)
-        owner[order] = docs[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
-        whole = docs > owner
-        # One piece for each distinct text goes on: the smallest document's.
-        rep = order[new]
-        half = (length - k + 1) // 2
-        marks = np.zeros(len(data), bool)  # windows of representative pieces to remove, by first byte
-        a, b = starts[rep] + offs[rep], starts[rep] + offs[rep] + k
-        left_ok, right_ok = offs[rep] >= half, lens[rep] - offs[rep] - k >= half
-        for low, high, ok in ((np.maximum(a - half, 0), b, left_ok), (a, np.minimum(b + half, len(data)), right_ok)):
-            _mark_by_index(data, starts[rep], lens[rep], offs[rep], docs[rep], prefix.of(low, high), ok, length, marks)
-        # The unmarked rest: windows that only later pieces share.
-        gram = prefix.of(a, b)
-        counts = np.unique(gram, return_inverse=True, return_counts=True)
-        alone = counts[2][counts[1]] < 2
-        inner = np.where(alone, 0, lens[rep] - length + 1)
-        window = np.repeat(starts[rep] - (np.cumsum(inner) - inner), inner) + np.arange(int(inner.sum()))
-        doc = np.repeat(docs[rep], inner)
-        value = prefix.of(window, window + length)
-        order = np.lexsort((doc, value))
-        v, d = value[order], doc[order]
-        begin = np.ones(len(v), bool)
-        begin[1:] = v[1:] != v[:-1]
-        least = d[np.flatnonzero(begin)][np.cumsum(begin) - 1] if len(v) else d
-        marks[window[order[d > least]]] = True
-        # Stretches: whole pieces, and runs of marked windows.
-        spans = [(docs[whole], first[whole], first[whole] + lens[whole])]
-        hit = np.flatnonzero(marks)
-        if len(hit):
-            piece = order_of_place(hit, starts)
-            at = first[piece] + hit - starts[piece]
-            spans.append((docs[piece], at, at + length))
-            # Other rows of the same document with the same piece go as their representative does.
-            tag = np.full(len(docs), -1, np.int64)
-            order = np.lexsort((docs, same))
-            tag[order] = rep[np.cumsum(new) - 1]
-            again = np.flatnonzero((tag != np.arange(len(docs))) & ~whole)
-            if len(again):
-                by = np.argsort(piece, kind="stable")
-                left, right = np.searchsorted(piece[by], tag[again]), np.searchsorted(piece[by], tag[again], side="right")
-                times = right - left
-                pick = by[np.repeat(left - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
-                row = np.repeat(again, times)
-                at = first[row] + hit[pick] - starts[piece[pick]]
-                spans.append((docs[row], at, at + length))
-        d, s, e = (np.concatenate(x) for x in zip(*spans, strict=True))
-        d, s, e = merged(d, s, e)
-        out = [(g, d[p].tobytes(), s[p].tobytes(), e[p].tobytes()) for g, p in _splits(_group_of(d, n))]
-        return pd.DataFrame(out, columns=["g", "d", "s", "e"])
+            end = 40 * m + np.cumsum(cols[3][-1])
+            texts += [raw[a:b] for a, b in zip((end - cols[3][-1]).tolist(), end.tolist(), strict=True)]
+        g = np.repeat(own["g"].to_numpy(np.int64), own["n"].to_numpy(np.int64))
+        docs, row, first, lens, offs = (np.concatenate(c) for c in cols)
+        # Equal pieces are one: the smallest document owns it, in the others all of it goes.
+        piece = _numbered(texts)
+        order = np.lexsort((docs, piece))
+        head = order[_firsts(piece[order])]
+        whole = docs > docs[head][piece]
+        where, at = repeated_windows([texts[i] for i in head.tolist()], docs[head], offs[head], length)
+        # A window of a piece goes in every place where its owner has the piece.
+        keep = np.flatnonzero(~whole)
+        keep = keep[np.argsort(piece[keep], kind="stable")]
+        low, high = np.searchsorted(piece[keep], where), np.searchsorted(piece[keep], where, side="right")
+        times = high - low
+        to = keep[np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+        begin = first[to] + np.repeat(at, times)
+        group = np.concatenate([g[whole], g[to]])
+        spans = np.concatenate([row[whole], row[to]]), np.concatenate([first[whole], begin]), np.concatenate([(first + lens)[whole], begin + length])
+        for one, p in _splits(group):
+            out.append((one, *(x.tobytes() for x in merged(*(x[p] for x in spans)))))
+        return pd.DataFrame(out, columns=["g", "r", "s", "e"])
 
     return run
 
 
-def order_of_place(places: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.searchsorted(starts, places, side="right") - 1
-
-
 def merged(d: np.ndarray, s: np.ndarray, e: np.ndarray):
     """Unions of the stretches [s, e) of each document; touching ones are one."""
     if not len(d):
@@ -332,23 +358,23 @@ def merged(d: np.ndarray, s: np.ndarray, e: np.ndarray):
     return d[at], s[at], reach[np.concatenate([at[1:] - 1, [len(d) - 1]])]
 
 
+# ---- step 4 ----
+
+
 def _cut(columns: list[str], length: int):
-    """Step 4: documents with their spans and what is left."""
+    """Documents with their spans and what is left."""
 
     def run(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        some = known[known["d"].notna()]
+        some = known[known["r"].notna()]
         copies = set(known["copy"].dropna().map(int))
         spans: dict[int, list[tuple[int, int]]] = {}
         if len(some):
-            d, s, e = merged(*(np.concatenate([np.frombuffer(x, np.int64) for x in some[c]]) for c in ("d", "s", "e")))
-            for a, b, c in zip(d.tolist(), s.tolist(), e.tolist(), strict=True):
+            for a, b, c in zip(*(x.tolist() for x in merged(*(_joined(some[c], np.int64) for c in ("r", "s", "e")))), strict=True):
                 spans.setdefault(a, []).append((b, c))
         kept, out, sizes = [], [], []
-        for i, t in zip(docs["doc_id"], docs["text"], strict=True):
+        for i, t in zip(docs["_r"], docs["text"], strict=True):
             raw = (t or "").encode("utf-8", "replace")
-            mine = spans.get(int(i), [])
-            if int(i) in copies and len(raw) >= length:
-                mine = [(0, len(raw))]
+            mine = [(0, len(raw))] if int(i) in copies and len(raw) >= length else spans.get(int(i), [])
             at, parts = 0, []
             for b, c in mine:
                 parts.append(raw[at:b])
@@ -367,29 +393,32 @@ def mark_repeats(docs: DataFrame, length: int = 50, parts: int | None = None) ->
     A stretch may begin or end inside a character; kept_text leaves out the bytes of such torn characters.
 
     Null text is empty. Rows with a null doc_id keep everything and count for nobody. Rows with one doc_id are
-    judged as one document's text each. Texts under ``length`` bytes are untouched. ``parts`` is the number of
-    hash ranges, by default four times spark.sql.shuffle.partitions; there are a fourth as many document groups.
+    judged as one document's text each, so repeated rows stay. Texts under ``length`` bytes are untouched.
+    ``parts`` is the number of hash ranges and of document groups, by default one for ``RANGE_BYTES`` and for
+    ``GROUP_BYTES`` of text, and two for each core at least.
     """
     spark = docs.sparkSession
-    n = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_groups = max(1, n // 4)  # what goes between ranges and groups is one row for each pair that meets
-    columns = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept", "kept_text", "_g")]
+    columns = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept", "kept_text", "_g", "_r")]
     src = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("text", F.col("text").cast("string"))
-    sure = src.where("doc_id IS NOT NULL")
+    # A row is named by its id and text.
+    sure = src.where("doc_id IS NOT NULL").withColumn("_r", F.xxhash64("doc_id", "text"))
 
     # 128-bit digests stand for whole texts; texts under the length are never removed.
-    digests = sure.where(F.octet_length("text") >= length).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    g = F.pmod(F.hash("doc_id").cast("bigint"), F.lit(n_groups))
-    copies = checkpointed(digests.join(first, "digest").where("doc_id > first").select(g.alias("g"), F.col("doc_id").cast("string").alias("copy")))
-    send = sure.select("doc_id", "text").mapInArrow(_send_minimizers(length, n), "part bigint, h binary, d binary")
-    known = send.groupBy("part").applyInPandas(_find_repeated(n_groups), "g bigint, h binary, d binary")
-    nothing = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
-    known = known.withColumn("copy", F.lit(None).cast("string")).unionByName(copies.select("g", *nothing("h", "d"), "copy"))
+    digests = sure.where(F.octet_length("text") >= length).select("doc_id", "_r", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+    first = checkpointed(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
+    total, least = sure.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 2 * spark.sparkContext.defaultParallelism
+    n, n_groups = (parts or max(least, -(-total // x)) for x in (RANGE_BYTES, GROUP_BYTES))
+
+    g = F.pmod(F.xxhash64("doc_id"), F.lit(n_groups))
+    copies = checkpointed(digests.join(first, "digest").where("doc_id > first").select(g.alias("g"), F.col("_r").cast("string").alias("copy")))
     grouped = sure.withColumn("_g", g)
-    pieces = grouped.groupBy("_g").cogroup(known.groupBy("g")).applyInPandas(_send_pieces(length, n, K), "part bigint, n bigint, body binary")
-    marks = pieces.groupBy("part").applyInPandas(_find_marks(length, n_groups), "g bigint, d binary, s binary, e binary")
-    marks = marks.withColumn("copy", F.lit(None).cast("string")).unionByName(copies.select("g", *nothing("d", "s", "e"), "copy"))
+    send = grouped.select("doc_id", "text", "_g").mapInArrow(_send_minimizers(length, n), "part bigint, g bigint, h binary, d binary, gs binary")
+    known = send.groupBy("part").applyInPandas(_find_repeated, "g bigint, h binary")
+    nothing = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
+    known = known.withColumn("copy", F.lit(None).cast("string")).unionByName(copies.select("g", *nothing("h"), "copy"))
+    pieces = grouped.groupBy("_g").cogroup(known.groupBy("g")).applyInPandas(_send_pieces(length, n), "part bigint, g bigint, n bigint, body binary, r binary, s binary, e binary")
+    marks = pieces.groupBy("part").applyInPandas(_find_marks(length), "g bigint, r binary, s binary, e binary")
+    marks = marks.withColumn("copy", F.lit(None).cast("string")).unionByName(copies.select("g", *nothing("r", "s", "e"), "copy"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema) + ", n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_text string"
     cut = grouped.groupBy("_g").cogroup(marks.groupBy("g")).applyInPandas(_cut(columns, length), schema)
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
