@@ -3,18 +3,18 @@
 1. Texts are encoded and cut: documents longer than a sequence give full pieces and one rest.
 2. The pieces are dealt over partitions by hash; each runs best-fit decreasing. Dual feasible functions give a
    lower bound on the sequences that any packing of the partition's pieces needs.
-3. A partition that meets its bound is certified and final. The others keep their full sequences and put the
-   pieces of the rest into an exchange: partitions with gaps are merged by threes and rerun best-fit decreasing,
-   round after round, until all are certified or one group is left.
+3. A partition that meets its bound is certified and final. The others keep their full sequences and exchange the
+   pieces of the rest: these are dealt out anew over as many partitions as they need and rerun best-fit decreasing,
+   round after round, until all are certified, one partition is left, or a round saved no sequence.
 
-A group is bounded: the first round has about ``group_pieces`` pieces in each, and what is exchanged are only
-the pieces of sequences with room left.
+In every round a partition has about ``group_pieces`` pieces, whatever their number and lengths.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,12 @@ from pyspark.sql import functions as F
 from .common import FREE, checkpointed
 
 #: Words kept by a worker process, and the longest that is kept; both bound memory only, not results.
-CACHE_WORDS, CACHE_CHARS = 450_000, 40
+CACHE_WORDS, CACHE_CHARS = 500_000, 40
+#: Words that the tokenizer gets at once, and what stands between them.
+BATCH_WORDS, MARK = 400, "~"
+#: Marks that end a word without changing the ids before them, and the letters behind which they do so: up to U+024F
+#: a letter is one whatever the normaliser does, unless lower-casing gives it a mark.
+_TAILS, _LETTERS = frozenset(".,;:!?"), frozenset(c for c in map(chr, range(0x250)) if c.lower().isalpha())
 SEQUENCE = 2048
 _ENCODERS: dict[str, _Encoder] = {}
 FREE.append(_ENCODERS.clear)
@@ -37,39 +42,63 @@ class _Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-        self.long: list[str] = []
-
-    def learn(self, words: set[str]) -> None:
-        """Encode words that are not known yet. A letter word with a mark behind it is two tokens' worth of words."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {"": b""}, [w for w in words if w]
-        # Up to U+024F a letter is one whatever the normaliser does, unless lower-casing gives it a mark.
-        marked = [w for w in new if w[-1] in ".,;:!?" and w[-2:-1] < "\u0250" and w[-2:-1].lower().isalpha()]
-        cores = {w[:-1] for w in marked} | {w[-1] for w in marked} | set(new).difference(marked)
-        self._encode_all([w for w in cores if w not in self.known])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {"": b""}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Encode words that are not known yet; returns those that are too long to be kept.
+
+        A letter word with a mark behind it has the ids of both; case does not count in ASCII words.
+        """
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > CACHE_WORDS:
+            known, new = {"": b""}, [w for w in words if w]
+            self.known = known
+        marked = [w for w in new if w[-1] in _TAILS and w[-2:-1] in _LETTERS]
+        whole = [w for w in new if not (w[-1] in _TAILS and w[-2:-1] in _LETTERS)]
+        cores = dict.fromkeys(whole) | dict.fromkeys([w[:-1] for w in marked])
+        folded = {w: w.lower() for w in cores if w not in known and w.isascii() and w.isalpha()}
+        known.update(self._encoded([w for w in set(folded.values()).union(w for w in cores if w not in folded) if w not in known]))
+        for w, x in folded.items():
+            known[w] = known[x]
         for w in marked:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
-            if len(w) > CACHE_CHARS:
-                self.long.append(w)
-
-    def _encode_all(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-            if len(w) > CACHE_CHARS:
-                self.long.append(w)
+            known[w] = known[w[:-1]] + self.tails[w[-1]]
+        return [w for x in (whole, marked, folded.values(), cores) for w in x if len(w) > CACHE_CHARS]
+
+    @cached_property
+    def tails(self) -> dict[str, bytes]:
+        return {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in _TAILS}
+
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Many words go as one text, with a mark between them that is one token by itself and in no other word."""
+        plain = [w for w in words if MARK not in w]
+        batches = [plain[k : k + BATCH_WORDS] for k in range(0, len(plain), BATCH_WORDS)]
+        alone, out = [w for w in words if MARK in w], {}
+        joined = self.tokenizer.encode_batch_fast([f" {MARK} ".join(b) for b in batches], add_special_tokens=False)
+        for batch, e in zip(batches, joined, strict=True):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(ids == self.mark) if self.mark is not None else ids[:0]
+            if len(cut) != len(batch) - 1:
+                alone += batch
+                continue
+            raw, ends = ids.tobytes(), (4 * cut).tolist()
+            out.update((w, raw[x:y]) for w, x, y in zip(batch, [0, *(c + 4 for c in ends)], [*ends, len(raw)], strict=True))
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            out[w] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*words))
+        long = self.learn(set().union(*words))
         get = self.known.__getitem__
         for w in words:
             yield b"".join(map(get, w))
-        for w in self.long:
+        for w in long:
             self.known.pop(w, None)
-        self.long = []
 
 
 def _encoder(path: str | None) -> _Encoder:
@@ -159,14 +188,15 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE, group_pieces: int = 20_000, max_rounds: int = 12) -> DataFrame:
     """``pieces`` with sequence_id, offset and certified; ``length`` must be from 1 to ``capacity``.
 
-    ``certified`` says that the group in which a piece was packed last met its lower bound.
+    ``certified`` says that the group in which a piece was packed last met its lower bound. Rows with equal or null
+    ids are pieces of their own. ``max_rounds`` bounds the exchanges; every piece is packed after each of them.
     """
     pieces = checkpointed(pieces)
     n_groups = max(1, -(-pieces.count() // group_pieces))
     columns = pieces.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint, certified boolean, final boolean, group bigint"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id bigint, offset bigint, certified boolean, final boolean"
 
-    def pack(round_no: int, last: bool):
+    def pack(round_no: int):
         def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             lengths = rows["length"].to_numpy(np.int64)
             bins, offsets, n = best_fit_decreasing(lengths, capacity)
@@ -175,24 +205,26 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE, group_pieces: int =
             rows = rows.assign(
                 # Round, group and bin make the number: unique without any coordination.
                 sequence_id=(np.int64(round_no) << np.int64(58)) + (np.int64(key[0]) << np.int64(28)) + bins,
-                offset=offsets, certified=n == bound, final=full | (n == bound) | last, group=key[0],
+                offset=offsets, certified=n == bound, final=full | (n == bound),
             )
-            return rows[[*columns, "sequence_id", "offset", "certified", "final", "group"]]
+            return rows[[*columns, "sequence_id", "offset", "certified", "final"]]
 
         return run
 
-    todo = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_groups)))
-    done = None
+    todo, done, before = pieces, None, None
     for round_no in range(max_rounds):
-        last = n_groups == 1 or round_no + 1 == max_rounds
-        packed = checkpointed(todo.groupBy("group").applyInPandas(pack(round_no, last), schema))
-        final = packed.where("final")
-        done = final if done is None else done.unionByName(final)
-        if last or packed.where("NOT final").isEmpty():
+        # The row number is stable, since the rows come from a checkpoint; it spreads rows with equal ids.
+        group = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(round_no)), F.lit(n_groups))
+        packed = checkpointed(todo.withColumn("group", group).groupBy("group").applyInPandas(pack(round_no), schema))
+        sequences, opened, left = packed.agg(*(F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)) for c in (F.col("offset") == 0, (F.col("offset") == 0) & ~F.col("final"), ~F.col("final")))).first()
+        last = not left or n_groups == 1 or round_no + 1 == max_rounds or (before is not None and sequences >= before)
+        part = packed if last else packed.where("final")
+        done = part if done is None else done.unionByName(part)
+        if last:
             break
-        n_groups = -(-n_groups // 3)
-        todo = packed.where("NOT final").select(*columns, F.floor(F.col("group") / 3).cast("bigint").alias("group"))
-    return done.drop("final", "group")
+        before, n_groups = opened, -(-left // group_pieces)
+        todo = packed.where("NOT final").select(*columns)
+    return done.drop("final")
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:
