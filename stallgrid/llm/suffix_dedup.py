@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import PrefixHash, checkpointed, text_chunks
@@ -126,41 +126,63 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _group_of(ids: np.ndarray, n_groups: int) -> np.ndarray:
+    """The document group of each id; ``group_column`` says the same to Spark."""
+    return (ids ^ (ids.view(np.uint64) >> np.uint64(17)).view(np.int64)) % n_groups
+
+
+def group_column(n_groups: int) -> Column:
+    return F.pmod(F.col("doc_id").bitwiseXOR(F.shiftrightunsigned("doc_id", 17)), F.lit(n_groups))
+
+
+def _short(ids: np.ndarray) -> bytes:
+    """Ids as the smallest one and 32-bit distances from it; as they are where that is too little."""
+    low = ids.min()
+    near = ids.max() - low < 2**32
+    return (b"\4" + low.tobytes() + (ids - low).astype(np.uint32).tobytes()) if near else b"\10" + ids.tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    if raw[0] == 8:
+        return np.frombuffer(raw, np.int64, offset=1)
+    return np.frombuffer(raw, np.uint32, offset=9) + np.frombuffer(raw, np.int64, 1, 1)
+
+
 # ---- step 1 ----
 
 
-def _send_minimizers(length: int, n: int):
-    """At the scan: minimizers (h, d, gs) for the ranges; (g, h) for the groups of documents that share one here.
+def _send_minimizers(length: int, n: int, n_groups: int):
+    """At the scan: minimizers (h, d) for the ranges; (g, h) for the groups of documents that share one here.
 
     The latter only pass through a range, which is chosen by the group.
     """
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h, d, g = (np.concatenate(x) for x in zip(*held, strict=True))
+        h, d = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((d, h))
-        h, d, g = h[order], d[order], g[order]
+        h, d = h[order], d[order]
         keep = _firsts(h, d)
-        h, d, g = h[keep], d[keep], g[keep]
+        h, d = h[keep], d[keep]
         at = np.flatnonzero(_firsts(h))
         count = np.diff(np.append(at, len(h)))
         nth = np.arange(len(h)) - np.repeat(at, count)
         rows: list[tuple] = []
         some = np.flatnonzero(nth < 2)
         for part, p in _splits(_range_of(h[some], n)):
-            rows.append((part, None, h[some[p]].tobytes(), d[some[p]].tobytes(), g[some[p]].tobytes()))
+            rows.append((part, None, h[some[p]].tobytes(), _short(d[some[p]])))
         many = np.flatnonzero(np.repeat(count, count) > 1)
-        for group, p in _splits(g[many]):
-            rows.append((group % n, group, np.unique(h[many[p]]).tobytes(), None, None))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "g", "h", "d", "gs"])
+        for group, p in _splits(_group_of(d[many], n_groups)):
+            rows.append((group % n, group, np.unique(h[many[p]]).tobytes(), None))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "g", "h", "d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            ids, groups = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 2))
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for first, raw in text_chunks(batch.column(1)):
                 doc, _, _, _, h = pieces_of(raw, length)
-                held.append((h, ids[first + doc], groups[first + doc]))
+                held.append((h, ids[first + doc]))
                 size += len(h)
                 if size > 600_000:
                     yield from flush(held)
@@ -171,18 +193,22 @@ def _send_minimizers(length: int, n: int):
     return run
 
 
-def _find_repeated(rows: pd.DataFrame) -> pd.DataFrame:
+def _find_repeated(n_groups: int):
     """In a range: the minimizers of two documents or more, per document group."""
-    ready, own = rows[rows["g"].notna()], rows[rows["g"].isna()]
-    out = list(zip(ready["g"].astype("int64"), ready["h"], strict=True))
-    if len(own):
-        h, d, g = _joined(own["h"], np.uint64), _joined(own["d"], np.int64), _joined(own["gs"], np.int64)
-        order = np.lexsort((d, h))
-        h, d, g = h[order], d[order], g[order]
-        at = np.flatnonzero(_firsts(h))
-        many = np.repeat(np.add.reduceat(_firsts(h, d).astype(np.int64), at) > 1, np.diff(np.append(at, len(h))))
-        out += [(group, np.unique(h[many][p]).tobytes()) for group, p in _splits(g[many])]
-    return pd.DataFrame(out, columns=["g", "h"])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ready, own = rows[rows["g"].notna()], rows[rows["g"].isna()]
+        out = list(zip(ready["g"].astype("int64"), ready["h"], strict=True))
+        if len(own):
+            h, d = _joined(own["h"], np.uint64), np.concatenate([_long(x) for x in own["d"]])
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            at = np.flatnonzero(_firsts(h))
+            many = np.repeat(np.add.reduceat(_firsts(h, d).astype(np.int64), at) > 1, np.diff(np.append(at, len(h))))
+            out += [(group, np.unique(h[many][p]).tobytes()) for group, p in _splits(_group_of(d[many], n_groups))]
+        return pd.DataFrame(out, columns=["g", "h"])
+
+    return run
 
 
 # ---- step 2 ----
@@ -408,12 +434,13 @@ def mark_repeats(docs: DataFrame, length: int = 50, parts: int | None = None) ->
     first = checkpointed(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
     total, least = sure.agg(F.sum(F.octet_length("text"))).first()[0] or 0, 2 * spark.sparkContext.defaultParallelism
     n, n_groups = (parts or max(least, -(-total // x)) for x in (RANGE_BYTES, GROUP_BYTES))
+    n_groups |= 1  # odd, so that evenly spaced ids spread
 
-    g = F.pmod(F.xxhash64("doc_id"), F.lit(n_groups))
+    g = group_column(n_groups)
     copies = checkpointed(digests.join(first, "digest").where("doc_id > first").select(g.alias("g"), F.col("_r").cast("string").alias("copy")))
     grouped = sure.withColumn("_g", g)
-    send = grouped.select("doc_id", "text", "_g").mapInArrow(_send_minimizers(length, n), "part bigint, g bigint, h binary, d binary, gs binary")
-    known = send.groupBy("part").applyInPandas(_find_repeated, "g bigint, h binary")
+    send = sure.select("doc_id", "text").mapInArrow(_send_minimizers(length, n, n_groups), "part bigint, g bigint, h binary, d binary")
+    known = send.groupBy("part").applyInPandas(_find_repeated(n_groups), "g bigint, h binary")
     nothing = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
     known = known.withColumn("copy", F.lit(None).cast("string")).unionByName(copies.select("g", *nothing("h"), "copy"))
     pieces = grouped.groupBy("_g").cogroup(known.groupBy("g")).applyInPandas(_send_pieces(length, n), "part bigint, g bigint, n bigint, body binary, r binary, s binary, e binary")
