@@ -3,10 +3,11 @@
 Texts are lower-cased; ASCII bytes that are no letters become single spaces. Byte pairs and triples are hashed
 to ``DIM`` numbers; a text is the L2-normalised vector of (1 + ln tf) * idf. Each language gets up to ``k``
 centroids by spherical k-means. A text takes the language of the centroid with the highest cosine. It is
-rejected if it has no letter, or if that cosine is less than half of what the centroid's farthest sample had.
+rejected if it has no letter, or if it is too far away: if that cosine is less than half of what the farthest
+sample of that very centroid had.
 
-The classifier is fitted on a sample of at most about ``per_lang`` rows a language, whatever the table's size;
-what reaches the driver are their fixed-length vectors. The model (centroids and idf) has a fixed size.
+The classifier is fitted on a sample of at most about ``per_lang`` rows a language, whatever the table's size.
+Each language is clustered by itself on the executors; what reaches the driver are centroids and n-gram counts.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, spread, text_chunks
+from .common import checkpointed, id_crc, spread, text_chunks
 
 DIM = 8192
-MAX_LANGUAGES = 200
+#: A cluster of fewer samples has no centroid of its own.
+LEAST_CLUSTER = 5
 _SPACES = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
 
@@ -87,34 +90,48 @@ class Centroids:
 
 
 def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    k = min(k, len(x))
-    centers = [x.mean(axis=0)]
-    centers[0] = x[int(np.argmax(x @ centers[0]))]
-    for _ in range(1, k):  # farthest first
-        centers.append(x[int(np.argmin(np.max(x @ np.stack(centers).T, axis=1)))])
-    c = np.stack(centers)
-    for _ in range(rounds):
+    """(centroids, own centroid of each row); clusters under ``LEAST_CLUSTER`` rows are given up one by one."""
+    # First centres: rows at even ranks of the similarity to the mean, so that lone outliers do not take them.
+    order = np.argsort(x @ x.mean(axis=0), kind="stable")
+    c = x[order[(np.arange(k) * 2 + 1) * len(x) // (2 * k)]]
+    while True:
+        for _ in range(rounds):
+            own = (x @ c.T).argmax(axis=1)
+            c = np.stack([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
         own = (x @ c.T).argmax(axis=1)
-        c = np.stack([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(k)])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c, (x @ c.T).argmax(axis=1)
+        sizes = np.bincount(own, minlength=len(c))
+        if len(c) == 1 or sizes.min() >= LEAST_CLUSTER:
+            return c, own
+        c = np.delete(c, int(sizes.argmin()), axis=0)
+
+
+def _cluster(idf: np.ndarray, k: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "v"])
+        x = _vectors(np.stack([np.frombuffer(v, "<u2") for v in rows["v"]]), idf)
+        c, own = _spherical_kmeans(x, k)
+        cos = np.einsum("ij,ij->i", x, c[own])
+        least = [0.5 * float(cos[own == j].min()) for j in range(len(c))]
+        return pd.DataFrame({"lang": key[0], "no": range(len(c)), "vector": [v.astype("<f4").tobytes() for v in c], "least": least})
+
+    return run
 
 
 def fit_centroids(labelled: DataFrame, per_lang: int = 250, k: int = 4, text: str = "text", lang: str = "lang") -> Centroids:
     """Fit on rows with a non-null language: about ``per_lang`` of each, chosen by a hash of doc_id.
 
-    With no labelled row the model is empty and rejects everything.
+    Rows without a letter are no samples. Repeated rows count as often as they are there; rows with equal ids are
+    chosen together. With no labelled row the model is empty and rejects everything.
     """
-    rows = labelled.where(F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = labelled.where(F.col(lang).isNotNull()).select(F.col("doc_id").cast("bigint"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row for each language
+    empty = Centroids([], np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), np.zeros(0))
     if not counts:
-        return Centroids([], np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), np.zeros(0))
-    share = F.element_at(F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(per_lang / n))]), F.col(lang))
-    sample = rows.where(spread() < share).select(F.col("doc_id").cast("bigint"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+        return empty
+    share = F.element_at(F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(per_lang / n))]), F.col("lang"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, vecs = [], []
             for i, t in enumerate(batch.column(2)):
@@ -126,23 +143,23 @@ def fit_centroids(labelled: DataFrame, per_lang: int = 250, k: int = 4, text: st
             if keep:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(vecs, pa.binary())], ["doc_id", "lang", "v"])
 
-    got = sorted(((r.lang, r.doc_id or 0, bytes(r.v)) for r in sample.mapInArrow(run, "doc_id bigint, lang string, v binary").collect()))
-    if not got:
-        return Centroids([], np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), np.zeros(0))
-    raw = np.stack([np.frombuffer(v, "<u2") for _, _, v in got])
-    idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 1
-    x, langs = _vectors(raw, idf), np.array([g[0] for g in got])
-    names, vectors, least = [], [], []
-    for name in sorted(set(langs)):
-        mine = x[langs == name]
-        c, own = _spherical_kmeans(mine, k)
-        cos = np.einsum("ij,ij->i", mine, c[own])
-        for j in range(len(c)):
-            names.append(str(name))
-            vectors.append(c[j])
-            # Half of the lowest cosine that a short sample may have; short texts share few n-grams with any centroid.
-            least.append(0.5 * float(min(cos[own == j].min(), 0.3)) if (own == j).any() else 0.15)
-    return Centroids(names, np.stack(vectors).astype(np.float32), idf, np.array(least))
+    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df = 0, np.zeros(DIM, np.int64)
+        for batch in batches:
+            for v in batch.column(0):
+                df += np.frombuffer(v.as_py(), "<u2") > 0
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tobytes()], pa.binary())], ["n", "df"])
+
+    # A few partitions hold the bounded sample, and each gives one row of counts.
+    sample = checkpointed(rows.where(spread() < share).mapInArrow(vectors, "doc_id bigint, lang string, v binary").repartition(8))
+    seen = sample.select("v").mapInArrow(present, "n bigint, df binary").collect()
+    n = sum(r.n for r in seen)
+    if not n:
+        return empty
+    idf = np.log((1 + n) / (1 + sum(np.frombuffer(r.df, np.int64) for r in seen))).astype(np.float32) + 1
+    got = sorted(sample.groupBy("lang").applyInPandas(_cluster(idf, k), "lang string, no int, vector binary, least double").collect(), key=lambda r: (r.lang, r.no))
+    return Centroids([r.lang for r in got], np.stack([np.frombuffer(r.vector, "<f4") for r in got]), idf, np.array([r.least for r in got]))
 
 
 def identify(docs: DataFrame, model: Centroids, text: str = "text", keep: Column | None = None) -> DataFrame:

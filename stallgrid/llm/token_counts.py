@@ -2,13 +2,14 @@
 
 A piece of the vocabulary holds the space mark only in front (or is made of marks alone), so merges never cross
 from a word into the space before the next one. The encoding of a text is therefore the encodings of its words
-one after another, and
+one after another, and for a prefix that ends j characters into word i
 
-    count[prefix up to word i] = count[prefix up to word i - 1] + tokens(word i).
+    count[prefix] = count[prefix up to word i - 1] + count of the first j characters of word i.
 
-The table of a document is these counts with the character positions they belong to. A token boundary inside a
-word extends it (a prefix of a BPE encoding is the encoding of that prefix), and a cut anywhere else in a word
-needs that one word only. Counts of words are looked up; a word that was not seen yet is encoded by the library.
+The counts of a word's own prefixes are found once for each distinct word and kept, so the table of a document,
+one count for every number of characters, is put together by look-ups. It answers how many tokens any prefix has
+and how long a prefix fits a budget, without encoding again. Where only the whole count and the longest prefix
+within the limit are asked for, the prefixes of one word are looked up: the one in which the limit is crossed.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import FREE
 
 MARK = "▁"
 #: Words kept by a worker process, and the longest that is kept; both bound memory only, not results.
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+CACHE_WORDS, CACHE_CHARS, CACHE_PREFIXES = 400_000, 40, 100_000
 _SPLIT = re.compile(r" +[^ ]*")
 
 
@@ -35,6 +36,7 @@ class WordCounts(dict):
     def __init__(self, encode: Callable[[str], list[int]]):
         super().__init__()
         self.encode = encode
+        self.inner: dict[str, np.ndarray] = {}
 
     def __missing__(self, word: str) -> int:
         n = len(self.encode(word))
@@ -42,7 +44,6 @@ class WordCounts(dict):
             self[word] = n
         return n
 
-
     def learn(self, words: set[str]) -> None:
         """Encode the words that are not known yet in one call."""
         new = [w for w in words if w not in self]
@@ -53,6 +54,17 @@ class WordCounts(dict):
             new = [w for w in words if w]
         self.update(zip(new, map(len, self.encode(new)), strict=True))
 
+    def prefixes(self, word: str) -> np.ndarray:
+        """Tokens of the first 0, 1, ... characters of a word; 0 characters are the space mark alone."""
+        got = self.inner.get(word)
+        if got is None:
+            got = np.array([self[""], *map(len, self.encode([word[:j] for j in range(1, len(word) + 1)]))], np.int64)
+            if len(word) <= CACHE_CHARS:
+                if len(self.inner) >= CACHE_PREFIXES:
+                    self.inner.clear()
+                self.inner[word] = got
+        return got
+
 
 def words_of(text: str) -> list[str]:
     """The words of a text, each without the one space mark that the encoder puts in front of it."""
@@ -63,35 +75,44 @@ def words_of(text: str) -> list[str]:
     return text.split(" ")
 
 
-def prefix_table(text: str, counts: WordCounts, words: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(ends, totals): characters up to the end of each word, and the tokens of the text up to there."""
+def prefix_table(text: str, counts: WordCounts) -> np.ndarray:
+    """Tokens of text[:c] for every c from 0 to its length."""
     if not text:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words = words_of(text) if words is None else words
-    totals = np.cumsum(np.fromiter(map(counts.__getitem__, words), np.int64, len(words)))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    return ends, totals
+        return np.zeros(1, np.int64)
+    parts, before = [], 0
+    for word in words_of(text):
+        own = counts.prefixes(word)
+        parts.append(before + own)
+        before += int(own[-1])
+    table = np.concatenate(parts)
+    table[0] = 0  # no space mark before the first character
+    return table
 
 
-def count_prefix(text: str, chars: int, table: tuple[np.ndarray, np.ndarray], counts: WordCounts) -> int:
-    """Exact tokens of text[:chars], from the table and at most one word's beginning."""
-    ends, totals = table
-    i = int(np.searchsorted(ends, chars, side="right"))  # words that end within the prefix
-    before = int(totals[i - 1]) if i else 0
-    start = int(ends[i - 1]) + 1 if i else 0
-    if i and chars == ends[i - 1]:
-        return before
-    if i == len(ends):
-        return before
-    part = text[start:chars].replace(MARK, " ") if chars > start or i else ""
-    return before + (len(counts.encode(part)) if part else (counts[""] if i else 0))
+def count_prefix(table: np.ndarray, chars: int) -> int:
+    """Exact tokens of the first ``chars`` characters."""
+    return int(table[chars])
 
 
-def longest_within(table: tuple[np.ndarray, np.ndarray], limit: int) -> int:
-    """Characters of the longest prefix of whole words with at most ``limit`` tokens."""
-    ends, totals = table
-    i = int(np.searchsorted(totals, limit, side="right"))
-    return int(ends[i - 1]) if i else 0
+def longest_within(table: np.ndarray, limit: int) -> int:
+    """Characters of the longest prefix with at most ``limit`` tokens; a longer prefix may have fewer than a shorter one."""
+    return int(np.flatnonzero(table <= limit)[-1])
+
+
+def fit_within(words: list[str], totals: np.ndarray, limit: int, counts: WordCounts) -> int:
+    """What longest_within gives, from the totals at word ends: only words around the limit are looked into."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    done = int(np.searchsorted(totals, limit, side="right"))  # words that fit as a whole
+    best = int(ends[done - 1]) if done else 0
+    for i in range(done, len(words)):
+        before, start = (int(totals[i - 1]), int(ends[i - 1]) + 1) if i else (0, 0)
+        if before > limit:
+            break
+        own = before + counts.prefixes(words[i])
+        own[0] = own[0] if i else 0
+        fits = np.flatnonzero(own <= limit)
+        best = max(best, start + int(fits[-1])) if len(fits) else best
+    return best
 
 
 _COUNTS: dict[str, WordCounts] = {}
@@ -128,33 +149,31 @@ def library_counts(model: str | None = None) -> WordCounts:
 def token_counts(docs: DataFrame, limit: int = 4096, model: str | None = None, with_table: bool = False, text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, fit_chars of every row, and with ``with_table`` the prefix table.
 
-    ``fit_chars`` is the longest prefix of whole words with at most ``limit`` tokens. The table is two arrays:
-    prefix_chars and prefix_tokens. Null text is empty: 0 tokens. One pass, no shuffle. ``model`` is a path that
-    the workers can read; rows with equal ids are counted on their own.
+    ``fit_chars`` is the length of the longest prefix with at most ``limit`` tokens. The table, prefix_tokens, has
+    the tokens of the first c characters at place c. Null text is empty: 0 tokens. One pass, no shuffle. ``model``
+    is a path that the workers can read; rows with equal ids are counted on their own.
     """
     schema = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint"
     if with_table:
-        schema += ", prefix_chars array<bigint>, prefix_tokens array<bigint>"
+        schema += ", prefix_tokens array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = library_counts(model)
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_chars", "prefix_tokens")}
+            out: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_tokens")}
             for t, words in learned(batch.column(1), counts):
-                table = prefix_table(t, counts, words)
-                n = int(table[1][-1]) if len(table[1]) else 0
+                totals = np.cumsum(np.fromiter(map(counts.__getitem__, words), np.int64, len(words)))
+                n = int(totals[-1]) if t else 0
                 out["n_bytes"].append(len(t.encode("utf-8", "surrogatepass")))
                 out["n_tokens"].append(n)
                 out["over_limit"].append(n > limit)
-                out["fit_chars"].append(len(t) if n <= limit else longest_within(table, limit))
+                out["fit_chars"].append(len(t) if n <= limit else fit_within(words, totals, limit, counts))
                 if with_table:
-                    out["prefix_chars"].append(table[0])
-                    out["prefix_tokens"].append(table[1])
+                    out["prefix_tokens"].append(prefix_table(t, counts))
             cols = [batch.column(0), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["over_limit"], pa.bool_()), pa.array(out["fit_chars"], pa.int64())]
             names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"]
             if with_table:
-                cols += [pa.array(out[k], pa.list_(pa.int64())) for k in ("prefix_chars", "prefix_tokens")]
-                names += ["prefix_chars", "prefix_tokens"]
+                cols, names = [*cols, pa.array(out["prefix_tokens"], pa.list_(pa.int32()))], [*names, "prefix_tokens"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from oracle import oracle_rows, spark_rows
-from stallgrid.llm import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity
+from stallgrid.llm import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, quality, run_length_index, suffix_dedup, token_counts, toxicity
 from stallgrid.llm import queries as Q
 
 TEXTS = st.text(st.sampled_from(list("abe  \n\t▁é中<>|/s.,'0 ΣİǺ\x00\x1c\xa0　")), max_size=14)
@@ -71,7 +71,8 @@ def test_chat_on_odd_rows(spark):
     rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, 1, "assistant", "[INST] \\ </s>"), (None, None, "user\n", "a"), (2, 0, "assistant", ""), (2, 0, "assistant", "")]
     t = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     ex = chat_format.format_conversations(t).orderBy("conv_id", "example").collect()
-    assert [(r.conv_id, r.target_turn_no) for r in ex] == [(None, None), (1, 2), (2, 0), (2, 1)] or [(r.conv_id, r.target_turn_no) for r in ex] == [(None, None), (1, 1), (1, None), (2, 0), (2, 1)]
+    # Rows of one turn stand in the order of their roles, nulls first: the reply is the last of three.
+    assert [(r.conv_id, r.target_turn_no) for r in ex] == [(None, None), (1, 2), (2, 0), (2, 1)]
     turns = chat_format.format_conversations(t).where("is_last AND conv_id IS NULL").select(chat_format.read_turns(F.col("text")).alias("t")).first().t
     assert [(x.role, x.text) for x in turns] == [("user\n", "a")]
     assert chat_format.format_conversations(t.limit(0)).collect() == []
@@ -94,6 +95,30 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_against_brute_force(spark, sf):
+    """Every row's nearest centroid by grams counted one by one."""
+    docs = spark.read.parquet(sf + "/documents.parquet")
+    m = language_id.fit_centroids(docs)
+    got = {r.doc_id: r for r in language_id.identify(docs, m).collect()}
+    for r in docs.limit(40).collect():
+        b = " ".join("".join(chr(x) if x >= 0x80 or 0x61 <= x <= 0x7A else " " for x in r.text.lower().encode()).split())
+        raw = b" " + b.encode("latin-1") + b" "
+        v = np.zeros(language_id.DIM)
+        for k in range(len(raw) - 1):
+            pair = (raw[k] * 2654435761 + raw[k + 1] * 2246822519) % 2**32
+            v[pair >> 19] += 1
+            if k + 2 < len(raw):
+                v[(pair + raw[k + 2] * 3266489917 + 374761393) % 2**32 >> 19] += 1
+        x = np.where(v > 0, 1 + np.log(np.maximum(v, 1)), 0) * m.idf
+        cos = m.vectors @ (x / np.linalg.norm(x))
+        best = int(cos.argmax())
+        assert got[r.doc_id].lang_pred == m.languages[best] and abs(got[r.doc_id].score - cos[best]) < 1e-4
+        assert got[r.doc_id].rejected == (cos[best] < m.least[best])
+    far = language_id.identify(spark.createDataFrame([(1, "zzqx xqzz qqzx zxqq")], "doc_id bigint, text string"), m).first()
+    assert far.rejected and far.lang_pred in m.languages
+    assert all(0 < x < 0.5 for x in m.least) and len(set(m.least)) > 1
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     rows = Q.QUERIES["op2_toxicity"](spark, d).join(spark.read.parquet(d + "/labels.parquet"), "doc_id").where("held_out").collect()
@@ -112,26 +137,64 @@ def test_edit_automaton_against_distance():
                     d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
         return d[-1, -1]
 
-    terms = ["stupid", "worthless", "moronic", "scum"]
-    m = toxicity.Automaton([(t, False) for t in terms])
+    terms = ["stupid", "worthless", "moronic", "scum", "idiot", "clown"]
+    m = toxicity.Automaton([(t, False) for t in terms], frozenset(["clown"]))
     random.seed(3)
     words = list(terms)
-    for _ in range(400):
+    for _ in range(600):
         w = list(random.choice(terms))
         for _ in range(random.randint(1, 2)):
             p = random.randrange(len(w))
-            kind = random.choice("ids")
-            w[p : p + (kind != "i")] = [] if kind == "d" else [random.choice("abcdefu")]
+            kind = random.choice("idst")
+            w[p : p + (kind != "i") + (kind == "t")] = [] if kind == "d" else w[p : p + 2][::-1] if kind == "t" else [random.choice("abcdefu")]
         words.append("".join(w) or "x")
+
+    def may(t, w):
+        return t != "clown" and (near(t, w) <= 1 if len(t) >= 6 else w[0] == t[0] and near(t[1:], w[1:]) <= 1)
+
     _, _, got = m.words(" ".join(words))
     for w, v in zip(words, got.tolist(), strict=True):
-        want = toxicity.EXACT if w in terms else toxicity.NEAR if any(len(t) >= 6 and near(t, w) <= 1 for t in terms) else 0
+        want = toxicity.EXACT if w in terms else toxicity.NEAR if any(may(t, w) for t in terms) else 0
         assert v == want, w
 
 
+def test_stems_take_endings_and_edits():
+    m = toxicity.Automaton([("achlich", True), ("boco", True)])
+    words = ["achlichung", "achlich", "aclichung", "achlch", "boco", "bocoas", "bcoas", "xboco"]
+    assert m.words(" ".join(words))[2].tolist() == [2, 2, 1, 1, 2, 2, 0, 0]
+
+
 def test_toxicity_context():
     m = toxicity.Automaton([("stupid", False)])
-    assert toxicity.features('he said "stupid" to all', m)[2] == 1 and toxicity.features("you are stupid", m)[3] == 1
+    # words, hits, misspelled, no quotation, exact of these, addressed of these
+    for text, want in {
+        'he said "stupid" to all': (5, 1, 0, 0, 0, 0), "you are stupid": (3, 1, 0, 1, 1, 1), "a stupd thing": (3, 1, 1, 1, 0, 0), "the word stupid is old": (5, 1, 0, 0, 0, 0),
+        'say "hello" to the stupid and "bye"': (7, 1, 0, 1, 1, 0), "« stupid »": (1, 1, 0, 0, 0, 0), "": (0, 0, 0, 0, 0, 0),
+    }.items():
+        assert toxicity.evidence(text, m) == want, text
+
+
+def test_toxicity_orders_plain_misspelled_quoted_clean(spark):
+    d = "/root/testdata/sf0.01"
+    m = toxicity.fit_toxicity(spark.read.parquet(d + "/documents.parquet"), spark.read.parquet(d + "/labels.parquet"))
+    for model in (m, toxicity.fit_toxicity(spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([], "doc_id bigint, toxic int"))):
+        texts = ["you are a worthless idiot", "you are a worthles idoit", 'he wrote "you are a worthless idiot" there', "the table is round"]
+        score = model.score(toxicity.features(np.array([toxicity.evidence(t, model.automaton) for t in texts])))
+        assert score[0] > score[1] > score[2] >= score[3] and score[1] >= 0.7 > score[2]
+
+
+def test_toxicity_query_against_brute_force(spark, sf):
+    """Hits of the query's own lexicon, found by comparing every word with every term."""
+    docs = spark.read.parquet(sf + "/documents.parquet")
+    held = F.pmod(toxicity.id_crc(), F.lit(3)) == 1
+    m = toxicity.fit_toxicity(docs.where(~held), spark.read.parquet(sf + "/labels.parquet").where(~held))
+    got = {r.doc_id: r for r in Q.QUERIES["op2_toxicity"](spark, sf).collect()}
+    plain = {t for t, stem in m.terms if not stem}
+    stems = tuple(t for t, stem in m.terms if stem)
+    for r in docs.collect():
+        words = "".join(c if c.isalnum() else " " for c in r.text.lower()).split()
+        fold = lambda w: "".join(toxicity.LOOKALIKES.get(c, c) for c in w)
+        assert got[r.doc_id].n_exact == sum(fold(w) in plain or fold(w).startswith(stems) for w in words), r.doc_id
 
 
 def test_leaks_with_edits():
@@ -161,6 +224,36 @@ def test_leaks_with_edits():
         assert prev[-1] == edits <= 0.2 * n
 
 
+def test_leaks_query_against_all_pairs(spark, sf):
+    """Every document against every item by the full edit distance, and items with insertions and deletions too."""
+    items = spark.read.parquet(sf + "/benchmark.parquet")
+    docs = spark.read.parquet(sf + "/documents.parquet").select("doc_id", "text")
+    random.seed(9)
+    planted = []
+    for n, it in enumerate(items.orderBy("item_id").limit(12).collect()):
+        w = it.text.split()
+        for _ in range(int(0.2 * len(decontaminate.words_of(it.text.encode()))) // 2):
+            p = random.randrange(len(w))
+            w[p : p + random.choice([0, 1])] = [] if random.random() < 0.5 else ["zz"]
+        planted.append((10**6 + n, "aa bb cc " * 9 + " ".join(w) + " dd ee" * 9))
+    every = docs.unionByName(spark.createDataFrame(planted, "doc_id bigint, text string"))
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.find_leaks(every, items).collect()}
+    want = {}
+    number: dict = {}
+    seq = lambda t: np.array([number.setdefault(w, len(number)) for w in decontaminate.words_of(t.encode())], np.int64)
+    texts = {r.doc_id: seq(r.text or "") for r in every.collect()}
+    for it in items.collect():
+        a = seq(it.text or "")
+        most = int(0.2 * len(a) + 1e-9)
+        for i, b in texts.items():
+            if len(a) and np.isin(a, b).sum() >= len(a) - most:
+                dist = decontaminate.edit_distance(a, b, most)[0]
+                if dist <= most:
+                    want[(i, it.item_id)] = dist
+    assert set(got) <= set(want) and len(want) >= 10
+    assert len(got) >= 0.99 * len(want)
+
+
 def test_license_join_against_containment(spark):
     random.seed(2)
     templates = [(f"t{k}", " ".join(f"w{random.randrange(30)}" for _ in range(random.randint(3, 9)))) for k in range(12)]
@@ -287,6 +380,64 @@ def test_representatives_of_rows_without_or_with_one_id(spark):
     assert links == {(1, 1, 2), (2, 1, 2), (3, 3, 2), (3, 3, 0), (3, 1, 2), (4, 3, 2), (5, 5, 0)}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=30), min_size=1, max_size=10), st.lists(st.text("abz", min_size=1, max_size=30), min_size=1, max_size=5))
+def test_matching_statistics(pieces, patterns):
+    raw = [x.encode() for x in pieces + patterns]
+    data, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw])
+    start, n = np.cumsum(size) - size, len(pieces)
+    index = run_length_index.RunLengthIndex(data, start[:n], size[:n], cap=8)
+    for who, at, pos, held in index.matching_statistics(data, start[n:], size[n:]):
+        for w, a, p, h in zip(who, at, pos, held, strict=True):
+            q = raw[n + w][a:]
+            best = max(k for k in range(len(q) + 1) if any(q[:k] in x for x in raw[:n]))
+            assert min(h, 8) == min(best, 8) and index.text[p : p + min(h, 8)].tobytes() == q[: min(h, 8)]
+
+
+def test_run_length_index_follows_the_runs():
+    """A family of near copies takes little more runs than one of them."""
+    rng = np.random.default_rng(3)
+    one = rng.integers(97, 123, 4000).astype(np.uint8)
+    many = np.tile(one, 50)
+    many[rng.integers(0, len(many), 40)] = 65
+    runs = [run_length_index.RunLengthIndex(x, np.arange(0, len(x), 4000), np.full(len(x) // 4000, 4000)).n_runs for x in (one, many)]
+    assert runs[1] < 1.5 * runs[0]
+
+
+def test_shared_windows_come_from_the_index(monkeypatch):
+    """Family by family against brute force; without the index nothing is found."""
+    random.seed(12)
+    base = [bytes(random.choice(b"abcdefgh") for _ in range(90)) for _ in range(4)]
+    pieces, docs = [], []
+    for n in range(60):
+        t = bytearray(random.choice(base))
+        if random.random() < 0.8:
+            t[random.choice([*range(0, 20), *range(70, 90)])] = 0x5A
+        a = random.randint(0, 12)
+        pieces.append(bytes(t[a : random.randint(78, 90)]))
+        docs.append(n // 2)
+    # The minimizer of all windows here is the text at place 30 of the base.
+    offs = [next(p.index(b[34:58]) for b in base if b[34:58] in p) for p in pieces]
+    keep = [i for i in range(60) if pieces[i] not in pieces[:i]]
+    pieces, docs, offs = [pieces[i] for i in keep], np.array([docs[i] for i in keep]), np.array([offs[i] for i in keep])
+    low = np.maximum(0, offs + 24 - 50)
+    high = np.minimum([len(p) for p in pieces], offs + 50)
+    pieces, offs = [p[a:b] for p, a, b in zip(pieces, low.tolist(), high.tolist(), strict=True)], offs - low
+    want = {(i, a) for i, p in enumerate(pieces) for a in range(len(p) - 49) if any(docs[j] < docs[i] and p[a : a + 50] in q for j, q in enumerate(pieces))}
+    found = lambda: set(zip(*(x.tolist() for x in suffix_dedup.repeated_windows(pieces, docs, offs, 50)), strict=True))
+    assert found() == want and len(want) > 50
+    monkeypatch.setattr(run_length_index.RunLengthIndex, "matching_statistics", lambda *a: iter(()))
+    assert found() == set()
+
+
+def test_repeats_of_rows_with_one_id(spark):
+    """Repeated rows stay, and two texts under one id are cut each by itself."""
+    a, b = "".join(chr(97 + i % 23) for i in range(0, 800, 7)), "".join(chr(97 + i * i % 19) for i in range(150))
+    rows = [(1, a), (1, a), (2, a + " x"), (2, b), (3, "y " + b), (3, "nothing"), (None, a), (None, a)]
+    got = sorted((r.doc_id or 0, r.kept.decode()) for r in suffix_dedup.mark_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == sorted([(1, a), (1, a), (2, " x"), (2, b), (3, "y "), (3, "nothing"), (0, a), (0, a)])
+
+
 def test_repeats_against_brute_force(spark):
     random.seed(6)
     words = ["".join(random.choice("abcdé") for _ in range(random.randint(1, 6))) for _ in range(60)]
@@ -334,6 +485,22 @@ def test_packing(spark):
     assert len(place) <= -(-sum(map(len, full.values())) // 2048) + 4
 
 
+def test_packing_of_what_cannot_be_certified(spark):
+    """Groups keep their size in every exchange, rows with one id are pieces of their own, and all are packed."""
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 3 else 7, 0, 0, int(x), i) for i, x in enumerate(rng.integers(600, 901, 3000))]
+    got = packing.pack_pieces(spark.createDataFrame(rows, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"), group_pieces=300).collect()
+    assert sorted(r.ids_crc32 for r in got) == list(range(3000))
+    place: dict = {}
+    for r in got:
+        place.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for p in place.values():
+        ends = np.cumsum([n for _, n in sorted(p)])
+        assert [o for o, _ in sorted(p)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    _, _, n = packing.best_fit_decreasing(np.array([r[3] for r in rows]), 2048)
+    assert len(place) <= 1.03 * n
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 def test_lower_bound_is_one(lengths):
@@ -362,8 +529,14 @@ def test_lower_bound_is_one(lengths):
 def test_tokens_at_every_prefix(text):
     counts = token_counts.library_counts()
     table = token_counts.prefix_table(text, counts)
-    for p in range(len(text) + 1):
-        assert token_counts.count_prefix(text, p, table, counts) == len(counts.encode(text[:p]))
+    want = [len(counts.encode(text[:p])) for p in range(len(text) + 1)]
+    assert [token_counts.count_prefix(table, p) for p in range(len(text) + 1)] == want
+    words = token_counts.words_of(text)
+    totals = np.cumsum([counts[w] for w in words])
+    for limit in range(0, want[-1] + 1):
+        best = max(p for p, n in enumerate(want) if n <= limit)
+        assert token_counts.longest_within(table, limit) == best
+        assert not text or token_counts.fit_within(words, totals, limit, counts) == best
 
 
 @settings(max_examples=200, deadline=None)
@@ -397,3 +570,25 @@ def test_pipeline_against_its_parts(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == seen[-1][1]
     assert seen[0][1] >= seen[1][1] >= seen[2][1] >= seen[3][1]
+
+
+def test_pipeline_on_odd_rows_and_an_empty_table(spark, tmp_path):
+    """Rows without an id or with a shared one go through all stages; empty tables give an empty result."""
+    import corpus_pipeline
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tail = base.orderBy("doc_id").limit(6).collect()
+    texts = [" ".join(reversed(r.text[:4000].split())) for r in tail]
+    odd = [(None, texts[0] + " one more", "en", "a"), (None, texts[1] + " two more", "en", "a"), (None, "a third text that is short but has words", "en", "a"), (900001, texts[2] + " x", "en", "b"), (900001, texts[3] + " y", "en", "b"), (900002, None, None, None), (900003, "", "en", "b"), (900004, " ".join(f"w{i % 977}" for i in range(60_000)), "en", "b")]
+    kind = base.schema["n_chars"].dataType.simpleString()
+    more = spark.createDataFrame([(*r, len(r[1] or "")) for r in odd], f"doc_id bigint, text string, lang string, source string, n_chars {kind}")
+    folder = str(tmp_path / "odd")
+    base.where(~F.col("doc_id").isin([r.doc_id for r in tail])).unionByName(more.select(*base.columns)).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert sum(r.doc_id is None and r.piece == 0 for r in out) >= 3
+    assert len({(r.ids_crc32, r.length) for r in out if r.doc_id == 900001 and r.piece == 0}) == 2
+    empty = str(tmp_path / "empty")
+    for t in ("documents", "benchmark"):
+        spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
+    assert corpus_pipeline.run(spark, empty).collect() == []
