@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def _accent_table() -> tuple[str, str]:
-    """Latin letters that decompose into one base character, and that character."""
+    """Letters of all scripts that decompose, in one step or several, into one base character, and that character."""
     pairs = {}
-    for point in range(0xC0, 0x250):
+    for point in range(0xC0, 0x10000):
+        if unicodedata.decomposition(chr(point)).partition(" ")[0].startswith("<"):
+            continue  # compatibility forms are no accents
         base = "".join(c for c in unicodedata.normalize("NFD", chr(point)) if not unicodedata.combining(c))
         if len(base) == 1 and base != chr(point):
             pairs[chr(point)] = base
@@ -37,6 +39,7 @@ def tokenize(c: Column) -> Column:
     return F.filter(F.split(normalize_query(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+# What a SKU looks like.
 def looks_like_sku(c: Column) -> Column:
     t = F.trim(c)
     return F.length(t).between(3, 64) & t.rlike(r"\d") & t.rlike(r"^[\p{L}\p{N}._/-]+$")
@@ -80,6 +83,7 @@ def ts_config(c: Column) -> Column:
 
 def ab_bucket(c: Column) -> Column:
     """'a' or 'b' by the parity of the 32-bit FNV-1a hash of the token's characters; null without a token."""
+    # The prime and the start of 32-bit FNV-1a.
     step = lambda h, x: (h.bitwiseXOR(F.ascii(x).cast("long")) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF))
     h = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), F.lit(0x811C9DC5), step)
     return F.when(F.coalesce(F.length(c), F.lit(0)) > 0, F.when(h % 2 == 0, "a").otherwise("b"))
@@ -127,4 +131,5 @@ def strip_html(c: Column, limit: int = 5000) -> Column:
 
 def csv_safe(c: Column) -> Column:
     """A cell that a spreadsheet does not take for a formula."""
+    # Characters that begin a formula.
     return F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)

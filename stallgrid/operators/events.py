@@ -6,7 +6,10 @@ product_id, results_count, order_id, revenue. The streaming forms are in stallgr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 POPULARITY = {"click": 1.0, "add_to_cart": 5.0, "purchase": 25.0}
 
 
-def record_searches(actions: DataFrame, normalize: Column | None = None) -> DataFrame:
+def record_searches(actions: DataFrame) -> DataFrame:
     """Searches with a non-blank term."""
     return actions.where((F.col("kind") == "search") & (F.coalesce(F.trim("term"), F.lit("")) != ""))
 
@@ -30,26 +33,42 @@ def sanitize_beacons(raw: DataFrame) -> DataFrame:
     )
 
 
+def _folded(rows: DataFrame, keys: list[str], keep: Callable[[tuple | None, int], tuple[bool, tuple]]) -> DataFrame:
+    """event_id of the rows that ``keep`` accepts, going through each key in time order with what it carries along.
+
+    Rows are sorted by Spark and read batch by batch, so that a key of any size takes one state of memory.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for f in frames:
+            kept = []
+            for k, at in zip(f[keys].itertuples(index=False, name=None), f["at"].tolist(), strict=True):
+                if k != key:
+                    key, state = k, None
+                good, state = keep(state, at)
+                kept.append(good)
+            yield f.loc[kept, ["event_id"]]
+
+    sized = rows.select(*[F.coalesce(F.concat(F.lit("="), k), F.lit("")).alias(k) for k in keys], F.unix_micros("ts").alias("at"), "event_id")
+    return sized.repartition(*keys).sortWithinPartitions(*keys, "at", "event_id").mapInPandas(run, "event_id bigint")
+
+
 def collapse_repeats(searches: DataFrame, seconds: int = 60) -> DataFrame:
     """Searches without repeats: one within ``seconds`` of the last kept one of its shop, term and token goes.
 
     The fold runs over one (shop, token, term) at a time, in time order. Rows without a token are folded among
     all rows of their (shop, term): any kept row or tokened row before them suppresses.
     """
-    micros = F.unix_micros("ts")
-    fold = lambda t: F.aggregate(
-        t,
-        F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept")),
-        lambda acc, x: F.when(acc["last"].isNull() | (x["at"] - acc["last"] > seconds * 1_000_000), F.struct(x["at"].alias("last"), F.array_append(acc["kept"], x["event_id"]).alias("kept"))).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
-    keyed = searches.where("session_token IS NOT NULL").groupBy("shop_id", "session_token", "term").agg(F.sort_array(F.collect_list(F.struct(micros.alias("at"), "event_id"))).alias("t"))
-    kept = keyed.select(F.explode(fold(F.col("t"))).alias("event_id"))
+    micros, least = F.unix_micros("ts"), seconds * 1_000_000
+
+    def keep(last: tuple | None, at: int) -> tuple[bool, tuple]:
+        return (True, (at,)) if last is None or at - last[0] > least else (False, last)
+
+    kept = _folded(searches.where("session_token IS NOT NULL"), ["shop_id", "session_token", "term"], keep)
     # Without a token: a tokened row before it within the time suppresses it, and so does a kept one without.
     prior = F.max(F.when(F.col("session_token").isNotNull(), micros)).over(W.partitionBy("shop_id", "term").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1))
-    bare = searches.withColumn("_prior", prior).where(F.col("session_token").isNull() & (F.col("_prior").isNull() | (micros - F.col("_prior") > seconds * 1_000_000)))
-    bare = bare.groupBy("shop_id", "term").agg(F.sort_array(F.collect_list(F.struct(micros.alias("at"), "event_id"))).alias("t")).select(F.explode(fold(F.col("t"))).alias("event_id"))
-    return searches.join(kept.unionByName(bare), "event_id", "left_semi")
+    bare = searches.withColumn("_prior", prior).where(F.col("session_token").isNull() & (F.col("_prior").isNull() | (micros - F.col("_prior") > least)))
+    return searches.join(kept.unionByName(_folded(bare, ["shop_id", "term"], keep)), "event_id", "left_semi")
 
 
 def attribute(actions: DataFrame, kind: str, hours: int, same_term: bool = False) -> DataFrame:
@@ -106,17 +125,12 @@ def popularity_increments(actions: DataFrame, purchase_hours: int = 24) -> DataF
 
 def cap_events(events: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
     """At most ``limit`` events of a token per fixed window; a window starts at the first event after the last one ended."""
-    fold = F.aggregate(
-        "t",
-        F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("kept")),
-        lambda acc, x: F.when(
-            acc["start"].isNull() | (x["at"] - acc["start"] >= seconds * 1_000_000),
-            F.struct(x["at"].alias("start"), F.lit(1).alias("n"), F.array_append(acc["kept"], x["event_id"]).alias("kept")),
-        ).otherwise(F.struct(acc["start"].alias("start"), (acc["n"] + 1).alias("n"), F.when(acc["n"] < limit, F.array_append(acc["kept"], x["event_id"])).otherwise(acc["kept"]).alias("kept"))),
-        lambda acc: acc["kept"],
-    )
-    keyed = events.groupBy("shop_id", "session_token").agg(F.sort_array(F.collect_list(F.struct(F.unix_micros("ts").alias("at"), "event_id"))).alias("t"))
-    return events.join(keyed.select(F.explode(fold).alias("event_id")), "event_id", "left_semi")
+
+    def keep(state: tuple | None, at: int) -> tuple[bool, tuple]:
+        start, n = state if state is not None and at - state[0] < seconds * 1_000_000 else (at, 0)
+        return n < limit, (start, n + 1)
+
+    return events.join(_folded(events, ["shop_id", "session_token"], keep), "event_id", "left_semi")
 
 
 def retain(events: DataFrame, as_of: str, days: int = 180) -> DataFrame:

@@ -50,12 +50,12 @@ def labelled(facets: DataFrame, queries: DataFrame, config: DataFrame | None = N
     else:
         own = config.select("shop_id", "source", "label", "display_as", "facet_no", "enabled")
         conf = own.unionByName(shops.select("shop_id").distinct().join(own, "shop_id", "left_anti").join(F.broadcast(defaults)))
-    out = facets.join(shops, "query_id").join(F.broadcast(conf.where("enabled")), ["shop_id", "source"]).withColumn("value_label", F.col("value"))
+    out = facets.join(shops, "query_id").join(conf.where("enabled"), ["shop_id", "source"]).withColumn("value_label", F.col("value"))
     if collections is not None:
         titles = collections.select("shop_id", F.col("handle").alias("value"), F.col("title").alias("_title"))
-        out = out.join(F.broadcast(titles), ["shop_id", "value"], "left").withColumn("value_label", F.when(F.col("source") == "collection", F.coalesce("_title", "value")).otherwise(F.col("value"))).drop("_title")
+        out = out.join(titles, ["shop_id", "value"], "left").withColumn("value_label", F.when(F.col("source") == "collection", F.coalesce("_title", "value")).otherwise(F.col("value"))).drop("_title")
     if swatches is not None:
-        out = out.withColumn("_low", F.lower("value")).join(F.broadcast(swatches.select("shop_id", F.lower("name").alias("_low"), "swatch")), ["shop_id", "_low"], "left").drop("_low")
+        out = out.withColumn("_low", F.lower("value")).join(swatches.select("shop_id", F.lower("name").alias("_low"), "swatch"), ["shop_id", "_low"], "left").drop("_low")
     return out
 
 

@@ -80,7 +80,7 @@ def discover_attributes(products: DataFrame, cap: int = 100) -> DataFrame:
 def cap_catalog(products: DataFrame, shops: DataFrame, order: str = "load_seq") -> DataFrame:
     """At most product_limit products of each shop, in load order; a null limit is none."""
     n = F.row_number().over(W.partitionBy("shop_id").orderBy(F.col(order), "product_id"))
-    limits = F.broadcast(shops.select("shop_id", "product_limit"))
+    limits = shops.select("shop_id", "product_limit")
     return products.withColumn("_n", n).join(limits, "shop_id", "left").where(F.col("product_limit").isNull() | (F.col("_n") <= F.col("product_limit"))).drop("_n", "product_limit")
 
 
@@ -97,7 +97,7 @@ def reconcile_membership(products: DataFrame, members: DataFrame, listings: Data
     mine = members.groupBy(*KEY).agg(F.array_sort(F.collect_set("handle")).alias("_in"))
     full = listings.where("complete").groupBy("shop_id").agg(F.collect_set("handle").alias("_full"))
     none = F.array().cast("array<string>")
-    rows = products.join(mine, KEY, "left").join(F.broadcast(full), "shop_id", "left")
+    rows = products.join(mine, KEY, "left").join(full, "shop_id", "left")
     inn, whole = F.coalesce("_in", none), F.coalesce("_full", none)
     left = F.array_except("collections", F.array_except(whole, inn))
     return rows.withColumn("collections", F.concat(left, F.array_except(inn, left))).drop("_in", "_full").select(*products.columns)
@@ -105,7 +105,7 @@ def reconcile_membership(products: DataFrame, members: DataFrame, listings: Data
 
 def remove_collections(products: DataFrame, collections: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(products without the removed handles, the collections that stay). gone: shop_id, handle."""
-    drop = F.broadcast(gone.groupBy("shop_id").agg(F.collect_set("handle").alias("_gone")))
+    drop = gone.groupBy("shop_id").agg(F.collect_set("handle").alias("_gone"))
     p = products.join(drop, "shop_id", "left").withColumn("collections", F.when(F.col("_gone").isNull(), F.col("collections")).otherwise(F.array_except("collections", F.col("_gone")))).drop("_gone")
     return p.select(*products.columns), collections.join(gone.select("shop_id", "handle"), ["shop_id", "handle"], "left_anti")
 
@@ -113,7 +113,7 @@ def remove_collections(products: DataFrame, collections: DataFrame, gone: DataFr
 def restamp_language(products: DataFrame, shops: DataFrame) -> DataFrame:
     from stallgrid.functions.text import ts_config
 
-    lang = F.broadcast(shops.select("shop_id", ts_config(F.col("search_language")).alias("_lang")))
+    lang = shops.select("shop_id", ts_config(F.col("search_language")).alias("_lang"))
     return products.join(lang, "shop_id", "left").withColumn("ts_config", F.coalesce("_lang", F.lit("simple"))).drop("_lang")
 
 

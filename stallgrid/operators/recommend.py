@@ -44,52 +44,72 @@ def _keys(products: DataFrame) -> DataFrame:
     return products.select("shop_id", "product_id", F.explode(every).alias("x")).select("shop_id", "product_id", "x.*").where("key <> ''")
 
 
-def _affinity(profile: DataFrame, owner: str, products: DataFrame) -> DataFrame:
-    """Score of each candidate for each owner: per kind of signal its weight, once, if any key is shared.
+def _combinations(keys: Column) -> Column:
+    """Every way to share kinds of signal with a product: an array of (score, signature), one key of each shared kind.
 
-    Candidates are first grouped by their whole set of keys: a shop has far fewer distinct sets than products,
-    so owners meet each set once and the sets' members come in after scoring.
+    A signature strings the keys together in the fixed order of their kinds; scores add the kinds' weights.
     """
-    sets = _keys(products).groupBy("shop_id", "product_id").agg(F.sort_array(F.collect_list(F.struct("kind", "key", "weight"))).alias("keys"))
-    sets = sets.withColumn("set_id", F.xxhash64(F.to_json("keys")))
-    kinds = sets.groupBy("shop_id", "set_id").agg(F.first("keys").alias("keys")).select("shop_id", "set_id", F.explode("keys").alias("x")).select("shop_id", "set_id", "x.*")
-    hits = profile.join(kinds, ["shop_id", "kind", "key"]).groupBy("shop_id", owner, "set_id", "kind").agg(F.max("weight").alias("weight"))
-    score = hits.groupBy("shop_id", owner, "set_id").agg(F.sum("weight").alias("score"))
-    return score, sets.select("shop_id", "set_id", "product_id")
+    start = F.array(F.struct(F.lit(0).alias("score"), F.lit("").alias("signature")))
+
+    def add(made: Column, kind: str) -> Column:
+        mine = F.filter(keys, lambda x: x["kind"] == kind)
+        more = F.flatten(F.transform(mine, lambda x: F.transform(made, lambda m: F.struct((m["score"] + x["weight"]).alias("score"), F.concat(m["signature"], F.lit(f"|{kind}="), F.length(x["key"]).cast("string"), F.lit(":"), x["key"]).alias("signature")))))
+        return F.concat(made, more)
+
+    for kind in ("collection", "type", "vendor", "tag"):
+        start = add(start, kind)
+    return F.filter(start, lambda m: m["score"] > 0)
 
 
 def related_attributes(products: DataFrame, k: int = 12) -> DataFrame:
     """For every product those that share collection (3), type (2), vendor (1), tag (1); popularity breaks ties.
 
-    Anchors with equal keys share one scoring; of each set of candidates only its most popular k + 1 can matter,
-    so no more of them are joined, exactly.
+    For each combination of kinds and keys there is a ready list of its k + 1 most popular products. What is among
+    an anchor's best stands in the list of the kinds that the two share, so an anchor reads the lists of its own
+    combinations only, and no list below the score of one that is full. Work grows with the products, not with
+    the pairs that share a key.
     """
     p = _sellable(products)
-    sets = _keys(p).groupBy("shop_id", "product_id").agg(F.sort_array(F.collect_list(F.struct("kind", "key", "weight"))).alias("keys")).withColumn("set_id", F.xxhash64(F.to_json("keys")))
-    distinct = sets.groupBy("shop_id", "set_id").agg(F.first("keys").alias("keys"))
-    kinds = distinct.select("shop_id", "set_id", F.explode("keys").alias("x")).select("shop_id", "set_id", "x.*")
-    a = kinds.select("shop_id", F.col("set_id").alias("anchor_set"), "kind", "key")
-    hits = a.join(kinds, ["shop_id", "kind", "key"]).groupBy("shop_id", "anchor_set", "set_id", "kind").agg(F.max("weight").alias("w")).groupBy("shop_id", "anchor_set", "set_id").agg(F.sum("w").cast("int").alias("score"))
-    member = sets.select("shop_id", "set_id", "product_id").join(p.select("shop_id", "product_id", "popularity"), ["shop_id", "product_id"])
-    best = _top(member, k + 1, ["shop_id", "set_id"], F.desc("popularity"), F.asc("product_id")).drop("rank")
-    cand = _top(hits.join(best, ["shop_id", "set_id"]), k + 1, ["shop_id", "anchor_set"], F.desc("score"), F.desc("popularity"), F.asc("product_id"))
-    anchors = sets.select("shop_id", F.col("set_id").alias("anchor_set"), F.col("product_id").alias("anchor_id"))
-    out = anchors.join(cand.drop("rank"), ["shop_id", "anchor_set"]).where("product_id <> anchor_id")
-    return _top(out, k, ["shop_id", "anchor_id"], F.desc("score"), F.desc("popularity"), F.asc("product_id")).select("shop_id", "anchor_id", "product_id", "score", "rank")
+    keys = _keys(p).groupBy("shop_id", "product_id").agg(F.collect_list(F.struct("kind", "key", "weight")).alias("keys"))
+    made = keys.select("shop_id", "product_id", F.explode(_combinations(F.col("keys"))).alias("x")).select("shop_id", "product_id", "x.*")
+    popular = made.join(p.select("shop_id", "product_id", "popularity"), ["shop_id", "product_id"])
+    best = _top(popular, k + 1, ["shop_id", "signature"], F.desc("popularity"), F.asc("product_id"))
+    lists = best.groupBy("shop_id", "signature").agg(F.collect_list(F.struct("product_id", "popularity")).alias("list"))
+    read = made.withColumnRenamed("product_id", "anchor_id").join(lists, ["shop_id", "signature"]).groupBy("shop_id", "anchor_id").agg(F.collect_list(F.struct("score", "list")).alias("lists"))
+    full = F.array_max(F.transform(F.filter("lists", lambda x: F.size(x["list"]) > k), lambda x: x["score"]))
+    enough = F.filter("lists", lambda x: x["score"] >= F.coalesce(full, F.lit(0)))
+    rows = read.select("shop_id", "anchor_id", F.explode(enough).alias("x")).select("shop_id", "anchor_id", "x.score", F.explode("x.list").alias("y")).select("shop_id", "anchor_id", "y.product_id", "y.popularity", "score")
+    cand = rows.where("product_id <> anchor_id").groupBy("shop_id", "anchor_id", "product_id").agg(F.max("score").alias("score"), F.first("popularity").alias("popularity"))
+    return _top(cand, k, ["shop_id", "anchor_id"], F.desc("score"), F.desc("popularity"), F.asc("product_id")).select("shop_id", "anchor_id", "product_id", "score", "rank")
 
 
 def personalized(seen: DataFrame, products: DataFrame, k: int = 12) -> DataFrame:
-    """Per session: products that share attributes with what it saw, without those; sessions without a match get bestsellers."""
-    p = _sellable(products)
-    profile = seen.join(_keys(products), ["shop_id", "product_id"]).select("shop_id", "session_token", "kind", "key").distinct()
-    score, members = _affinity(profile, "session_token", p)
-    pop = members.join(p.select("shop_id", "product_id", "popularity"), ["shop_id", "product_id"])
-    # A session has at most 20 seen products, so the best k + 20 of a set of equal products suffice.
-    best = _top(pop, k + 20, ["shop_id", "set_id"], F.desc("popularity"), F.asc("product_id")).drop("rank")
-    rows = score.join(best, ["shop_id", "set_id"]).join(seen, ["shop_id", "session_token", "product_id"], "left_anti")
-    top = _top(rows, k, ["shop_id", "session_token"], F.desc("score"), F.desc("popularity"), F.asc("product_id")).select("shop_id", "session_token", "product_id", F.col("score").cast("int").alias("score"), "rank")
-    bare = seen.select("shop_id", "session_token").distinct().join(top, ["shop_id", "session_token"], "left_anti")
-    rest = bare.join(bestsellers(products, k).select("shop_id", "product_id", "rank"), "shop_id").select("shop_id", "session_token", "product_id", F.lit(0).alias("score"), "rank")
+    """Per session: products that share attributes with what it saw, without those; sessions without a match get bestsellers.
+
+    Without the type a product scores 5 at most. So a session that finds ``k`` products of a seen type with more
+    than that is settled; only the others look at products by every kind of key.
+    """
+    p = _sellable(products).select("shop_id", "product_id", "popularity", "product_type", "vendor", "tags", "collections")
+    signals = _keys(products).groupBy("shop_id", "product_id").agg(F.collect_list(F.struct("kind", "key")).alias("keys"))
+    known = seen.join(signals, ["shop_id", "product_id"]).groupBy("shop_id", "session_token").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), F.collect_set("product_id").alias("ids"))
+    of = lambda kind: F.transform(F.filter("keys", lambda x: x["kind"] == kind), lambda x: x["key"])
+    profile = known.select("shop_id", "session_token", "keys", "ids", *[of(x).alias(f"{x}s_seen") for x in ("collection", "type", "vendor", "tag")])
+    has = lambda test, weight: F.when(F.coalesce(test, F.lit(False)), weight).otherwise(0)
+    score = has(F.arrays_overlap("collections_seen", "collections"), 3) + has(F.array_contains("types_seen", F.col("product_type")), 2) + has(F.array_contains("vendors_seen", F.col("vendor")), 1) + has(F.arrays_overlap("tags_seen", "tags"), 1)
+
+    def best(rows: DataFrame, least: int) -> DataFrame:
+        rows = rows.where(~F.array_contains("ids", F.col("product_id"))).select("shop_id", "session_token", "product_id", "popularity", score.alias("score"))
+        return _top(rows.where(F.col("score") >= least), k, ["shop_id", "session_token"], F.desc("score"), F.desc("popularity"), F.asc("product_id")).select("shop_id", "session_token", "product_id", "score", "rank")
+
+    session = ["shop_id", "session_token"]
+    typed = best(profile.withColumn("product_type", F.explode("types_seen")).join(p, ["shop_id", "product_type"]), 6)
+    settled = typed.where(F.col("rank") == k).select(*session)
+    wide = profile.join(settled, session, "left_anti")
+    member = _keys(p).select("shop_id", "product_id", "kind", "key")
+    pairs = wide.select(*session, F.explode("keys").alias("x")).select(*session, "x.*").join(member, ["shop_id", "kind", "key"]).select(*session, "product_id").distinct()
+    top = typed.join(settled, session, "left_semi").unionByName(best(pairs.join(wide, session).join(p, ["shop_id", "product_id"]), 1))
+    bare = seen.select(*session).distinct().join(top.select(*session).distinct(), session, "left_anti")
+    rest = bare.join(bestsellers(products, k).select("shop_id", "product_id", "rank"), "shop_id").select(*session, "product_id", F.lit(0).alias("score"), "rank")
     return top.unionByName(rest)
 
 
@@ -121,10 +141,14 @@ def related_vectors(anchors: DataFrame, vectors: DataFrame, k: int = 12, keys: t
     return _top(rows.select("anchor_id", "product_id", "dist"), k, ["anchor_id"], F.asc("dist"), F.asc("product_id"))
 
 
-def prefix_completions(searches: DataFrame, longest: int = 12, k: int = 5) -> DataFrame:
-    """shop_id, prefix, term, n: the k most searched terms behind every prefix; the term itself drops out after that."""
-    terms = searches.where("results_count > 0").groupBy("shop_id", normalize_query(F.col("term")).alias("term")).agg(F.count("*").alias("n"))
-    rows = terms.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("term"))), lambda i: F.substring(F.col("term"), 1, i))))
+def prefix_completions(searches: DataFrame, longest: int | None = None, k: int = 5) -> DataFrame:
+    """shop_id, prefix, term, n: the k most searched terms behind every prefix; the term itself drops out after that.
+
+    ``longest`` bounds the prefixes of the table, if it is given; without it every prefix of every term is there.
+    """
+    terms = searches.where("results_count > 0").groupBy("shop_id", normalize_query(F.col("term")).alias("term")).agg(F.count("*").alias("n")).where("term <> ''")
+    most = F.length("term") if longest is None else F.least(F.lit(longest), F.length("term"))
+    rows = terms.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), most), lambda i: F.substring(F.col("term"), 1, i))))
     return _top(rows, k, ["shop_id", "prefix"], F.desc("n"), F.asc("term")).where("term <> prefix").select("shop_id", "prefix", "term", "n", "rank")
 
 

@@ -241,7 +241,7 @@ def evaluated(queries: DataFrame, products: DataFrame, cands: DataFrame, rules:
     """
     q = queries.withColumn("norm", normalize_query(F.col("term"))).withColumnsRenamed({"price_min": "q_price_min", "price_max": "q_price_max"})
     if rules is not None and matched is not None:
-        q = q.join(matched, "query_id", "left").join(F.broadcast(rules.select("shop_id", "rule_id", *RULE_COLUMNS)), ["shop_id", "rule_id"], "left")
+        q = q.join(matched, "query_id", "left").join(rules.select("shop_id", "rule_id", *RULE_COLUMNS), ["shop_id", "rule_id"], "left")
     for name, kind in RULE_COLUMNS.items():
         q = q.withColumn(name, F.coalesce(name, F.array().cast(kind)) if rules is not None else F.array().cast(kind))
     rows = cands.join(q, "query_id").join(eligible(products), ["shop_id", "product_id"])
@@ -266,7 +266,7 @@ def totals(rows: DataFrame) -> DataFrame:
 
 def apply_pins(queries: DataFrame, products: DataFrame, rules: DataFrame, matched: DataFrame) -> DataFrame:
     """query_id, product_id, pin_no of pinned products that pass eligibility and filters; the text need not match."""
-    pins = queries.where("sort = 'relevance' OR sort IS NULL").join(matched, "query_id").join(F.broadcast(rules.select("shop_id", "rule_id", "pinned")), ["shop_id", "rule_id"])
+    pins = queries.where("sort = 'relevance' OR sort IS NULL").join(matched, "query_id").join(rules.select("shop_id", "rule_id", "pinned"), ["shop_id", "rule_id"])
     pins = pins.select("query_id", F.posexplode("pinned").alias("pin_no", "product_id"))
     flat = pins.withColumns({"fulltext": F.lit(False), "sim": F.lit(0.0), "dist": F.lit(9.0), "sku": F.lit(False), "text_rank": F.lit(0.0)})
     ok = evaluated(queries, products, flat.drop("pin_no"), rules, matched).where(F.size("failed") == 0).select("query_id", "product_id")

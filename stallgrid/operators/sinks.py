@@ -13,8 +13,11 @@ def safe_cells(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Every cell quoted, quotes doubled, lines ended by CR LF."""
-    safe_cells(df).write.mode("errorifexists").option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").csv(path)
+    """One file with one header; every cell quoted, quotes doubled, lines ended by CR LF.
+
+    For reports, which people open: their rows are bounded by the top-k of what they list.
+    """
+    safe_cells(df).coalesce(1).write.mode("errorifexists").option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").csv(path)
 
 
 def analytics_sections(top: DataFrame, zero: DataFrame, unclicked: DataFrame) -> DataFrame:
@@ -25,7 +28,7 @@ def analytics_sections(top: DataFrame, zero: DataFrame, unclicked: DataFrame) ->
 
 def feed_records(hits: DataFrame, shops: DataFrame) -> DataFrame:
     """One JSON record per hit, typed as a product with an offer; positions run on over pages."""
-    rows = hits.join(F.broadcast(shops.select("shop_id", "domain", "currency_code")), "shop_id", "left")
+    rows = hits.join(shops.select("shop_id", "domain", "currency_code"), "shop_id", "left")
     offer = F.struct(F.lit("Offer").alias("@type"), F.format_string("%.2f", "price_min").alias("price"), F.col("currency_code").alias("priceCurrency"), F.concat(F.lit("https://schema.org/"), F.when(F.col("available"), "InStock").otherwise("OutOfStock")).alias("availability"))
     item = F.struct(F.lit("Product").alias("@type"), F.col("title").alias("name"), F.concat(F.lit("https://"), "domain", F.lit("/products/"), "product_id").alias("url"), F.struct(F.lit("Brand").alias("@type"), F.col("vendor").alias("name")).alias("brand"), offer.alias("offers"))
     return rows.select("query_id", "rank", F.to_json(F.struct(F.lit("ListItem").alias("@type"), F.col("rank").alias("position"), item.alias("item"))).alias("record"))

@@ -182,7 +182,7 @@ SELECT *, CASE WHEN delta IS NULL THEN 'none' WHEN abs(delta) < 0.1 THEN 'no cha
     "beacon_sanitize": with_views("SELECT event_id, kind AS type, substr(repeat(session_token, 20), 1, 64) AS session_token, round(greatest(0, least(1e6, revenue * 1e4 - 2e5)), 4) AS revenue, product_id AS product_ids, order_id FROM v_actions WHERE kind <> 'search'", "v_actions"),
     "popularity_decay": with_views(f"SELECT product_id, round(CASE WHEN popularity > 0 AND (CAST(product_id AS INT) % 3 = 0 OR CAST(product_id AS INT) % 60 > 30) THEN popularity * 0.5 ELSE popularity END, 6) AS popularity FROM v_products", "v_products"),
     "trending": _on_searches(f", g AS (SELECT s.shop_id, s.product_id, count(*) AS clicks FROM searches s JOIN ({_SELL}) p ON p.shop_id = s.shop_id AND p.product_id = s.product_id WHERE s.clicked AND s.ts >= {_NOW} - INTERVAL 7 DAY AND s.ts <= {_NOW} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY clicks DESC, product_id) AS rank FROM g) SELECT * FROM r WHERE rank <= 12 UNION ALL SELECT shop_id, product_id, 0, rank FROM ({_BEST}) b WHERE rank <= 12 AND shop_id NOT IN (SELECT shop_id FROM r)"),
-    "prefix_completions": with_views(", ".join(["t AS (SELECT shop_id, lower(term) AS term, count(*) AS n FROM v_actions WHERE kind = 'search' AND results_count > 0 GROUP BY ALL)", "p AS (SELECT shop_id, term, n, substr(term, 1, i) AS prefix FROM (SELECT *, unnest(range(1, least(12, length(term)) + 1)) AS i FROM t))"]) + " SELECT * FROM (SELECT shop_id, prefix, term, n, row_number() OVER (PARTITION BY shop_id, prefix ORDER BY n DESC, term) AS rank FROM p) WHERE rank <= 5 AND term <> prefix", "v_actions"),
+    "prefix_completions": with_views(", ".join(["t AS (SELECT shop_id, lower(term) AS term, count(*) AS n FROM v_actions WHERE kind = 'search' AND results_count > 0 GROUP BY ALL)", "p AS (SELECT shop_id, term, n, substr(term, 1, i) AS prefix FROM (SELECT *, unnest(range(1, length(term) + 1)) AS i FROM t))"]) + " SELECT * FROM (SELECT shop_id, prefix, term, n, row_number() OVER (PARTITION BY shop_id, prefix ORDER BY n DESC, term) AS rank FROM p) WHERE rank <= 5 AND term <> prefix", "v_actions"),
     "recently_viewed": with_views("SELECT session_token, product_id, rank FROM (SELECT session_token, product_id, row_number() OVER (PARTITION BY shop_id, session_token ORDER BY max(ts) DESC, product_id) AS rank FROM v_actions WHERE kind <> 'search' GROUP BY shop_id, session_token, product_id) WHERE rank <= 20", "v_actions"),
     "recent_searches": with_views("SELECT session_token, term, rank FROM (SELECT session_token, term, row_number() OVER (PARTITION BY shop_id, session_token ORDER BY max(ts) DESC, term) AS rank FROM v_actions WHERE kind = 'search' GROUP BY shop_id, session_token, term) WHERE rank <= 8", "v_actions"),
     "empty_box": _on_searches(f""", b AS ({_BEST}),

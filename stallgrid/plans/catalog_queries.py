@@ -73,7 +73,7 @@ def _substring(spark, d):
 
 
 def _sku(spark, d):
-    q = Tables(spark, d).products().where("product_id % 10 = 3").select(F.col("product_id").cast("int").alias("query_id"), "shop_id", F.upper(F.concat(F.lit(" sku"), "product_id")).alias("term"))
+    q = Tables(spark, d).products().select(F.col("product_id").cast("int").alias("query_id"), "shop_id", F.upper(F.concat(F.lit(" sku"), "product_id")).alias("term"))
     return S.match_sku(q, X.sku_postings(Tables(spark, d).products())).select("query_id", "product_id")
 
 
@@ -157,15 +157,15 @@ def _seen(spark, d):
 
 def _names(spark, d):
     names = Tables(spark, d).read("pages").select(F.concat(F.lit("shop"), (F.col("page_id") % 4).cast("string")).alias("shop_id"), F.col("page_id").cast("string").alias("item_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    q = names.where("item_id % 25 = 0").select(F.col("item_id").alias("query_id"), "shop_id", F.left("title", F.lit(9)).alias("term"), F.lit(True).alias("typo_tolerance"))
+    q = names.where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "shop_id", F.left("title", F.lit(9)).alias("term"), F.lit(True).alias("typo_tolerance"))
     return _long(R.name_suggestions(q, names))
 
 
 QUERIES = {
-    "browse_page": lambda s, d: _long(S.page(S.ranked(browse_rows(s, d)))).where("query_id IN (1, 12)").select("query_id", "rank", "product_id"),
+    "browse_page": lambda s, d: _long(S.page(S.ranked(browse_rows(s, d)))).select("query_id", "rank", "product_id"),
     "filtered_page": filtered_page,
     "totals": lambda s, d: S.totals(browse_rows(s, d)),
-    "price_overlap": lambda s, d: S.ranked(browse_rows(s, d)).where("query_id IN (7, 11)").select("query_id", "product_id"),
+    "price_overlap": lambda s, d: S.ranked(browse_rows(s, d)).where("q_price_min IS NOT NULL OR q_price_max IS NOT NULL").select("query_id", "product_id"),
     "facets_exclude_own": lambda s, d: FA.value_facets(browse_rows(s, d)).select("query_id", "source", "value", "count"),
     "facet_price": lambda s, d: FA.price_facet(browse_rows(s, d)),
     "facet_signature": _signatures,
@@ -255,10 +255,10 @@ _KEYS = "sell AS (SELECT * FROM v_products WHERE status = 'ACTIVE' AND published
 _SCORE = "3 * CAST(a.collection = b.collection AS INT) + 2 * CAST(a.product_type = b.product_type AS INT) + CAST(a.vendor = b.vendor AS INT) + CAST(list_has_any(a.tags, b.tags) AS INT)"
 
 ORACLE_SQL = {
-    "browse_page": _cat(" SELECT query_id, rank, product_id FROM ranked WHERE query_id IN (1, 12) AND rank > (page - 1) * per_page AND rank <= page * per_page"),
+    "browse_page": _cat(" SELECT query_id, rank, product_id FROM ranked WHERE rank > (page - 1) * per_page AND rank <= page * per_page"),
     "filtered_page": _cat(" SELECT query_id, rank, product_id, title, price_min, price_max, 'browse' AS strategy FROM ranked WHERE rank > (page - 1) * per_page AND rank <= page * per_page"),
     "totals": _cat(" SELECT query_id, count(*) AS total FROM hit GROUP BY 1"),
-    "price_overlap": _cat(" SELECT query_id, product_id FROM hit WHERE query_id IN (7, 11)"),
+    "price_overlap": _cat(" SELECT query_id, product_id FROM hit JOIN req USING (query_id) WHERE req.price_min IS NOT NULL OR req.price_max IS NOT NULL"),
     "facets_exclude_own": _cat(", " + _FACETS + " SELECT query_id, source, value, count FROM top WHERE n <= 50"),
     "facet_price": _cat(f" SELECT query_id, min(price_min) AS min, max(price_max) AS max FROM cand WHERE {_others('price')} GROUP BY 1"),
     "facet_signature": _cat(", " + _FACETS + " SELECT query_id, source, value, count FROM top WHERE n <= 50 UNION ALL SELECT query_id + 100, source, value, count FROM top WHERE n <= 50"),
@@ -266,12 +266,12 @@ ORACLE_SQL = {
     "facet_values": with_views(" UNION ALL ".join(f"SELECT shop_id, product_id, '{s}' AS source, {v} AS value FROM v_products" + (f" WHERE {v} IS NOT NULL" if "unnest" not in v else "") for s, v in _VALUES.items()), "v_products"),
     "fulltext_match": with_views(_FULL + " SELECT query_id, product_id FROM ft", "v_products"),
     "substring_match": with_views(f"{requests_cte(TEXT)}, {_ELIG} SELECT query_id, product_id FROM req q JOIN elig p ON p.shop_id = q.shop_id AND contains(lower(p.title), lower(q.term))", "v_products"),
-    "sku_match": with_views("SELECT CAST(product_id AS INT) AS query_id, product_id FROM v_products WHERE CAST(product_id AS INT) % 10 = 3", "v_products"),
+    "sku_match": with_views("SELECT CAST(product_id AS INT) AS query_id, product_id FROM v_products", "v_products"),
     "trigram_fuzzy": with_views(f"{requests_cte(TEXT)}, {_ELIG}, {_SIM} SELECT query_id, product_id, round(sim, 6) AS sim FROM sm JOIN elig p ON p.shop_id = sm.shop_id AND lower(p.title) = sm.t WHERE sim > 0.2", "v_products"),
     "text_rank": with_views(_FULL + f", f AS (SELECT shop_id, product_id, {_TOK.format('title')} AS a, {_TOK.format('sku')} AS a2, {_TOK.format(chr(39) + chr(39) + ' || vendor')} AS b, {_TOK.format('product_type')} AS b2, {_TOK.format(chr(97) + 'rray_to_string(tags, chr(32))')} AS b3, {_TOK.format('description')} AS c FROM elig), one(query_id, tok) AS (VALUES (27, 'economy'), (29, 'r'), (32, 'hot')), n AS (SELECT o.query_id, f.product_id, len(list_filter(list_concat(a, a2), lambda x: x = tok)) * 1.0 + len(list_filter(list_concat(list_concat(b, b2), b3), lambda x: x = tok)) * 0.4 + len(list_filter(c, lambda x: x = tok)) * 0.2 AS r FROM one o JOIN req q ON q.query_id = o.query_id JOIN f ON f.shop_id = q.shop_id) SELECT query_id, product_id, round(r::DOUBLE, 6) AS text_rank FROM n WHERE r > 0", "v_products"),
     "postings": with_views("w AS (" + " UNION ALL ".join(f"SELECT '{n}' AS field, '{k}' AS weight, unnest({_TOK.format(c)}) AS token FROM v_products" for n, k, c in (("title", "A", "title"), ("skus", "A", "sku"), ("vendor", "B", "vendor"), ("product_type", "B", "product_type"), ("tags", "B", "array_to_string(tags, ' ')"), ("description", "C", "description"))) + ") SELECT field, weight, count(*) AS n, count(DISTINCT token) AS tokens FROM w GROUP BY ALL", "v_products"),
     "page_suggestions": f"""WITH n AS (SELECT 'shop' || (page_id % 4) AS shop_id, page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
-f AS (SELECT *, trim(regexp_replace(lower(strip_accents(title)), '\\s+', ' ', 'g')) AS t FROM n), q AS (SELECT page_id AS query_id, shop_id, trim(regexp_replace(lower(strip_accents(substr(title, 1, 9))), '\\s+', ' ', 'g')) AS norm FROM n WHERE page_id % 25 = 0),
+f AS (SELECT *, trim(regexp_replace(lower(strip_accents(title)), '\\s+', ' ', 'g')) AS t FROM n), q AS (SELECT page_id AS query_id, shop_id, trim(regexp_replace(lower(strip_accents(substr(title, 1, 9))), '\\s+', ' ', 'g')) AS norm FROM n WHERE page_id % 50 = 0),
 s AS (SELECT q.query_id, f.page_id, f.title, f.t, q.norm, CASE WHEN sim > 0.2 THEN sim ELSE 0 END AS sim FROM (SELECT q.*, f.page_id, len(list_intersect({_grams('q.norm')}, {_grams('strip_accents(f.title)')})) / len(list_distinct(list_concat({_grams('q.norm')}, {_grams('strip_accents(f.title)')})))::DOUBLE AS sim FROM q JOIN f ON f.shop_id = q.shop_id WHERE q.norm <> '') q JOIN f ON f.page_id = q.page_id WHERE sim > 0.2 OR contains(f.t, q.norm))
 SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(page_id AS VARCHAR) AS item_id, title, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY starts_with(t, norm) DESC, sim DESC, CAST(page_id AS VARCHAR)) AS rank FROM s) WHERE rank <= 4""",
     "rule_match": with_views("""q AS (SELECT DISTINCT shop_id, title AS term, collection, shop_id || '|' || title || '|' || collection AS query_id FROM v_products)

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 AS_OF = "2024-01-31 00:00:00"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; without it only a local session has one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{spark.conf.get('spark.local.dir', '/tmp')}/stallgrid-shared"
+
+
 class Tables:
     """The tables of one folder, and the views on them."""
 

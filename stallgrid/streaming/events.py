@@ -6,6 +6,7 @@ by an event-time timer once the watermark has passed it.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,7 +45,7 @@ def collapse_repeats_stream(searches: DataFrame, seconds: int = 60, late: str =
         state.setTimeoutTimestamp(max(last // 1000 + (seconds + 1) * 1000, state.getCurrentWatermarkMs() + 1))
         yield rows.loc[kept, ["event_id", "ts"]]
 
-    keyed = searches.withWatermark("ts", late).where("session_token IS NOT NULL").groupBy("shop_id", "session_token", "term")
+    keyed = searches.withWatermark("ts", late).groupBy("shop_id", "session_token", "term")
     return keyed.applyInPandasWithState(step, "event_id bigint, ts timestamp", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -75,34 +76,41 @@ def cap_events_stream(events: DataFrame, limit: int = 60, seconds: int = 60, lat
 def attribute_stream(actions: DataFrame, kind: str, hours: int, same_term: bool = False, late: str = "10 minutes") -> DataFrame:
     """event_id, ts, search_id of each action of ``kind``; search_id is null where no search is near enough.
 
-    A null search_id of a click is what a synthetic search is made from. Each key keeps its latest search only,
-    which is the one that any later action belongs to.
+    A null search_id of a click is what a synthetic search is made from. An action waits until the watermark has
+    passed it, and is then given to the latest search at or before it, in whatever order the two came in. A key
+    keeps its waiting actions and the searches of its window.
     """
     keys = ["shop_id", "session_token"] + (["term"] if same_term else [])
+    window = hours * 3_600_000_000
+    none = pd.DataFrame({"event_id": [], "ts": [], "search_id": []}).astype({"event_id": "int64", "ts": "datetime64[us]", "search_id": "Int64"})
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames), ignore_index=True)
-        rows["_at"], rows["_late"] = _micros(rows), (rows["kind"] != "search").astype(int)
-        rows = rows.sort_values(["_at", "_late", "event_id"])
-        last, at = state.get if state.exists else (None, None)
+        searches, waiting = state.get if state.exists else ([], [])
+        searches, waiting = [tuple(x) for x in searches], [tuple(x) for x in waiting]
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames), ignore_index=True)
+            for at, event, what in zip(_micros(rows).tolist(), rows["event_id"].tolist(), rows["kind"], strict=True):
+                (searches if what == "search" else waiting).append((at, event))
+        passed = state.getCurrentWatermarkMs() * 1000
+        searches.sort()
         out = []
-        for r in rows.itertuples():
-            if r.kind == "search":
-                last, at = int(r.event_id), int(rows.at[r.Index, "_at"])
-            else:
-                now = int(rows.at[r.Index, "_at"])
-                out.append((r.event_id, r.ts, last if at is not None and now - at <= hours * 3_600_000_000 else None))
-        if last is not None:
-            state.update((last, at))
-            state.setTimeoutTimestamp(max(at // 1000 + hours * 3_600_000 + 1, state.getCurrentWatermarkMs() + 1))
-        found = pd.DataFrame(out, columns=["event_id", "ts", "search_id"])
-        yield found.astype({"event_id": "int64", "search_id": "Int64"})
+        for at, event in sorted(x for x in waiting if x[0] < passed):
+            i = bisect_right(searches, (at, 2**63)) - 1
+            out.append((event, pd.Timestamp(at, unit="us"), searches[i][1] if i >= 0 and at - searches[i][0] <= window else None))
+        waiting = sorted(x for x in waiting if x[0] >= passed)
+        # A search serves actions that wait or may still come: not those before the watermark.
+        first = min(waiting[0][0] if waiting else passed, passed)
+        searches = [x for x in searches if x[0] >= first - window]
+        if waiting or searches:
+            state.update((searches, waiting))
+            state.setTimeoutTimestamp(max((waiting[0][0] if waiting else searches[-1][0] + window) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["event_id", "ts", "search_id"]).astype({"event_id": "int64", "search_id": "Int64"}) if out else none
 
+    pair = "array<struct<at:bigint,event:bigint>>"
     rows = actions.where(F.col("kind").isin("search", kind) & F.col("session_token").isNotNull()).withWatermark("ts", late)
-    return rows.groupBy(*keys).applyInPandasWithState(step, "event_id bigint, ts timestamp, search_id bigint", "search_id bigint, at bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(step, "event_id bigint, ts timestamp, search_id bigint", f"searches {pair}, waiting {pair}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def unique_orders_stream(purchases: DataFrame, late: str = "1 day") -> DataFrame:

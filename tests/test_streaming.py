@@ -1,5 +1,8 @@
 """Streams over several small files give what the batch jobs give over all rows."""
 
+import datetime
+import time
+
 from pyspark.sql import functions as F
 
 from stallgrid.operators import events as E
@@ -25,7 +28,30 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     kept = ST.finished(ST.collapse_repeats_stream(s.where("kind = 'search'"), 6 * 3600), str(tmp_path / "dedup"))
     assert ids(kept.select("event_id")) == ids(E.collapse_repeats(a.where("kind = 'search'"), 6 * 3600).select("event_id"))
     got = ST.finished(ST.attribute_stream(s, "add_to_cart", 24), str(tmp_path / "cart"))
-    assert ids(got.where("search_id IS NOT NULL").select("event_id", "search_id")) == ids(E.attribute(a, "add_to_cart", 24).select("event_id", "search_id"))
+    # The last ten minutes wait for the watermark.
+    due = F.col("ts") < a.agg(F.max("ts").alias("m")).first().m - datetime.timedelta(minutes=10)
+    assert ids(got.where("search_id IS NOT NULL").where(due).select("event_id", "search_id")) == ids(E.attribute(a, "add_to_cart", 24).where(due).select("event_id", "search_id"))
+
+
+def test_attribution_out_of_order(spark, tmp_path):
+    """Searches and clicks in any order over several batches belong together as they do in one batch."""
+    at = lambda h, m: datetime.datetime(2024, 1, 5, h, m)
+    rows = [
+        [(1, at(8, 0), "search"), (2, at(9, 30), "search"), (3, at(9, 0), "click")],
+        [(4, at(8, 50), "search"), (5, at(9, 40), "click"), (6, at(8, 10), "click"), (7, at(7, 0), "click")],
+        [(8, at(9, 35), "search"), (9, at(12, 0), "click")],
+        [(10, datetime.datetime(2024, 3, 1), "search")],
+    ]
+    schema = "event_id bigint, ts timestamp, kind string"
+    every = None
+    for part in rows:
+        df = spark.createDataFrame(part, schema).select("event_id", F.lit("s").alias("shop_id"), F.when(F.col("event_id") == 10, "other").otherwise("st").alias("session_token"), "ts", "kind", F.lit(1).alias("results_count"), F.lit("t").alias("term"), F.lit("p").alias("product_id"), F.lit("o").alias("order_id"), F.lit(0.0).alias("revenue"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        every = df if every is None else every.unionByName(df)
+        time.sleep(1.1)  # files are read by their time
+    s = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = ids(ST.finished(ST.attribute_stream(s, "click", 2, late="3 hours"), str(tmp_path / "out")).where("search_id IS NOT NULL").select("event_id", "search_id"))
+    assert got == ids(E.attribute(every, "click", 2).select("event_id", "search_id")) == [(3, 4), (5, 8), (6, 1)]
 
 
 def test_catalog_stream_writes_versions(spark, sf, tmp_path):

@@ -12,6 +12,7 @@ def test_normalize(spark):
     assert value(spark, T.normalize_query, None) == ""
     assert value(spark, T.tokenize, "T-Shirt, été!") == ["t", "shirt", "ete"]
     assert value(spark, T.fold_accents, "søß") == "søß"
+    assert value(spark, T.fold_accents, "ế ậ ά й Ǘ e\u0301 한") == "e a α и U e 한"
 
 
 def test_sku(spark):
