@@ -19,9 +19,12 @@ FREE: list[Callable[[], None]] = []
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the folder of spark.checkpoint.dir, or a scratch one where that is unset (tests)."""
+    """Make checkpoint() usable: the folder of spark.checkpoint.dir, or a scratch one of a local session (tests)."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

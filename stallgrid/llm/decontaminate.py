@@ -14,7 +14,8 @@ substitutions of it.
 4. Candidates whose common words suffice for the allowed edits are verified by exact edit distance.
 
 Everything is one pass over the documents without a shuffle. Items are sent to the workers in blocks of
-``BLOCK_ITEMS``; more items mean more passes, never a larger broadcast.
+``BLOCK_ITEMS``; more items mean more passes, never a larger broadcast: what a block found is written down and its
+broadcast dropped before the next block is collected.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import checkpointed, text_chunks
 
 BITS = 2
 BLOCK_ITEMS = 20_000
@@ -120,18 +122,18 @@ class ItemIndex:
         self.samples = []  # per class and repetition: places, seed of the walk, key -> items
         for c in self.classes:
             size, group = c.size, c.items
-            small = min(len(self.items[k]) for k in group)
+            sizes = np.array([len(self.items[k]) for k in group])
+            small, strung, begins = int(sizes.min()), np.concatenate([self.items[k] for k in group]), np.cumsum(sizes) - sizes
             for _ in range(repetitions):
                 places = np.sort(rng.choice(max(1, 2 * small), size=min(BITS, max(1, 2 * small)), replace=False))
                 walk = int(rng.integers(1, 2**62))
                 keyed: dict[int, list[int]] = {}
-                for k in group:
-                    key = self.embed(self.items[k], np.zeros(1, np.int64), len(self.items[k]), places, walk)[0]
-                    keyed.setdefault(int(key), []).append(k)
+                for k, key in zip(group, self.embed(strung, begins, sizes, places, walk).tolist(), strict=True):
+                    keyed.setdefault(key, []).append(k)
                 names = np.array(sorted(keyed), np.int64)
                 self.samples.append((size, places, walk, names, [keyed[int(x)] for x in names]))
 
-    def embed(self, seq: np.ndarray, starts: np.ndarray, size: int, places: np.ndarray, walk: int) -> np.ndarray:
+    def embed(self, seq: np.ndarray, starts: np.ndarray, size: int | np.ndarray, places: np.ndarray, walk: int) -> np.ndarray:
         """Keys of the sampled places of the windows seq[start : start + size]; places past a window's end are blank."""
         v = len(self.vocab) + 2
         at, key = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
@@ -219,7 +221,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.2, recall: flo
 
     Nulls: a null text has no words, a row with a null item_id or item text is no item. Items without words never
     match. Repeated items with the same text are reported each; of several places in a document the nearest
-    found first. Rows with equal doc_id are searched on their own.
+    found first. Rows with equal doc_id are searched on their own; a text of any length is searched as a whole.
     """
     spark = docs.sparkSession
     rows = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
@@ -227,7 +229,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.2, recall: flo
     src = docs.select(F.col("doc_id").cast("bigint"), F.col(text).cast("string").alias("text"))
     schema = "doc_id bigint, item_id bigint, edits int, first_word int, words int, item_words int"
 
-    def search(block: list[tuple[int, bytes]]) -> DataFrame:
+    def search(block: list[tuple[int, bytes]]) -> tuple[DataFrame, Broadcast]:
         shared = spark.sparkContext.broadcast(ItemIndex(sorted(block), rate, repetitions_for(recall)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,13 +242,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = 0.2, recall: flo
                         ids = batch.column(0).take(pa.array([first + x for x in doc]))
                         yield pa.RecordBatch.from_arrays([ids, pa.array([ix.ids[x] for x in item], pa.int64()), *(pa.array(x, pa.int32()) for x in rest)], schema_names)
 
-        return src.mapInArrow(run, schema)
+        return src.mapInArrow(run, schema), shared
 
     schema_names = [x.split()[0] for x in schema.split(", ")]
     out = None
     for b in range(n_blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).collect()
-        one = search([(r.item_id, r.text.encode("utf-8", "replace")) for r in part])
+        one, shared = search([(r.item_id, r.text.encode("utf-8", "replace")) for r in part])
+        if n_blocks > 1:
+            one = checkpointed(one)
+            shared.unpersist()
         out = one if out is None else out.unionByName(one)
     return out
 
