@@ -9,14 +9,17 @@ evaluated once per candidate, and hits, totals and facets are read off the same
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stallgrid.functions.text import fold_accents, looks_like_sku, normalize_query, trigrams, word_sim
-from stallgrid.operators.index import WEIGHTS, build_postings, sku_postings, title_grams
-from stallgrid.operators.prepare import expand_synonyms, query_terms
+from stallgrid.operators.index import WEIGHTS, apply_stems, build_postings, sku_postings, title_grams
+from stallgrid.operators.prepare import apply_redirects, expand_synonyms, match_rules, query_terms
 
+# Sorts, limits of similarity and distance, deepest page and largest page.
 SORTS = ("relevance", "price_asc", "price_desc", "title_asc", "title_desc", "newest", "bestselling")
 FUZZY, SEMANTIC, SPELLING = 0.2, 0.62, 0.3
 MAX_PAGE, MAX_PER_PAGE = 200, 48
@@ -138,15 +141,20 @@ def cover_density(terms: DataFrame, queries: DataFrame, postings: DataFrame) ->
 # ---- candidates, filters, scores ----
 
 
-def candidates(queries: DataFrame, products: DataFrame, synonyms: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
-    """query_id, product_id and the match parts of every request: text matches of those with a term, else all of the shop."""
+def candidates(queries: DataFrame, products: DataFrame, synonyms: DataFrame | None = None, vectors: DataFrame | None = None, stems: DataFrame | None = None) -> DataFrame:
+    """query_id, product_id and the match parts of every request: text matches of those with a term, else all of the shop.
+
+    With ``stems`` (lang, token, stem) words are compared by their stems, those of a request in its ``lang``.
+    """
     p = eligible(products)
     q = queries.withColumn("norm", normalize_query(F.col("term")))
     typed, browse = q.where("norm <> ''"), q.where("norm = ''")
     if synonyms is None:
         synonyms = q.sparkSession.createDataFrame([], "shop_id string, rule_id string, type string, input string, terms array<string>")
     terms = query_terms(expand_synonyms(typed, synonyms))
-    postings = build_postings(p)
+    postings = build_postings(p, stems)
+    if stems is not None:
+        terms = apply_stems(terms.join(queries.select("query_id", "lang"), "query_id"), stems).drop("lang").distinct()
     flag = lambda df, **c: df.select("query_id", "product_id", *[c.get(k, F.lit(d)).alias(k) for k, d in (("fulltext", False), ("sim", 0.0), ("dist", 9.0), ("sku", False))])
     parts = [
         flag(match_fulltext(terms, typed, postings), fulltext=F.lit(True)),
@@ -306,3 +314,36 @@ def suggest_spelling(queries: DataFrame, products: DataFrame, counts: DataFrame,
     best = words.where(~F.array_contains("typed", F.col("word"))).withColumn("ws", sim).where("ws > 0.34").groupBy("query_id").agg(F.max_by("word", F.struct("ws", "word")).alias("word"))
     whole = top.where("n = 1").select("query_id", "folded_title")
     return whole.join(best, "query_id", "left").select("query_id", F.coalesce("word", "folded_title").alias("suggestion"))
+
+
+@dataclass
+class Found:
+    """What a table of requests finds; every part is a plan of its own over the same rows."""
+
+    redirected: DataFrame | None  # requests that a redirect answers, with url
+    rows: DataFrame  # candidates with scores and failed filters: what facets count
+    hits: DataFrame  # the asked page of each request, ranked
+    totals: DataFrame
+    suggestions: DataFrame  # spelling, for requests with few hits
+
+
+def search(
+    queries: DataFrame, products: DataFrame, as_of: str, *, synonyms: DataFrame | None = None, redirects: DataFrame | None = None,
+    rules: DataFrame | None = None, vectors: DataFrame | None = None, stems: DataFrame | None = None,
+) -> Found:
+    """A whole search: redirects, synonyms, candidates, rules, filters, scores, pins, order, page, totals, spelling.
+
+    Each table that is left out leaves its step out. ``rules`` have parsed conditions (``parse_conditions``).
+    """
+    redirected, rest = apply_redirects(queries, redirects) if redirects is not None else (None, queries)
+    matched = match_rules(rest, rules, as_of) if rules is not None else None
+    rows = evaluated(rest, products, candidates(rest, products, synonyms, vectors, stems), rules, matched)
+    pins = None
+    if rules is not None:
+        # A pinned product need not match the term.
+        pins = apply_pins(rest, products, rules, matched)
+        blank = {"fulltext": F.lit(False), "sim": F.lit(0.0), "dist": F.lit(9.0), "sku": F.lit(False), "text_rank": F.lit(0.0)}
+        missing = pins.join(rows.select("query_id", "product_id"), ["query_id", "product_id"], "left_anti").select("query_id", "product_id").withColumns(blank)
+        rows = rows.unionByName(evaluated(rest, products, missing, rules, matched))
+    count = totals(rows)
+    return Found(redirected, rows, page(ranked(rows, pins)), count, suggest_spelling(rest, products, count))

@@ -8,6 +8,7 @@ from stallgrid.functions.text import ab_bucket
 from stallgrid.operators import analytics as A
 from stallgrid.operators import events as E
 from stallgrid.operators import recommend as R
+from stallgrid.plans.search_sql import grams, jaccard, whole_grams
 from stallgrid.plans.fixtures import AS_OF, Tables, with_views
 
 #: Longer attribution windows than the defaults: the events are sparse.
@@ -81,7 +82,18 @@ def _syn(spark, d):
     return _first(A.synonym_candidates(odd, Tables(spark, d).products(), s, AS_OF))
 
 
+def _plan_window(spark, d):
+    """Every shop's searches as far back as its plan goes; shops' plans by their number of sessions."""
+    rows = searches(spark, d)
+    plan = F.when(F.col("shop_id") == "shop0", "free").when(F.col("shop_id") == "shop1", "starter").otherwise("growth")
+    days = A.clamp_days(rows.select("shop_id").distinct().withColumn("plan_name", plan).withColumn("plan_override", F.when(F.col("shop_id") == "shop3", "free")), 20)
+    now = F.lit(AS_OF).cast("timestamp")
+    kept = rows.join(days, "shop_id").where((F.col("ts") <= now) & (F.col("ts") >= now - F.make_interval(days=F.col("days"))))
+    return kept.groupBy("shop_id", F.col("days").cast("bigint").alias("days")).agg(F.count("*").alias("searches"))
+
+
 QUERIES = {
+    "plan_window": _plan_window,
     "funnel_totals": lambda s, d: A.funnel_totals(searches(s, d), AS_OF, 15),
     "funnel_rates": lambda s, d: A.funnel_rates(A.funnel_totals(searches(s, d), AS_OF)).drop("revenue"),
     "period_delta": lambda s, d: A.period_delta(A.funnel_totals(searches(s, d), AS_OF, 15)),
@@ -151,7 +163,16 @@ w AS (SELECT t.event_id, t.shop_id, t.session_token, row_number() OVER (PARTITIO
   FROM t JOIN k ON k.shop_id = t.shop_id AND k.session_token = t.session_token AND t.ts >= k.ts AND t.ts < k.ts + INTERVAL 120 HOUR)
 """
 
+_ODD = r"regexp_replace(term, '[aeiou]', 'e', 'g')"
 ORACLE_SQL = {
+    "plan_window": _on_searches(f" SELECT shop_id, days, count(*) AS searches FROM (SELECT *, CAST(CASE WHEN shop_id IN ('shop0', 'shop3') THEN 7 ELSE 20 END AS BIGINT) AS days FROM searches) WHERE ts <= {_NOW} AND ts >= {_NOW} - to_days(days::INT) GROUP BY ALL"),
+    "synonym_candidates": _on_searches(f""", z AS (SELECT shop_id, {_ODD} AS term, count(*) AS searches FROM searches WHERE results_count = 0 AND {_WIN} AND length(trim(term)) >= 3 GROUP BY ALL),
+zt AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY shop_id ORDER BY searches DESC, term) <= 40), terms AS (SELECT * FROM zt WHERE NOT (shop_id = 'shop0' AND term IN ('hot bolt', 'screw')) AND NOT (shop_id = 'shop1' AND term IN ('plate', 'plat'))),
+titles AS (SELECT DISTINCT shop_id, title FROM v_products),
+near AS (SELECT shop_id, term, searches, title FROM (SELECT t.shop_id, term, searches, title, {jaccard(grams('term'), grams('title'))} AS sim, len(list_intersect({grams('term')}, {grams('title')})) AS n FROM terms t JOIN titles USING (shop_id)) WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY shop_id, term ORDER BY sim DESC, title DESC) = 1),
+w AS (SELECT *, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 3))) AS word FROM near),
+ws AS (SELECT *, round({jaccard(whole_grams('word'), whole_grams('term'))}, 6) AS sim FROM w), best AS (SELECT * FROM ws WHERE sim > 0.3 QUALIFY row_number() OVER (PARTITION BY shop_id, term ORDER BY sim DESC, word DESC) = 1)
+SELECT * FROM (SELECT shop_id, term, searches, title, word, sim, row_number() OVER (PARTITION BY shop_id ORDER BY searches DESC, term) AS rank FROM best) WHERE rank <= 10"""),
     "event_cap": with_views(CAPPED + "SELECT shop_id, session_token, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM w WHERE n <= 3 GROUP BY ALL", "v_actions").replace("WITH ", "WITH RECURSIVE ", 1),
     "ab_bucket": with_views(f"SELECT event_id, CASE WHEN {_FNV.format('session_token')} THEN 'a' ELSE 'b' END AS bucket FROM v_actions", "v_actions"),
     "ab_arms": _on_searches(f", b AS (SELECT *, CASE WHEN {_FNV.format('session_token')} THEN 'a' ELSE 'b' END AS bucket FROM searches WHERE {_WIN}), f AS (SELECT shop_id, bucket, {_FUN} FROM b GROUP BY ALL), r AS (SELECT *, {_rate('purchases')} AS purchase_rate FROM f) SELECT *, purchase_rate = max(purchase_rate) OVER (PARTITION BY shop_id) AND min(purchase_rate) OVER (PARTITION BY shop_id) < purchase_rate AND searches >= 20 AS winner FROM r"),

@@ -10,6 +10,7 @@ from stallgrid.operators import index as X
 from stallgrid.operators import prepare as P
 from stallgrid.operators import recommend as R
 from stallgrid.operators import search as S
+from stallgrid.plans import search_sql
 from stallgrid.plans.fixtures import AS_OF, Tables, with_views
 from stallgrid.plans.requests import TEXT, requests, requests_cte
 
@@ -79,7 +80,8 @@ def _sku(spark, d):
 
 def _text_rank(spark, d):
     q = requests(spark, TEXT)
-    return S.cover_density(_terms(spark).where("query_id IN (27, 29, 32)"), q, X.build_postings(S.eligible(Tables(spark, d).products()))).select("query_id", "product_id", F.round("text_rank", 6).alias("text_rank"))
+    ranks = S.cover_density(_terms(spark), q, X.build_postings(S.eligible(Tables(spark, d).products()))).where("text_rank > 0")
+    return ranks.select("query_id", "product_id", F.round("text_rank", 6).alias("text_rank"))
 
 
 def search_ranked(spark, d):
@@ -91,14 +93,47 @@ def search_explain(spark, d):
     return S.ranked(text_rows(spark, d, True)).select("query_id", "product_id", *[F.round(c, 6).alias(c) for c in names])
 
 
+REDIRECTS = [("shop1", "RED  widget", "/pages/red"), ("shop0", "Hot Bolt", "/pages/bolts"), ("shop2", "small ring", "/pages/rings")]
+
+
+def redirects(spark):
+    return spark.createDataFrame(REDIRECTS, "shop_id string, query string, url string")
+
+
 def pinned_page(spark, d):
-    q, p, m = requests(spark, TEXT), Tables(spark, d).products(), merch_rules(spark)
-    matched = P.match_rules(q, m, AS_OF)
-    rows = text_rows(spark, d, True)
-    pins = S.apply_pins(q, p, m, matched)
-    missing = pins.join(rows.select("query_id", "product_id"), ["query_id", "product_id"], "left_anti").select("query_id", "product_id").withColumns({"fulltext": F.lit(False), "sim": F.lit(0.0), "dist": F.lit(9.0), "sku": F.lit(False), "text_rank": F.lit(0.0)})
-    every = rows.unionByName(S.evaluated(q, p, missing, m, matched))
-    return _long(S.page(S.ranked(every, pins))).select("query_id", "rank", "product_id", "pinned_hit")
+    found = S.search(requests(spark, TEXT), Tables(spark, d).products(), AS_OF, synonyms=synonyms(spark), rules=merch_rules(spark))
+    return _long(found.hits).select("query_id", "rank", "product_id", "pinned_hit")
+
+
+def _search_totals(spark, d):
+    """A whole search with redirects: what each request that is not redirected finds, pins included."""
+    found = S.search(requests(spark, TEXT), Tables(spark, d).products(), AS_OF, synonyms=synonyms(spark), redirects=redirects(spark), rules=merch_rules(spark))
+    return found.totals.select("query_id", "total", F.lit("").alias("url")).unionByName(found.redirected.select("query_id", F.lit(0).cast("bigint").alias("total"), "url"))
+
+
+def _redirects(spark, d):
+    """Every title of the catalog as a request."""
+    q = Tables(spark, d).products().select("shop_id", F.col("product_id").alias("query_id"), F.upper("title").alias("term"))
+    return P.apply_redirects(q, redirects(spark))[0].select("query_id", "url")
+
+
+def _stems(spark, d):
+    """A dictionary out of the given documents: words of five letters and more lose a last e."""
+    words = Tables(spark, d).read("documents").select("lang", F.explode(T.tokenize(F.col("text"))).alias("token")).distinct()
+    return words.where("length(token) >= 5 AND token LIKE '%e'").withColumn("stem", F.expr("left(token, length(token) - 1)"))
+
+
+def _stemmed(spark, d):
+    p = X.build_postings(Tables(spark, d).products(), _stems(spark, d))
+    return p.groupBy("field").agg(F.count("*").alias("n"), F.countDistinct("token").alias("tokens"))
+
+
+def _backlog(spark, d):
+    """A third of the products has a vector of its text, a third one of another text, a third none."""
+    n = F.col("product_id").cast("int") % 3
+    p = Tables(spark, d).products()
+    p = p.withColumn("content_hash", F.when(n == 0, F.sha2(X.embedding_text(), 256)).when(n == 1, F.sha2("title", 256)))
+    return X.pending_embeddings(p).select("product_id", F.col("new_hash").alias("h"))
 
 
 def _rule_match(spark, d):
@@ -180,6 +215,10 @@ QUERIES = {
     "search_ranked": search_ranked,
     "search_explain": search_explain,
     "pinned_page": pinned_page,
+    "search_composed": _search_totals,
+    "redirects": _redirects,
+    "stemmed_postings": _stemmed,
+    "embedding_backlog": _backlog,
     "rule_match": _rule_match,
     "did_you_mean": _spelling,
     "product_suggestions": lambda s, d: _long(R.product_suggestions(text_rows(s, d))).select("query_id", "product_id", F.round("score", 6).alias("score"), "rank"),
@@ -268,7 +307,6 @@ ORACLE_SQL = {
     "substring_match": with_views(f"{requests_cte(TEXT)}, {_ELIG} SELECT query_id, product_id FROM req q JOIN elig p ON p.shop_id = q.shop_id AND contains(lower(p.title), lower(q.term))", "v_products"),
     "sku_match": with_views("SELECT CAST(product_id AS INT) AS query_id, product_id FROM v_products", "v_products"),
     "trigram_fuzzy": with_views(f"{requests_cte(TEXT)}, {_ELIG}, {_SIM} SELECT query_id, product_id, round(sim, 6) AS sim FROM sm JOIN elig p ON p.shop_id = sm.shop_id AND lower(p.title) = sm.t WHERE sim > 0.2", "v_products"),
-    "text_rank": with_views(_FULL + f", f AS (SELECT shop_id, product_id, {_TOK.format('title')} AS a, {_TOK.format('sku')} AS a2, {_TOK.format(chr(39) + chr(39) + ' || vendor')} AS b, {_TOK.format('product_type')} AS b2, {_TOK.format(chr(97) + 'rray_to_string(tags, chr(32))')} AS b3, {_TOK.format('description')} AS c FROM elig), one(query_id, tok) AS (VALUES (27, 'economy'), (29, 'r'), (32, 'hot')), n AS (SELECT o.query_id, f.product_id, len(list_filter(list_concat(a, a2), lambda x: x = tok)) * 1.0 + len(list_filter(list_concat(list_concat(b, b2), b3), lambda x: x = tok)) * 0.4 + len(list_filter(c, lambda x: x = tok)) * 0.2 AS r FROM one o JOIN req q ON q.query_id = o.query_id JOIN f ON f.shop_id = q.shop_id) SELECT query_id, product_id, round(r::DOUBLE, 6) AS text_rank FROM n WHERE r > 0", "v_products"),
     "postings": with_views("w AS (" + " UNION ALL ".join(f"SELECT '{n}' AS field, '{k}' AS weight, unnest({_TOK.format(c)}) AS token FROM v_products" for n, k, c in (("title", "A", "title"), ("skus", "A", "sku"), ("vendor", "B", "vendor"), ("product_type", "B", "product_type"), ("tags", "B", "array_to_string(tags, ' ')"), ("description", "C", "description"))) + ") SELECT field, weight, count(*) AS n, count(DISTINCT token) AS tokens FROM w GROUP BY ALL", "v_products"),
     "page_suggestions": f"""WITH n AS (SELECT 'shop' || (page_id % 4) AS shop_id, page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
 f AS (SELECT *, trim(regexp_replace(lower(strip_accents(title)), '\\s+', ' ', 'g')) AS t FROM n), q AS (SELECT page_id AS query_id, shop_id, trim(regexp_replace(lower(strip_accents(substr(title, 1, 9))), '\\s+', ' ', 'g')) AS norm FROM n WHERE page_id % 50 = 0),
@@ -279,6 +317,9 @@ SELECT query_id, CAST(CASE shop_id WHEN 'shop0' THEN 3 WHEN 'shop1' THEN 1 ELSE
     "first_variant": with_views("SELECT shop_id, product_id, min_by(variant_id, (NOT available, variant_id)) AS variant_id, count(*) AS n_variants FROM v_variants GROUP BY ALL", "v_variants"),
     "embedding_text": with_views("SELECT product_id, sha256(substr(concat_ws('. ', nullif(trim(title), ''), nullif(trim(product_type), ''), nullif(trim(vendor), ''), nullif(trim(array_to_string(tags, ', ')), ''), nullif(trim(substr(description, 1, 1000)), '')), 1, 4000)) AS h FROM v_products", "v_products"),
     "normalize_text": r"WITH n AS (SELECT doc_id, lang, trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, sha256(t) AS h, len(list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS tokens, 'simple' AS config FROM n",
+    "redirects": with_views("SELECT product_id AS query_id, CASE shop_id WHEN 'shop1' THEN '/pages/red' WHEN 'shop0' THEN '/pages/bolts' ELSE '/pages/rings' END AS url FROM v_products WHERE (shop_id, title) IN (('shop1', 'red widget'), ('shop0', 'hot bolt'), ('shop2', 'small ring'))", "v_products"),
+    "stemmed_postings": with_views("d AS (SELECT DISTINCT lang, token FROM (SELECT lang, unnest(" + _TOK.format("text") + ") AS token FROM documents) WHERE length(token) >= 5 AND token LIKE '%e'), w AS (" + " UNION ALL ".join(f"SELECT lang, '{n}' AS field, unnest({_TOK.format(c)}) AS token FROM v_products" for n, c in (("title", "title"), ("skus", "sku"), ("vendor", "vendor"), ("product_type", "product_type"), ("tags", "array_to_string(tags, ' ')"), ("description", "description"))) + ") SELECT field, count(*) AS n, count(DISTINCT CASE WHEN field <> 'skus' AND d.token IS NOT NULL THEN left(w.token, length(w.token) - 1) ELSE w.token END) AS tokens FROM w LEFT JOIN d ON d.lang = w.lang AND d.token = w.token GROUP BY 1", "v_products"),
+    "embedding_backlog": with_views("SELECT product_id, sha256(substr(concat_ws('. ', nullif(trim(title), ''), nullif(trim(product_type), ''), nullif(trim(vendor), ''), nullif(trim(array_to_string(tags, ', ')), ''), nullif(trim(substr(description, 1, 1000)), '')), 1, 4000)) AS h FROM v_products WHERE CAST(product_id AS INT) % 3 <> 0", "v_products"),
     "bestsellers": with_views(f"{_KEYS} SELECT * FROM (SELECT shop_id, product_id, row_number() OVER (PARTITION BY shop_id ORDER BY popularity DESC, published_at DESC NULLS LAST, product_id) AS rank FROM sell) WHERE rank <= 12", "v_products"),
     "recent": with_views(f"{_KEYS} SELECT * FROM (SELECT shop_id, product_id, row_number() OVER (PARTITION BY shop_id ORDER BY published_at DESC NULLS LAST, product_id) AS rank FROM sell) WHERE rank <= 12", "v_products"),
     "related_attributes": with_views(f"{_KEYS} SELECT * FROM (SELECT a.shop_id, a.product_id AS anchor_id, b.product_id, {_SCORE} AS score, row_number() OVER (PARTITION BY a.shop_id, a.product_id ORDER BY {_SCORE} DESC, b.popularity DESC, b.product_id) AS rank FROM sell a JOIN sell b ON b.shop_id = a.shop_id AND b.product_id <> a.product_id WHERE {_SCORE} > 0) WHERE rank <= 6", "v_products"),
@@ -292,3 +333,4 @@ SELECT * EXCLUDE (popularity) FROM (SELECT *, row_number() OVER (PARTITION BY sh
     "related_vectors": f"WITH {_VEC} SELECT * FROM (SELECT a.id AS anchor_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - {_UNIT}, 6), b.id) AS rank FROM ve a JOIN ve b ON b.shop_id = a.shop_id AND b.id <> a.id WHERE a.vec_id % 50 = 0) WHERE rank <= 5",
     "semantic_match": f"WITH {_VEC} SELECT a.id AS query_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist FROM ve a JOIN ve b ON b.shop_id = a.shop_id WHERE a.vec_id % 50 = 0 AND 1 - {_UNIT} < 0.8",
 }
+ORACLE_SQL |= search_sql.ORACLE_SQL

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stallgrid.functions import text as T
@@ -11,7 +13,7 @@ from stallgrid.operators import search as S
 from stallgrid.operators import sinks
 from stallgrid.plans.analytics_queries import _SEARCHES, searches
 from stallgrid.plans.catalog_queries import _cat, browse_rows
-from stallgrid.plans.fixtures import AS_OF, Tables, with_views
+from stallgrid.plans.fixtures import AS_OF, Tables, shared_folder, with_views
 from stallgrid.sources import catalog as C
 
 
@@ -38,6 +40,14 @@ def _roundtrip(spark, d):
     return x.select("shop_id", "product_id", "title", "vendor", "status", "available", F.round("price_min", 2).alias("price_min"), F.round("price_max", 2).alias("price_max"), F.array_join("collections", ",").alias("collections"), F.element_at("metafields", "custom.material").alias("material"), F.size("skus").cast("bigint").alias("n_skus"), F.size(F.element_at("options", "Supplier")).cast("bigint").alias("n_options"))
 
 
+def _export_files(spark, d):
+    """Each shop's export written as a file of lines, and read back from it."""
+    folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    export_lines(spark, d).write.partitionBy("shop_id").text(folder)
+    parts = [C.read_export(spark, f"{folder}/shop_id=shop{i}", f"shop{i}") for i in range(4)]
+    return M.union(*parts).groupBy("shop_id", "kind").agg(F.count("*").alias("lines"))
+
+
 def _rejects(spark, d):
     lines = C.parse_export(export_lines(spark, d)).where("kind <> 'product' OR id NOT LIKE '%7'")
     return C.regroup_export(lines)[1].select("shop_id", T.gid_id(F.col("parent")).alias("product_id"), F.col("variants").cast("bigint").alias("variants"))
@@ -150,6 +160,7 @@ def _highlight(spark, d):
 
 QUERIES = {
     "export_roundtrip": _roundtrip,
+    "export_files": _export_files,
     "export_rejects": _rejects,
     "payload_merge": _payload_merge,
     "html_clean": lambda s, d: Tables(s, d).read("pages").select("page_id", F.sha2(T.strip_html(F.col("html")), 256).alias("h")),
@@ -175,6 +186,7 @@ _STRIP = r"""SELECT page_id, sha256(substr(trim(regexp_replace(
   SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&amp;', 'AMPMARK') AS t FROM pages)"""
 
 ORACLE_SQL = {
+    "export_files": with_views("SELECT shop_id, 'product' AS kind, count(*) AS lines FROM v_products GROUP BY 1 UNION ALL SELECT shop_id, 'collection', count(*) FROM v_products GROUP BY 1 UNION ALL SELECT shop_id, 'metafield', count(*) FROM v_products WHERE material IS NOT NULL GROUP BY 1 UNION ALL SELECT shop_id, 'variant', count(*) FROM v_variants GROUP BY 1", "v_products", "v_variants"),
     "export_roundtrip": with_views("""w AS (SELECT shop_id, product_id, bool_or(available) AS a, count(DISTINCT sku) AS n FROM v_variants GROUP BY ALL)
 SELECT p.shop_id, p.product_id, p.title, p.vendor, p.status, coalesce(w.a, false) AS available, round(p.price_min, 2) AS price_min, round(p.price_max, 2) AS price_max, p.collection AS collections, p.material, least(200, coalesce(w.n, 0)) AS n_skus, w.n AS n_options FROM v_products p LEFT JOIN w ON w.shop_id = p.shop_id AND w.product_id = p.product_id""", "v_products", "v_variants"),
     "export_rejects": with_views("SELECT p.shop_id, p.product_id, count(v.variant_id) AS variants FROM v_products p LEFT JOIN v_variants v ON v.shop_id = p.shop_id AND v.product_id = p.product_id WHERE p.product_id LIKE '%7' GROUP BY ALL", "v_products", "v_variants"),

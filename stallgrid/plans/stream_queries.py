@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stallgrid.operators.events import POPULARITY
 from stallgrid.plans.analytics_queries import _CLICK, CAPPED
-from stallgrid.plans.fixtures import Tables, shared_folder, with_views
+from stallgrid.plans.fixtures import AS_OF, Tables, shared_folder, with_views
 from stallgrid.streaming import events as ST
 
 
@@ -41,7 +41,17 @@ def _popularity(spark, d):
     return spark.read.parquet(f"{folder}/batches").groupBy("shop_id", "product_id").agg(F.sum("increment").alias("increment"))
 
 
+def _changes(spark, d):
+    """The catalog after a stream of changes: a new title for a third of the products, and a fifth of those leave."""
+    folder, n = _folder(spark), F.col("product_id").cast("int")
+    p = Tables(spark, d).products().withColumn("indexed_at", F.lit(None).cast("timestamp")).withColumn("updated_at", F.lit(AS_OF).cast("timestamp"))
+    p.where(n % 3 == 0).withColumns({"title": F.concat("title", F.lit(" new")), "published_online": n % 5 != 0, "status": F.lit("ACTIVE")}).write.parquet(f"{folder}/in")
+    ST.catalog_stream(spark.readStream.schema(p.schema).parquet(f"{folder}/in"), p, f"{folder}/out", AS_OF).awaitTermination()
+    return ST.catalog_version(spark, f"{folder}/out").select("shop_id", "product_id", "title")
+
+
 QUERIES = {
+    "change_stream": _changes,
     "stream_daily_activity": lambda s, d: ST.finished(ST.daily_activity_stream(_actions(s, d).where("kind = 'search'")), _folder(s), "complete").withColumn("day", F.col("day").cast("string")),
     "stream_dedup": lambda s, d: ST.finished(ST.collapse_repeats_stream(_actions(s, d).where("kind = 'search'"), 6 * 3600), _folder(s)).select("event_id"),
     "stream_click_attribution": lambda s, d: ST.finished(ST.attribute_stream(_closed(s, d), "click", 24, same_term=True), _folder(s)).where("search_id IS NOT NULL").select("event_id", "search_id"),
@@ -52,6 +62,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "change_stream": with_views("SELECT shop_id, product_id, title || CASE WHEN CAST(product_id AS INT) % 3 = 0 THEN ' new' ELSE '' END AS title FROM v_products WHERE CAST(product_id AS INT) % 15 <> 0", "v_products"),
     "stream_event_cap": with_views(CAPPED + "SELECT event_id FROM w WHERE n <= 3", "v_actions").replace("WITH ", "WITH RECURSIVE ", 1),
     "stream_daily_activity": with_views("SELECT shop_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS searches FROM v_actions WHERE kind = 'search' GROUP BY ALL", "v_actions"),
     "stream_click_attribution": with_views(_CLICK.format(kind="click", term="AND s.term = a.term", h=24), "v_actions"),

@@ -10,7 +10,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -135,20 +135,53 @@ def popularity_stream(actions: DataFrame, folder: str, weights: dict[str, float]
     return actions.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
+#: Buckets of a shop's products in a stored catalog; a batch rewrites only those that it touches.
+CATALOG_BUCKETS = 64
+
+
+def _bucket(df: DataFrame) -> DataFrame:
+    return df.withColumn("_bucket", F.pmod(F.xxhash64("shop_id", "product_id"), F.lit(CATALOG_BUCKETS)).cast("int"))
+
+
 def catalog_stream(changes: DataFrame, start: DataFrame, folder: str, as_of: str) -> object:
-    """A running query that applies product changes batch by batch; version n + 1 is written beside version n."""
+    """A running query that applies product changes batch by batch to a catalog stored by bucket.
+
+    A batch reads the buckets that its changes fall into, as the batches before it left them, and writes these
+    under its own number; the others stay where they are. A repeated batch replaces what it wrote.
+    """
     from stallgrid.operators.merge import apply_changes
 
     spark = changes.sparkSession
-    start.write.mode("ignore").parquet(f"{folder}/version=-1")
+    _bucket(start).write.mode("ignore").partitionBy("_bucket").parquet(f"{folder}/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
-        current = spark.read.parquet(f"{folder}/version={number - 1}")
-        apply_changes(current, batch, as_of).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        mine = _bucket(batch)
+        touched = [r[0] for r in mine.select("_bucket").distinct().collect()]  # at most CATALOG_BUCKETS
+        if touched:
+            current = catalog_version(spark, folder, number - 1, touched)
+            _bucket(apply_changes(current, mine.drop("_bucket"), as_of)).write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/batch={number}")
+        spark.createDataFrame([(number, b) for b in touched], "batch int, bucket int").write.mode("overwrite").parquet(f"{folder}/log/number={number}")
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
+def catalog_version(spark: SparkSession, folder: str, number: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """The catalog behind batch ``number`` (the last one, if it is not given): every bucket as its latest batch left it."""
+    begun = spark.read.parquet(f"{folder}/batch=-1")
+    latest = dict.fromkeys(range(CATALOG_BUCKETS) if buckets is None else buckets, -1)
+    if number is None or number >= 0:
+        log = spark.read.schema("batch int, bucket int").option("recursiveFileLookup", "true").parquet(f"{folder}/log").where("bucket IS NOT NULL")
+        rows = (log if number is None else log.where(F.col("batch") <= number)).groupBy("bucket").agg(F.max("batch").alias("batch")).collect()
+        latest |= {r.bucket: r.batch for r in rows if r.bucket in latest}
+    out = None
+    for batch in sorted(set(latest.values())):
+        own = [b for b, x in latest.items() if x == batch]
+        part = begun if batch < 0 else spark.read.schema(begun.schema).parquet(f"{folder}/batch={batch}")
+        part = part.where(F.col("_bucket").isin(own)).drop("_bucket")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def finished(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and returns what it wrote; complete results keep their last batch."""
     spark = stream.sparkSession
