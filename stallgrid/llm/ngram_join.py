@@ -38,6 +38,8 @@ from pyspark.sql import types as T
 from .common import PrefixHash, checkpointed, mix64, text_chunks
 
 WORDS, PLACES, SMALL, SPLITS, DEPTH, BLOCK = 5, 64, 64, 4, 8, 256
+#: Rows of a partition of what is left of a table.
+PART_ROWS = 100_000
 _SEEDS = np.random.default_rng(11).integers(1, 2**32, (PLACES, 2), dtype=np.uint64)
 _GAPS = bytes(0x20 if c in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D) else c for c in range(256))
 
@@ -149,13 +151,23 @@ def _grow(frontier: DataFrame, second: float, trees: range = range(0)) -> DataFr
                 up = pa.nulls(len(rows), pa.int64()) if trees else batch.column("n").take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[rows]), up], ["path", "class_id", "up"])
 
-    return frontier.mapInArrow(run, "path bigint, class_id bigint, up bigint").distinct()
+    # No row comes twice: a child's path names its parent, the place and the min-hash there.
+    return frontier.mapInArrow(run, "path bigint, class_id bigint, up bigint")
+
+
+def _compact(df: DataFrame, rows: int, read: int = 0) -> DataFrame:
+    """``df`` in a partition for each ``PART_ROWS`` of its ``rows``, or of a quarter of those that it is made from.
+
+    So what is left of a table takes few files, and no task reads much.
+    """
+    return df.coalesce(max(1, -(-rows // PART_ROWS), -(-read // (4 * PART_ROWS))))
 
 
 def _trees(signs: DataFrame, threshold: float, trees: range) -> tuple[DataFrame, DataFrame | None, int]:
     """Leaves (path, class_id) with two sets or more, the nodes behind ``SPLITS`` splits, and the depth reached."""
     second = 1 / threshold - 1
     level = checkpointed(_grow(signs, second, trees))
+    rows = level.count()
     leaves = beyond = None
     for depth in range(1, DEPTH + 1):
         if depth == SPLITS + 1:
@@ -164,14 +176,17 @@ def _trees(signs: DataFrame, threshold: float, trees: range) -> tuple[DataFrame,
         # A node that keeps most of its parent's sets holds near copies: more splits would only repeat it.
         dense = F.coalesce(F.col("n") >= threshold * F.col("up"), F.lit(False))
         end = F.lit(depth == DEPTH) | (F.col("n") <= SMALL) | dense
-        large = sizes.where(~end)
-        ends = sizes.where((F.col("n") >= 2) & end)
-        done = checkpointed(level.join(ends.select("path"), "path", "left_semi").select("path", "class_id"))
+        nodes = checkpointed(sizes.where("n >= 2").select("path", "n", end.alias("end")))
+        ended, left = nodes.agg(*(F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)) for c in (F.col("end"), ~F.col("end")))).first()
+        done = checkpointed(_compact(level.join(nodes.where("end").select("path"), "path", "left_semi").select("path", "class_id"), ended, rows))
         leaves = done if leaves is None else leaves.unionByName(done)
-        if depth == DEPTH or large.isEmpty():
+        if not left:
             return leaves, beyond, depth
-        deeper = level.select("path", "class_id").join(large.select("path", "n"), "path").join(signs, "class_id")
-        level = checkpointed(_grow(deeper, second))
+        split = level.select("path", "class_id").join(nodes.where("NOT end").select("path", "n"), "path")
+        if depth == 1:  # from here on only sets in large nodes matter
+            signs = checkpointed(_compact(signs.join(split.select("class_id").distinct(), "class_id", "left_semi"), left, rows))
+        level = checkpointed(_compact(_grow(split.join(signs, "class_id"), second), left, rows))
+        rows = 2 * left
 
 
 def path_leaves(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
@@ -181,7 +196,9 @@ def path_leaves(classes: DataFrame, threshold: float, recall: float) -> DataFram
     leaves, beyond, depth = _trees(signs, threshold, range(grown))
     # A pair with a set whose nodes all end within SPLITS splits is settled; the others are looked for in more trees.
     while depth > SPLITS and (target := repetitions_for(recall, threshold, depth)) > grown:
-        signs = checkpointed(signs.join(beyond.select("class_id").distinct(), "class_id", "left_semi")) if beyond is not None else signs
+        if beyond is not None:
+            alive = beyond.select("class_id").distinct()
+            signs = checkpointed(_compact(signs.join(alive, "class_id", "left_semi"), alive.count(), signs.count()))
         more, _, reached = _trees(signs, threshold, range(grown, target))
         leaves, beyond, depth, grown = leaves.unionByName(more), None, max(depth, reached), target
     # Leaves with equal members: number of members, and two sums over scrambled ids.
@@ -272,13 +289,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node of each connected component, for the nodes of ``edges``."""
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct()
     both = checkpointed(both)
-    label = checkpointed(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")))
+    rows = both.count()
+    label = checkpointed(_compact(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")), rows))
     while True:
         near = both.join(label.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
         step = label.join(near, "node").select("node", F.least("component", "near").alias("new"), "component")
         # Pointer jumping: take over the component of the component.
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        new = checkpointed(step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("component"), F.col("component").alias("old")))
+        new = step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("component"), F.col("component").alias("old"))
+        new = checkpointed(_compact(new, rows))
         if new.where("component <> old").isEmpty():
             return new.select("node", "component")
         label = new.select("node", "component")
