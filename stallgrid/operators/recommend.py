@@ -83,11 +83,12 @@ def related_attributes(products: DataFrame, k: int = 12) -> DataFrame:
     return _top(cand, k, ["shop_id", "anchor_id"], F.desc("score"), F.desc("popularity"), F.asc("product_id")).select("shop_id", "anchor_id", "product_id", "score", "rank")
 
 
-def personalized(seen: DataFrame, products: DataFrame, k: int = 12) -> DataFrame:
+def personalized(seen: DataFrame, products: DataFrame, k: int = 12, first: int = 256) -> DataFrame:
     """Per session: products that share attributes with what it saw, without those; sessions without a match get bestsellers.
 
-    Without the type a product scores 5 at most. So a session that finds ``k`` products of a seen type with more
-    than that is settled; only the others look at products by every kind of key.
+    A session first meets the ``first`` most popular products of its shop. If ``k`` of them score as high as its
+    profile allows, no other product can come before these, and it is settled; only the other sessions look at
+    products by every kind of key.
     """
     p = _sellable(products).select("shop_id", "product_id", "popularity", "product_type", "vendor", "tags", "collections")
     signals = _keys(products).groupBy("shop_id", "product_id").agg(F.collect_list(F.struct("kind", "key")).alias("keys"))
@@ -96,18 +97,20 @@ def personalized(seen: DataFrame, products: DataFrame, k: int = 12) -> DataFrame
     profile = known.select("shop_id", "session_token", "keys", "ids", *[of(x).alias(f"{x}s_seen") for x in ("collection", "type", "vendor", "tag")])
     has = lambda test, weight: F.when(F.coalesce(test, F.lit(False)), weight).otherwise(0)
     score = has(F.arrays_overlap("collections_seen", "collections"), 3) + has(F.array_contains("types_seen", F.col("product_type")), 2) + has(F.array_contains("vendors_seen", F.col("vendor")), 1) + has(F.arrays_overlap("tags_seen", "tags"), 1)
+    most = has(F.size("collections_seen") > 0, 3) + has(F.size("types_seen") > 0, 2) + has(F.size("vendors_seen") > 0, 1) + has(F.size("tags_seen") > 0, 1)
 
-    def best(rows: DataFrame, least: int) -> DataFrame:
-        rows = rows.where(~F.array_contains("ids", F.col("product_id"))).select("shop_id", "session_token", "product_id", "popularity", score.alias("score"))
-        return _top(rows.where(F.col("score") >= least), k, ["shop_id", "session_token"], F.desc("score"), F.desc("popularity"), F.asc("product_id")).select("shop_id", "session_token", "product_id", "score", "rank")
+    def best(rows: DataFrame) -> DataFrame:
+        rows = rows.where(~F.array_contains("ids", F.col("product_id"))).select("shop_id", "session_token", "product_id", "popularity", score.alias("score"), most.alias("most"))
+        return _top(rows.where("score > 0"), k, ["shop_id", "session_token"], F.desc("score"), F.desc("popularity"), F.asc("product_id")).select("shop_id", "session_token", "product_id", "score", "rank", "most")
 
     session = ["shop_id", "session_token"]
-    typed = best(profile.withColumn("product_type", F.explode("types_seen")).join(p, ["shop_id", "product_type"]), 6)
-    settled = typed.where(F.col("rank") == k).select(*session)
+    popular = _top(p, first, ["shop_id"], F.desc("popularity"), F.asc("product_id")).drop("rank")
+    early = best(profile.join(popular, "shop_id"))
+    settled = early.where((F.col("rank") == k) & (F.col("score") == F.col("most"))).select(*session)
     wide = profile.join(settled, session, "left_anti")
     member = _keys(p).select("shop_id", "product_id", "kind", "key")
     pairs = wide.select(*session, F.explode("keys").alias("x")).select(*session, "x.*").join(member, ["shop_id", "kind", "key"]).select(*session, "product_id").distinct()
-    top = typed.join(settled, session, "left_semi").unionByName(best(pairs.join(wide, session).join(p, ["shop_id", "product_id"]), 1))
+    top = early.join(settled, session, "left_semi").unionByName(best(pairs.join(wide, session).join(p, ["shop_id", "product_id"]))).drop("most")
     bare = seen.select(*session).distinct().join(top.select(*session).distinct(), session, "left_anti")
     rest = bare.join(bestsellers(products, k).select("shop_id", "product_id", "rank"), "shop_id").select(*session, "product_id", F.lit(0).alias("score"), "rank")
     return top.unionByName(rest)
