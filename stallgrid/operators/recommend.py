@@ -83,11 +83,11 @@ def related_attributes(products: DataFrame, k: int = 12) -> DataFrame:
     return _top(cand, k, ["shop_id", "anchor_id"], F.desc("score"), F.desc("popularity"), F.asc("product_id")).select("shop_id", "anchor_id", "product_id", "score", "rank")
 
 
-def personalized(seen: DataFrame, products: DataFrame, k: int = 12, first: int = 256) -> DataFrame:
+def personalized(seen: DataFrame, products: DataFrame, k: int = 12) -> DataFrame:
     """Per session: products that share attributes with what it saw, without those; sessions without a match get bestsellers.
 
-    A session first meets the ``first`` most popular products of its shop. If ``k`` of them score as high as its
-    profile allows, no other product can come before these, and it is settled; only the other sessions look at
+    A session first meets the products that share both a vendor and a type with it. If ``k`` of them score as high as
+    its profile allows, no other product can come before these, and it is settled; only the other sessions look at
     products by every kind of key.
     """
     p = _sellable(products).select("shop_id", "product_id", "popularity", "product_type", "vendor", "tags", "collections")
@@ -104,13 +104,16 @@ def personalized(seen: DataFrame, products: DataFrame, k: int = 12, first: int =
         return _top(rows.where("score > 0"), k, ["shop_id", "session_token"], F.desc("score"), F.desc("popularity"), F.asc("product_id")).select("shop_id", "session_token", "product_id", "score", "rank", "most")
 
     session = ["shop_id", "session_token"]
-    popular = _top(p, first, ["shop_id"], F.desc("popularity"), F.asc("product_id")).drop("rank")
-    early = best(profile.join(popular, "shop_id"))
-    settled = early.where((F.col("rank") == k) & (F.col("score") == F.col("most"))).select(*session)
-    wide = profile.join(settled, session, "left_anti")
+    both = profile.withColumn("vendor", F.explode("vendors_seen")).withColumn("product_type", F.explode("types_seen"))
+    early = best(both.join(p, ["shop_id", "vendor", "product_type"]))
+    full = F.max((F.col("rank") == k) & (F.col("score") == F.col("most")))
+    found = early.groupBy(*session).agg(full.alias("settled"), F.collect_list(F.struct("product_id", "score", "rank")).alias("list"))
+    # One row for each session, kept for the two branches that read it.
+    sessions = profile.join(found, session, "left").persist()
+    wide = sessions.where(~F.coalesce("settled", F.lit(False))).drop("settled", "list")
     member = _keys(p).select("shop_id", "product_id", "kind", "key")
     pairs = wide.select(*session, F.explode("keys").alias("x")).select(*session, "x.*").join(member, ["shop_id", "kind", "key"]).select(*session, "product_id").distinct()
-    top = early.join(settled, session, "left_semi").unionByName(best(pairs.join(wide, session).join(p, ["shop_id", "product_id"]))).drop("most")
+    top = sessions.where("settled").select(*session, F.explode("list").alias("x")).select(*session, "x.*").unionByName(best(pairs.join(wide, session).join(p, ["shop_id", "product_id"])).drop("most"))
     bare = seen.select(*session).distinct().join(top.select(*session).distinct(), session, "left_anti")
     rest = bare.join(bestsellers(products, k).select("shop_id", "product_id", "rank"), "shop_id").select(*session, "product_id", F.lit(0).alias("score"), "rank")
     return top.unionByName(rest)
