@@ -170,7 +170,7 @@ ORACLE_SQL = {
 zt AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY shop_id ORDER BY searches DESC, term) <= 40), terms AS (SELECT * FROM zt WHERE NOT (shop_id = 'shop0' AND term IN ('hot bolt', 'screw')) AND NOT (shop_id = 'shop1' AND term IN ('plate', 'plat'))),
 titles AS (SELECT DISTINCT shop_id, title FROM v_products),
 near AS (SELECT shop_id, term, searches, title FROM (SELECT t.shop_id, term, searches, title, {jaccard(grams('term'), grams('title'))} AS sim, len(list_intersect({grams('term')}, {grams('title')})) AS n FROM terms t JOIN titles USING (shop_id)) WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY shop_id, term ORDER BY sim DESC, title DESC) = 1),
-w AS (SELECT *, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 3))) AS word FROM near),
+w AS (SELECT *, unnest(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3))) AS word FROM near),
 ws AS (SELECT *, round({jaccard(whole_grams('word'), whole_grams('term'))}, 6) AS sim FROM w), best AS (SELECT * FROM ws WHERE sim > 0.3 QUALIFY row_number() OVER (PARTITION BY shop_id, term ORDER BY sim DESC, word DESC) = 1)
 SELECT * FROM (SELECT shop_id, term, searches, title, word, sim, row_number() OVER (PARTITION BY shop_id ORDER BY searches DESC, term) AS rank FROM best) WHERE rank <= 10"""),
     "event_cap": with_views(CAPPED + "SELECT shop_id, session_token, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM w WHERE n <= 3 GROUP BY ALL", "v_actions").replace("WITH ", "WITH RECURSIVE ", 1),

@@ -60,6 +60,6 @@ def test_catalog_stream_writes_versions(spark, sf, tmp_path):
     s = spark.readStream.schema(p.schema).parquet(str(tmp_path / "in"))
     ST.catalog_stream(s, p, str(tmp_path / "out"), AS_OF).awaitTermination()
     out = ST.catalog_version(spark, str(tmp_path / "out"))
-    assert len(list((tmp_path / "out" / "batch=0").glob("_bucket=*"))) <= 4  # the others were not rewritten
+    assert len(list((tmp_path / "out" / "batch=0").glob("_bucket=*"))) <= p.where("product_id < 5").count()  # the others were not rewritten
     want = M.apply_changes(p, p.where("product_id < 5").withColumn("title", F.lit("new")), AS_OF)
     assert ids(out.select("product_id", "title")) == ids(want.select("product_id", "title"))
