@@ -72,7 +72,7 @@ def word_sim(a: Column, b: Column) -> Column:
 
 
 # Languages with their own text configuration.
-LANGUAGES = "simple danish dutch english finnish french german hungarian italian norwegian portuguese romanian russian spanish swedish".split()
+LANGUAGES = "simple english french german spanish italian portuguese dutch danish swedish norwegian finnish russian turkish hungarian".split()
 
 
 def ts_config(c: Column) -> Column:

@@ -13,10 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stallgrid.functions.text import trigrams, word_sim
-
-# Days of history and products that a plan includes (null: no limit).
-PLAN_DAYS = {"free": 7, "starter": 30, "growth": 90, "custom": 365}
-PLAN_PRODUCTS = {"free": 100, "starter": 5000, "growth": None, "custom": None}
+from stallgrid.operators.merge import PLAN_DAYS, TIERS, plan_value
 
 
 def _ts(as_of: str) -> Column:
@@ -135,10 +132,10 @@ def activity(searches: DataFrame, as_of: str, days: int = 7, k: int = 10) -> Dat
 
 
 def clamp_days(shops: DataFrame, requested: int) -> DataFrame:
-    """shop_id and the days its plan lets it look back."""
-    table = F.create_map(*[x for k, v in PLAN_DAYS.items() for x in (F.lit(k), F.lit(v))])
-    plan = F.coalesce("plan_override", "plan_name")
-    return shops.select("shop_id", F.least(F.lit(requested), F.coalesce(table[plan], F.lit(PLAN_DAYS["free"]))).alias("days"))
+    """shop_id and the days its plan lets it look back; a request of no days asks for all that the plan includes."""
+    plan = F.when(F.col("plan_override").isin(*TIERS), F.col("plan_override")).otherwise(F.col("plan_name"))
+    most = plan_value(plan, PLAN_DAYS)
+    return shops.select("shop_id", (F.least(F.lit(requested), most) if requested > 0 else most).alias("days"))
 
 
 def dashboard_counts(searches: DataFrame, products: DataFrame, as_of: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -77,11 +77,24 @@ def discover_attributes(products: DataFrame, cap: int = 100) -> DataFrame:
     return every.withColumn("n", n).where(F.col("n") <= cap).groupBy("shop_id", "kind").agg(F.sort_array(F.collect_list("name")).alias("names"))
 
 
-def cap_catalog(products: DataFrame, shops: DataFrame, order: str = "load_seq") -> DataFrame:
-    """At most product_limit products of each shop, in load order; a null limit is none."""
+def _numbered(products: DataFrame, plans: DataFrame, order: str) -> DataFrame:
+    limits = plans.select("shop_id", plan_value(F.col("plan"), PLAN_PRODUCTS).alias("_limit"), F.lit(True).alias("_known"))
     n = F.row_number().over(W.partitionBy("shop_id").orderBy(F.col(order), "product_id"))
-    limits = shops.select("shop_id", "product_limit")
-    return products.withColumn("_n", n).join(limits, "shop_id", "left").where(F.col("product_limit").isNull() | (F.col("_n") <= F.col("product_limit"))).drop("_n", "product_limit")
+    rows = products.withColumn("_n", n).join(limits, "shop_id", "left")
+    return rows.withColumn("_limit", F.when(F.col("_known"), F.col("_limit")).otherwise(PLAN_PRODUCTS["free"])).drop("_known")
+
+
+def cap_catalog(products: DataFrame, plans: DataFrame, order: str = "load_seq") -> DataFrame:
+    """The products of each shop that its plan (shop_id, plan) includes, in load order; a shop without a plan is free."""
+    return _numbered(products, plans, order).where("_limit IS NULL OR _n <= _limit").drop("_n", "_limit")
+
+
+def cap_report(products: DataFrame, plans: DataFrame, order: str = "load_seq") -> DataFrame:
+    """shop_id, product_limit, loaded, cut, truncated: what the cap of ``cap_catalog`` leaves and takes, one row a shop."""
+    kept = F.col("_limit").isNull() | (F.col("_n") <= F.col("_limit"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    g = _numbered(products, plans, order).groupBy("shop_id").agg(F.first("_limit").alias("product_limit"), count(kept).alias("loaded"), count(~kept).alias("cut"))
+    return g.withColumn("truncated", F.col("cut") > 0)
 
 
 def sync_snapshot(current: DataFrame, snapshot: DataFrame, key: list[str]) -> DataFrame:
@@ -122,19 +135,32 @@ def purge_shops(tables: dict[str, DataFrame], shop_ids: DataFrame) -> dict[str,
     return {name: t.join(ids, "shop_id", "left_anti") for name, t in tables.items()}
 
 
-# Plan tiers, lowest first.
-TIERS = ("free", "starter", "growth", "custom")
+# Plan tiers, lowest first; products and days of reports that each includes (none: no limit).
+TIERS = ("free", "growth", "pro", "custom")
+PLAN_PRODUCTS = {"free": 100, "growth": 5_000, "pro": None, "custom": None}
+PLAN_DAYS = {"free": 7, "growth": 30, "pro": 90, "custom": 365}
+
+
+def plan_value(plan: Column, table: dict[str, int | None]) -> Column:
+    """The plan's entry of a table; a name that is no plan counts as free."""
+    known = F.when(plan.isin(*TIERS), plan).otherwise("free")
+    return F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v).cast("int"))])[known]
 
 
 def resolve_plans(subscriptions: DataFrame, shops: DataFrame) -> DataFrame:
-    """shop_id, plan: the highest tier among active subscriptions, by name; an unknown active one is growth; an override wins."""
-    name = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
+    """shop_id, plan: the highest tier among active subscriptions, by name; a name of no tier counts as the lowest paid one.
+
+    An override wins if it is the name of a tier. Names are compared by their letters and digits, and may go on
+    behind the tier ("Pro (Annual)").
+    """
+    name = F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-z0-9]", "")
     tier = F.when(F.col("status") != "ACTIVE", 0)
-    for i in (3, 2, 1, 0):
+    for i in reversed(range(len(TIERS))):
         tier = tier.when(name.startswith(TIERS[i]), i)
-    best = subscriptions.groupBy("shop_id").agg(F.max(tier.otherwise(2)).alias("tier"))
+    best = subscriptions.groupBy("shop_id").agg(F.max(tier.otherwise(TIERS.index("growth"))).alias("tier"))
     rows = shops.select("shop_id", "plan_override").join(best, "shop_id", "left")
-    return rows.select("shop_id", F.coalesce("plan_override", F.element_at(F.array(*map(F.lit, TIERS)), F.coalesce("tier", F.lit(0)) + 1)).alias("plan"))
+    override = F.when(F.col("plan_override").isin(*TIERS), F.col("plan_override"))
+    return rows.select("shop_id", F.coalesce(override, F.element_at(F.array(*map(F.lit, TIERS)), F.coalesce("tier", F.lit(0)) + 1)).alias("plan"))
 
 
 def union(*parts: DataFrame) -> DataFrame:

@@ -83,10 +83,10 @@ def _syn(spark, d):
 
 
 def _plan_window(spark, d):
-    """Every shop's searches as far back as its plan goes; shops' plans by their number of sessions."""
+    """Every shop's searches of 60 days, as far back as its plan goes: a name of no plan, growth, pro, and pro under an override."""
     rows = searches(spark, d)
-    plan = F.when(F.col("shop_id") == "shop0", "free").when(F.col("shop_id") == "shop1", "starter").otherwise("growth")
-    days = A.clamp_days(rows.select("shop_id").distinct().withColumn("plan_name", plan).withColumn("plan_override", F.when(F.col("shop_id") == "shop3", "free")), 20)
+    plan = F.when(F.col("shop_id") == "shop0", "starter").when(F.col("shop_id") == "shop1", "growth").otherwise("pro")
+    days = A.clamp_days(rows.select("shop_id").distinct().withColumn("plan_name", plan).withColumn("plan_override", F.when(F.col("shop_id") == "shop3", "free").otherwise("none")), 60)
     now = F.lit(AS_OF).cast("timestamp")
     kept = rows.join(days, "shop_id").where((F.col("ts") <= now) & (F.col("ts") >= now - F.make_interval(days=F.col("days"))))
     return kept.groupBy("shop_id", F.col("days").cast("bigint").alias("days")).agg(F.count("*").alias("searches"))
@@ -165,7 +165,7 @@ w AS (SELECT t.event_id, t.shop_id, t.session_token, row_number() OVER (PARTITIO
 
 _ODD = r"regexp_replace(term, '[aeiou]', 'e', 'g')"
 ORACLE_SQL = {
-    "plan_window": _on_searches(f" SELECT shop_id, days, count(*) AS searches FROM (SELECT *, CAST(CASE WHEN shop_id IN ('shop0', 'shop3') THEN 7 ELSE 20 END AS BIGINT) AS days FROM searches) WHERE ts <= {_NOW} AND ts >= {_NOW} - to_days(days::INT) GROUP BY ALL"),
+    "plan_window": _on_searches(f" SELECT shop_id, days, count(*) AS searches FROM (SELECT *, CAST(CASE shop_id WHEN 'shop1' THEN 30 WHEN 'shop2' THEN 60 ELSE 7 END AS BIGINT) AS days FROM searches) WHERE ts <= {_NOW} AND ts >= {_NOW} - to_days(days::INT) GROUP BY ALL"),
     "synonym_candidates": _on_searches(f""", z AS (SELECT shop_id, {_ODD} AS term, count(*) AS searches FROM searches WHERE results_count = 0 AND {_WIN} AND length(trim(term)) >= 3 GROUP BY ALL),
 zt AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY shop_id ORDER BY searches DESC, term) <= 40), terms AS (SELECT * FROM zt WHERE NOT (shop_id = 'shop0' AND term IN ('hot bolt', 'screw')) AND NOT (shop_id = 'shop1' AND term IN ('plate', 'plat'))),
 titles AS (SELECT DISTINCT shop_id, title FROM v_products),

@@ -17,6 +17,13 @@ from stallgrid.plans.fixtures import AS_OF, Tables, shared_folder, with_views
 from stallgrid.sources import catalog as C
 
 
+#: Types of the products' second metafield, one after another: those that can be filtered by, one that has no type, and others.
+SPEC_TYPES = (
+    "single_line_text_field", "multi_line_text_field", "number_integer", "number_decimal", "boolean", "color", "rating", "dimension", "weight", "volume",
+    None, "date", "url", "json", "list.single_line_text_field",
+)
+
+
 def export_lines(spark, d):
     """The given catalog written as export lines: products, then children that point at them."""
     t = Tables(spark, d)
@@ -29,6 +36,7 @@ def export_lines(spark, d):
         v.select("shop_id", F.to_json(F.struct(gid("ProductVariant", F.col("variant_id")).alias("id"), F.lit("Default Title").alias("title"), "sku", F.format_string("%.2f", "price").alias("price"), F.col("available").alias("availableForSale"), F.array(F.struct(F.lit("Supplier").alias("name"), F.split_part("variant_id", F.lit("-"), F.lit(2)).alias("value"))).alias("selectedOptions"), parent)).alias("value")),
         p.select("shop_id", F.to_json(F.struct(gid("Collection", F.col("collections")[0]).alias("id"), F.col("collections")[0].alias("handle"), parent)).alias("value")),
         p.where(F.size("metafields") > 0).select("shop_id", F.to_json(F.struct(F.lit("custom").alias("namespace"), F.lit("material").alias("key"), F.element_at("metafields", "material").alias("value"), F.lit("single_line_text_field").alias("type"), parent)).alias("value")),
+        p.select("shop_id", F.to_json(F.struct(F.lit("spec").alias("key"), F.concat(F.lit("v"), "product_id").alias("value"), F.element_at(F.array(*map(F.lit, SPEC_TYPES)), (F.col("product_id").cast("int") % len(SPEC_TYPES) + 1)).alias("type"), parent)).alias("value")),
         p.where("product_id % 100 = 0").select("shop_id", F.lit('{"id": "gid://store/Product/').alias("value")),
     ]
     return M.union(*lines)
@@ -37,7 +45,7 @@ def export_lines(spark, d):
 def _roundtrip(spark, d):
     groups, _ = C.regroup_export(C.parse_export(export_lines(spark, d)))
     x = C.normalize_export(groups)
-    return x.select("shop_id", "product_id", "title", "vendor", "status", "available", F.round("price_min", 2).alias("price_min"), F.round("price_max", 2).alias("price_max"), F.array_join("collections", ",").alias("collections"), F.element_at("metafields", "custom.material").alias("material"), F.size("skus").cast("bigint").alias("n_skus"), F.size(F.element_at("options", "Supplier")).cast("bigint").alias("n_options"))
+    return x.select("shop_id", "product_id", "title", "vendor", "status", "available", F.round("price_min", 2).alias("price_min"), F.round("price_max", 2).alias("price_max"), F.array_join("collections", ",").alias("collections"), F.element_at("metafields", "custom.material").alias("material"), F.element_at("metafields", "custom.spec").alias("spec"), F.size("skus").cast("bigint").alias("n_skus"), F.size(F.element_at("options", "Supplier")).cast("bigint").alias("n_options"))
 
 
 def _export_files(spark, d):
@@ -87,8 +95,16 @@ def _remove_collections(spark, d):
 
 
 def _caps(spark, d):
-    shops = _shops(spark, d).withColumn("product_limit", F.when(F.col("shop_id") != "shop3", F.lit(20)))
-    return M.cap_catalog(Tables(spark, d).products().withColumn("load_seq", F.col("product_id").cast("int")), shops).select("shop_id", "product_id")
+    return M.cap_catalog(*_capped(spark, d)).select("shop_id", "product_id")
+
+
+def _capped(spark, d):
+    """The catalog in shops of very different sizes, one of each plan, one of none and one of an unknown one."""
+    n = F.col("product_id").cast("int")
+    shop = F.when(n % 3 == 0, "pro").when(n % 3 == 1, "free").when(n % 6 == 2, "growth").when(n % 12 == 5, "none").otherwise("odd")
+    p = Tables(spark, d).products().withColumns({"shop_id": shop, "load_seq": -n})
+    plans = p.select("shop_id").distinct().where("shop_id <> 'none'").withColumn("plan", F.when(F.col("shop_id") == "odd", "enterprise").otherwise(F.col("shop_id")))
+    return p, plans
 
 
 def _sweep(spark, d):
@@ -109,13 +125,14 @@ def _purge(spark, d):
 
 
 def _plans(spark, d):
-    """Every customer as a shop, with a subscription named after its market segment."""
+    """Every ten customers are a shop, each with a subscription named after its market segment and key."""
     c = Tables(spark, d).read("customer")
-    key = F.concat(F.lit("s"), F.col("c_custkey").cast("string"))
-    name = F.when(F.col("c_mktsegment") == "BUILDING", "Starter (monthly)").when(F.col("c_mktsegment") == "MACHINERY", "Growth-2").when(F.col("c_mktsegment") == "HOUSEHOLD", "Legacy deal").otherwise("Custom plan")
-    subs = c.select(key.alias("shop_id"), name.alias("name"), F.when(F.col("c_acctbal") > 0, "ACTIVE").otherwise("CANCELLED").alias("status"))
-    shops = c.select(key.alias("shop_id"), F.when(F.col("c_custkey") % 50 == 0, "growth").alias("plan_override"))
-    return M.resolve_plans(subs, shops)
+    key = F.concat(F.lit("s"), F.floor(F.col("c_custkey") / 10).cast("string"))
+    name = F.when(F.col("c_mktsegment") == "BUILDING", "Pro (Annual)").when(F.col("c_mktsegment") == "MACHINERY", "Growth plan - monthly").when(F.col("c_mktsegment") == "HOUSEHOLD", "Legacy deal").when(F.col("c_custkey") % 7 == 0, "  Custom  ").otherwise("Free Plan")
+    subs = c.select(key.alias("shop_id"), name.alias("name"), F.when(F.col("c_custkey") % 3 == 0, "ACTIVE").otherwise("CANCELLED").alias("status"))
+    shops = subs.select("shop_id").distinct()
+    n = F.substr("shop_id", F.lit(2)).cast("int")
+    return M.resolve_plans(subs, shops.withColumn("plan_override", F.when(n % 20 == 0, "growth").when(n % 20 == 1, "enterprise")))
 
 
 def _languages(spark, d):
@@ -167,6 +184,7 @@ QUERIES = {
     "membership_delta": _membership,
     "remove_collections": _remove_collections,
     "catalog_cap": _caps,
+    "catalog_cap_report": lambda s, d: M.cap_report(*_capped(s, d)).na.fill(-1, ["product_limit"]),
     "sweep": _sweep,
     "mirror_snapshot": _snapshot,
     "tenant_purge": _purge,
@@ -185,10 +203,14 @@ _STRIP = r"""SELECT page_id, sha256(substr(trim(regexp_replace(
   '\s+', ' ', 'g')), 1, 5000)) AS h FROM (
   SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&amp;', 'AMPMARK') AS t FROM pages)"""
 
+_CAPPED = """s AS (SELECT product_id, CAST(product_id AS INT) AS i, CASE WHEN i % 3 = 0 THEN 'pro' WHEN i % 3 = 1 THEN 'free' WHEN i % 6 = 2 THEN 'growth' WHEN i % 12 = 5 THEN 'none' ELSE 'odd' END AS shop_id FROM v_products),
+k AS (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY i DESC) AS n, CASE shop_id WHEN 'growth' THEN 5000 WHEN 'pro' THEN 1e9 ELSE 100 END AS most FROM s)
+"""
+
 ORACLE_SQL = {
-    "export_files": with_views("SELECT shop_id, 'product' AS kind, count(*) AS lines FROM v_products GROUP BY 1 UNION ALL SELECT shop_id, 'collection', count(*) FROM v_products GROUP BY 1 UNION ALL SELECT shop_id, 'metafield', count(*) FROM v_products WHERE material IS NOT NULL GROUP BY 1 UNION ALL SELECT shop_id, 'variant', count(*) FROM v_variants GROUP BY 1", "v_products", "v_variants"),
+    "export_files": with_views("SELECT shop_id, 'product' AS kind, count(*) AS lines FROM v_products GROUP BY 1 UNION ALL SELECT shop_id, 'collection', count(*) FROM v_products GROUP BY 1 UNION ALL SELECT shop_id, 'metafield', count(*) + count(material) FROM v_products GROUP BY 1 UNION ALL SELECT shop_id, 'variant', count(*) FROM v_variants GROUP BY 1", "v_products", "v_variants"),
     "export_roundtrip": with_views("""w AS (SELECT shop_id, product_id, bool_or(available) AS a, count(DISTINCT sku) AS n FROM v_variants GROUP BY ALL)
-SELECT p.shop_id, p.product_id, p.title, p.vendor, p.status, coalesce(w.a, false) AS available, round(p.price_min, 2) AS price_min, round(p.price_max, 2) AS price_max, p.collection AS collections, p.material, least(200, coalesce(w.n, 0)) AS n_skus, w.n AS n_options FROM v_products p LEFT JOIN w ON w.shop_id = p.shop_id AND w.product_id = p.product_id""", "v_products", "v_variants"),
+SELECT p.shop_id, p.product_id, p.title, p.vendor, p.status, coalesce(w.a, false) AS available, round(p.price_min, 2) AS price_min, round(p.price_max, 2) AS price_max, p.collection AS collections, p.material, CASE WHEN CAST(p.product_id AS INT) % 15 <= 10 THEN 'v' || p.product_id END AS spec, least(200, coalesce(w.n, 0)) AS n_skus, w.n AS n_options FROM v_products p LEFT JOIN w ON w.shop_id = p.shop_id AND w.product_id = p.product_id""", "v_products", "v_variants"),
     "export_rejects": with_views("SELECT p.shop_id, p.product_id, count(v.variant_id) AS variants FROM v_products p LEFT JOIN v_variants v ON v.shop_id = p.shop_id AND v.product_id = p.product_id WHERE p.product_id LIKE '%7' GROUP BY ALL", "v_products", "v_variants"),
     "payload_merge": with_views("""SELECT shop_id, product_id, CASE WHEN k % 5 = 0 THEN title || ' new' ELSE title END AS title, CASE WHEN k % 5 = 0 THEN k % 3 > 0 ELSE available END AS available,
  round(CASE WHEN k % 5 = 0 THEN price_min + 1 ELSE price_min END, 2) AS price_min, CASE WHEN k % 5 = 0 THEN 'a & b' ELSE description END AS description, CASE WHEN k % 5 = 0 AND k % 2 <> 0 THEN '' ELSE array_to_string(tags, ',') END AS tags, collection AS collections, popularity,
@@ -196,11 +218,13 @@ SELECT p.shop_id, p.product_id, p.title, p.vendor, p.status, coalesce(w.a, false
     "html_clean": _STRIP,
     "membership_delta": with_views("SELECT product_id, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN collection = 'c1' AND k % 10 <> 0 THEN [] ELSE [collection] END, list_concat(CASE WHEN k % 10 = 0 THEN ['c1'] ELSE [] END, CASE WHEN k % 15 = 0 THEN ['c9'] ELSE [] END)))), ',') AS collections FROM (SELECT *, CAST(product_id AS INT) AS k FROM v_products)", "v_products"),
     "remove_collections": with_views("SELECT shop_id, count(*) FILTER (ok) AS memberships, count(DISTINCT collection) FILTER (ok) AS collections FROM (SELECT *, NOT (collection = 'c2' OR shop_id = 'shop3' AND collection = 'c1') AS ok FROM v_products) GROUP BY 1", "v_products"),
-    "catalog_cap": with_views("SELECT shop_id, product_id FROM v_products QUALIFY shop_id = 'shop3' OR row_number() OVER (PARTITION BY shop_id ORDER BY CAST(product_id AS INT)) <= 20", "v_products"),
+    "catalog_cap": with_views(_CAPPED + "SELECT shop_id, product_id FROM k WHERE n <= most", "v_products"),
+    "catalog_cap_report": with_views(_CAPPED + "SELECT shop_id, CAST(CASE WHEN min(most) < 1e9 THEN min(most) ELSE -1 END AS INT) AS product_limit, count(*) FILTER (n <= most) AS loaded, count(*) FILTER (n > most) AS cut, count(*) FILTER (n > most) > 0 AS truncated FROM k GROUP BY 1", "v_products"),
     "sweep": with_views("SELECT product_id FROM v_products WHERE CAST(product_id AS INT) % 3 = 0 OR shop_id = 'shop2'", "v_products"),
     "mirror_snapshot": with_views("SELECT DISTINCT shop_id, collection AS handle, CASE WHEN shop_id = 'shop1' THEN 'old' ELSE 'new' END AS title FROM v_products WHERE shop_id = 'shop1' OR collection <> 'c4'", "v_products"),
     "tenant_purge": with_views("SELECT shop_id, count(*) AS n, 'products' AS \"table\" FROM v_products WHERE shop_id <> 'shop2' GROUP BY 1 UNION ALL SELECT shop_id, count(*), 'actions' FROM v_actions WHERE shop_id <> 'shop2' GROUP BY 1", "v_products", "v_actions"),
-    "plan_resolution": "SELECT 's' || c_custkey AS shop_id, CASE WHEN c_custkey % 50 = 0 THEN 'growth' WHEN c_acctbal <= 0 THEN 'free' WHEN c_mktsegment = 'BUILDING' THEN 'starter' WHEN c_mktsegment IN ('MACHINERY', 'HOUSEHOLD') THEN 'growth' ELSE 'custom' END AS plan FROM customer",
+    "plan_resolution": """WITH s AS (SELECT CAST(floor(c_custkey / 10) AS INT) AS k, CASE WHEN c_custkey % 3 <> 0 THEN 0 WHEN c_mktsegment = 'BUILDING' THEN 2 WHEN c_mktsegment IN ('MACHINERY', 'HOUSEHOLD') THEN 1 WHEN c_custkey % 7 = 0 THEN 3 ELSE 0 END AS tier FROM customer)
+SELECT 's' || k AS shop_id, CASE WHEN k % 20 = 0 THEN 'growth' ELSE ['free', 'growth', 'pro', 'custom'][max(tier) + 1] END AS plan FROM s GROUP BY k""",
     "language_restamp": with_views("SELECT product_id, CASE WHEN shop_id = 'shop1' THEN 'french' ELSE 'simple' END AS ts_config FROM v_products", "v_products"),
     "attribute_discovery": with_views("SELECT shop_id, 'option' AS kind, CASE WHEN count(opt_color) > 0 THEN 'Color,Size' ELSE 'Size' END AS names FROM v_products GROUP BY 1 UNION ALL SELECT shop_id, 'metafield', 'material' FROM v_products WHERE material IS NOT NULL GROUP BY 1", "v_products"),
     "query_log": "SELECT page_id, 'red widget ' || page_id AS term, greatest(1, least(200, coalesce(TRY_CAST(regexp_extract(url, '[?&]page=([0-9]+)', 1) AS INT), 1))) AS page, CAST(greatest(1, least(48, page_id % 100)) AS INT) AS per_page, 'relevance' AS sort, 'A&B|C' AS vendor, 'vendor|tag' AS sources, CAST(NULL AS DOUBLE) AS price_min, CAST(page_id % 7 AS DOUBLE) AS price_max FROM pages",

@@ -20,7 +20,7 @@ PAYLOAD = (
 )
 # Metafield types whose values can be filtered by.
 METAFIELD_TYPES = (
-    "single_line_text_field", "multi_line_text_field", "number_integer", "number_decimal", "boolean", "color", "date", "url", "rating", "list.single_line_text_field",
+    "single_line_text_field", "multi_line_text_field", "number_integer", "number_decimal", "boolean", "color", "rating", "dimension", "weight", "volume",
 )
 MAX_METAFIELDS, MAX_VALUE, MAX_SKUS, MAX_VARIANT_TEXT = 50, 200, 200, 2000
 OPTIONS = "map<string,array<string>>"
@@ -74,12 +74,19 @@ def variant_text(variants: Column) -> Column:
 
 
 def flatten_metafields(m: Column) -> Column:
-    """namespace.key and bare key -> value; the first of equal keys stays; types off the list and long lists are cut."""
-    good = F.slice(F.filter(m, lambda x: x["type"].isin(*METAFIELD_TYPES) & (F.trim(x["value"]) != "") & x["key"].isNotNull()), 1, MAX_METAFIELDS)
+    """namespace.key and bare key -> value; of equal qualified keys the last stays, of equal bare keys the first.
+
+    A named type must be on the list; a metafield without a type is kept. Long lists and values are cut.
+    """
+    typed = lambda x: (F.coalesce(x["type"], F.lit("")) == "") | x["type"].isin(*METAFIELD_TYPES)
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    good = F.slice(F.filter(m, lambda x: typed(x) & filled(x["value"]) & filled(x["key"])), 1, MAX_METAFIELDS)
     entry = lambda k, x: F.struct(k.alias("k"), F.left(x["value"], F.lit(MAX_VALUE)).alias("v"))
-    both = F.flatten(F.transform(good, lambda x: F.array(entry(F.concat_ws(".", F.coalesce(x["namespace"], F.lit("custom")), x["key"]), x), entry(x["key"], x))))
-    keys = F.array_distinct(F.transform(both, lambda e: e["k"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.filter(both, lambda e: e["k"] == k)[0]["v"])))
+    whole = F.transform(good, lambda x: entry(F.concat_ws(".", F.coalesce(x["namespace"], F.lit("custom")), x["key"]), x))
+    bare = F.transform(good, lambda x: entry(x["key"], x))
+    every = F.concat(F.reverse(whole), bare)
+    keys = F.array_distinct(F.transform(every, lambda e: e["k"]))
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.filter(every, lambda e: e["k"] == k)[0]["v"])))
 
 
 def normalize_export(groups: DataFrame) -> DataFrame:

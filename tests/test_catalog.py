@@ -2,6 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from stallgrid.functions import text as T
+from stallgrid.operators import analytics as A
 from stallgrid.operators import events as E
 from stallgrid.operators import facets as FA
 from stallgrid.operators import merge as M
@@ -138,3 +140,36 @@ def test_plans(spark):
     subs = spark.createDataFrame([("a", "Starter", "ACTIVE"), ("a", "growth plus", "ACTIVE"), ("b", "??", "ACTIVE"), ("c", "custom", "CANCELLED"), ("d", "starter", "ACTIVE")], "shop_id string, name string, status string")
     shops = spark.createDataFrame([("a", None), ("b", None), ("c", None), ("d", "custom"), ("e", None)], "shop_id string, plan_override string")
     assert {r.shop_id: r.plan for r in M.resolve_plans(subs, shops).collect()} == {"a": "growth", "b": "growth", "c": "free", "d": "custom", "e": "free"}
+
+
+def test_plan_names_as_dashboards_spell_them(spark):
+    want = {
+        "Pro Plan": "pro", "PRO": "pro", "Pro (Annual)": "pro", "Growth plan - monthly": "growth", "  Custom  ": "custom", "Free": "free", "Free Plan": "free",
+        "Enterprise Annual": "growth", "": "growth", "!!!": "growth", "free": "free", "growth": "growth", "pro": "pro", "custom": "custom",
+    }
+    subs = spark.createDataFrame([(n, n, "ACTIVE") for n in want] + [("gone", "Custom", "CANCELLED"), ("two", "Free", "ACTIVE"), ("two", "Odd", "ACTIVE")], "shop_id string, name string, status string")
+    shops = subs.select("shop_id").distinct().unionByName(spark.createDataFrame([("bare",)], "shop_id string")).withColumn("plan_override", F.lit(None).cast("string"))
+    got = {r.shop_id: r.plan for r in M.resolve_plans(subs, shops).collect()}
+    assert got == want | {"gone": "free", "two": "growth", "bare": "free"}
+    override = shops.where("shop_id = 'PRO'").withColumn("plan_override", F.explode(F.array(*map(F.lit, ("custom", "enterprise")))))
+    assert sorted(r.plan for r in M.resolve_plans(subs, override).collect()) == ["custom", "pro"]
+
+
+def test_plan_limits_and_days(spark):
+    assert M.PLAN_PRODUCTS == {"free": 100, "growth": 5_000, "pro": None, "custom": None} and M.PLAN_DAYS == {"free": 7, "growth": 30, "pro": 90, "custom": 365}
+    shops = spark.createDataFrame([("a", "growth", None), ("b", "pro", None), ("c", None, "custom"), ("d", "starter", "none"), ("e", None, None)], "shop_id string, plan_name string, plan_override string")
+    days = lambda n: {r.shop_id: r.days for r in A.clamp_days(shops, n).collect()}
+    assert days(1000) == days(0) == {"a": 30, "b": 90, "c": 365, "d": 7, "e": 7} and days(20) == {"a": 20, "b": 20, "c": 20, "d": 7, "e": 7}
+
+
+def test_languages_one_by_one(spark):
+    names = "simple english french german spanish italian portuguese dutch danish swedish norwegian finnish russian turkish hungarian".split()
+    rows = spark.createDataFrame([(n.title() + " ",) for n in names] + [("romanian",), (None,)], "l string")
+    assert [r[0] for r in rows.select(T.ts_config(F.col("l"))).collect()] == [*names, "simple", "simple"]
+
+
+def test_metafields_by_type(spark):
+    m = [("a", "n", "1", "weight"), ("b", "n", "2", "volume"), ("c", "n", "3", "dimension"), ("d", "n", "4", "date"), ("e", "n", "5", "url"), ("f", None, "6", None), ("g", "n", "", "color"), (None, "n", "8", "color"), ("a", "o", "9", "rating"), ("a", "n", "10", "color"), ("h", "n", "x" * 300, "boolean")]
+    df = spark.createDataFrame([(m,)], "m array<struct<key:string,namespace:string,value:string,type:string>>")
+    got = df.select(C.flatten_metafields(F.col("m"))).collect()[0][0]
+    assert got == {"n.a": "10", "a": "1", "n.b": "2", "b": "2", "n.c": "3", "c": "3", "custom.f": "6", "f": "6", "o.a": "9", "n.h": "x" * 200, "h": "x" * 200}
