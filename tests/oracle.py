@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,7 +19,14 @@ def oracle_rows(sql, folder):
 
 def _rows(frame):
     cols = sorted(frame.columns)
-    return sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in frame[cols].itertuples(index=False))
+    return sorted(tuple(map(_text, r)) for r in frame[cols].itertuples(index=False))
+
+
+def _text(v):
+    """A value as text; pandas makes whole numbers with nulls beside them floats, in one frame and not in the other."""
+    if v is None or v is pd.NA or v != v:
+        return ""
+    return str(int(v)) if isinstance(v, float) and v.is_integer() and abs(v) < 2**53 else str(v)
 
 
 def spark_rows(df):
