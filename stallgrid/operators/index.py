@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -46,16 +47,44 @@ def apply_stems(tokens: DataFrame, stems: DataFrame) -> DataFrame:
     return joined.withColumn("token", F.when(~sku & F.col("stem").isNotNull(), F.col("stem")).otherwise(F.col("token"))).drop("stem").select(*tokens.columns)
 
 
-def title_grams(products: DataFrame, column: str = "title") -> DataFrame:
-    """shop_id, folded_title, gram, n_grams of the distinct folded titles."""
-    t = products.select("shop_id", F.lower(fold_accents(F.col(column))).alias("folded_title")).distinct()
+def product_titles(products: DataFrame, column: str = "title") -> DataFrame:
+    return products.select("shop_id", "product_id", F.lower(fold_accents(F.col(column))).alias("folded_title"))
+
+
+def title_grams(titles: DataFrame) -> DataFrame:
+    """shop_id, folded_title, gram, n_grams: the padded trigrams of the distinct titles of ``product_titles``."""
+    t = titles.select("shop_id", "folded_title").distinct()
     return t.withColumn("g", trigrams(F.col("folded_title"))).select("shop_id", "folded_title", F.size("g").alias("n_grams"), F.explode("g").alias("gram"))
 
 
+def title_stretches(titles: DataFrame) -> DataFrame:
+    """shop_id, folded_title, gram: every stretch of one, two and three characters of the distinct titles, across word ends."""
+    c = F.col("folded_title")
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    t = titles.select("shop_id", "folded_title").distinct()
+    return t.select("shop_id", "folded_title", F.explode(F.filter(F.array_distinct(F.concat(of(1), of(2), of(3))), lambda g: g != "")).alias("gram"))
+
+
 def sku_postings(products: DataFrame) -> DataFrame:
     return products.select("shop_id", "product_id", F.explode("skus").alias("s")).select("shop_id", F.lower("s").alias("sku_lower"), "product_id").distinct()
 
 
+@dataclass
+class Index:
+    """The tables that text requests are put to. They may have a column ``bucket`` that stored ones are cut by."""
+
+    postings: DataFrame
+    titles: DataFrame
+    stretches: DataFrame
+    grams: DataFrame
+    skus: DataFrame
+
+
+def index_tables(products: DataFrame, stems: DataFrame | None = None) -> Index:
+    titles = product_titles(products)
+    return Index(build_postings(products, stems), titles, title_stretches(titles), title_grams(titles), sku_postings(products))
+
+
 def facet_pairs(products: DataFrame) -> Column:
     """Array of (source, value) of one product: what it counts for in each facet."""
     one = lambda source, c: F.when(F.trim(c) != "", F.array(F.struct(F.lit(source).alias("source"), c.alias("value")))).otherwise(F.array().cast("array<struct<source:string,value:string>>"))

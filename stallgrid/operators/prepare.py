@@ -35,10 +35,26 @@ def expand_synonyms(queries: DataFrame, synonyms: DataFrame, cap: int = MAX_EXPA
     return first.withColumn("group_no", no).where(F.col("group_no") <= cap).select("query_id", "group_no", "phrase")
 
 
+def plain_terms(queries: DataFrame) -> DataFrame:
+    """query_id, group_no, phrase of requests without synonyms: the normalised term."""
+    return queries.select("query_id", F.lit(1).alias("group_no"), normalize_query(F.col("term")).alias("phrase")).where("phrase <> ''")
+
+
+def _clean_words(phrase: Column) -> Column:
+    """The words of a phrase without quotes, leading signs of exclusion and the word "or"."""
+    bare = F.transform(F.split(F.regexp_replace(phrase, "[\"']", " "), r"\s+"), lambda w: F.regexp_replace(w, r"^[-!]+", ""))
+    return F.filter(bare, lambda w: (w != "") & (F.lower(w) != "or"))
+
+
 def query_terms(expansions: DataFrame) -> DataFrame:
     """query_id, group_no, token: groups are alternatives, the tokens of one are all required."""
-    clean = F.filter(F.transform(F.split(F.regexp_replace("phrase", "[\"']", " "), r"\s+"), lambda w: F.regexp_replace(w, r"^[-!]+", "")), lambda w: (w != "") & (w != "or"))
-    return expansions.select("query_id", "group_no", F.explode(F.array_distinct(tokenize(F.array_join(clean, " ")))).alias("token"))
+    return expansions.select("query_id", "group_no", F.explode(F.array_distinct(tokenize(F.array_join(_clean_words(F.col("phrase")), " ")))).alias("token"))
+
+
+def boolean_query(phrases: Column) -> Column:
+    """The alternatives as one line: phrases of several words in brackets, with OR between them."""
+    clean = F.filter(F.transform(phrases, lambda p: F.array_join(_clean_words(p), " ")), lambda p: p != "")
+    return F.array_join(F.transform(clean, lambda p: F.when(p.contains(" "), F.concat(F.lit("("), p, F.lit(")"))).otherwise(p)), " OR ")
 
 
 def apply_redirects(queries: DataFrame, redirects: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stallgrid.functions.text import normalize_query
-from stallgrid.operators.search import SEMANTIC, cosine_distance, eligible, title_similarity, unit
+from stallgrid.operators.index import title_grams, title_stretches
+from stallgrid.operators.scratch import written
+from stallgrid.operators.search import SEMANTIC, eligible, match_substring, title_similarity
+from stallgrid.operators.vectors import blocked_matches, neighbours
 
 
 def _top(df: DataFrame, k: int, keys: list[str], *order: Column) -> DataFrame:
@@ -18,6 +21,10 @@ def _sellable(products: DataFrame) -> DataFrame:
     return eligible(products).where("available")
 
 
+def _in_collection(products: DataFrame, collection: str | None) -> DataFrame:
+    return products if collection is None else products.where(F.array_contains("collections", collection))
+
+
 def bestsellers(products: DataFrame, k: int = 12) -> DataFrame:
     return _top(_sellable(products).select("shop_id", "product_id", "popularity", "published_at"), k, ["shop_id"], F.desc("popularity"), F.desc_nulls_last("published_at"), F.asc("product_id"))
 
@@ -61,18 +68,25 @@ def _combinations(keys: Column) -> Column:
     return F.filter(start, lambda m: m["score"] > 0)
 
 
-def related_attributes(products: DataFrame, k: int = 12) -> DataFrame:
-    """For every product those that share collection (3), type (2), vendor (1), tag (1); popularity breaks ties.
+def related_attributes(products: DataFrame, k: int = 12, collection: str | None = None, anchors: DataFrame | None = None) -> DataFrame:
+    """For every anchor the products that share collection (3), type (2), vendor (1), tag (1); popularity breaks ties.
+
+    Anchors are all products, also those that are sold out or not published, or the given ones. What is shown can be
+    bought, and is in ``collection`` if that is given.
 
     For each combination of kinds and keys there is a ready list of its k + 1 most popular products. What is among
     an anchor's best stands in the list of the kinds that the two share, so an anchor reads the lists of its own
     combinations only, and no list below the score of one that is full. Work grows with the products, not with
     the pairs that share a key.
     """
-    p = _sellable(products)
-    keys = _keys(p).groupBy("shop_id", "product_id").agg(F.collect_list(F.struct("kind", "key", "weight")).alias("keys"))
-    made = keys.select("shop_id", "product_id", F.explode(_combinations(F.col("keys"))).alias("x")).select("shop_id", "product_id", "x.*")
-    popular = made.join(p.select("shop_id", "product_id", "popularity"), ["shop_id", "product_id"])
+    p = _in_collection(_sellable(products), collection)
+
+    def combined(rows: DataFrame) -> DataFrame:
+        keys = _keys(rows).groupBy("shop_id", "product_id").agg(F.collect_list(F.struct("kind", "key", "weight")).alias("keys"))
+        return keys.select("shop_id", "product_id", F.explode(_combinations(F.col("keys"))).alias("x")).select("shop_id", "product_id", "x.*")
+
+    made = combined(products if anchors is None else anchors)
+    popular = combined(p).join(p.select("shop_id", "product_id", "popularity"), ["shop_id", "product_id"])
     best = _top(popular, k + 1, ["shop_id", "signature"], F.desc("popularity"), F.asc("product_id"))
     lists = best.groupBy("shop_id", "signature").agg(F.collect_list(F.struct("product_id", "popularity")).alias("list"))
     read = made.withColumnRenamed("product_id", "anchor_id").join(lists, ["shop_id", "signature"]).groupBy("shop_id", "anchor_id").agg(F.collect_list(F.struct("score", "list")).alias("lists"))
@@ -130,21 +144,33 @@ def recent_searches(actions: DataFrame, k: int = 8) -> DataFrame:
     return _top(rows, k, ["shop_id", "session_token"], F.desc("last_ts"), F.asc("term"))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 48, within: float = SEMANTIC, keys: tuple[str, ...] = ("shop_id",)) -> DataFrame:
-    """Nearest vectors of each query by cosine distance, under ``within``; joined within ``keys``."""
-    q = queries.select("query_id", *keys, unit(F.col("query_vec")).alias("qv"))
-    rows = q.join(vectors.select(*keys, "product_id", unit(F.col("embedding")).alias("pv")), list(keys)).withColumn("dist", F.round(cosine_distance(F.col("qv"), F.col("pv")), 6))
-    return _top(rows.where(F.col("dist") < within).select("query_id", "product_id", "dist"), k, ["query_id"], F.asc("dist"), F.asc("product_id"))
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 48, within: float = SEMANTIC) -> DataFrame:
+    """query_id, product_id, dist, rank: the nearest vectors of each request by cosine distance, under ``within``; exact."""
+    return blocked_matches(queries, vectors, within, k)
+
+
+def related_vectors(anchors: DataFrame, vectors: DataFrame, k: int = 12) -> DataFrame:
+    """The nearest neighbours of a stated set of anchors (those of a page, a session, a campaign), without themselves; exact.
+
+    ``neighbours`` in operators.vectors serves all anchors at once.
+    """
+    q = anchors.select(F.col("product_id").alias("query_id"), "shop_id", F.col("embedding").alias("query_vec"))
+    return blocked_matches(q, vectors.drop("collections"), None, k, skip_self=True).withColumnRenamed("query_id", "anchor_id")
 
 
-def related_vectors(anchors: DataFrame, vectors: DataFrame, k: int = 12, keys: tuple[str, ...] = ("shop_id",)) -> DataFrame:
-    """Nearest neighbours of each anchor among the vectors of its shop, without itself.
+def related(products: DataFrame, vectors: DataFrame, k: int = 12, collection: str | None = None, **index: int) -> DataFrame:
+    """shop_id, anchor_id, product_id, rank, by: the rail of every product, by vectors where it has one, else by attributes.
 
-    ``anchors`` is a stated set of products (those of a page, a session, a campaign), not the whole catalog.
+    Any product is an anchor, also one that cannot be bought; what it is shown with can, and is in ``collection`` if
+    that is given. An anchor whose vector has no neighbour goes by attributes too. ``index`` goes to ``neighbours``.
     """
-    q = anchors.select(F.col("product_id").alias("anchor_id"), *keys, unit(F.col("embedding")).alias("qv"))
-    rows = q.join(vectors.select(*keys, "product_id", unit(F.col("embedding")).alias("pv")), list(keys)).where("product_id <> anchor_id").withColumn("dist", F.round(cosine_distance(F.col("qv"), F.col("pv")), 6))
-    return _top(rows.select("anchor_id", "product_id", "dist"), k, ["anchor_id"], F.asc("dist"), F.asc("product_id"))
+    shown = _in_collection(_sellable(products), collection).select("shop_id", "product_id", F.lit(True).alias("candidate"))
+    known = vectors.select("shop_id", "product_id", "embedding").join(products.select("shop_id", "product_id"), ["shop_id", "product_id"], "left_semi")
+    near = neighbours(known.join(shown, ["shop_id", "product_id"], "left"), k, **index).select("shop_id", "anchor_id", "product_id", "rank", F.lit("vectors").alias("by"))
+    near = written(near)
+    rest = products.join(near.select("shop_id", F.col("anchor_id").alias("product_id")).distinct(), ["shop_id", "product_id"], "left_anti")
+    alike = related_attributes(products, k, collection=collection, anchors=rest)
+    return near.unionByName(alike.select("shop_id", "anchor_id", "product_id", "rank", F.lit("attributes").alias("by")))
 
 
 def prefix_completions(searches: DataFrame, longest: int | None = None, k: int = 5) -> DataFrame:
@@ -162,8 +188,9 @@ def name_suggestions(queries: DataFrame, names: DataFrame, k: int = 4) -> DataFr
     """Collections or pages (shop_id, item_id, title) for each request: title holds the term, or is similar; prefixes first."""
     q = queries.select("query_id", "shop_id", normalize_query(F.col("term")).alias("norm")).where("norm <> ''")
     n = names.select("shop_id", "item_id", "title", normalize_query(F.col("title")).alias("folded_title"))
-    sims = title_similarity(queries, n.select("shop_id", F.col("folded_title").alias("title")))
-    inside = q.join(n.select("shop_id", "folded_title").distinct(), "shop_id").where(F.col("folded_title").contains(F.col("norm"))).select("query_id", "shop_id", "folded_title", F.lit(0.0).alias("sim"))
+    titles = n.select("shop_id", F.col("item_id").alias("product_id"), "folded_title")
+    sims = title_similarity(queries, title_grams(titles))
+    inside = match_substring(queries, titles, title_stretches(titles)).withColumnRenamed("product_id", "item_id").join(n, ["shop_id", "item_id"]).select("query_id", "shop_id", "folded_title", F.lit(0.0).alias("sim")).distinct()
     best = sims.unionByName(inside).groupBy("query_id", "shop_id", "folded_title").agg(F.max("sim").alias("sim"))
     rows = best.join(q.select("query_id", "norm"), "query_id").join(n, ["shop_id", "folded_title"])
     starts = F.col("folded_title").startswith(F.col("norm"))

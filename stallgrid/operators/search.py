@@ -1,7 +1,7 @@
 """Batch search: a table of requests against the catalog's index tables.
 
 requests: query_id, shop_id, term, page, per_page, sort, filters map<string,array<string>>, price_min, price_max,
-collection, include_unavailable, typo_tolerance, bucket (query_vec for semantic matches).
+collection, include_unavailable, typo_tolerance, bucket; query_vec for semantic matches, lang for stems.
 
 Candidates come from equi-joins (tokens, trigrams, SKUs, for browsing the shop); every request's predicates are
 evaluated once per candidate, and hits, totals and facets are read off the same rows.
@@ -10,14 +10,17 @@ evaluated once per candidate, and hits, totals and facets are read off the same
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stallgrid.functions.text import fold_accents, looks_like_sku, normalize_query, trigrams, word_sim
-from stallgrid.operators.index import WEIGHTS, apply_stems, build_postings, sku_postings, title_grams
-from stallgrid.operators.prepare import apply_redirects, expand_synonyms, match_rules, query_terms
+from stallgrid.functions.text import fold_accents, looks_like_sku, normalize_query, trigrams, ts_config, word_sim
+from stallgrid.operators.index import WEIGHTS, Index, apply_stems, index_tables
+from stallgrid.operators.prepare import apply_redirects, boolean_query, expand_synonyms, match_rules, plain_terms, query_terms
+from stallgrid.operators.scratch import written
+from stallgrid.operators.vectors import blocked_matches
 
 # Sorts, limits of similarity and distance, deepest page and largest page.
 SORTS = ("relevance", "price_asc", "price_desc", "title_asc", "title_desc", "newest", "bestselling")
@@ -41,29 +44,15 @@ def match_fulltext(terms: DataFrame, queries: DataFrame, postings: DataFrame) ->
     return hits.join(need, ["query_id", "group_no"]).where("got = need").select("query_id", "shop_id", "product_id").distinct()
 
 
-def _folded(products: DataFrame) -> DataFrame:
-    return products.select("shop_id", "product_id", F.lower(fold_accents(F.col("title"))).alias("folded_title"))
+def match_substring(queries: DataFrame, titles: DataFrame, grams: DataFrame) -> DataFrame:
+    """Products whose folded title holds the term. ``titles`` and ``grams`` are those of an index (``title_stretches``).
 
-
-def _raw_grams(c: Column) -> Column:
-    """Distinct stretches of three characters, across word ends."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
-
-
-def match_substring(queries: DataFrame, products: DataFrame) -> DataFrame:
-    """Products whose folded title holds the term.
-
-    Distinct titles are found by the term's last three characters, then tested, then spread to their products.
-    Terms of one or two characters have no such stretch and test the distinct titles of their shop.
+    Distinct titles are found by the term's last three characters, or by the whole of a shorter term, then tested, then
+    spread to their products.
     """
-    q = queries.select("query_id", "shop_id", normalize_query(F.col("term")).alias("norm")).where("norm <> ''")
-    titles = _folded(products).select("shop_id", "folded_title").distinct()
-    long = q.where("length(norm) >= 3").withColumn("gram", F.right("norm", F.lit(3)))
-    grams = titles.where("length(folded_title) >= 3").withColumn("gram", F.explode(_raw_grams(F.col("folded_title"))))
-    inside = F.col("folded_title").contains(F.col("norm"))
-    names = ["query_id", "shop_id", "folded_title"]
-    hit = long.join(grams, ["shop_id", "gram"]).where(inside).select(*names).unionByName(q.where("length(norm) < 3").join(titles, "shop_id").where(inside).select(*names))
-    return hit.join(_folded(products), ["shop_id", "folded_title"]).select("query_id", "shop_id", "product_id")
+    q = queries.select("query_id", "shop_id", normalize_query(F.col("term")).alias("norm")).where("norm <> ''").withColumn("gram", F.right("norm", F.lit(3)))
+    hit = q.join(grams, ["shop_id", "gram"]).where(F.col("folded_title").contains(F.col("norm"))).select("query_id", "shop_id", "folded_title")
+    return hit.join(titles, ["shop_id", "folded_title"]).select("query_id", "shop_id", "product_id")
 
 
 def match_sku(queries: DataFrame, skus: DataFrame) -> DataFrame:
@@ -71,37 +60,31 @@ def match_sku(queries: DataFrame, skus: DataFrame) -> DataFrame:
     return q.join(skus, ["shop_id", "sku_lower"]).select("query_id", "shop_id", "product_id").distinct()
 
 
-def title_similarity(queries: DataFrame, products: DataFrame, above: float = FUZZY, column: str = "title") -> DataFrame:
+def title_similarity(queries: DataFrame, grams: DataFrame, above: float = FUZZY) -> DataFrame:
     """query_id, shop_id, folded_title, sim for titles with more than ``above`` trigram similarity to the term.
 
-    The join is on single trigrams of distinct titles; pairs whose sizes alone rule the similarity out go first.
+    ``grams`` are the trigrams of distinct titles (``title_grams``); pairs whose sizes alone rule the similarity out
+    go first.
     """
     q = queries.select("query_id", "shop_id", normalize_query(F.col("term")).alias("norm")).where("norm <> ''").withColumn("g", trigrams(F.col("norm")))
     q = q.select("query_id", "shop_id", F.size("g").alias("nq"), F.explode("g").alias("gram"))
-    pairs = q.join(title_grams(products, column), ["shop_id", "gram"]).where((F.col("n_grams") > above * F.col("nq")) & (F.col("nq") > above * F.col("n_grams")))
+    pairs = q.join(grams, ["shop_id", "gram"]).where((F.col("n_grams") > above * F.col("nq")) & (F.col("nq") > above * F.col("n_grams")))
     both = pairs.groupBy("query_id", "shop_id", "folded_title", "nq", "n_grams").agg(F.count("*").alias("n"))
     return both.withColumn("sim", F.col("n") / (F.col("nq") + F.col("n_grams") - F.col("n"))).where(F.col("sim") > above).select("query_id", "shop_id", "folded_title", "sim")
 
 
-def match_fuzzy(queries: DataFrame, products: DataFrame) -> DataFrame:
-    sims = title_similarity(queries.where("typo_tolerance"), products)
-    return sims.join(_folded(products), ["shop_id", "folded_title"]).select("query_id", "shop_id", "product_id", "sim")
-
-
-def unit(c: Column) -> Column:
-    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(c, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
-
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    """Of two unit vectors."""
-    return 1 - F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def match_fuzzy(queries: DataFrame, titles: DataFrame, grams: DataFrame) -> DataFrame:
+    sims = title_similarity(queries.where("typo_tolerance"), grams)
+    return sims.join(titles, ["shop_id", "folded_title"]).select("query_id", "shop_id", "product_id", "sim")
 
 
 def match_semantic(queries: DataFrame, vectors: DataFrame, above: float = SEMANTIC) -> DataFrame:
-    """Products with a vector nearer than ``above`` to the request's; requests without a vector match nothing."""
-    q = queries.where("query_vec IS NOT NULL").select("query_id", "shop_id", unit(F.col("query_vec")).alias("qv"))
-    return q.join(vectors.select("shop_id", "product_id", unit(F.col("embedding")).alias("pv")), "shop_id").withColumn("dist", cosine_distance(F.col("qv"), F.col("pv"))).where(F.col("dist") < above).select("query_id", "shop_id", "product_id", "dist")
+    """query_id, product_id, dist: vectors nearer than ``above`` to the request's; a request without a vector matches nothing.
+
+    Vectors and requests meet in blocks, as products of matrices. A request with a collection matches in it only, if
+    the vectors have their products' collections.
+    """
+    return blocked_matches(queries.where("query_vec IS NOT NULL"), vectors, above)
 
 
 def cover_density(terms: DataFrame, queries: DataFrame, postings: DataFrame) -> DataFrame:
@@ -141,36 +124,62 @@ def cover_density(terms: DataFrame, queries: DataFrame, postings: DataFrame) ->
 # ---- candidates, filters, scores ----
 
 
-def candidates(queries: DataFrame, products: DataFrame, synonyms: DataFrame | None = None, vectors: DataFrame | None = None, stems: DataFrame | None = None) -> DataFrame:
-    """query_id, product_id and the match parts of every request: text matches of those with a term, else all of the shop.
+_PARTS = {"fulltext": False, "sim": 0.0, "dist": 9.0, "sku": False, "text_rank": 0.0}
+
+
+def _part(df: DataFrame, **given: Column) -> DataFrame:
+    """query_id, product_id and the match parts, those that are not given as no match."""
+    return df.select("query_id", "product_id", *[given.get(k, F.lit(v)).alias(k) for k, v in _PARTS.items()])
+
 
-    With ``stems`` (lang, token, stem) words are compared by their stems, those of a request in its ``lang``.
+def _together(parts: list[DataFrame]) -> DataFrame:
+    rows = reduce(DataFrame.unionByName, parts)
+    best = {"fulltext": F.max, "sim": F.max, "dist": F.min, "sku": F.max, "text_rank": F.max}
+    return rows.groupBy("query_id", "product_id").agg(*[f(c).alias(c) for c, f in best.items()])
+
+
+def browse_candidates(queries: DataFrame, products: DataFrame) -> DataFrame:
+    """All products of the shop of each request without a term; no index is read."""
+    q = queries.where(normalize_query(F.col("term")) == "")
+    return _part(q.select("query_id", "shop_id").join(eligible(products).select("shop_id", "product_id"), "shop_id"))
+
+
+def text_candidates(
+    queries: DataFrame, index: Index, synonyms: DataFrame | None = None, vectors: DataFrame | None = None, stems: DataFrame | None = None, shops: DataFrame | None = None,
+) -> DataFrame:
+    """query_id, product_id and the match parts of every request with a term, from the tables of an index.
+
+    A product that holds all tokens of a group has a cover, and so a rank over 0. With ``stems`` (lang, token, stem),
+    of which the index is made, words are compared by their stems: those of a request in its ``lang``, or else in
+    the language of its shop (``shops``: shop_id, search_language).
     """
-    p = eligible(products)
-    q = queries.withColumn("norm", normalize_query(F.col("term")))
-    typed, browse = q.where("norm <> ''"), q.where("norm = ''")
-    if synonyms is None:
-        synonyms = q.sparkSession.createDataFrame([], "shop_id string, rule_id string, type string, input string, terms array<string>")
-    terms = query_terms(expand_synonyms(typed, synonyms))
-    postings = build_postings(p, stems)
+    typed = with_language(queries, shops).where(normalize_query(F.col("term")) != "")
+    terms = query_terms(expand_synonyms(typed, synonyms)) if synonyms is not None else query_terms(plain_terms(typed))
     if stems is not None:
-        terms = apply_stems(terms.join(queries.select("query_id", "lang"), "query_id"), stems).drop("lang").distinct()
-    flag = lambda df, **c: df.select("query_id", "product_id", *[c.get(k, F.lit(d)).alias(k) for k, d in (("fulltext", False), ("sim", 0.0), ("dist", 9.0), ("sku", False))])
+        terms = apply_stems(terms.join(typed.select("query_id", "lang"), "query_id"), stems).drop("lang").distinct()
+    ranks = cover_density(terms, typed, index.postings).where("text_rank > 0")
     parts = [
-        flag(match_fulltext(terms, typed, postings), fulltext=F.lit(True)),
-        flag(match_substring(typed, p), fulltext=F.lit(True)),
-        flag(match_sku(typed, sku_postings(p)), sku=F.lit(True)),
-        flag(match_fuzzy(typed, p), sim=F.col("sim")),
-        flag(browse.select("query_id", "shop_id").join(p.select("shop_id", "product_id"), "shop_id")),
-    ]
+        _part(ranks, fulltext=F.lit(True), text_rank=F.col("text_rank")), _part(match_substring(typed, index.titles, index.stretches), fulltext=F.lit(True)),
+        _part(match_sku(typed, index.skus), sku=F.lit(True)), _part(match_fuzzy(typed, index.titles, index.grams), sim=F.col("sim")),
+    ]
     if vectors is not None and "query_vec" in queries.columns:
-        parts.append(flag(match_semantic(typed, vectors), dist=F.col("dist")))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    rows = rows.groupBy("query_id", "product_id").agg(F.max("fulltext").alias("fulltext"), F.max("sim").alias("sim"), F.min("dist").alias("dist"), F.max("sku").alias("sku"))
-    ranks = cover_density(terms, typed, postings)
-    return rows.join(ranks, ["query_id", "product_id"], "left").withColumn("text_rank", F.coalesce("text_rank", F.lit(0.0)))
+        parts.append(_part(match_semantic(typed, vectors), dist=F.col("dist")))
+    return _together(parts)
+
+
+def with_language(queries: DataFrame, shops: DataFrame | None = None) -> DataFrame:
+    """``queries`` with ``lang``: their own, or their shop's, or 'simple'."""
+    if "lang" in queries.columns:
+        return queries
+    if shops is None:
+        return queries.withColumn("lang", F.lit("simple"))
+    known = shops.select("shop_id", ts_config(F.col("search_language")).alias("lang"))
+    return queries.join(known, "shop_id", "left").withColumn("lang", F.coalesce("lang", F.lit("simple")))
+
+
+def candidates(queries: DataFrame, products: DataFrame, synonyms: DataFrame | None = None, vectors: DataFrame | None = None, stems: DataFrame | None = None) -> DataFrame:
+    """Candidates of all requests, with an index made on the way."""
+    return text_candidates(queries, index_tables(eligible(products), stems), synonyms, vectors, stems).unionByName(browse_candidates(queries, products))
 
 
 def filter_passes(e: Column) -> Column:
@@ -272,23 +281,20 @@ def totals(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("failed") == 0).groupBy("query_id").agg(F.count("*").alias("total"))
 
 
-def apply_pins(queries: DataFrame, products: DataFrame, rules: DataFrame, matched: DataFrame) -> DataFrame:
-    """query_id, product_id, pin_no of pinned products that pass eligibility and filters; the text need not match."""
+def pinned_candidates(queries: DataFrame, rules: DataFrame, matched: DataFrame) -> DataFrame:
+    """query_id, product_id, pin_no of the products that the rule of a request by relevance pins; the text need not match."""
     pins = queries.where("sort = 'relevance' OR sort IS NULL").join(matched, "query_id").join(rules.select("shop_id", "rule_id", "pinned"), ["shop_id", "rule_id"])
-    pins = pins.select("query_id", F.posexplode("pinned").alias("pin_no", "product_id"))
-    flat = pins.withColumns({"fulltext": F.lit(False), "sim": F.lit(0.0), "dist": F.lit(9.0), "sku": F.lit(False), "text_rank": F.lit(0.0)})
-    ok = evaluated(queries, products, flat.drop("pin_no"), rules, matched).where(F.size("failed") == 0).select("query_id", "product_id")
-    return pins.join(ok, ["query_id", "product_id"], "left_semi")
+    return pins.select("query_id", F.posexplode("pinned").alias("pin_no", "product_id"))
 
 
-def ranked(rows: DataFrame, pins: DataFrame | None = None) -> DataFrame:
+def ranked(rows: DataFrame) -> DataFrame:
     """Hits with their rank: pins in list order first (score 999), then the rest in the request's order."""
     hits = rows.where(F.size("failed") == 0)
     order = order_columns()
-    if pins is not None:
-        hits = hits.join(pins, ["query_id", "product_id"], "left")
+    if "pin_no" in rows.columns:
+        pinned = F.col("pin_no").isNotNull()
+        hits = hits.withColumn("score", F.when(pinned, 999.0).otherwise(F.col("score"))).withColumn("pinned_hit", pinned)
         order = [F.asc_nulls_last("pin_no"), *order]
-        hits = hits.withColumn("score", F.when(F.col("pin_no").isNotNull(), 999.0).otherwise(F.col("score"))).withColumn("pinned_hit", F.col("pin_no").isNotNull())
     return hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
 
 
@@ -303,10 +309,10 @@ def first_variant(variants: DataFrame) -> DataFrame:
     return variants.groupBy("shop_id", "product_id").agg(F.min_by("variant_id", F.struct(~F.col("available"), F.col("variant_id"))).alias("variant_id"), F.count("*").alias("n_variants"))
 
 
-def suggest_spelling(queries: DataFrame, products: DataFrame, counts: DataFrame, few: int = 3) -> DataFrame:
+def suggest_spelling(queries: DataFrame, grams: DataFrame, counts: DataFrame, few: int = 3) -> DataFrame:
     """query_id, suggestion for requests with under ``few`` results: the nearest word of near titles, else a near title."""
     q = queries.where("typo_tolerance").join(counts, "query_id", "left").where(F.coalesce("total", F.lit(0)) < few)
-    sims = title_similarity(q, eligible(products), SPELLING)
+    sims = title_similarity(q, grams, SPELLING)
     top = sims.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "folded_title"))).where("n <= 5")
     typed = q.select("query_id", normalize_query(F.col("term")).alias("norm")).withColumn("typed", F.split("norm", " "))
     words = top.join(typed, "query_id").withColumn("word", F.explode(F.filter(F.split("folded_title", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)))
@@ -316,34 +322,58 @@ def suggest_spelling(queries: DataFrame, products: DataFrame, counts: DataFrame,
     return whole.join(best, "query_id", "left").select("query_id", F.coalesce("word", "folded_title").alias("suggestion"))
 
 
+def explain_requests(queries: DataFrame, synonyms: DataFrame | None = None, rules: DataFrame | None = None, matched: DataFrame | None = None, shops: DataFrame | None = None) -> DataFrame:
+    """query_id, normalized_term, expansions, ts_query, language, rule_id, priority: how each request was understood."""
+    q = with_language(queries, shops).select("query_id", normalize_query(F.col("term")).alias("normalized_term"), F.col("lang").alias("language"))
+    phrases = expand_synonyms(queries, synonyms) if synonyms is not None else plain_terms(queries)
+    listed = phrases.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("group_no", "phrase"))), lambda x: x["phrase"]).alias("expansions"))
+    rows = q.join(listed, "query_id", "left").withColumn("expansions", F.coalesce("expansions", F.array().cast("array<string>")))
+    rows = rows.withColumn("ts_query", boolean_query(F.col("expansions")))
+    if rules is None or matched is None:
+        return rows.withColumns({"rule_id": F.lit(None).cast("int"), "priority": F.lit(None).cast("int")})
+    own = queries.select("query_id", "shop_id").join(matched, "query_id").join(rules.select("shop_id", "rule_id", "priority"), ["shop_id", "rule_id"])
+    return rows.join(own.select("query_id", "rule_id", "priority"), "query_id", "left")
+
+
 @dataclass
 class Found:
-    """What a table of requests finds; every part is a plan of its own over the same rows."""
+    """What a table of requests finds; hits, totals and facets are read off the same written rows."""
 
     redirected: DataFrame | None  # requests that a redirect answers, with url
     rows: DataFrame  # candidates with scores and failed filters: what facets count
     hits: DataFrame  # the asked page of each request, ranked
     totals: DataFrame
     suggestions: DataFrame  # spelling, for requests with few hits
+    explained: DataFrame  # how each request was understood
 
 
 def search(
     queries: DataFrame, products: DataFrame, as_of: str, *, synonyms: DataFrame | None = None, redirects: DataFrame | None = None,
-    rules: DataFrame | None = None, vectors: DataFrame | None = None, stems: DataFrame | None = None,
+    rules: DataFrame | None = None, vectors: DataFrame | None = None, stems: DataFrame | None = None, shops: DataFrame | None = None, index: Index | None = None,
 ) -> Found:
     """A whole search: redirects, synonyms, candidates, rules, filters, scores, pins, order, page, totals, spelling.
 
-    Each table that is left out leaves its step out. ``rules`` have parsed conditions (``parse_conditions``).
+    Each table that is left out leaves its step out. ``rules`` have parsed conditions (``parse_conditions``). ``index``
+    is a stored one; without it the tables are made on the way, and only if a request has a term. The evaluated
+    rows are written once.
     """
     redirected, rest = apply_redirects(queries, redirects) if redirects is not None else (None, queries)
     matched = match_rules(rest, rules, as_of) if rules is not None else None
-    rows = evaluated(rest, products, candidates(rest, products, synonyms, vectors, stems), rules, matched)
-    pins = None
+    if vectors is not None and "collections" not in vectors.columns:
+        vectors = vectors.join(eligible(products).select("shop_id", "product_id", "collections"), ["shop_id", "product_id"])
+    index = index or index_tables(eligible(products), stems)
+    cands = browse_candidates(rest, products)
+    if not rest.where(normalize_query(F.col("term")) != "").isEmpty():
+        cands = cands.unionByName(text_candidates(rest, index, synonyms, vectors, stems, shops))
+    if rules is not None:
+        found = cands.withColumns({"matched": F.lit(True), "pin_no": F.lit(None).cast("int")})
+        pins = pinned_candidates(rest, rules, matched).select("query_id", "product_id", *[F.lit(v).alias(k) for k, v in _PARTS.items()], F.lit(False).alias("matched"), "pin_no")
+        best = {"dist": F.min, "pin_no": F.min}
+        cands = found.unionByName(pins).groupBy("query_id", "product_id").agg(*[best.get(c, F.max)(c).alias(c) for c in (*_PARTS, "matched", "pin_no")])
+    rows = evaluated(rest, products, cands, rules, matched)
     if rules is not None:
-        # A pinned product need not match the term.
-        pins = apply_pins(rest, products, rules, matched)
-        blank = {"fulltext": F.lit(False), "sim": F.lit(0.0), "dist": F.lit(9.0), "sku": F.lit(False), "text_rank": F.lit(0.0)}
-        missing = pins.join(rows.select("query_id", "product_id"), ["query_id", "product_id"], "left_anti").select("query_id", "product_id").withColumns(blank)
-        rows = rows.unionByName(evaluated(rest, products, missing, rules, matched))
+        # A pinned product need not match the term, but must pass the filters.
+        rows = rows.where(F.col("matched") | (F.size("failed") == 0)).drop("matched")
+    rows = written(rows)
     count = totals(rows)
-    return Found(redirected, rows, page(ranked(rows, pins)), count, suggest_spelling(rest, products, count))
+    return Found(redirected, rows, page(ranked(rows)), count, suggest_spelling(rest, index.grams, count), explain_requests(rest, synonyms, rules, matched, shops))

@@ -10,6 +10,7 @@ from stallgrid.operators import index as X
 from stallgrid.operators import prepare as P
 from stallgrid.operators import recommend as R
 from stallgrid.operators import search as S
+from stallgrid.operators import vectors as V
 from stallgrid.plans import search_sql
 from stallgrid.plans.fixtures import AS_OF, Tables, with_views
 from stallgrid.plans.requests import TEXT, requests, requests_cte
@@ -37,12 +38,12 @@ def merch_rules(spark):
 
 def browse_rows(spark, d):
     q, p = requests(spark), Tables(spark, d).products()
-    return S.evaluated(q, p, S.candidates(q, p))
+    return S.evaluated(q, p, S.browse_candidates(q, p))
 
 
 def text_rows(spark, d, rules=False):
     q, p = requests(spark, TEXT), Tables(spark, d).products()
-    c = S.candidates(q, p, synonyms(spark))
+    c = S.text_candidates(q, X.index_tables(S.eligible(p)), synonyms(spark))
     if not rules:
         return S.evaluated(q, p, c)
     m = merch_rules(spark)
@@ -66,11 +67,13 @@ def _fulltext(spark, d):
 
 
 def _fuzzy(spark, d):
-    return S.match_fuzzy(requests(spark, TEXT), S.eligible(Tables(spark, d).products())).select("query_id", "product_id", F.round("sim", 6).alias("sim"))
+    t = X.product_titles(S.eligible(Tables(spark, d).products()))
+    return S.match_fuzzy(requests(spark, TEXT), t, X.title_grams(t)).select("query_id", "product_id", F.round("sim", 6).alias("sim"))
 
 
 def _substring(spark, d):
-    return S.match_substring(requests(spark, TEXT), S.eligible(Tables(spark, d).products())).select("query_id", "product_id")
+    t = X.product_titles(S.eligible(Tables(spark, d).products()))
+    return S.match_substring(requests(spark, TEXT), t, X.title_stretches(t)).select("query_id", "product_id")
 
 
 def _sku(spark, d):
@@ -149,7 +152,7 @@ def _signatures(spark, d):
     q = base.unionByName(base.withColumns({"query_id": F.col("query_id") + 100, "page": F.lit(2), "sort": F.lit("newest")}))
     p = Tables(spark, d).products()
     one = FA.distinct_signatures(q)
-    counts = FA.value_facets(S.evaluated(one, p, S.candidates(one, p)))
+    counts = FA.value_facets(S.evaluated(one, p, S.browse_candidates(one, p)))
     return FA.facet_signature(q).select(F.col("query_id").alias("request_id"), "signature").join(counts.withColumnRenamed("query_id", "signature"), "signature").select(F.col("request_id").alias("query_id"), "source", "value", "count")
 
 
@@ -161,7 +164,8 @@ def _labelled(spark, d):
 
 def _spelling(spark, d):
     q, p = requests(spark, TEXT), Tables(spark, d).products()
-    return S.suggest_spelling(q, p, S.totals(S.evaluated(q, p, S.candidates(q, p))))
+    index = X.index_tables(S.eligible(p))
+    return S.suggest_spelling(q, index.grams, S.totals(S.evaluated(q, p, S.text_candidates(q, index))))
 
 
 def _vectors(spark, d):
@@ -180,6 +184,67 @@ def _related_vectors(spark, d):
     return _long(R.related_vectors(v.where("product_id % 50 = 0"), v, 5))
 
 
+def _related_all(spark, d):
+    """Every vector's neighbours by the index; the given shops are within two blocks, where it is exact."""
+    return _long(V.neighbours(_vectors(spark, d)[0].drop("label"), 5)).select("anchor_id", "product_id", F.round("dist", 6).alias("dist"), "rank")
+
+
+def _rail(spark, d):
+    """The rail of every product: of those with a vector by vectors, of the others by attributes."""
+    return _long(R.related(Tables(spark, d).products(), _vectors(spark, d)[0], 6))
+
+
+def _rail_in_collection(spark, d):
+    return _long(R.related(Tables(spark, d).products(), _vectors(spark, d)[0], 6, collection="c1"))
+
+
+def _vector_scope(spark, d):
+    """Requests by vector in one collection of their shop."""
+    v, q = _vectors(spark, d)
+    v = v.join(Tables(spark, d).products().select("shop_id", "product_id", "collections"), ["shop_id", "product_id"])
+    return _long(R.vector_topk(q.withColumn("collection", F.concat(F.lit("c"), (F.col("query_id").cast("int") % 3).cast("string"))), v, 10, within=0.95))
+
+
+def hybrid_requests(spark, d):
+    """The text requests, each with the vector of one product of its shop, and the language of the catalog's words."""
+    n = F.col("query_id")
+    own = _vectors(spark, d)[0].select(F.col("product_id").cast("int").alias("_vec"), F.col("embedding").alias("query_vec"))
+    return requests(spark, TEXT).withColumns({"_vec": n % 4 + 4 * n, "lang": F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), n % 4 + 1)}).join(own, "_vec", "left").drop("_vec")
+
+
+def _hybrid(spark, d, stems=False):
+    p = Tables(spark, d).products()
+    v = _vectors(spark, d)[0].select("shop_id", "product_id", "embedding")
+    return S.search(hybrid_requests(spark, d), p, AS_OF, synonyms=synonyms(spark), vectors=v, stems=_stems(spark, d) if stems else None)
+
+
+def _search_hybrid(spark, d):
+    """Text and vectors together: every hit with its parts and the strategy that found it."""
+    rows = _hybrid(spark, d).rows.where(F.size("failed") == 0)
+    return rows.select("query_id", "product_id", F.round("x_semantic", 6).alias("x_semantic"), F.round("score", 6).alias("score"), "strategy")
+
+
+def _search_stemmed(spark, d):
+    """Hits of requests whose words, like the catalog's, are compared by stems."""
+    p = Tables(spark, d).products()
+    q = requests(spark, TEXT).where("term <> ''").withColumn("lang", F.lit("en"))
+    return S.search(q, p.withColumn("lang", F.lit("en")), AS_OF, stems=_title_stems(spark, d)).rows.where("fulltext").select("query_id", "product_id", F.round("text_rank", 6).alias("text_rank"))
+
+
+def _title_stems(spark, d):
+    """A dictionary out of the given titles: words of three letters and more lose their last letter."""
+    words = Tables(spark, d).products().select(F.explode(T.tokenize(F.col("title"))).alias("token")).distinct()
+    return words.where("length(token) >= 3").select(F.lit("en").alias("lang"), "token", F.expr("left(token, length(token) - 1)").alias("stem"))
+
+
+def _explained(spark, d):
+    """How each text request was understood; shop2 has a search language."""
+    q, m = requests(spark, TEXT), merch_rules(spark)
+    shops = spark.createDataFrame([("shop2", " Turkish")], "shop_id string, search_language string")
+    x = S.explain_requests(q, synonyms(spark), m, P.match_rules(q, m, AS_OF), shops)
+    return x.withColumn("expansions", F.array_join("expansions", "|")).na.fill(-1, ["rule_id", "priority"])
+
+
 def _semantic(spark, d):
     v, q = _vectors(spark, d)
     return S.match_semantic(q, v, 0.8).select("query_id", "product_id", F.round("dist", 6).alias("dist"))
@@ -232,6 +297,13 @@ QUERIES = {
     "related_attributes": lambda s, d: _long(R.related_attributes(Tables(s, d).products(), 6)),
     "personalized": lambda s, d: _long(R.personalized(_seen(s, d), Tables(s, d).products(), 6)),
     "vector_topk": _vector_topk,
+    "vector_scope": _vector_scope,
+    "related_all_vectors": _related_all,
+    "related_rail": _rail,
+    "related_rail_collection": _rail_in_collection,
+    "search_hybrid": _search_hybrid,
+    "search_stemmed": _search_stemmed,
+    "search_understood": _explained,
     "related_vectors": _related_vectors,
 }
 
@@ -293,6 +365,15 @@ _VEC = "ve AS (SELECT CAST(vec_id AS VARCHAR) AS id, 'shop' || (vec_id % 4) AS s
 _KEYS = "sell AS (SELECT * FROM v_products WHERE status = 'ACTIVE' AND published_online AND available)"
 _SCORE = "3 * CAST(a.collection = b.collection AS INT) + 2 * CAST(a.product_type = b.product_type AS INT) + CAST(a.vendor = b.vendor AS INT) + CAST(list_has_any(a.tags, b.tags) AS INT)"
 
+
+def _rail_sql(scope: str) -> str:
+    """Neighbours by vectors of all products that have one, by attributes of those that get none that way."""
+    near = f"SELECT a.shop_id, a.id AS anchor_id, b.product_id, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - list_cosine_similarity(a.embedding::DOUBLE[], x.embedding::DOUBLE[]), 6), b.product_id) AS rank, 'vectors' AS by FROM ve a JOIN v_products o ON o.product_id = a.id JOIN sell b ON b.shop_id = a.shop_id AND b.product_id <> a.id JOIN ve x ON x.id = b.product_id WHERE {scope}"
+    alike = f"SELECT a.shop_id, a.product_id AS anchor_id, b.product_id, row_number() OVER (PARTITION BY a.product_id ORDER BY {_SCORE} DESC, b.popularity DESC, b.product_id) AS rank, 'attributes' AS by FROM v_products a JOIN sell b ON b.shop_id = a.shop_id AND b.product_id <> a.product_id WHERE {_SCORE} > 0 AND {scope} AND a.product_id NOT IN (SELECT anchor_id FROM near)"
+    return f"{_VEC}, {_KEYS}, near AS ({near}) SELECT * FROM near WHERE rank <= 6 UNION ALL SELECT * FROM ({alike}) WHERE rank <= 6"
+
+
+
 ORACLE_SQL = {
     "browse_page": _cat(" SELECT query_id, rank, product_id FROM ranked WHERE rank > (page - 1) * per_page AND rank <= page * per_page"),
     "filtered_page": _cat(" SELECT query_id, rank, product_id, title, price_min, price_max, 'browse' AS strategy FROM ranked WHERE rank > (page - 1) * per_page AND rank <= page * per_page"),
@@ -322,7 +403,7 @@ SELECT query_id, CAST(CASE shop_id WHEN 'shop0' THEN 3 WHEN 'shop1' THEN 1 ELSE
     "embedding_backlog": with_views("SELECT product_id, sha256(substr(concat_ws('. ', nullif(trim(title), ''), nullif(trim(product_type), ''), nullif(trim(vendor), ''), nullif(trim(array_to_string(tags, ', ')), ''), nullif(trim(substr(description, 1, 1000)), '')), 1, 4000)) AS h FROM v_products WHERE CAST(product_id AS INT) % 3 <> 0", "v_products"),
     "bestsellers": with_views(f"{_KEYS} SELECT * FROM (SELECT shop_id, product_id, row_number() OVER (PARTITION BY shop_id ORDER BY popularity DESC, published_at DESC NULLS LAST, product_id) AS rank FROM sell) WHERE rank <= 12", "v_products"),
     "recent": with_views(f"{_KEYS} SELECT * FROM (SELECT shop_id, product_id, row_number() OVER (PARTITION BY shop_id ORDER BY published_at DESC NULLS LAST, product_id) AS rank FROM sell) WHERE rank <= 12", "v_products"),
-    "related_attributes": with_views(f"{_KEYS} SELECT * FROM (SELECT a.shop_id, a.product_id AS anchor_id, b.product_id, {_SCORE} AS score, row_number() OVER (PARTITION BY a.shop_id, a.product_id ORDER BY {_SCORE} DESC, b.popularity DESC, b.product_id) AS rank FROM sell a JOIN sell b ON b.shop_id = a.shop_id AND b.product_id <> a.product_id WHERE {_SCORE} > 0) WHERE rank <= 6", "v_products"),
+    "related_attributes": with_views(f"{_KEYS} SELECT * FROM (SELECT a.shop_id, a.product_id AS anchor_id, b.product_id, {_SCORE} AS score, row_number() OVER (PARTITION BY a.shop_id, a.product_id ORDER BY {_SCORE} DESC, b.popularity DESC, b.product_id) AS rank FROM v_products a JOIN sell b ON b.shop_id = a.shop_id AND b.product_id <> a.product_id WHERE {_SCORE} > 0) WHERE rank <= 6", "v_products"),
     "personalized": with_views(f"""{_KEYS}, lastv AS (SELECT shop_id, session_token, product_id FROM (SELECT shop_id, session_token, product_id, row_number() OVER (PARTITION BY shop_id, session_token ORDER BY max(ts) DESC, product_id) AS n FROM v_actions WHERE kind <> 'search' GROUP BY shop_id, session_token, product_id) WHERE n <= 20),
 seen AS (SELECT l.* FROM lastv l JOIN v_products p ON p.shop_id = l.shop_id AND p.product_id = l.product_id),
 prof AS (SELECT s.shop_id, s.session_token, list(DISTINCT p.collection) AS cs, list(DISTINCT p.product_type) AS ts, list(DISTINCT p.vendor) AS vs, list_distinct(flatten(list(p.tags))) AS gs FROM seen s JOIN v_products p ON p.shop_id = s.shop_id AND p.product_id = s.product_id GROUP BY s.shop_id, s.session_token),
@@ -331,6 +412,10 @@ sc AS (SELECT f.shop_id, f.session_token, b.product_id, b.popularity, 3 * CAST(l
 SELECT * EXCLUDE (popularity) FROM (SELECT *, row_number() OVER (PARTITION BY shop_id, session_token ORDER BY score DESC, popularity DESC, product_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 6""", "v_products", "v_actions"),
     "vector_topk": f"WITH {_VEC} SELECT * FROM (SELECT a.id AS query_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - {_UNIT}, 6), b.id) AS rank FROM ve a JOIN ve b ON b.shop_id = a.shop_id WHERE a.vec_id % 50 = 0 AND round(1 - {_UNIT}, 6) < 0.9) WHERE rank <= 10",
     "related_vectors": f"WITH {_VEC} SELECT * FROM (SELECT a.id AS anchor_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - {_UNIT}, 6), b.id) AS rank FROM ve a JOIN ve b ON b.shop_id = a.shop_id AND b.id <> a.id WHERE a.vec_id % 50 = 0) WHERE rank <= 5",
+    "related_all_vectors": f"WITH {_VEC} SELECT * FROM (SELECT a.id AS anchor_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - {_UNIT}, 6), b.id) AS rank FROM ve a JOIN ve b ON b.shop_id = a.shop_id AND b.id <> a.id) WHERE rank <= 5",
+    "vector_scope": with_views(f"{_VEC} SELECT * FROM (SELECT a.id AS query_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - {_UNIT}, 6), b.id) AS rank FROM ve a JOIN ve b ON b.shop_id = a.shop_id JOIN v_products p ON p.product_id = b.id AND p.collection = 'c' || (a.vec_id % 3) WHERE a.vec_id % 50 = 0 AND round(1 - {_UNIT}, 6) < 0.95) WHERE rank <= 10", "v_products"),
+    "related_rail": with_views(_rail_sql("true"), "v_products"),
+    "related_rail_collection": with_views(_rail_sql("b.collection = 'c1'"), "v_products"),
     "semantic_match": f"WITH {_VEC} SELECT a.id AS query_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist FROM ve a JOIN ve b ON b.shop_id = a.shop_id WHERE a.vec_id % 50 = 0 AND 1 - {_UNIT} < 0.8",
 }
 ORACLE_SQL |= search_sql.ORACLE_SQL

@@ -30,7 +30,11 @@ def jaccard(a: str, b: str) -> str:
     return f"len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE"
 
 
-_GROUPS = "grp AS (" + " UNION ALL ".join("SELECT {} AS query_id, {} AS g, unnest([{}]) AS tok".format(q, n, ", ".join(f"'{w}'" for w in p.split())) for q, ps in PHRASES for n, p in enumerate(ps)) + ")"
+def _groups(phrases: list) -> str:
+    return "grp AS (" + " UNION ALL ".join("SELECT {} AS query_id, {} AS g, unnest([{}]) AS tok".format(q, n, ", ".join(f"'{w}'" for w in p.split())) for q, ps in phrases for n, p in enumerate(ps)) + ")"
+
+
+_GROUPS = _groups(PHRASES)
 _ELIGIBLE = "elig AS (SELECT * FROM v_products WHERE status = 'ACTIVE' AND published_online)"
 
 
@@ -85,6 +89,21 @@ pinned AS (SELECT * FROM trow UNION ALL
     0.3 * ln(1 + p.popularity) AS x_popularity, 0.0 AS x_sku, p.available OR q.include_unavailable AS ok
   FROM req q JOIN elig p ON p.shop_id = q.shop_id JOIN pins USING (product_id) WHERE q.query_id = 21 AND NOT EXISTS (SELECT 1 FROM trow t WHERE t.query_id = 21 AND t.product_id = p.product_id))"""
 
+#: Vectors of the text requests and their distances to the products of their shop.
+_NEAR = """, vec AS (SELECT vec_id, CAST(vec_id AS VARCHAR) AS product_id, embedding::DOUBLE[] AS e FROM embeddings),
+near AS (SELECT q.query_id, p.product_id, round(1 - list_cosine_similarity(a.e, b.e), 6) AS dist FROM req q JOIN vec a ON a.vec_id = q.query_id % 4 + 4 * q.query_id JOIN vec b ON b.vec_id % 4 = CAST(q.shop_id[5] AS INT) JOIN elig p ON p.product_id = b.product_id
+  WHERE 1 - list_cosine_similarity(a.e, b.e) < 0.62 AND (q.collection IS NULL OR p.collection = q.collection))"""
+# Stems are words without their last letter, of words of titles with three letters and more.
+_STEMMED = RANKS
+for _what, _with in (
+    ("words AS (", "stems AS (SELECT DISTINCT tok, left(tok, length(tok) - 1) AS stem FROM (SELECT unnest(" + tokens("title") + ") AS tok FROM v_products) WHERE length(tok) >= 3),\nsg AS (SELECT DISTINCT grp.query_id, g, coalesce(stem, grp.tok) AS tok FROM grp LEFT JOIN stems ON stems.tok = grp.tok),\nwords AS ("),
+    ("place AS (SELECT shop_id, product_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS x FROM words)", "place0 AS (SELECT shop_id, product_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS x FROM words),\nplace AS (SELECT shop_id, product_id, pos, {'t': CASE WHEN starts_with(x.t, 'sku') THEN x.t ELSE coalesce(stem, x.t) END, 'inv': x.inv} AS x FROM place0 LEFT JOIN stems ON stems.tok = x.t)"),
+    ("(SELECT DISTINCT query_id, tok FROM grp)", "(SELECT DISTINCT query_id, tok FROM sg)"), ("JOIN grp g ON g.query_id = m.query_id", "JOIN sg g ON g.query_id = m.query_id"),
+):
+    assert _what in _STEMMED
+    _STEMMED = _STEMMED.replace(_what, _with)
+_PLAIN = [(q, ps[:1]) for q, ps in PHRASES]
+
 ORACLE_SQL = {
     "text_rank": with_views(RANKS + " SELECT query_id, product_id, round(text_rank, 6) AS text_rank FROM ranks", "v_products"),
     "search_ranked": with_views(ROWS + f", s AS (SELECT *, x_text + x_similarity + x_prefix + x_popularity + x_sku AS score FROM trow WHERE ok), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS rank FROM s) SELECT query_id, rank, product_id, round(score, 6) AS score, CASE WHEN is_sku THEN 'sku' ELSE 'fulltext' END AS strategy FROM r WHERE {_PAGE}", "v_products"),
@@ -92,6 +111,17 @@ ORACLE_SQL = {
     "pinned_page": with_views(ROWS + _PINS + _RULED.format("pinned") + f", s AS (SELECT *, x_text + x_similarity + x_prefix + x_popularity + x_merchandising AS score FROM ruled WHERE ok), r AS (SELECT s.*, pin_no IS NOT NULL AS pinned_hit, row_number() OVER (PARTITION BY query_id ORDER BY pin_no NULLS LAST, {_ORDER.replace('product_id', 's.product_id')}) AS rank FROM s LEFT JOIN pins ON pins.product_id = s.product_id AND s.query_id = 21) SELECT query_id, rank, product_id, pinned_hit FROM r WHERE {_PAGE}", "v_products"),
     "search_composed": with_views(ROWS + _PINS + _RULED.format("pinned") + " SELECT query_id, count(*) AS total, '' AS url FROM ruled WHERE ok AND query_id <> 21 GROUP BY 1 UNION ALL SELECT 21, 0, '/pages/red'", "v_products"),
     "product_suggestions": with_views(ROWS + ", s AS (SELECT *, round(x_text + x_similarity + CASE WHEN x_prefix > 0 THEN 2 ELSE 0 END, 9) AS s FROM trow WHERE ok) SELECT query_id, product_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, popularity DESC, product_id) AS rank FROM s) WHERE rank <= 6", "v_products"),
+    "search_hybrid": with_views(ROWS + _NEAR + f""",
+pair AS (SELECT coalesce(t.query_id, n.query_id) AS query_id, coalesce(t.product_id, n.product_id) AS product_id, n.dist, t.query_id IS NOT NULL AND (t.x_text > 0 OR contains(lower(t.title), t.norm)) AS fulltext, coalesce(t.is_sku, false) AS is_sku, coalesce(t.x_text, 0) AS x_text, coalesce(t.x_similarity, 0) AS x_similarity FROM trow t FULL JOIN near n ON n.query_id = t.query_id AND n.product_id = t.product_id),
+s AS (SELECT b.*, CASE WHEN dist < 0.62 THEN 2.5 * greatest(0, 1 - dist) ELSE 0 END AS x_semantic, x_text + x_similarity + CASE WHEN starts_with(lower(p.title), lower(q.term)) THEN 1.5 ELSE 0 END + 0.3 * ln(1 + p.popularity) + CASE WHEN is_sku THEN 50 ELSE 0 END AS others,
+  ({_HAS.format('vendor', 'p.vendor')}) AND (p.available OR q.include_unavailable) AS ok FROM pair b JOIN req q ON q.query_id = b.query_id JOIN elig p ON p.product_id = b.product_id)
+SELECT query_id, product_id, round(x_semantic, 6)::DOUBLE AS x_semantic, round(others + x_semantic, 6) AS score, CASE WHEN is_sku THEN 'sku' WHEN dist < 0.62 AND fulltext THEN 'hybrid' WHEN dist < 0.62 THEN 'semantic' ELSE 'fulltext' END AS strategy FROM s WHERE ok""", "v_products"),
+    "search_stemmed": with_views(_STEMMED.replace(_GROUPS, _groups(_PLAIN)) + """ SELECT coalesce(r.query_id, i.query_id) AS query_id, coalesce(r.product_id, i.product_id) AS product_id, round(coalesce(text_rank, 0), 6)::DOUBLE AS text_rank FROM ranks r
+FULL JOIN (SELECT q.query_id, p.product_id FROM req q JOIN elig p ON p.shop_id = q.shop_id AND contains(lower(p.title), lower(q.term))) i ON i.query_id = r.query_id AND i.product_id = r.product_id""", "v_products"),
+    "search_understood": f"""WITH {requests_cte(TEXT)}, x(query_id, expansions) AS (VALUES {", ".join(f"({q}, {ps})" for q, ps in PHRASES)})
+SELECT q.query_id, lower(term) AS normalized_term, CASE WHEN shop_id = 'shop2' THEN 'turkish' ELSE 'simple' END AS language, array_to_string(expansions, '|') AS expansions,
+  array_to_string(list_transform(expansions, lambda p: CASE WHEN contains(p, ' ') THEN '(' || p || ')' ELSE p END), ' OR ') AS ts_query,
+  CAST(CASE WHEN q.query_id = 21 THEN 1 WHEN shop_id = 'shop2' THEN 2 ELSE -1 END AS INT) AS rule_id, CAST(CASE WHEN q.query_id = 21 THEN 5 WHEN shop_id = 'shop2' THEN 3 ELSE -1 END AS INT) AS priority FROM req q JOIN x ON x.query_id = q.query_id""",
     "did_you_mean": with_views(ROWS + f""", few AS (SELECT q.query_id, q.shop_id, lower(q.term) AS norm FROM req q LEFT JOIN (SELECT query_id, count(*) AS n FROM trow WHERE ok GROUP BY 1) USING (query_id) WHERE q.typo_tolerance AND coalesce(n, 0) < 3),
 top AS (SELECT f.query_id, f.norm, s.t, row_number() OVER (PARTITION BY f.query_id ORDER BY s.sim DESC, s.t) AS n FROM few f JOIN sims s ON s.query_id = f.query_id AND s.sim > 0.3 QUALIFY n <= 5),
 w AS (SELECT query_id, norm, unnest(list_filter(regexp_split_to_array(t, '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 3)) AS word FROM top),
