@@ -49,7 +49,8 @@ _RECORD = "part bigint, doc_id array<bigint>, held array<boolean>, lengths binar
 class Settings:
     """States, classes of words, rounds of Baum-Welch; the sample that gives the start, in documents and their longest.
 
-    ``common`` is the share of the corpus's own class frequencies in each state's.
+    ``common`` is how many tokens of each class are dealt to the states like all tokens, on top of those that were seen:
+    what is seldom seen tells states little apart.
     """
 
     states: int = 8
@@ -57,7 +58,7 @@ class Settings:
     rounds: int = 3
     sample_docs: int = 500
     sample_tokens: int = 4_000
-    common: float = 0.25
+    common: float = 3.0
 
 
 @dataclass
@@ -240,10 +241,13 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def _model(starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray, counts: Counts, share: float) -> Model:
-    common = ((counts.by_class + 0.5) / (counts.tokens + 0.5 * len(counts.by_class)))[:, None]
-    emits = (1 - share) * (emitted + common) / (emitted.sum(axis=0) + 1) + share * common
-    return Model(_normal(starts + 0.1), _normal(moves + 0.1), emits)
+def _model(starts: np.ndarray, moves: np.ndarray, emitted: np.ndarray, counts: Counts, alike: float) -> Model:
+    """The model of expected counts: a state emits a class as often as the corpus, times how much the class prefers it."""
+    common = (counts.by_class + 0.5) / (counts.tokens + 0.5 * len(counts.by_class))
+    states = _normal(emitted.sum(axis=0) + 1)
+    prefers = (emitted + alike * states) / (emitted.sum(axis=1, keepdims=True) + alike) / states
+    emits = common[:, None] * prefers
+    return Model(_normal(starts + 0.1), _normal(moves + 0.1), emits / emits.sum(axis=0))
 
 
 def first_model(records: DataFrame, counts: Counts, s: Settings) -> Model:

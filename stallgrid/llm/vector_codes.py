@@ -165,7 +165,7 @@ def codebook_digest(books: list[np.ndarray]) -> str:
 
 def assign_codes(vectors: DataFrame, books: list[np.ndarray], size: int, scale: int = 4096) -> DataFrame:
     """vec_id, label, code (two hex digits a part), error of every kept vector."""
-    width = size // len(books)
+    width = size // max(len(books), 1)
     kind = vectors.schema["label"].dataType
     hexed = np.array([f"{i:02x}" for i in range(max((len(b) for b in books), default=0))])
 
@@ -207,6 +207,7 @@ def compress(
     """(vec_id, label, code, error, label_error of every kept vector; the codebooks, one array of integers a part)."""
     vectors = _vectors(table, vector, vec_id, label)
     size = vector_size(vectors, parts)
+    vectors = vectors.where(F.lit(size > 0))
     books = fit_codebooks(vectors, size, parts, entries, rounds, scale) if size else []
     return with_label_errors(checkpointed(assign_codes(vectors, books, size, scale))), books
 
