@@ -69,9 +69,26 @@ def sku_postings(products: DataFrame) -> DataFrame:
     return products.select("shop_id", "product_id", F.explode("skus").alias("s")).select("shop_id", F.lower("s").alias("sku_lower"), "product_id").distinct()
 
 
+#: Folders that a stored table is cut into: by shop, and by word.
+PARTS, BUCKETS = 16, 16
+
+
+def placed(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the part of their shop and the bucket of their ``key``."""
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    return rows.withColumns({"part": place("shop_id", PARTS), "bucket": place(key, BUCKETS)})
+
+
+def meet(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with a table of the index on shop and ``key``; of a stored one only the folders of the rows are read."""
+    if "bucket" not in table.columns:
+        return rows.join(table, ["shop_id", key])
+    return placed(rows, key).join(table, ["part", "bucket", "shop_id", key]).drop("part", "bucket")
+
+
 @dataclass
 class Index:
-    """The tables that text requests are put to. They may have a column ``bucket`` that stored ones are cut by."""
+    """The tables that text requests are put to; stored ones have the columns part and bucket that they are cut by."""
 
     postings: DataFrame
     titles: DataFrame

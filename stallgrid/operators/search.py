@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stallgrid.functions.text import fold_accents, looks_like_sku, normalize_query, trigrams, ts_config, word_sim
-from stallgrid.operators.index import WEIGHTS, Index, apply_stems, index_tables
+from stallgrid.operators.index import WEIGHTS, Index, apply_stems, index_tables, meet
 from stallgrid.operators.prepare import apply_redirects, boolean_query, expand_synonyms, match_rules, plain_terms, query_terms
 from stallgrid.operators.scratch import written
 from stallgrid.operators.vectors import blocked_matches
@@ -40,7 +40,7 @@ def match_fulltext(terms: DataFrame, queries: DataFrame, postings: DataFrame) ->
     """Products that hold all tokens of at least one group."""
     need = terms.groupBy("query_id", "group_no").agg(F.count("*").alias("need"))
     t = terms.join(queries.select("query_id", "shop_id"), "query_id")
-    hits = t.join(postings.select("shop_id", "token", "product_id").distinct(), ["shop_id", "token"]).groupBy("query_id", "shop_id", "group_no", "product_id").agg(F.count("*").alias("got"))
+    hits = meet(t, postings, "token").select("query_id", "shop_id", "group_no", "token", "product_id").distinct().groupBy("query_id", "shop_id", "group_no", "product_id").agg(F.count("*").alias("got"))
     return hits.join(need, ["query_id", "group_no"]).where("got = need").select("query_id", "shop_id", "product_id").distinct()
 
 
@@ -51,13 +51,13 @@ def match_substring(queries: DataFrame, titles: DataFrame, grams: DataFrame) ->
     spread to their products.
     """
     q = queries.select("query_id", "shop_id", normalize_query(F.col("term")).alias("norm")).where("norm <> ''").withColumn("gram", F.right("norm", F.lit(3)))
-    hit = q.join(grams, ["shop_id", "gram"]).where(F.col("folded_title").contains(F.col("norm"))).select("query_id", "shop_id", "folded_title")
-    return hit.join(titles, ["shop_id", "folded_title"]).select("query_id", "shop_id", "product_id")
+    hit = meet(q, grams, "gram").where(F.col("folded_title").contains(F.col("norm"))).select("query_id", "shop_id", "folded_title")
+    return meet(hit, titles, "folded_title").select("query_id", "shop_id", "product_id")
 
 
 def match_sku(queries: DataFrame, skus: DataFrame) -> DataFrame:
     q = queries.where(looks_like_sku(F.col("term"))).select("query_id", "shop_id", F.lower(F.trim("term")).alias("sku_lower"))
-    return q.join(skus, ["shop_id", "sku_lower"]).select("query_id", "shop_id", "product_id").distinct()
+    return meet(q, skus, "sku_lower").select("query_id", "shop_id", "product_id").distinct()
 
 
 def title_similarity(queries: DataFrame, grams: DataFrame, above: float = FUZZY) -> DataFrame:
@@ -68,14 +68,14 @@ def title_similarity(queries: DataFrame, grams: DataFrame, above: float = FUZZY)
     """
     q = queries.select("query_id", "shop_id", normalize_query(F.col("term")).alias("norm")).where("norm <> ''").withColumn("g", trigrams(F.col("norm")))
     q = q.select("query_id", "shop_id", F.size("g").alias("nq"), F.explode("g").alias("gram"))
-    pairs = q.join(grams, ["shop_id", "gram"]).where((F.col("n_grams") > above * F.col("nq")) & (F.col("nq") > above * F.col("n_grams")))
+    pairs = meet(q, grams, "gram").where((F.col("n_grams") > above * F.col("nq")) & (F.col("nq") > above * F.col("n_grams")))
     both = pairs.groupBy("query_id", "shop_id", "folded_title", "nq", "n_grams").agg(F.count("*").alias("n"))
     return both.withColumn("sim", F.col("n") / (F.col("nq") + F.col("n_grams") - F.col("n"))).where(F.col("sim") > above).select("query_id", "shop_id", "folded_title", "sim")
 
 
 def match_fuzzy(queries: DataFrame, titles: DataFrame, grams: DataFrame) -> DataFrame:
     sims = title_similarity(queries.where("typo_tolerance"), grams)
-    return sims.join(titles, ["shop_id", "folded_title"]).select("query_id", "shop_id", "product_id", "sim")
+    return meet(sims, titles, "folded_title").select("query_id", "shop_id", "product_id", "sim")
 
 
 def match_semantic(queries: DataFrame, vectors: DataFrame, above: float = SEMANTIC) -> DataFrame:
@@ -98,7 +98,7 @@ def cover_density(terms: DataFrame, queries: DataFrame, postings: DataFrame) ->
     groups = groups.select("query_id", "tokens", member.alias("groups"))
     t = terms.select("query_id", "token").distinct().join(queries.select("query_id", "shop_id"), "query_id")
     w = F.element_at(F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(1 / v))]), F.col("weight"))
-    hits = t.join(postings, ["shop_id", "token"]).groupBy("query_id", "product_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", w.alias("inv")))).alias("p")).join(groups, "query_id")
+    hits = meet(t, postings, "token").groupBy("query_id", "product_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", w.alias("inv")))).alias("p")).join(groups, "query_id")
     none = F.lit(None).cast("struct<pos:int,n:int,inv:double>")
     state = F.struct(
         F.transform("tokens", lambda _: none).alias("last"), F.lit(-1).alias("start"), F.lit(0).alias("n"), F.lit(0.0).alias("inv"), F.lit(0.0).alias("rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stallgrid.functions import text as T
@@ -10,9 +12,10 @@ from stallgrid.operators import index as X
 from stallgrid.operators import prepare as P
 from stallgrid.operators import recommend as R
 from stallgrid.operators import search as S
+from stallgrid.operators import stored as ST
 from stallgrid.operators import vectors as V
 from stallgrid.plans import search_sql
-from stallgrid.plans.fixtures import AS_OF, Tables, with_views
+from stallgrid.plans.fixtures import AS_OF, Tables, shared_folder, with_views
 from stallgrid.plans.requests import TEXT, requests, requests_cte
 
 SYNONYMS = [(f"shop{i}", f"s{i}{n}", kind, inp, terms) for i in range(4) for n, (kind, inp, terms) in enumerate([("multiway", None, ["plate", "plat"]), ("oneway", "gear", ["bolt", "ring"]), ("multiway", None, ["hot bolt", "screw"])])]
@@ -96,6 +99,37 @@ def search_explain(spark, d):
     return S.ranked(text_rows(spark, d, True)).select("query_id", "product_id", *[F.round(c, 6).alias(c) for c in names])
 
 
+def _folder(spark, kind):
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def _search_stored(spark, d):
+    """The ranked text search from a stored index."""
+    folder, p = _folder(spark, "index"), Tables(spark, d).products()
+    ST.write_index(p, folder)
+    found = S.search(requests(spark, TEXT), p, AS_OF, synonyms=synonyms(spark), index=ST.stored_index(spark, folder))
+    return _long(found.hits).select("query_id", "rank", "product_id", F.round("score", 6).alias("score"), "strategy")
+
+
+def changed(p):
+    """A third of the products with the words of their titles the other way round, of which every fifth is a draft."""
+    n = F.col("product_id").cast("int")
+    other = F.concat(F.split_part("title", F.lit(" "), F.lit(2)), F.lit(" "), F.split_part("title", F.lit(" "), F.lit(1)))
+    return p.where(n % 3 == 0).withColumns({"title": other, "status": F.when(n % 5 == 0, "DRAFT").otherwise("ACTIVE"), "tags": F.array(F.lit("new"), F.col("tags")[0])})
+
+
+def _index_changes(spark, d):
+    """What a stored index holds behind a batch of changes and deletes: words of titles, facet values, grams in use."""
+    folder, p = _folder(spark, "index"), Tables(spark, d).products()
+    ST.write_index(p, folder)
+    ST.update_index(folder, 1, changed(p), p.where("product_id % 7 = 1").select("shop_id", "product_id"))
+    ST.update_index(folder, 2, p.where("product_id % 21 = 1"))
+    t = ST.read_index(spark, folder)
+    words = t["postings"].where("field = 'title'").select("shop_id", "product_id", F.lit("title").alias("source"), F.concat_ws("@", "token", "pos").alias("value"))
+    grams = t["grams"].join(t["titles"].select("shop_id", "folded_title").distinct(), ["shop_id", "folded_title"]).groupBy("shop_id", "folded_title").agg(F.count("*").alias("n"))
+    return words.unionByName(t["facets"].where("source IN ('tag', 'vendor')").select("shop_id", "product_id", "source", "value")).unionByName(grams.select("shop_id", F.col("folded_title").alias("product_id"), F.lit("grams").alias("source"), F.col("n").cast("string").alias("value")))
+
+
 REDIRECTS = [("shop1", "RED  widget", "/pages/red"), ("shop0", "Hot Bolt", "/pages/bolts"), ("shop2", "small ring", "/pages/rings")]
 
 
@@ -297,6 +331,8 @@ QUERIES = {
     "related_attributes": lambda s, d: _long(R.related_attributes(Tables(s, d).products(), 6)),
     "personalized": lambda s, d: _long(R.personalized(_seen(s, d), Tables(s, d).products(), 6)),
     "vector_topk": _vector_topk,
+    "search_stored": _search_stored,
+    "index_changes": _index_changes,
     "vector_scope": _vector_scope,
     "related_all_vectors": _related_all,
     "related_rail": _rail,
@@ -419,3 +455,10 @@ SELECT * EXCLUDE (popularity) FROM (SELECT *, row_number() OVER (PARTITION BY sh
     "semantic_match": f"WITH {_VEC} SELECT a.id AS query_id, b.id AS product_id, round(1 - {_UNIT}, 6) AS dist FROM ve a JOIN ve b ON b.shop_id = a.shop_id WHERE a.vec_id % 50 = 0 AND 1 - {_UNIT} < 0.8",
 }
 ORACLE_SQL |= search_sql.ORACLE_SQL
+ORACLE_SQL["search_stored"] = ORACLE_SQL["search_ranked"]
+ORACLE_SQL["index_changes"] = with_views(f"""c AS (SELECT *, CAST(product_id AS INT) AS i FROM v_products),
+n AS (SELECT shop_id, product_id, vendor, CASE WHEN i % 3 = 0 THEN split_part(title, ' ', 2) || ' ' || split_part(title, ' ', 1) ELSE title END AS title, CASE WHEN i % 3 = 0 THEN ['new', tags[1]] ELSE tags END AS tags
+  FROM c WHERE published_online AND CASE WHEN i % 21 = 1 THEN status = 'ACTIVE' WHEN i % 7 = 1 THEN false WHEN i % 3 = 0 THEN i % 5 <> 0 ELSE status = 'ACTIVE' END),
+w AS (SELECT shop_id, product_id, unnest({_TOK.format('title')}) AS token, unnest(range(1, len({_TOK.format('title')}) + 1)) AS pos FROM n)
+SELECT shop_id, product_id, 'title' AS source, token || '@' || pos AS value FROM w UNION ALL SELECT shop_id, product_id, 'vendor', vendor FROM n UNION ALL SELECT shop_id, product_id, 'tag', unnest(list_distinct(tags)) FROM n
+UNION ALL SELECT shop_id, t, 'grams', CAST(len({_grams('t')}) AS VARCHAR) FROM (SELECT DISTINCT shop_id, lower(title) AS t FROM n)""", "v_products")
