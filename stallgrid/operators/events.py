@@ -33,42 +33,41 @@ def sanitize_beacons(raw: DataFrame) -> DataFrame:
     )
 
 
-def _folded(rows: DataFrame, keys: list[str], keep: Callable[[tuple | None, int], tuple[bool, tuple]]) -> DataFrame:
+def _folded(rows: DataFrame, keys: list[str], keep: Callable[[tuple | None, int, bool], tuple[bool, tuple]], mark: str = "false") -> DataFrame:
     """event_id of the rows that ``keep`` accepts, going through each key in time order with what it carries along.
 
-    Rows are sorted by Spark and read batch by batch, so that a key of any size takes one state of memory.
+    Rows are sorted by Spark and read batch by batch, so that a key of any size takes one state of memory. ``mark`` is
+    a condition on a row that ``keep`` is told.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
         for f in frames:
             kept = []
-            for k, at in zip(f[keys].itertuples(index=False, name=None), f["at"].tolist(), strict=True):
+            for k, at, marked in zip(f[keys].itertuples(index=False, name=None), f["at"].tolist(), f["mark"].tolist(), strict=True):
                 if k != key:
                     key, state = k, None
-                good, state = keep(state, at)
+                good, state = keep(state, at, marked)
                 kept.append(good)
             yield f.loc[kept, ["event_id"]]
 
-    sized = rows.select(*[F.coalesce(F.concat(F.lit("="), k), F.lit("")).alias(k) for k in keys], F.unix_micros("ts").alias("at"), "event_id")
+    sized = rows.select(*[F.coalesce(F.concat(F.lit("="), k), F.lit("")).alias(k) for k in keys], F.unix_micros("ts").alias("at"), "event_id", F.expr(mark).alias("mark"))
     return sized.repartition(*keys).sortWithinPartitions(*keys, "at", "event_id").mapInPandas(run, "event_id bigint")
 
 
 def collapse_repeats(searches: DataFrame, seconds: int = 60) -> DataFrame:
     """Searches without repeats: one within ``seconds`` of the last kept one of its shop, term and token goes.
 
-    The fold runs over one (shop, token, term) at a time, in time order. Rows without a token are folded among
-    all rows of their (shop, term): any kept row or tokened row before them suppresses.
+    The fold runs over one (shop, token, term) at a time, in time order. Rows without a token are then folded among
+    the kept rows of their (shop, term): any kept row before them within the time, of whatever token, suppresses.
     """
-    micros, least = F.unix_micros("ts"), seconds * 1_000_000
+    least = seconds * 1_000_000
 
-    def keep(last: tuple | None, at: int) -> tuple[bool, tuple]:
-        return (True, (at,)) if last is None or at - last[0] > least else (False, last)
+    def keep(last: tuple | None, at: int, marked: bool) -> tuple[bool, tuple]:
+        return (True, (at,)) if marked or last is None or at - last[0] > least else (False, last)
 
     kept = _folded(searches.where("session_token IS NOT NULL"), ["shop_id", "session_token", "term"], keep)
-    # Without a token: a tokened row before it within the time suppresses it, and so does a kept one without.
-    prior = F.max(F.when(F.col("session_token").isNotNull(), micros)).over(W.partitionBy("shop_id", "term").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1))
-    bare = searches.withColumn("_prior", prior).where(F.col("session_token").isNull() & (F.col("_prior").isNull() | (micros - F.col("_prior") > least)))
-    return searches.join(kept.unionByName(_folded(bare, ["shop_id", "term"], keep)), "event_id", "left_semi")
+    recorded = searches.join(kept, "event_id", "left_semi").unionByName(searches.where("session_token IS NULL"))
+    return searches.join(_folded(recorded, ["shop_id", "term"], keep, "session_token IS NOT NULL"), "event_id", "left_semi")
 
 
 def attribute(actions: DataFrame, kind: str, hours: int, same_term: bool = False) -> DataFrame:
@@ -86,11 +85,17 @@ def attribute(actions: DataFrame, kind: str, hours: int, same_term: bool = False
 
 
 def unique_orders(purchases: DataFrame) -> DataFrame:
-    """The first purchase of each (shop, order)."""
-    first = F.row_number().over(W.partitionBy("shop_id", "order_id").orderBy("ts", "event_id"))
+    """The first purchase of each (shop, order); purchases without an order are each their own."""
+    own = F.when(F.col("order_id").isNull(), F.col("event_id"))
+    first = F.row_number().over(W.partitionBy("shop_id", "order_id", own).orderBy("ts", "event_id"))
     return purchases.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
+def attributed_orders(actions: DataFrame, hours: int = 24) -> DataFrame:
+    """The first purchase of each order that a search stands behind; one that no search precedes does not count as its order."""
+    return unique_orders(attribute(actions, "purchase", hours))
+
+
 def synthetic_searches(actions: DataFrame, hours: int = 2) -> DataFrame:
     """A search with one result for every click that found none."""
     clicks = actions.where("kind = 'click'")
@@ -102,7 +107,7 @@ def attributed_searches(actions: DataFrame, click_hours: int = 2, cart_hours: in
     """Every recorded search with clicked, converted, purchased, product_id, revenue and order_id."""
     clicks = attribute(actions, "click", click_hours, same_term=True)
     carts = attribute(actions, "add_to_cart", cart_hours)
-    orders = attribute(unique_orders(actions.where("kind = 'purchase'")).unionByName(actions.where("kind = 'search'")), "purchase", purchase_hours)
+    orders = attributed_orders(actions, purchase_hours)
     both = clicks.withColumn("what", F.lit("click")).unionByName(carts.withColumn("what", F.lit("cart"))).unionByName(orders.withColumn("what", F.lit("order")))
     is_ = lambda w: F.col("what") == w
     per = both.groupBy("search_id").agg(
@@ -118,15 +123,15 @@ def attributed_searches(actions: DataFrame, click_hours: int = 2, cart_hours: in
 def popularity_increments(actions: DataFrame, purchase_hours: int = 24) -> DataFrame:
     """What clicks, carts and attributed orders add to each product."""
     light = actions.where(F.col("kind").isin("click", "add_to_cart") & F.col("product_id").isNotNull()).select("shop_id", "product_id", F.when(F.col("kind") == "click", POPULARITY["click"]).otherwise(POPULARITY["add_to_cart"]).alias("w"))
-    bought = attribute(unique_orders(actions.where("kind = 'purchase'")).unionByName(actions.where("kind = 'search'")), "purchase", purchase_hours)
-    heavy = bought.select("shop_id", "product_id", "order_id").distinct().select("shop_id", "product_id", F.lit(POPULARITY["purchase"]).alias("w"))
+    bought = attributed_orders(actions, purchase_hours).where("product_id IS NOT NULL")
+    heavy = bought.select("shop_id", "product_id", F.lit(POPULARITY["purchase"]).alias("w"))
     return light.unionByName(heavy).groupBy("shop_id", "product_id").agg(F.sum("w").alias("increment"))
 
 
 def cap_events(events: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
     """At most ``limit`` events of a token per fixed window; a window starts at the first event after the last one ended."""
 
-    def keep(state: tuple | None, at: int) -> tuple[bool, tuple]:
+    def keep(state: tuple | None, at: int, marked: bool) -> tuple[bool, tuple]:
         start, n = state if state is not None and at - state[0] < seconds * 1_000_000 else (at, 0)
         return n < limit, (start, n + 1)
 

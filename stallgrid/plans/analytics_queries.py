@@ -24,12 +24,11 @@ _ATTR = """
 last_search AS (
   SELECT event_id, shop_id, session_token, ts, kind, term, product_id, order_id, revenue,
     last_value(CASE WHEN kind = 'search' THEN {{'id': event_id, 'ts': ts}} END IGNORE NULLS) OVER (PARTITION BY shop_id, session_token ORDER BY ts, kind <> 'search', event_id ROWS UNBOUNDED PRECEDING) AS s,
-    last_value(CASE WHEN kind = 'search' THEN {{'id': event_id, 'ts': ts}} END IGNORE NULLS) OVER (PARTITION BY shop_id, session_token, term ORDER BY ts, kind <> 'search', event_id ROWS UNBOUNDED PRECEDING) AS st,
-    row_number() OVER (PARTITION BY shop_id, order_id, kind ORDER BY ts, event_id) AS nth
+    last_value(CASE WHEN kind = 'search' THEN {{'id': event_id, 'ts': ts}} END IGNORE NULLS) OVER (PARTITION BY shop_id, session_token, term ORDER BY ts, kind <> 'search', event_id ROWS UNBOUNDED PRECEDING) AS st
   FROM v_actions),
 click AS (SELECT event_id, shop_id, product_id, ts, st.id AS search_id FROM last_search WHERE kind = 'click' AND st.ts >= ts - INTERVAL {h} HOUR),
 cart AS (SELECT event_id, shop_id, product_id, ts, s.id AS search_id FROM last_search WHERE kind = 'add_to_cart' AND s.ts >= ts - INTERVAL {h} HOUR),
-bought AS (SELECT event_id, shop_id, product_id, ts, order_id, revenue, s.id AS search_id FROM last_search WHERE kind = 'purchase' AND nth = 1 AND s.ts >= ts - INTERVAL {h} HOUR)"""
+bought AS (SELECT event_id, shop_id, product_id, ts, order_id, revenue, s.id AS search_id FROM last_search WHERE kind = 'purchase' AND s.ts >= ts - INTERVAL {h} HOUR QUALIFY row_number() OVER (PARTITION BY shop_id, order_id ORDER BY ts, event_id) = 1)"""
 
 
 def _attr(h=24):
@@ -135,7 +134,7 @@ k(event_id, shop_id, tok, term, ts) AS (
   SELECT * FROM (SELECT n.event_id, n.shop_id, n.tok, n.term, n.ts FROM k JOIN t n ON n.shop_id = k.shop_id AND n.tok = k.tok AND n.term = k.term AND n.ts > k.ts + INTERVAL 6 HOUR
     QUALIFY row_number() OVER (PARTITION BY n.shop_id, n.tok, n.term ORDER BY n.ts, n.event_id) = 1)),
 bare AS (SELECT b.event_id, b.shop_id, b.term, b.ts FROM t b WHERE tok IS NULL AND NOT EXISTS (
-  SELECT 1 FROM t o WHERE o.tok IS NOT NULL AND o.shop_id = b.shop_id AND o.term = b.term AND (o.ts, o.event_id) < (b.ts, b.event_id) AND o.ts >= b.ts - INTERVAL 6 HOUR)),
+  SELECT 1 FROM k o WHERE o.shop_id = b.shop_id AND o.term = b.term AND (o.ts, o.event_id) < (b.ts, b.event_id) AND o.ts >= b.ts - INTERVAL 6 HOUR)),
 kb(event_id, shop_id, term, ts) AS (
   SELECT * FROM (SELECT event_id, shop_id, term, ts FROM bare QUALIFY row_number() OVER (PARTITION BY shop_id, term ORDER BY ts, event_id) = 1)
   UNION ALL

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stallgrid.operators.events import POPULARITY
 from stallgrid.plans.analytics_queries import _CLICK, CAPPED
+from stallgrid.plans.analytics_queries import ORACLE_SQL as BATCH
 from stallgrid.plans.fixtures import AS_OF, Tables, shared_folder, with_views
 from stallgrid.streaming import events as ST
 
@@ -30,15 +31,21 @@ def _closed(spark, d):
     """The actions, and one search of a shop of its own long after them: it carries the watermark past the last action."""
     a, folder = _actions(spark, d), _folder(spark)
     last = Tables(spark, d).actions().agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").withColumn("ts", F.col("ts") + F.make_interval(years=F.lit(1)))
-    end = {"shop_id": F.lit("~"), "session_token": F.lit("~"), "kind": F.lit("search"), "ts": F.col("ts")}
+    end = {"event_id": F.lit(-1), "shop_id": F.lit("~"), "session_token": F.lit("~"), "kind": F.lit("search"), "ts": F.col("ts")}
     last.select(*[end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in a.schema]).write.parquet(f"{folder}/end")
     return a.unionByName(spark.readStream.schema(a.schema).parquet(f"{folder}/end"))
 
 
 def _popularity(spark, d):
     folder = _folder(spark)
-    ST.popularity_stream(_actions(spark, d), folder, POPULARITY).awaitTermination()
-    return spark.read.parquet(f"{folder}/batches").groupBy("shop_id", "product_id").agg(F.sum("increment").alias("increment"))
+    ST.popularity_stream(_closed(spark, d), folder, POPULARITY)
+    return ST.popularity_totals(spark, folder, POPULARITY)
+
+
+def _dedup(spark, d):
+    """Searches of which a fifth has no token, as in the batch job."""
+    s = _closed(spark, d).where("kind = 'search'").withColumn("session_token", F.when(F.col("event_id") % 5 != 0, F.col("session_token")))
+    return ST.finished(ST.collapse_repeats_stream(s, 6 * 3600), _folder(spark)).select("event_id").where("event_id >= 0")
 
 
 def _changes(spark, d):
@@ -53,10 +60,10 @@ def _changes(spark, d):
 QUERIES = {
     "change_stream": _changes,
     "stream_daily_activity": lambda s, d: ST.finished(ST.daily_activity_stream(_actions(s, d).where("kind = 'search'")), _folder(s), "complete").withColumn("day", F.col("day").cast("string")),
-    "stream_dedup": lambda s, d: ST.finished(ST.collapse_repeats_stream(_actions(s, d).where("kind = 'search'"), 6 * 3600), _folder(s)).select("event_id"),
+    "stream_dedup": _dedup,
     "stream_click_attribution": lambda s, d: ST.finished(ST.attribute_stream(_closed(s, d), "click", 24, same_term=True), _folder(s)).where("search_id IS NOT NULL").select("event_id", "search_id"),
     "stream_synthetic": lambda s, d: ST.finished(ST.attribute_stream(_closed(s, d), "click", 2, same_term=True), _folder(s)).where("search_id IS NULL").select("event_id"),
-    "stream_event_cap": lambda s, d: ST.finished(ST.cap_events_stream(_actions(s, d), 3, 5 * 24 * 3600), _folder(s)).select("event_id"),
+    "stream_event_cap": lambda s, d: ST.finished(ST.cap_events_stream(_closed(s, d), 3, 5 * 24 * 3600), _folder(s)).select("event_id").where("event_id >= 0"),
     "stream_orders": lambda s, d: ST.finished(ST.unique_orders_stream(_actions(s, d).where("kind = 'purchase'"), "40 days"), _folder(s)).select("shop_id", "order_id"),
     "stream_popularity": _popularity,
 }
@@ -68,12 +75,6 @@ ORACLE_SQL = {
     "stream_click_attribution": with_views(_CLICK.format(kind="click", term="AND s.term = a.term", h=24), "v_actions"),
     "stream_synthetic": with_views("SELECT event_id FROM v_actions a WHERE kind = 'click' AND NOT EXISTS (SELECT 1 FROM v_actions s WHERE s.kind = 'search' AND s.shop_id = a.shop_id AND s.session_token = a.session_token AND s.term = a.term AND s.ts <= a.ts AND s.ts >= a.ts - INTERVAL 2 HOUR)", "v_actions"),
     "stream_orders": with_views("SELECT DISTINCT shop_id, order_id FROM v_actions WHERE kind = 'purchase'", "v_actions"),
-    "stream_popularity": with_views("SELECT shop_id, product_id, CAST(sum(CASE kind WHEN 'click' THEN 1 WHEN 'add_to_cart' THEN 5 ELSE 25 END) AS DOUBLE) AS increment FROM v_actions WHERE kind <> 'search' GROUP BY ALL", "v_actions"),
-    "stream_dedup": with_views("""t AS (SELECT event_id, shop_id, term, session_token AS tok, ts FROM v_actions WHERE kind = 'search'),
-k(event_id, shop_id, tok, term, ts) AS (
-  SELECT * FROM (SELECT event_id, shop_id, tok, term, ts FROM t QUALIFY row_number() OVER (PARTITION BY shop_id, tok, term ORDER BY ts, event_id) = 1)
-  UNION ALL
-  SELECT * FROM (SELECT n.event_id, n.shop_id, n.tok, n.term, n.ts FROM k JOIN t n ON n.shop_id = k.shop_id AND n.tok = k.tok AND n.term = k.term AND n.ts > k.ts + INTERVAL 6 HOUR
-    QUALIFY row_number() OVER (PARTITION BY n.shop_id, n.tok, n.term ORDER BY n.ts, n.event_id) = 1))
-SELECT event_id FROM k""", "v_actions").replace("WITH ", "WITH RECURSIVE ", 1),
+    "stream_popularity": BATCH["popularity"],
+    "stream_dedup": BATCH["search_dedup"],
 }

@@ -1,7 +1,8 @@
 """The event jobs over streams: event time, watermarks, keyed state. The batch forms are in operators.events.
 
-State is kept per (shop, session) or per (shop, session, term), is bounded by the window it serves, and is dropped
-by an event-time timer once the watermark has passed it.
+State is kept per (shop, session), (shop, session, term) or (shop, term). Events come in any order within the
+watermark's delay: each waits until the watermark has passed it, and is then taken in the order of time. State is
+bounded by that delay and the window it serves, and is dropped by an event-time timer.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,60 +23,95 @@ def _micros(frame: pd.DataFrame) -> pd.Series:
     return frame["ts"].astype("datetime64[us]").astype("int64")
 
 
-def _ordered(frames: Iterator[pd.DataFrame], *first: str) -> pd.DataFrame:
-    rows = pd.concat(list(frames), ignore_index=True)
-    rows["_at"] = _micros(rows)
-    return rows.sort_values(["_at", *first, "event_id"])
+_EVENT = "array<struct<at:bigint,event:bigint,token:string>>"
+
+
+def _waiting(state: GroupState, held: list, frames: Iterator[pd.DataFrame]) -> tuple[list, list]:
+    """(events that the watermark has passed, in the order of time and id; those that still wait).
+
+    An event before the watermark can have no unknown predecessor any more.
+    """
+    rows = [(x[0], x[1], x[2]) for x in held]
+    if not state.hasTimedOut:
+        f = pd.concat(list(frames), ignore_index=True)
+        tokens = [None if t is None or t != t else t for t in f["session_token"]]
+        rows += zip(_micros(f).tolist(), f["event_id"].tolist(), tokens, strict=True)
+    rows.sort(key=lambda x: x[:2])
+    passed = state.getCurrentWatermarkMs() * 1000
+    n = sum(1 for x in rows if x[0] < passed)
+    return rows[:n], rows[n:]
+
+
+def _kept(rows: list) -> pd.DataFrame:
+    return pd.DataFrame({"event_id": pd.array([e for e, _ in rows], "int64"), "ts": pd.to_datetime([at for _, at in rows], unit="us")})
+
+
+def _wake(state: GroupState, waiting: list, idle_until: int) -> None:
+    """The next time that a key has something to do: its first waiting event is passed, or its memory is of no use any more."""
+    at = waiting[0][0] if waiting else idle_until
+    state.setTimeoutTimestamp(max(at // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
 
 def collapse_repeats_stream(searches: DataFrame, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
-    """event_id, ts of searches that do not repeat a kept one of their shop, session and term within ``seconds``."""
+    """event_id, ts of searches that do not repeat a kept one of their shop, term and token within ``seconds``.
+
+    A search without a token repeats any kept one of its shop and term. Searches come in any order; each waits until
+    the watermark has passed it. A (shop, term) keeps what waits, and the last kept search of each token of the window.
+    """
+    least = seconds * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _ordered(frames)
-        last = state.get[0] if state.exists else None
+        held, last = state.get if state.exists else ([], [])
+        due, waiting = _waiting(state, held, frames)
+        known = {x[2]: x[0] for x in last}
+        newest = max(known.values(), default=None)
         kept = []
-        for i, at in zip(rows.index, rows["_at"], strict=True):
-            if last is None or at - last > seconds * 1_000_000:
-                kept.append(i)
-                last = int(at)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + (seconds + 1) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows.loc[kept, ["event_id", "ts"]]
+        for at, event, token in due:
+            before = newest if token is None else known.get(token)
+            if before is None or at - before > least:
+                kept.append((event, at))
+                known[token] = newest = at
+        first = min(waiting[0][0] if waiting else state.getCurrentWatermarkMs() * 1000, state.getCurrentWatermarkMs() * 1000)
+        known = {t: at for t, at in known.items() if at >= first - least}
+        if waiting or known:
+            state.update((waiting, [(at, 0, t) for t, at in known.items()]))
+            _wake(state, waiting, max(known.values(), default=0) + least)
+        elif state.exists:
+            state.remove()
+        yield _kept(kept)
 
-    keyed = searches.withWatermark("ts", late).groupBy("shop_id", "session_token", "term")
-    return keyed.applyInPandasWithState(step, "event_id bigint, ts timestamp", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = searches.withWatermark("ts", late).groupBy("shop_id", "term")
+    return keyed.applyInPandasWithState(step, "event_id bigint, ts timestamp", f"waiting {_EVENT}, last {_EVENT}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def cap_events_stream(events: DataFrame, limit: int = 60, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
-    """At most ``limit`` events of a session per fixed window that starts at its first event."""
+    """At most ``limit`` events of a session per fixed window that starts at its first event, whatever order they come in."""
+    span = seconds * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _ordered(frames)
-        start, n = state.get if state.exists else (None, 0)
+        held, start, n = state.get if state.exists else ([], None, 0)
+        due, waiting = _waiting(state, held, frames)
         kept = []
-        for i, at in zip(rows.index, rows["_at"], strict=True):
-            if start is None or at - start >= seconds * 1_000_000:
-                start, n = int(at), 0
+        for at, event, _ in due:
+            if start is None or at - start >= span:
+                start, n = at, 0
             n += 1
             if n <= limit:
-                kept.append(i)
-        state.update((start, n))
-        state.setTimeoutTimestamp(max(start // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows.loc[kept, ["event_id", "ts"]]
+                kept.append((event, at))
+        if start is not None and not waiting and start + span <= state.getCurrentWatermarkMs() * 1000:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((waiting, start, n))
+            _wake(state, waiting, (start or 0) + span)
+        yield _kept(kept)
 
     keyed = events.withWatermark("ts", late).groupBy("shop_id", "session_token")
-    return keyed.applyInPandasWithState(step, "event_id bigint, ts timestamp", "start bigint, n int", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.applyInPandasWithState(step, "event_id bigint, ts timestamp", f"waiting {_EVENT}, start bigint, n int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def attribute_stream(actions: DataFrame, kind: str, hours: int, same_term: bool = False, late: str = "10 minutes") -> DataFrame:
-    """event_id, ts, search_id of each action of ``kind``; search_id is null where no search is near enough.
+    """event_id, shop_id, ts, product_id, order_id, search_id of each action of ``kind``; search_id is null where no search is near enough.
 
     A null search_id of a click is what a synthetic search is made from. An action waits until the watermark has
     passed it, and is then given to the latest search at or before it, in whatever order the two came in. A key
@@ -82,22 +119,27 @@ def attribute_stream(actions: DataFrame, kind: str, hours: int, same_term: bool
     """
     keys = ["shop_id", "session_token"] + (["term"] if same_term else [])
     window = hours * 3_600_000_000
-    none = pd.DataFrame({"event_id": [], "ts": [], "search_id": []}).astype({"event_id": "int64", "ts": "datetime64[us]", "search_id": "Int64"})
+    columns = ["event_id", "shop_id", "ts", "product_id", "order_id", "search_id"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         searches, waiting = state.get if state.exists else ([], [])
         searches, waiting = [tuple(x) for x in searches], [tuple(x) for x in waiting]
         if not state.hasTimedOut:
             rows = pd.concat(list(frames), ignore_index=True)
-            for at, event, what in zip(_micros(rows).tolist(), rows["event_id"].tolist(), rows["kind"], strict=True):
-                (searches if what == "search" else waiting).append((at, event))
+            for at, event, what, product, order in zip(_micros(rows).tolist(), rows["event_id"].tolist(), rows["kind"], rows["product_id"], rows["order_id"], strict=True):
+                if what == "search":
+                    searches.append((at, event))
+                else:
+                    waiting.append((at, event, product if isinstance(product, str) else None, order if isinstance(order, str) else None))
         passed = state.getCurrentWatermarkMs() * 1000
         searches.sort()
         out = []
-        for at, event in sorted(x for x in waiting if x[0] < passed):
+        waiting.sort(key=lambda x: x[:2])
+        due = [x for x in waiting if x[0] < passed]
+        for at, event, product, order in due:
             i = bisect_right(searches, (at, 2**63)) - 1
-            out.append((event, pd.Timestamp(at, unit="us"), searches[i][1] if i >= 0 and at - searches[i][0] <= window else None))
-        waiting = sorted(x for x in waiting if x[0] >= passed)
+            out.append((event, key[0], pd.Timestamp(at, unit="us"), product, order, searches[i][1] if i >= 0 and at - searches[i][0] <= window else None))
+        waiting = waiting[len(due) :]
         # A search serves actions that wait or may still come: not those before the watermark.
         first = min(waiting[0][0] if waiting else passed, passed)
         searches = [x for x in searches if x[0] >= first - window]
@@ -106,11 +148,12 @@ def attribute_stream(actions: DataFrame, kind: str, hours: int, same_term: bool
             state.setTimeoutTimestamp(max((waiting[0][0] if waiting else searches[-1][0] + window) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=["event_id", "ts", "search_id"]).astype({"event_id": "int64", "search_id": "Int64"}) if out else none
+        frame = pd.DataFrame(out, columns=columns)
+        yield frame.astype({"event_id": "int64", "ts": "datetime64[us]", "search_id": "Int64"})
 
-    pair = "array<struct<at:bigint,event:bigint>>"
+    pair, action = "array<struct<at:bigint,event:bigint>>", "array<struct<at:bigint,event:bigint,product:string,order:string>>"
     rows = actions.where(F.col("kind").isin("search", kind) & F.col("session_token").isNotNull()).withWatermark("ts", late)
-    return rows.groupBy(*keys).applyInPandasWithState(step, "event_id bigint, ts timestamp, search_id bigint", f"searches {pair}, waiting {pair}", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(step, "event_id bigint, shop_id string, ts timestamp, product_id string, order_id string, search_id bigint", f"searches {pair}, waiting {action}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def unique_orders_stream(purchases: DataFrame, late: str = "1 day") -> DataFrame:
@@ -124,15 +167,45 @@ def daily_activity_stream(searches: DataFrame, late: str = "1 day") -> DataFrame
     return g.select("shop_id", F.to_date("window.start").alias("day"), "searches")
 
 
-def popularity_stream(actions: DataFrame, folder: str, weights: dict[str, float]) -> object:
-    """A running query that writes each batch's increments under its batch number: a repeated batch replaces itself."""
-    w = F.element_at(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
+def popularity_stream(actions: DataFrame, folder: str, weights: dict[str, float], hours: int = 24, late: str = "1 day") -> None:
+    """Increments of popularity, run over what is there now; ``popularity_totals`` reads them.
+
+    Clicks and carts count as they come. Purchases wait for their search (``attribute_stream``); of those that have
+    one, the first of each order counts, once. A batch writes under its number what it adds, so a repeated batch
+    replaces itself; orders that earlier batches wrote are left out. As purchases are let go in the order of time, the
+    first that is written is the first of the order.
+    """
+    spark = actions.sparkSession
+    light = {k: v for k, v in weights.items() if k != "purchase"}
+    w = F.element_at(F.create_map(*[x for k, v in light.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
+
+    def count(batch: DataFrame, number: int) -> None:
+        rows = batch.where(F.col("kind").isin(*light) & F.col("product_id").isNotNull()).groupBy("shop_id", "product_id").agg(F.sum(w).alias("increment"))
+        rows.write.mode("overwrite").parquet(f"{folder}/actions/batch={number}")
+
+    def order(batch: DataFrame, number: int) -> None:
+        own = F.when(F.col("order_id").isNull(), F.col("event_id"))
+        first = F.row_number().over(W.partitionBy("shop_id", "order_id", own).orderBy("ts", "event_id"))
+        rows = batch.where("search_id IS NOT NULL").withColumn("_n", first).where("_n = 1").select("shop_id", "order_id", "product_id")
+        if number > 0:
+            seen = spark.read.schema(_ORDER).parquet(*[f"{folder}/orders/batch={n}" for n in range(number)]).select("shop_id", "order_id").where("order_id IS NOT NULL")
+            rows = rows.join(seen, ["shop_id", "order_id"], "left_anti")
+        rows.select("shop_id", "order_id", "product_id").write.mode("overwrite").parquet(f"{folder}/orders/batch={number}")
+
+    bought = attribute_stream(actions, "purchase", hours, late=late)
+    for name, stream, write in (("actions", actions, count), ("orders", bought, order)):
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint-{name}").trigger(availableNow=True).start().awaitTermination()
+
+
+_ORDER = "shop_id string, order_id string, product_id string"
 
-    def write(batch: DataFrame, number: int) -> None:
-        rows = batch.where(F.col("kind").isin(*weights)).groupBy("shop_id", "product_id").agg(F.sum(w).alias("increment"))
-        rows.write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
 
-    return actions.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+def popularity_totals(spark: SparkSession, folder: str, weights: dict[str, float]) -> DataFrame:
+    """shop_id, product_id, increment of everything that ``popularity_stream`` has written."""
+    read = lambda name, schema: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/{name}")
+    light = read("actions", "shop_id string, product_id string, increment double")
+    heavy = read("orders", _ORDER).where("product_id IS NOT NULL").select("shop_id", "product_id", F.lit(weights["purchase"]).alias("increment"))
+    return light.unionByName(heavy).groupBy("shop_id", "product_id").agg(F.sum("increment").alias("increment"))
 
 
 #: Buckets of a shop's products in a stored catalog; a batch rewrites only those that it touches.

@@ -11,11 +11,14 @@ from stallgrid.plans.fixtures import AS_OF, Tables
 from stallgrid.streaming import events as ST
 
 
-def files_in_time_order(spark, sf, folder):
-    a = Tables(spark, sf).actions()
-    for part in range(3):
-        day = F.dayofmonth("ts")
-        a.where((day > part * 11) & (day <= (part + 1) * 11)).coalesce(1).write.mode("append").parquet(folder)
+def shuffled(spark, sf, folder):
+    """The actions in four files in no order of time, a fifth of them without a token, orders repeated, and a last event that ends them."""
+    a = Tables(spark, sf).actions().withColumn("session_token", F.when(F.col("event_id") % 5 != 0, F.col("session_token"))).withColumn("order_id", F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("o"), F.expr("event_id % 40"))))
+    end = a.agg((F.max("ts") + F.make_interval(years=F.lit(1))).alias("ts")).select(*[{"event_id": F.lit(-1), "shop_id": F.lit("~"), "session_token": F.lit("~"), "kind": F.lit("search"), "ts": F.col("ts")}.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in a.schema])
+    for part in range(4):
+        a.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # files are read by their time
+    end.coalesce(1).write.mode("append").parquet(folder)
     return a, spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -23,14 +26,37 @@ def ids(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_streams_equal_batch(spark, sf, tmp_path):
-    a, s = files_in_time_order(spark, sf, str(tmp_path / "in"))
-    kept = ST.finished(ST.collapse_repeats_stream(s.where("kind = 'search'"), 6 * 3600), str(tmp_path / "dedup"))
+def test_streams_equal_batch_on_shuffled_files(spark, sf, tmp_path):
+    a, s = shuffled(spark, sf, str(tmp_path / "in"))
+    wide = "40 days"  # files hold events of the whole month
+    run = lambda stream, name: ST.finished(stream, str(tmp_path / name)).where("event_id >= 0")
+    kept = run(ST.collapse_repeats_stream(s.where("kind = 'search'"), 6 * 3600, wide), "dedup")
     assert ids(kept.select("event_id")) == ids(E.collapse_repeats(a.where("kind = 'search'"), 6 * 3600).select("event_id"))
-    got = ST.finished(ST.attribute_stream(s, "add_to_cart", 24), str(tmp_path / "cart"))
-    # The last ten minutes wait for the watermark.
-    due = F.col("ts") < a.agg(F.max("ts").alias("m")).first().m - datetime.timedelta(minutes=10)
-    assert ids(got.where("search_id IS NOT NULL").where(due).select("event_id", "search_id")) == ids(E.attribute(a, "add_to_cart", 24).where(due).select("event_id", "search_id"))
+    capped = run(ST.cap_events_stream(s, 2, 5 * 24 * 3600, wide), "cap")
+    assert ids(capped.select("event_id")) == ids(E.cap_events(a, 2, 5 * 24 * 3600).select("event_id"))
+    carts = run(ST.attribute_stream(s, "add_to_cart", 24, late=wide), "cart")
+    assert ids(carts.where("search_id IS NOT NULL").select("event_id", "search_id")) == ids(E.attribute(a, "add_to_cart", 24).select("event_id", "search_id"))
+    folder = str(tmp_path / "popular")
+    ST.popularity_stream(s, folder, E.POPULARITY, hours=48, late=wide)
+    assert ids(ST.popularity_totals(spark, folder, E.POPULARITY)) == ids(E.popularity_increments(a, 48).select("shop_id", "product_id", "increment"))
+    # A second run finds nothing new, and nothing is counted twice.
+    ST.popularity_stream(s, folder, E.POPULARITY, hours=48, late=wide)
+    assert ids(ST.popularity_totals(spark, folder, E.POPULARITY)) == ids(E.popularity_increments(a, 48).select("shop_id", "product_id", "increment"))
+
+
+def test_repeats_without_a_token(spark):
+    """A search without a token repeats what was kept, not what was itself left out as a repeat."""
+    rows = [(1, "a", 0), (2, "a", 50), (3, None, 100), (4, None, 120), (5, "b", 130), (6, None, 185), (7, None, 191)]
+    s = spark.createDataFrame([(e, "s", t, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=at), "x") for e, t, at in rows], "event_id bigint, shop_id string, session_token string, ts timestamp, term string")
+    assert sorted(r.event_id for r in E.collapse_repeats(s).collect()) == [1, 3, 5, 7]
+
+
+def test_orders_of_which_only_the_second_beacon_has_a_search(spark):
+    at = lambda h: datetime.datetime(2024, 1, 5, h)
+    rows = [(1, "st", at(9), "search", None), (2, "other", at(8), "purchase", "o1"), (3, "st", at(10), "purchase", "o1"), (4, "st", at(11), "purchase", "o1"), (5, "st", at(12), "purchase", None), (6, "st", at(13), "purchase", None)]
+    a = spark.createDataFrame([(*r, "s", "t", "p", 1.0, 1) for r in rows], "event_id bigint, session_token string, ts timestamp, kind string, order_id string, shop_id string, term string, product_id string, revenue double, results_count int")
+    assert sorted(r.event_id for r in E.attributed_orders(a).collect()) == [3, 5, 6]
+    assert E.popularity_increments(a).collect()[0].increment == 75.0
 
 
 def test_attribution_out_of_order(spark, tmp_path):
