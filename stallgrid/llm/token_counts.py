@@ -1,21 +1,26 @@
-"""Token counts at every prefix, by prefix dynamic programming over words.
+"""Token counts at every prefix, by prefix dynamic programming.
 
-A piece of the vocabulary holds the space mark only in front (or is made of marks alone), so merges never cross
-from a word into the space before the next one. The encoding of a text is therefore the encodings of its words
-one after another, and for a prefix that ends j characters into word i
+A text is cut before its spaces: a piece of the vocabulary holds the space mark only in front (or is made of marks
+alone), so merges never cross from a word into the space before the next one. Within a word the recurrence is over
+characters. The encoding of a prefix ends in exactly one piece, and what stands before that piece is the encoding of
+the shorter prefix:
 
-    count[prefix] = count[prefix up to word i - 1] + count of the first j characters of word i.
+    last[j], count[j] = p, count[j - |p|] + tokens of p
 
-The counts of a word's own prefixes are found once for each distinct word and kept, so the table of a document,
-one count for every number of characters, is put together by look-ups. It answers how many tokens any prefix has
-and how long a prefix fits a budget, without encoding again. Where only the whole count and the longest prefix
-within the limit are asked for, the prefixes of one word are looked up: the one in which the limit is crossed.
+for the one piece p that ends at character j and whose merges, next to those of last[j - |p|], do not cross from one
+into the other. Whether two pieces stay apart is found once for each pair by merging the characters of both, and
+kept. A character that is no piece becomes its bytes, and nothing merges with it. So a word of any length takes one
+step for each character and never is encoded again; words are gone through in order, so that they share the steps of
+common prefixes, and those of a word are kept as one byte a character (what the character adds to the count).
+
+The table of a document is the string of these steps: the count of any prefix is their sum up to there. The query
+stores it, and how many characters fit the limit is read off it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,45 +30,93 @@ from pyspark.sql import functions as F
 from .common import FREE
 
 MARK = "▁"
-#: Words kept by a worker process, and the longest that is kept; both bound memory only, not results.
-CACHE_WORDS, CACHE_CHARS, CACHE_PREFIXES = 400_000, 40, 100_000
+#: Words and pairs of pieces kept by a worker process, and the longest word that is kept; bounds of memory, not of results.
+CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 900_000, 40, 2_000_000
 _SPLIT = re.compile(r" +[^ ]*")
-
-
-class WordCounts(dict):
-    """word (without its leading space mark) -> number of tokens, filled from the library on demand."""
-
-    def __init__(self, encode: Callable[[str], list[int]]):
-        super().__init__()
-        self.encode = encode
-        self.inner: dict[str, np.ndarray] = {}
-
-    def __missing__(self, word: str) -> int:
-        n = len(self.encode(word))
-        if len(word) <= CACHE_CHARS:
-            self[word] = n
-        return n
+_START = -1  # in place of a piece before the first one, and behind a character that nothing merges with
+
+
+class Pieces:
+    """The vocabulary of a BPE model: pieces by what merges are ranked by, and which pairs of pieces stay apart."""
+
+    def __init__(self, scores: dict[str, float]):
+        names = sorted(set(scores) | {ch for piece in scores for ch in piece})
+        self.ids = {piece: i for i, piece in enumerate(names)}
+        self.names = names
+        self.scores = scores
+        # A single character that only parts of pieces have is spelled in bytes where it stays alone.
+        self.tokens = [1 if p in scores else len(p.encode("utf-8", "surrogatepass")) for p in names]
+        self.longest = max(map(len, names), default=1)
+        self.apart: dict[int, bool] = {}
+
+    def stays(self, before: int, piece: int) -> bool:
+        """Whether the merges of both leave the two as they are."""
+        key = before * len(self.names) + piece
+        known = self.apart.get(key)
+        if known is None:
+            if len(self.apart) >= CACHE_PAIRS:
+                self.apart.clear()
+            left = self.names[before] if before >= 0 else ""
+            right = self.names[piece]
+            known = self.apart[key] = self._merged(left + right) == ([left, right] if left else [right])
+        return known
+
+    def _merged(self, text: str) -> list[str]:
+        """The characters of a short text, merged: the best pair first, the leftmost of equal ones."""
+        parts = list(text)
+        while len(parts) > 1:
+            ranked = [self.scores.get(a + b, -np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+            best = max(ranked)
+            if best == -np.inf:
+                break
+            i = ranked.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+
+class WordSteps:
+    """word (without its leading space mark) -> what the mark and each character add to the count of the prefix."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.steps: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words that are not known yet in one call."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE_WORDS:
-            empty = self[""]
-            self.clear()
-            self[""] = empty
-            new = [w for w in words if w]
-        self.update(zip(new, map(len, self.encode(new)), strict=True))
-
-    def prefixes(self, word: str) -> np.ndarray:
-        """Tokens of the first 0, 1, ... characters of a word; 0 characters are the space mark alone."""
-        got = self.inner.get(word)
-        if got is None:
-            got = np.array([self[""], *map(len, self.encode([word[:j] for j in range(1, len(word) + 1)]))], np.int64)
-            if len(word) <= CACHE_CHARS:
-                if len(self.inner) >= CACHE_PREFIXES:
-                    self.inner.clear()
-                self.inner[word] = got
-        return got
+        """The words that are not known yet, in order: each goes on from what it shares with the one before it."""
+        if len(self.steps) + len(words) > CACHE_WORDS:
+            self.steps.clear()
+        piece_of, tokens, longest, stays = self.pieces.ids.get, self.pieces.tokens, self.pieces.longest, self.pieces.stays
+        stay_known, width = self.pieces.apart.get, len(self.pieces.names)
+        last, count, step, done = [_START], [0], [], ""
+        for word in sorted(w for w in words if w not in self.steps):
+            text = MARK + word.replace(" ", MARK)
+            same, most = 0, min(len(text), len(done))
+            while same < most and text[same] == done[same]:
+                same += 1
+            del last[same + 1 :], count[same + 1 :], step[same:]
+            for j in range(same + 1, len(text) + 1):
+                i = j - 1
+                stop = j - longest if j > longest else 0
+                while i >= stop:  # pieces of few characters are the common case
+                    piece = piece_of(text[i:j])
+                    if piece is not None:
+                        known = stay_known(last[i] * width + piece)
+                        if known or (known is None and stays(last[i], piece)):
+                            last.append(piece)
+                            count.append(count[i] + tokens[piece])
+                            break
+                    i -= 1
+                else:
+                    last.append(_START)
+                    count.append(count[j - 1] + len(text[j - 1].encode("utf-8", "surrogatepass")))
+                step.append((count[j] - count[j - 1]) & 255)
+            done = text
+            self.steps[word] = bytes(step)
+
+    def forget_long(self, words: set[str]) -> None:
+        for word in words:
+            if len(word) > CACHE_CHARS:
+                del self.steps[word]
 
 
 def words_of(text: str) -> list[str]:
@@ -75,110 +128,105 @@ def words_of(text: str) -> list[str]:
     return text.split(" ")
 
 
-def prefix_table(text: str, counts: WordCounts) -> np.ndarray:
-    """Tokens of text[:c] for every c from 0 to its length."""
-    if not text:
-        return np.zeros(1, np.int64)
-    parts, before = [], 0
-    for word in words_of(text):
-        own = counts.prefixes(word)
-        parts.append(before + own)
-        before += int(own[-1])
-    table = np.concatenate(parts)
-    table[0] = 0  # no space mark before the first character
-    return table
+def prefix_steps(words: list[str], known: WordSteps) -> bytes:
+    """What each character of a text adds to the count of the prefix that it ends, one signed byte each."""
+    if words == [""]:
+        return b""
+    steps = b"".join(map(known.steps.__getitem__, words))
+    # The mark before the first word is no character of the text.
+    return bytes([(steps[0] + steps[1]) & 255]) + steps[2:]
+
 
+def prefix_table(steps: bytes) -> np.ndarray:
+    """Tokens of the first 0, 1, ... characters, out of the stored steps."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)])
 
-def count_prefix(table: np.ndarray, chars: int) -> int:
+
+def count_prefix(steps: bytes, chars: int) -> int:
     """Exact tokens of the first ``chars`` characters."""
-    return int(table[chars])
+    return int(np.frombuffer(steps[:chars], np.int8).sum(dtype=np.int64))
 
 
-def longest_within(table: np.ndarray, limit: int) -> int:
+def longest_within(steps: bytes, limit: int) -> int:
     """Characters of the longest prefix with at most ``limit`` tokens; a longer prefix may have fewer than a shorter one."""
-    return int(np.flatnonzero(table <= limit)[-1])
+    return int(np.flatnonzero(prefix_table(steps) <= limit)[-1])
+
 
+_KNOWN: dict[str, WordSteps] = {}
 
-def fit_within(words: list[str], totals: np.ndarray, limit: int, counts: WordCounts) -> int:
-    """What longest_within gives, from the totals at word ends: only words around the limit are looked into."""
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    done = int(np.searchsorted(totals, limit, side="right"))  # words that fit as a whole
-    best = int(ends[done - 1]) if done else 0
-    for i in range(done, len(words)):
-        before, start = (int(totals[i - 1]), int(ends[i - 1]) + 1) if i else (0, 0)
-        if before > limit:
-            break
-        own = before + counts.prefixes(words[i])
-        own[0] = own[0] if i else 0
-        fits = np.flatnonzero(own <= limit)
-        best = max(best, start + int(fits[-1])) if len(fits) else best
-    return best
 
+def _free() -> None:
+    for known in _KNOWN.values():
+        known.steps.clear()
 
-_COUNTS: dict[str, WordCounts] = {}
-FREE.append(_COUNTS.clear)
 
+FREE.append(_free)
 
-def learned(texts: pa.Array, counts: WordCounts, limit: int = 500_000) -> Iterator[tuple[str, list[str]]]:
-    """Every text (null: empty) with its words, known to ``counts``; texts of about ``limit`` characters go together."""
+
+def learned(texts: pa.Array, known: WordSteps, limit: int = 4_000_000) -> Iterator[tuple[str, list[str]]]:
+    """Every text (null: empty) with its words, which ``known`` has then; texts of about ``limit`` characters go together."""
     held, size = [], 0
     for i, t in enumerate(texts):
         t = t.as_py() or ""
         held.append((t, words_of(t)))
         size += len(t)
         if size > limit or i + 1 == len(texts):
-            counts.learn(set().union(*(w for _, w in held)))
+            words = set().union(*(w for _, w in held))
+            known.learn(words)
             yield from held
+            known.forget_long(words)
             held, size = [], 0
 
 
-def library_counts(model: str | None = None) -> WordCounts:
-    """The cache of this process for a sentencepiece model (by default the public 32k one)."""
+def library_steps(model: str | None = None) -> WordSteps:
+    """The words known to this process for a sentencepiece BPE model (by default the public 32k one).
+
+    The recurrence holds for models that merge characters by the score of the piece that results, and that leave texts
+    as they are but for the space mark. The model is held against the library on samples when it is loaded.
+    """
     import public_tokenizers
     import sentencepiece
 
     path = model or public_tokenizers.path("piece_bpe_32k.model")
-    if path not in _COUNTS:
-        encode = sentencepiece.SentencePieceProcessor(model_file=path).encode
-        counts = _COUNTS[path] = WordCounts(lambda w: encode(w, num_threads=1) if isinstance(w, list) else encode(w))
-        # An empty word stands for a lone space mark; the library drops the mark of an empty text.
-        counts[""] = len(encode("a ")) - len(encode("a"))
-    return _COUNTS[path]
-
-
-def token_counts(docs: DataFrame, limit: int = 4096, model: str | None = None, with_table: bool = False, text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, fit_chars of every row, and with ``with_table`` the prefix table.
-
-    ``fit_chars`` is the length of the longest prefix with at most ``limit`` tokens. The table, prefix_tokens, has
-    the tokens of the first c characters at place c. Null text is empty: 0 tokens. One pass, no shuffle. ``model``
-    is a path that the workers can read; rows with equal ids are counted on their own.
+    if path not in _KNOWN:
+        library = sentencepiece.SentencePieceProcessor(model_file=path)
+        plain = [i for i in range(library.get_piece_size()) if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i) or library.is_unused(i))]
+        known = WordSteps(Pieces({library.id_to_piece(i): library.get_score(i) for i in plain}))
+        some = [library.id_to_piece(i) for i in plain[:: max(1, len(plain) // 200)]]
+        samples = ["a  b ", " ", "ﬁ① x", *(f"{a}{b} {a}".replace(MARK, " ") for a, b in zip(some, reversed(some), strict=True))]
+        for text, words in learned(pa.array(samples), known):
+            if len(library.encode(text)) != count_prefix(prefix_steps(words, known), len(text)):
+                raise ValueError(f"{path} does not encode by merging characters of unchanged text")
+        _KNOWN[path] = known
+    return _KNOWN[path]
+
+
+def token_counts(docs: DataFrame, limit: int = 4096, model: str | None = None, text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, fit_chars and prefix_steps of every row.
+
+    prefix_steps has one signed byte a character: what it adds to the tokens of the prefix that it ends (see
+    ``count_prefix``). ``fit_chars`` is the length of the longest prefix with at most ``limit`` tokens. Null text is
+    empty: 0 tokens. One pass, no shuffle. ``model`` is a path that the workers can read; rows with equal ids are
+    counted on their own.
     """
-    schema = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint"
-    if with_table:
-        schema += ", prefix_tokens array<int>"
+    names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_steps"]
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = library_counts(model)
+        known = library_steps(model)
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_tokens")}
-            for t, words in learned(batch.column(1), counts):
-                totals = np.cumsum(np.fromiter(map(counts.__getitem__, words), np.int64, len(words)))
-                n = int(totals[-1]) if t else 0
-                out["n_bytes"].append(len(t.encode("utf-8", "surrogatepass")))
-                out["n_tokens"].append(n)
-                out["over_limit"].append(n > limit)
-                out["fit_chars"].append(len(t) if n <= limit else fit_within(words, totals, limit, counts))
-                if with_table:
-                    out["prefix_tokens"].append(prefix_table(t, counts))
-            cols = [batch.column(0), pa.array(out["n_bytes"], pa.int64()), pa.array(out["n_tokens"], pa.int64()), pa.array(out["over_limit"], pa.bool_()), pa.array(out["fit_chars"], pa.int64())]
-            names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"]
-            if with_table:
-                cols, names = [*cols, pa.array(out["prefix_tokens"], pa.list_(pa.int32()))], [*names, "prefix_tokens"]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
+            out: list[tuple] = []
+            for t, words in learned(batch.column(1), known):
+                steps = prefix_steps(words, known)
+                n = count_prefix(steps, len(t))
+                out.append((len(t.encode("utf-8", "surrogatepass")), n, n > limit, len(t) if n <= limit else longest_within(steps, limit), steps))
+            cols = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)
+
+    schema = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint, prefix_steps binary"
     return docs.select(F.col("doc_id").cast("bigint"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Token counts of every document by the public 32k sentencepiece model, against a limit of 4096."""
+    """Token counts of every document by the public 32k sentencepiece model at every prefix, against a limit of 4096."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -3,10 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -43,7 +47,7 @@ OPERATORS = {
     "repeats": lambda s, d: suffix_dedup.mark_repeats(d, parts=8),
     "drop_repeats": lambda s, d: suffix_dedup.drop_repeats(d),
     "packing": lambda s, d: packing.pack_pieces(packing.token_pieces(d)),
-    "tokens": lambda s, d: token_counts.token_counts(d, with_table=True),
+    "tokens": lambda s, d: token_counts.token_counts(d),
 }
 
 
@@ -527,16 +531,43 @@ def test_lower_bound_is_one(lengths):
 @settings(max_examples=200, deadline=None)
 @given(TEXTS)
 def test_tokens_at_every_prefix(text):
-    counts = token_counts.library_counts()
-    table = token_counts.prefix_table(text, counts)
-    want = [len(counts.encode(text[:p])) for p in range(len(text) + 1)]
-    assert [token_counts.count_prefix(table, p) for p in range(len(text) + 1)] == want
-    words = token_counts.words_of(text)
-    totals = np.cumsum([counts[w] for w in words])
+    known = token_counts.library_steps()
+    encode = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).encode
+    (_, words), *_ = token_counts.learned(pa.array([text]), known)
+    steps = token_counts.prefix_steps(words, known)
+    want = [len(encode(text[:p])) for p in range(len(text) + 1)]
+    assert token_counts.prefix_table(steps).tolist() == [token_counts.count_prefix(steps, p) for p in range(len(text) + 1)] == want
     for limit in range(0, want[-1] + 1):
-        best = max(p for p, n in enumerate(want) if n <= limit)
-        assert token_counts.longest_within(table, limit) == best
-        assert not text or token_counts.fit_within(words, totals, limit, counts) == best
+        assert token_counts.longest_within(steps, limit) == max(p for p, n in enumerate(want) if n <= limit)
+
+
+def test_tokens_of_long_texts_without_a_space():
+    """One step a character: a million characters take seconds, and every count at the end of a cut is the library's."""
+    rng = random.Random(6)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    known = token_counts.library_steps()
+    started = time.time()
+    (_, words), *_ = token_counts.learned(pa.array([text]), known)
+    steps = token_counts.prefix_steps(words, known)
+    assert time.time() - started < 60 and len(steps) == len(text)
+    encode = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).encode
+    for cut in (1, 1000, 4096, 20_011):
+        assert token_counts.count_prefix(steps, cut) == len(encode(text[:cut]))
+    tail = "日本語" * 2000
+    (_, words), *_ = token_counts.learned(pa.array([tail]), known)
+    assert token_counts.count_prefix(token_counts.prefix_steps(words, known), len(tail)) == len(encode(tail))
+
+
+def test_token_query_equals_library(spark, sf):
+    encode = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).encode
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = Q.QUERIES["op9_token_counts"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = len(encode(texts[r.doc_id]))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 4096)
+        cut = len(texts[r.doc_id]) // 2
+        assert token_counts.count_prefix(bytes(r.prefix_steps), cut) == len(encode(texts[r.doc_id][:cut])) and len(encode(texts[r.doc_id][: r.fit_chars])) <= 4096
 
 
 @settings(max_examples=200, deadline=None)
