@@ -533,7 +533,7 @@ def test_lower_bound_is_one(lengths):
 def test_tokens_at_every_prefix(text):
     known = token_counts.library_steps()
     encode = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).encode
-    (_, words), *_ = token_counts.learned(pa.array([text]), known)
+    _, words = next(token_counts.learned(pa.array([text]), known))
     steps = token_counts.prefix_steps(words, known)
     want = [len(encode(text[:p])) for p in range(len(text) + 1)]
     assert token_counts.prefix_table(steps).tolist() == [token_counts.count_prefix(steps, p) for p in range(len(text) + 1)] == want
@@ -547,14 +547,14 @@ def test_tokens_of_long_texts_without_a_space():
     text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
     known = token_counts.library_steps()
     started = time.time()
-    (_, words), *_ = token_counts.learned(pa.array([text]), known)
+    _, words = next(token_counts.learned(pa.array([text]), known))
     steps = token_counts.prefix_steps(words, known)
     assert time.time() - started < 60 and len(steps) == len(text)
     encode = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")).encode
     for cut in (1, 1000, 4096, 20_011):
         assert token_counts.count_prefix(steps, cut) == len(encode(text[:cut]))
     tail = "日本語" * 2000
-    (_, words), *_ = token_counts.learned(pa.array([tail]), known)
+    _, words = next(token_counts.learned(pa.array([tail]), known))
     assert token_counts.count_prefix(token_counts.prefix_steps(words, known), len(tail)) == len(encode(tail))
 
 
