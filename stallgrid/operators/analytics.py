@@ -116,7 +116,11 @@ def daily_series(searches: DataFrame, as_of: str, days: int = 30) -> DataFrame:
 def ab_arms(searches: DataFrame, as_of: str, days: int = 30, least: int = 20) -> DataFrame:
     """The funnel by experiment arm, with the winner: a higher purchase rate than the other arm, at least ``least`` searches."""
     rows = searches.where(in_window(as_of, days) & (F.coalesce(F.trim("bucket"), F.lit("")) != ""))
-    arms = rows.groupBy("shop_id", "bucket").agg(*_funnel())
+    return arm_winners(rows.groupBy("shop_id", "bucket").agg(*_funnel()), least)
+
+
+def arm_winners(arms: DataFrame, least: int = 20) -> DataFrame:
+    """The arms' totals with purchase_rate and winner."""
     arms = arms.withColumn("purchase_rate", rate(F.col("purchases"), F.col("searches")))
     shop = W.partitionBy("shop_id")
     others = F.min("purchase_rate").over(shop)
@@ -128,6 +132,10 @@ def activity(searches: DataFrame, as_of: str, days: int = 7, k: int = 10) -> Dat
     """Most searched terms of a short range, with each bar's share of the longest."""
     rows = searches.where(in_window(as_of, max(1, min(days, 31))) & (F.trim("term") != ""))
     top = _top(rows.groupBy("shop_id", "term").agg(F.count("*").alias("searches")), k, F.desc("searches"), F.asc("term"))
+    return with_shares(top)
+
+
+def with_shares(top: DataFrame) -> DataFrame:
     return top.withColumn("share", F.round(F.col("searches") / F.max("searches").over(W.partitionBy("shop_id")), 6))
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stallgrid.functions.text import ab_bucket
 from stallgrid.operators import analytics as A
 from stallgrid.operators import events as E
+from stallgrid.operators import partials as PA
 from stallgrid.operators import recommend as R
 from stallgrid.plans.search_sql import grams, jaccard, whole_grams
-from stallgrid.plans.fixtures import AS_OF, Tables, with_views
+from stallgrid.plans.fixtures import AS_OF, Tables, shared_folder, with_views
 
 #: Longer attribution windows than the defaults: the events are sparse.
 HOURS = {"click_hours": 24, "cart_hours": 24, "purchase_hours": 24}
@@ -91,7 +94,27 @@ def _plan_window(spark, d):
     return kept.groupBy("shop_id", F.col("days").cast("bigint").alias("days")).agg(F.count("*").alias("searches"))
 
 
+def partials(spark, d):
+    """Reports from partials of three batches: the first half of the searches before what came of them was known, those again as they are, and the others, which are earlier and later."""
+    rows = searches(spark, d).select("search_id", "shop_id", "ts", "term", "results_count", "clicked", "converted", "purchased", "revenue", "product_id", "bucket")
+    no = F.lit(False)
+    first = rows.where("search_id % 2 = 0").withColumns({"clicked": no, "converted": no, "purchased": no, "revenue": F.lit(None).cast("double"), "product_id": F.lit(None).cast("string")})
+    folder = f"{shared_folder(spark)}/partials-{uuid.uuid4().hex}"
+    PA.write_partials(folder, 0, first)
+    PA.write_partials(folder, 1, rows.where("search_id % 2 = 0"), first)
+    PA.write_partials(folder, 2, rows.where("search_id % 2 = 1"))
+    return PA.Reports(spark, folder, AS_OF)
+
+
 QUERIES = {
+    "partial_funnel_totals": lambda s, d: partials(s, d).funnel_totals(15),
+    "partial_period_delta": lambda s, d: partials(s, d).period_delta(15),
+    "partial_top_terms": lambda s, d: _first(partials(s, d).top_terms()),
+    "partial_zero_terms": lambda s, d: _first(partials(s, d).zero_terms()),
+    "partial_top_clicked": lambda s, d: _first(partials(s, d).top_clicked(Tables(s, d).products())),
+    "partial_daily_series": lambda s, d: partials(s, d).daily_series().withColumn("day", F.col("day").cast("string")),
+    "partial_ab_arms": lambda s, d: partials(s, d).ab_arms(),
+    "partial_activity_share": lambda s, d: _first(partials(s, d).activity()),
     "plan_window": _plan_window,
     "funnel_totals": lambda s, d: A.funnel_totals(searches(s, d), AS_OF, 15),
     "funnel_rates": lambda s, d: A.funnel_rates(A.funnel_totals(searches(s, d), AS_OF)).drop("revenue"),
@@ -210,3 +233,6 @@ c AS (SELECT shop_id, collection AS value, row_number() OVER (PARTITION BY shop_
 t AS (SELECT shop_id, term AS value, row_number() OVER (PARTITION BY shop_id ORDER BY count(*) DESC, term) AS rank FROM searches WHERE results_count > 0 AND {_WIN} GROUP BY shop_id, term)
 SELECT shop_id, 'product' AS kind, product_id AS value, rank FROM b WHERE rank <= 6 UNION ALL SELECT shop_id, 'collection', value, rank FROM c WHERE rank <= 6 UNION ALL SELECT shop_id, 'term', value, rank FROM t WHERE rank <= 6"""),
 }
+ORACLE_SQL |= {f"partial_{k}": ORACLE_SQL[k] for k in ("funnel_totals", "period_delta", "top_terms", "zero_terms", "top_clicked", "ab_arms", "activity_share")}
+# Whole days before the midnight: not the day that begins with it.
+ORACLE_SQL["partial_daily_series"] = f"SELECT * FROM ({ORACLE_SQL['daily_series']}) WHERE day < '{AS_OF[:10]}'"
