@@ -10,6 +10,8 @@ from stallgrid.operators.events import POPULARITY
 from stallgrid.plans.analytics_queries import _CLICK, CAPPED
 from stallgrid.plans.analytics_queries import ORACLE_SQL as BATCH
 from stallgrid.plans.fixtures import AS_OF, Tables, shared_folder, with_views
+from stallgrid.plans.ingest_queries import payloads
+from stallgrid.streaming import changes as CH
 from stallgrid.streaming import events as ST
 
 
@@ -57,7 +59,24 @@ def _changes(spark, d):
     return ST.catalog_version(spark, f"{folder}/out").select("shop_id", "product_id", "title")
 
 
+def _topics(spark, d):
+    """The catalog behind all four topics: changed and deleted products, a collection with a complete list of members, and a deleted one."""
+    folder, p = _folder(spark), Tables(spark, d).products()
+    n, json = F.col("product_id").cast("int"), lambda *c: F.to_json(F.struct(*c))
+    event = lambda df, topic, hours, value: df.select(F.lit(topic).alias("topic"), "shop_id", (F.lit(AS_OF).cast("timestamp") + F.make_interval(hours=F.lit(hours))).alias("at"), value.alias("value"))
+    shops = p.where(n % 10 == 0).groupBy("shop_id").agg(F.sort_array(F.collect_list("product_id")).alias("members"))
+    raw = event(payloads(spark, d), "products/upsert", 0, F.col("value")).unionByName(event(p.where(n % 7 == 1), "products/delete", 1, json(n.alias("id"))))
+    raw = raw.unionByName(event(shops, "collections/upsert", 2, json(F.lit("c1").alias("id"), F.lit("c1").alias("handle"), F.lit("One").alias("title"), "members", F.lit(True).alias("complete"))))
+    raw.unionByName(event(p.select("shop_id").distinct(), "collections/delete", 3, json(F.lit("c2").alias("id")))).write.parquet(f"{folder}/in")
+    own = p.select("shop_id", F.explode("collections").alias("collection_id")).groupBy("shop_id", "collection_id").agg(F.count("*").alias("product_count"))
+    CH.start_changes(p, own.withColumns({"handle": F.col("collection_id"), "title": F.col("collection_id")}), f"{folder}/out")
+    CH.change_stream(spark.readStream.schema(raw.schema).parquet(f"{folder}/in"), f"{folder}/out").awaitTermination()
+    found = CH.current_products(spark, f"{folder}/out").select("shop_id", F.col("product_id").alias("id"), "title", F.array_join("collections", ",").alias("collections"), "popularity")
+    return found.unionByName(CH.current_collections(spark, f"{folder}/out").select("shop_id", F.col("collection_id").alias("id"), "title", F.col("handle").alias("collections"), F.lit(0.0).alias("popularity")))
+
+
 QUERIES = {
+    "change_topics": _topics,
     "change_stream": _changes,
     "stream_daily_activity": lambda s, d: ST.finished(ST.daily_activity_stream(_actions(s, d).where("kind = 'search'")), _folder(s), "complete").withColumn("day", F.col("day").cast("string")),
     "stream_dedup": _dedup,
@@ -69,6 +88,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "change_topics": with_views("""p AS (SELECT *, CAST(product_id AS INT) AS k, bool_or(CAST(product_id AS INT) % 10 = 0) OVER (PARTITION BY shop_id) AS listed FROM v_products)
+SELECT shop_id, product_id AS id, CASE WHEN k % 5 = 0 THEN title || ' new' ELSE title END AS title, CASE WHEN k % 10 = 0 THEN CASE WHEN collection IN ('c1', 'c2') THEN 'c1' ELSE collection || ',c1' END WHEN collection = 'c2' OR (listed AND collection = 'c1') THEN '' ELSE collection END AS collections, popularity
+FROM p WHERE k % 35 <> 0 AND NOT (k % 5 = 0 AND status <> 'ACTIVE') AND k % 7 <> 1
+UNION ALL SELECT DISTINCT shop_id, collection, collection, collection, 0.0 FROM p WHERE collection <> 'c2' AND NOT (listed AND collection = 'c1') UNION ALL SELECT DISTINCT shop_id, 'c1', 'One', 'c1', 0.0 FROM p WHERE listed""", "v_products"),
     "change_stream": with_views("SELECT shop_id, product_id, title || CASE WHEN CAST(product_id AS INT) % 3 = 0 THEN ' new' ELSE '' END AS title FROM v_products WHERE CAST(product_id AS INT) % 15 <> 0", "v_products"),
     "stream_event_cap": with_views(CAPPED + "SELECT event_id FROM w WHERE n <= 3", "v_actions").replace("WITH ", "WITH RECURSIVE ", 1),
     "stream_daily_activity": with_views("SELECT shop_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS searches FROM v_actions WHERE kind = 'search' GROUP BY ALL", "v_actions"),

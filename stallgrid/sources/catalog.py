@@ -103,9 +103,9 @@ def normalize_export(groups: DataFrame) -> DataFrame:
     )
 
 
-def normalize_payload(rows: DataFrame) -> DataFrame:
-    """Product rows from change payloads (shop_id, value: JSON); payloads without an id are dropped."""
-    x = rows.select("shop_id", F.from_json("value", PAYLOAD).alias("x"), F.get_json_object("value", "$.tags").alias("raw_tags")).where("x.id IS NOT NULL").select("shop_id", "raw_tags", "x.*")
+def normalize_payload(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Product rows from change payloads (shop_id, value: JSON), with columns to ``keep``; payloads without an id are dropped."""
+    x = rows.select("shop_id", *keep, F.from_json("value", PAYLOAD).alias("x"), F.get_json_object("value", "$.tags").alias("raw_tags")).where("x.id IS NOT NULL").select("shop_id", *keep, "raw_tags", "x.*")
     as_list = F.from_json("raw_tags", "array<string>")
     tags = F.when(F.ltrim("raw_tags").startswith("["), as_list).otherwise(F.split(F.coalesce("raw_tags", F.lit("")), ","))
     empty = F.array().cast("array<struct<name:string,value:string>>")
@@ -116,7 +116,7 @@ def normalize_payload(rows: DataFrame) -> DataFrame:
     x = x.withColumn("vs", F.transform(vs, lambda v: F.struct(v["id"].alias("id"), v["title"].alias("title"), v["sku"].alias("sku"), v["price"].alias("price"), F.coalesce(sold(v), F.lit(False)).alias("available"), F.coalesce(pairs(v), empty).alias("selectedOptions"))))
     prices = F.filter(F.transform("vs", lambda v: v["price"].try_cast("double")), lambda p: p >= 0)
     return x.select(
-        "shop_id", gid_id(F.col("id")).alias("product_id"), "handle", F.coalesce("title", F.lit("")).alias("title"), strip_html(F.col("body_html")).alias("description"), "vendor", "product_type",
+        "shop_id", *keep, gid_id(F.col("id")).alias("product_id"), "handle", F.coalesce("title", F.lit("")).alias("title"), strip_html(F.col("body_html")).alias("description"), "vendor", "product_type",
         F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != "").alias("tags"), F.upper(F.coalesce("status", F.lit("ACTIVE"))).alias("status"),
         F.exists("vs", lambda v: v["available"]).alias("available"), F.col("published_at").isNotNull().alias("published_online"), F.array_min(prices).alias("price_min"), F.array_max(prices).alias("price_max"),
         options_from_variants(F.col("vs")).alias("options"), variant_skus(F.col("vs")).alias("skus"), variant_text(F.col("vs")).alias("variant_text"),
