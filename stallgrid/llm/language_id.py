@@ -151,8 +151,9 @@ def fit_centroids(labelled: DataFrame, per_lang: int = 250, k: int = 4, text: st
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([df.tobytes()], pa.binary())], ["n", "df"])
 
-    # A few partitions hold the bounded sample, and each gives one row of counts.
-    sample = checkpointed(rows.where(spread() < share).mapInArrow(vectors, "doc_id bigint, lang string, v binary").repartition(8))
+    # A few partitions hold the bounded sample, and each gives one row of counts. Rows without an id are drawn by their place.
+    place = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    sample = checkpointed(rows.where(F.when(F.col("doc_id").isNull(), place).otherwise(spread()) < share).mapInArrow(vectors, "doc_id bigint, lang string, v binary").repartition(8))
     seen = sample.select("v").mapInArrow(present, "n bigint, df binary").collect()
     n = sum(r.n for r in seen)
     if not n:

@@ -10,6 +10,9 @@ Blocks are lines, and notices are often wrapped over several: of a template of n
 words that goes over a line end is a block too, unless one of its lines has the template already. Stretches overlap
 by all words but one; only those that hold a word of the template's prefix are looked at.
 
+The join finds every block over the threshold. A block gives its label only if it holds the words that tell the notice
+from its relatives: four words of "released under the mit license" are no MIT notice without "mit".
+
 Two passes over the texts: one counts the templates' words over the corpus, one joins. Templates are a bounded
 side (checked); texts stay where they are, so nothing but counts is shuffled.
 """
@@ -20,6 +23,7 @@ import math
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import pyarrow as pa
@@ -29,18 +33,21 @@ from pyspark.sql import functions as F
 # Phrases of the base scan, and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-# License notices, and the labels that the join gives to blocks that contain them.
+# License notices, and the labels that the join gives to blocks that contain them. Behind a short notice
+# stand the words that tell it from its relatives: those that must stand in it, and those that must not.
 TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("mit", "Released under the MIT License"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache 2", ""),
+    ("mit", "Released under the MIT License", "mit license", ""),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", "general public 3", "lesser affero"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", "cc nc 4", "nd sa"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "commons attribution", "noncommercial noderivatives noderivs sharealike"),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "commons attribution noncommercial 4", "noderivatives noderivs sharealike"),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "commons attribution sharealike 4", "noncommercial"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("copyright", "Copyright holder all rights reserved no part may be reproduced without permission"),
+    ("copyright", "Copyright holder all rights reserved no part may be reproduced without permission", "reproduced permission", ""),
     (
         "mit",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
@@ -82,6 +89,8 @@ TEMPLATES = (
     ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 )
 
+#: Notices of up to this many words are so short that their words must also stand in their order, within twice their length.
+SHORT = 16
 #: Most distinct words of all templates together that are sent to the workers.
 MAX_TEMPLATE_WORDS = 200_000
 #: A longer line is cut into windows of this many words, or of two stretches of the longest template if that is more,
@@ -97,12 +106,35 @@ def normal_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").translate(_TO_WORDS)
 
 
-def template_words(templates=TEMPLATES) -> list[tuple[str, tuple[bytes, ...], int]]:
-    """Label, distinct words and number of words of each template."""
-    out = [(label, tuple(sorted(set(w))), len(w)) for label, w in ((label, normal_bytes(text).split()) for label, text in templates)]
-    if sum(len(w) for _, w, _ in out) > MAX_TEMPLATE_WORDS:
+@dataclass(frozen=True)
+class Template:
+    label: str
+    words: tuple[bytes, ...]  # in their order
+    must: frozenset[bytes] = frozenset()
+    never: frozenset[bytes] = frozenset()
+
+    @property
+    def distinct(self) -> tuple[bytes, ...]:
+        return tuple(sorted(set(self.words)))
+
+
+def template_words(templates=TEMPLATES) -> list[Template]:
+    """Templates (label, text, and optionally the words that must and must not stand in a match) as words; those without any are left out."""
+    split = lambda text: normal_bytes(text).split()
+    out = [Template(label, tuple(split(text)), *(frozenset(split(x)) for x in marks)) for label, text, *marks in templates]
+    if sum(len(t.distinct) for t in out) > MAX_TEMPLATE_WORDS:
         raise ValueError("too many template words to send to every worker; scan in several calls")
-    return [x for x in out if x[1]]
+    return [t for t in out if t.words]
+
+
+def in_order(words: tuple[bytes, ...], block: list[bytes]) -> int:
+    """Most words of a template that stand in a block one behind another (longest common subsequence)."""
+    best = [0] * (len(words) + 1)
+    for w in block:
+        for i in range(len(words), 0, -1):
+            if words[i - 1] == w:
+                best[i] = max(best[i], max(best[:i]) + 1)
+    return max(best)
 
 
 def corpus_counts(docs: DataFrame, words: set[bytes], text: str = "text") -> dict[bytes, int]:
@@ -123,13 +155,14 @@ def corpus_counts(docs: DataFrame, words: set[bytes], text: str = "text") -> dic
 class TemplateIndex:
     """Templates with their words rarest first, found by the words of their prefixes."""
 
-    def __init__(self, templates: list[tuple[str, tuple[bytes, ...], int]], counts: dict[bytes, int], threshold: float):
+    def __init__(self, templates: list[Template], counts: dict[bytes, int], threshold: float):
         self.by_word: dict[bytes, list[tuple[int, int]]] = {}
         self.items = []
-        self.stretch = [max(1, math.ceil(n / threshold - 1e-9)) for _, _, n in templates]
+        self.templates = templates
+        self.stretch = [max(1, math.ceil(len(t.words) / threshold - 1e-9)) for t in templates]
         self.block_words = max([BLOCK_WORDS, *(2 * n for n in self.stretch)])
-        self.word_sets = [frozenset(words) for _, words, _ in templates]
-        for k, (label, words, _) in enumerate(templates):
+        self.word_sets = [frozenset(t.words) for t in templates]
+        for k, label, words in ((k, t.label, t.distinct) for k, t in enumerate(templates)):
             ordered = sorted(words, key=lambda w: (counts.get(w, 0), w))
             need = max(1, math.ceil(threshold * len(ordered) - 1e-9))
             self.items.append((label, ordered, need))
@@ -158,6 +191,24 @@ class TemplateIndex:
                 out.append((k, hits / len(words)))
         return out
 
+    def holds(self, k: int, block: list[bytes]) -> bool:
+        """Whether a block that contains a template is this notice, and no relative of it.
+
+        Words that must not stand there count from three words before it to three behind it. Short notices also need
+        their words in their order.
+        """
+        t, of, need = self.templates[k], self.word_sets[k], self.items[k][2]
+        short = len(t.words) <= SHORT
+        if not (t.must or t.never or short):
+            return True
+        size = 2 * len(t.words)
+        for p, w in enumerate(block):
+            if w in of:
+                near = block[p : p + size]
+                if t.must.issubset(near) and t.never.isdisjoint(block[max(0, p - 3) : p + size + 3]) and (not short or in_order(t.words, near) >= need):
+                    return True
+        return False
+
     def stretches(self, words: list[bytes], line_ends: list[int], found: set[tuple[int, int]]) -> list[tuple[int, int, float]]:
         """(first word number, template, containment) of the stretches over line ends that contain a template.
 
@@ -240,14 +291,15 @@ def phrase_places(data: bytes) -> list[tuple[int, str]]:
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, text: str = "text") -> DataFrame:
-    """doc_id, n_words, places array<struct<word,label>>, blocks and wrapped array<struct<word,label,containment>> of every row.
+    """doc_id, n_words, places array<struct<word,label>>, blocks and wrapped array<struct<word,label,containment,holds>> of every row.
 
-    ``blocks`` are matches of lines and their windows, ``wrapped`` those of stretches over line ends.
+    ``blocks`` are all matches of lines and their windows, ``wrapped`` those of stretches over line ends; ``holds`` says
+    whether the words that tell the notice from its relatives are there too, and a short notice's words in their order.
     Null text is empty: no words, empty arrays. Rows with equal ids are scanned on their own; ties between
     templates are all reported.
     """
     words = template_words(templates)
-    counts = corpus_counts(docs, {w for _, ws, _ in words for w in ws}, text)
+    counts = corpus_counts(docs, {w for t in words for w in t.words}, text)
     index = docs.sparkSession.sparkContext.broadcast(TemplateIndex(words, counts, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,14 +315,15 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, t
                 if not ix.prefix_words.isdisjoint(words):
                     lines = [len(line.split()) for line in data.split(b"\n")]
                     line_ends = sorted({e for e in accumulate(lines) if 0 < e < len(words)})
-                    hits = [(at, k, c) for at, block in blocks_of(data, ix.prefix_words, ix.block_words) for k, c in ix.matches(set(block))]
-                    over = ix.stretches(words, line_ends, {(k, bisect_right(line_ends, at)) for at, k, _ in hits})
+                    hits = [(at, k, c, ix.holds(k, block)) for at, block in blocks_of(data, ix.prefix_words, ix.block_words) for k, c in ix.matches(set(block))]
+                    over = ix.stretches(words, line_ends, {(k, bisect_right(line_ends, at)) for at, k, _, _ in hits})
+                    over = [(at, k, c, ix.holds(k, words[at : at + ix.stretch[k]])) for at, k, c in over]
                 for out, found in ((blocks, hits), (wrapped, over)):
-                    out.append([{"word": at, "label": ix.items[k][0], "containment": c} for at, k, c in found])
-            place, block = pa.struct([("word", pa.int64()), ("label", pa.string())]), pa.struct([("word", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])
+                    out.append([{"word": at, "label": ix.items[k][0], "containment": c, "holds": sure} for at, k, c, sure in found])
+            place, block = pa.struct([("word", pa.int64()), ("label", pa.string())]), pa.struct([("word", pa.int64()), ("label", pa.string()), ("containment", pa.float64()), ("holds", pa.bool_())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(places, pa.list_(place)), pa.array(blocks, pa.list_(block)), pa.array(wrapped, pa.list_(block))], ["doc_id", "n_words", "places", "blocks", "wrapped"])
 
-    schema = "doc_id bigint, n_words bigint, places array<struct<word:bigint,label:string>>, blocks array<struct<word:bigint,label:string,containment:double>>, wrapped array<struct<word:bigint,label:string,containment:double>>"
+    schema = "doc_id bigint, n_words bigint, places array<struct<word:bigint,label:string>>, blocks array<struct<word:bigint,label:string,containment:double,holds:boolean>>, wrapped array<struct<word:bigint,label:string,containment:double,holds:boolean>>"
     return docs.select(F.col("doc_id").cast("bigint"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -278,8 +331,9 @@ def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     """License digest of every document: the base phrases, and the labels of the template join."""
     found = license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("blocks", F.concat("blocks", "wrapped"))
     base = F.array_distinct(F.transform("places", lambda p: p["label"]))
-    more = F.array_distinct(F.transform("blocks", lambda p: p["label"]))
-    score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["containment"])), F.lit(0.0)))
+    sure = F.filter("blocks", lambda b: b["holds"])
+    more = F.array_distinct(F.transform(sure, lambda p: p["label"]))
+    score = F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(sure, lambda b: b["containment"])), F.lit(0.0)))
     return found.select(
         "doc_id", "n_words",
         F.size("places").cast("long").alias("n_base"),

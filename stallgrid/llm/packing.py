@@ -109,7 +109,13 @@ def _encoder(path: str | None) -> _Encoder:
 
     path = path or public_tokenizers.path("word_bpe_49k.json")
     if path not in _ENCODERS:
-        _ENCODERS[path] = _Encoder(path)
+        encoder = _Encoder(path)
+        # Words are encoded apart, white space and case as this kind of vocabulary takes them: hold that against the library.
+        samples = ["AbC dEF x", " two  spaces ", "line\nend\ttab", "Éclair ﬁ İ 12", "a.b </w> 's", ""]
+        whole = encoder.tokenizer.encode_batch_fast(samples, add_special_tokens=False)
+        if list(encoder.encode(samples)) != [np.array(e.ids, "<u4").tobytes() for e in whole]:
+            raise ValueError(f"{path} does not encode words apart from each other in lower case")
+        _ENCODERS[path] = encoder
     return _ENCODERS[path]
 
 
