@@ -103,17 +103,21 @@ def synthetic_searches(actions: DataFrame, hours: int = 2) -> DataFrame:
     return clicks.join(found, "event_id", "left_anti").select("event_id", "shop_id", "session_token", "ts", "term", "product_id", F.lit(1).alias("results_count"))
 
 
-def attributed_searches(actions: DataFrame, click_hours: int = 2, cart_hours: int = 2, purchase_hours: int = 24) -> DataFrame:
-    """Every recorded search with clicked, converted, purchased, product_id, revenue and order_id."""
+def attributed_searches(actions: DataFrame, click_hours: int = 2, cart_hours: int = 2, purchase_hours: int = 24, overwrite: bool = False) -> DataFrame:
+    """Every recorded search with clicked, converted, purchased, product_id, revenue and order_id.
+
+    Revenue of several orders of a search is summed; with ``overwrite`` the last order's stands alone.
+    """
     clicks = attribute(actions, "click", click_hours, same_term=True)
     carts = attribute(actions, "add_to_cart", cart_hours)
     orders = attributed_orders(actions, purchase_hours)
     both = clicks.withColumn("what", F.lit("click")).unionByName(carts.withColumn("what", F.lit("cart"))).unionByName(orders.withColumn("what", F.lit("order")))
     is_ = lambda w: F.col("what") == w
+    last = lambda c: F.max_by(F.when(is_("order"), F.col(c)), F.when(is_("order"), F.struct("ts", "event_id")))
     per = both.groupBy("search_id").agg(
         F.max(is_("click")).alias("clicked"), F.max(is_("cart") | is_("order")).alias("converted"), F.max(is_("order")).alias("purchased"),
         F.min_by(F.when(~is_("order"), F.col("product_id")), F.when(~is_("order"), F.struct("ts", "event_id"))).alias("product_id"),
-        F.sum(F.when(is_("order"), F.col("revenue"))).alias("revenue"), F.max(F.when(is_("order"), F.col("order_id"))).alias("order_id"),
+        (last("revenue") if overwrite else F.sum(F.when(is_("order"), F.col("revenue")))).alias("revenue"), (last("order_id") if overwrite else F.max(F.when(is_("order"), F.col("order_id")))).alias("order_id"),
     )
     base = record_searches(actions).select(F.col("event_id").alias("search_id"), "shop_id", "session_token", "ts", "term", "results_count")
     no = F.lit(False)

@@ -12,20 +12,26 @@ MAX_EXPANSIONS = 12
 CONDITION = "array<struct<field:string,op:string,value:string,action:string,weight:double>>"
 
 
-def expand_synonyms(queries: DataFrame, synonyms: DataFrame, cap: int = MAX_EXPANSIONS) -> DataFrame:
+def expand_synonyms(queries: DataFrame, synonyms: DataFrame, cap: int = MAX_EXPANSIONS, lenient: bool = False) -> DataFrame:
     """query_id, group_no, phrase: the normalised term first, then the phrases of the rules that fire, in rule order.
 
     A rule fires by its input (one-way) or by any of its terms: a single word must be one of the query's words, a
-    phrase must stand in the query. Words are found by an equi-join; phrases by a join on their first word.
+    phrase must stand in the query. Words are found by an equi-join; phrases by a join on their first word. A word with
+    a sign in it ("t-shirt") is no word of any query and never fires, unless ``lenient``: then the words between its
+    signs must stand in the query one after another.
     """
     q = queries.select("query_id", "shop_id", normalize_query(F.col("term")).alias("norm"))
     trigger = F.when(F.col("type") == "oneway", F.array("input")).otherwise(F.col("terms"))
     rules = synonyms.select("shop_id", "rule_id", "terms", F.explode(F.transform(F.array_compact(trigger), normalize_query)).alias("trigger")).where("trigger <> ''")
+    if lenient:
+        rules = rules.withColumn("trigger", F.when(F.col("trigger").contains(" "), F.col("trigger")).otherwise(F.array_join(tokenize(F.col("trigger")), " "))).where("trigger <> ''")
     rules = rules.withColumn("word", F.split_part("trigger", F.lit(" "), F.lit(1)))
     words = F.array_distinct(F.concat(tokenize(F.col("norm")), F.split("norm", " ")))
     exploded = q.withColumn("word", F.explode(words)).withColumn("is_token", F.array_contains(tokenize(F.col("norm")), F.col("word")))
     phrase = F.col("trigger").contains(" ")
-    ok = F.when(phrase, F.concat(F.lit(" "), "norm", F.lit(" ")).contains(F.concat(F.lit(" "), F.col("trigger"), F.lit(" ")))).otherwise(F.col("is_token"))
+    inside = lambda text: F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), F.col("trigger"), F.lit(" ")))
+    stands = inside(F.col("norm")) | inside(F.array_join(tokenize(F.col("norm")), " ")) if lenient else inside(F.col("norm"))
+    ok = F.when(phrase, stands).otherwise(F.col("is_token"))
     fired = exploded.join(rules, ["shop_id", "word"]).where(ok).select("query_id", "rule_id", "terms").distinct()
     added = fired.select("query_id", "rule_id", F.posexplode(F.transform("terms", normalize_query)).alias("n", "phrase")).where("phrase <> ''")
     base = q.where("norm <> ''").select("query_id", F.lit(None).cast("string").alias("rule_id"), F.lit(-1).alias("n"), F.col("norm").alias("phrase"))

@@ -122,8 +122,8 @@ def personalized(seen: DataFrame, products: DataFrame, k: int = 12) -> DataFrame
     early = best(both.join(p, ["shop_id", "vendor", "product_type"]))
     full = F.max((F.col("rank") == k) & (F.col("score") == F.col("most")))
     found = early.groupBy(*session).agg(full.alias("settled"), F.collect_list(F.struct("product_id", "score", "rank")).alias("list"))
-    # One row for each session, kept for the two branches that read it.
-    sessions = profile.join(found, session, "left").persist()
+    # One row for each session, written for the two branches that read it.
+    sessions = written(profile.join(found, session, "left"))
     wide = sessions.where(~F.coalesce("settled", F.lit(False))).drop("settled", "list")
     member = _keys(p).select("shop_id", "product_id", "kind", "key")
     pairs = wide.select(*session, F.explode("keys").alias("x")).select(*session, "x.*").join(member, ["shop_id", "kind", "key"]).select(*session, "product_id").distinct()

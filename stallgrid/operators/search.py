@@ -208,8 +208,8 @@ def failed_filters() -> Column:
     return F.array_distinct(F.concat(chosen, add(price, "price"), add(scope, "__collection"), add(stock, "availability")))
 
 
-def condition_holds(c: Column) -> Column:
-    """A merchandising condition over a product row, with SQL's three values."""
+def condition_holds(c: Column, null_safe: bool = False) -> Column:
+    """A merchandising condition over a product row, with SQL's three values; ``null_safe`` takes a missing attribute as unequal."""
     field, value, contains = c["field"], c["value"], c["op"] == "contains"
     inside = lambda x: F.lower(x).contains(F.lower(value))
     text = lambda x: F.when(contains, inside(x)).otherwise(x == value)
@@ -221,28 +221,29 @@ def condition_holds(c: Column) -> Column:
         .when(field.startswith("option:"), F.array_contains(F.element_at(F.col("options"), F.substr(field, F.lit(8))), value))
         .when(field.startswith("metafield:"), F.when(contains, inside(F.coalesce(meta, F.lit("")))).otherwise(meta == value))
     )
+    test = F.coalesce(test, F.lit(False)) if null_safe else test
     return F.when(c["op"] == "neq", ~test).otherwise(test)
 
 
-def condition_score(conditions: Column) -> Column:
+def condition_score(conditions: Column, null_safe: bool = False) -> Column:
     """Boosts add their weight, buries take it, conditional pins add it and 50."""
     gain = lambda c: F.when(c["action"] == "boost", c["weight"]).when(c["action"] == "bury", -c["weight"]).when(c["action"] == "pin", c["weight"] + 50).otherwise(0.0)
-    return F.coalesce(F.aggregate(conditions, F.lit(0.0), lambda a, c: a + F.when(condition_holds(c), gain(c)).otherwise(0.0)), F.lit(0.0))
+    return F.coalesce(F.aggregate(conditions, F.lit(0.0), lambda a, c: a + F.when(condition_holds(c, null_safe), gain(c)).otherwise(0.0)), F.lit(0.0))
 
 
-def not_hidden(conditions: Column) -> Column:
-    """False or null for a row that a hide condition removes (null: the attribute is missing, which hides it too)."""
-    return F.coalesce(F.forall(F.filter(conditions, lambda c: c["action"] == "hide"), lambda c: F.coalesce(~condition_holds(c), F.lit(False))), F.lit(True))
+def not_hidden(conditions: Column, null_safe: bool = False) -> Column:
+    """False for a row that a hide condition removes; a missing attribute hides it too, unless ``null_safe``."""
+    return F.coalesce(F.forall(F.filter(conditions, lambda c: c["action"] == "hide"), lambda c: F.coalesce(~condition_holds(c, null_safe), F.lit(False))), F.lit(True))
 
 
-def scored(rows: DataFrame) -> DataFrame:
+def scored(rows: DataFrame, null_safe: bool = False) -> DataFrame:
     """The six score parts, the score, and the strategy label."""
     term = F.col("norm") != ""
     ids = lambda c: F.coalesce(F.array_contains(F.col(c), F.col("product_id")), F.lit(False))
     parts = {
         "x_text": 4 * F.col("text_rank"), "x_similarity": 2 * F.col("sim"), "x_semantic": 2.5 * F.greatest(F.lit(0.0), F.when(F.col("dist") < SEMANTIC, 1 - F.col("dist")).otherwise(0.0)),
         "x_prefix": F.when(term & F.lower(fold_accents(F.col("title"))).startswith(F.col("norm")), 1.5).otherwise(0.0), "x_popularity": F.when(term, 0.3 * F.log1p("popularity")).otherwise(0.0),
-        "x_merchandising": F.when(term, F.when(F.col("sku"), 50.0).otherwise(0.0) + F.when(ids("boosted"), 5.0).otherwise(0.0) - F.when(ids("buried"), 5.0).otherwise(0.0) + condition_score(F.col("conditions"))).otherwise(0.0),
+        "x_merchandising": F.when(term, F.when(F.col("sku"), 50.0).otherwise(0.0) + F.when(ids("boosted"), 5.0).otherwise(0.0) - F.when(ids("buried"), 5.0).otherwise(0.0) + condition_score(F.col("conditions"), null_safe)).otherwise(0.0),
     }
     rows = rows.withColumns(parts).withColumn("score", sum((F.col(k) for k in list(parts)[1:]), F.col("x_text")))
     return rows.withColumn("strategy", F.when(~term, "browse").when(F.col("sku"), "sku").when((F.col("dist") < SEMANTIC) & F.col("fulltext"), "hybrid").when(F.col("dist") < SEMANTIC, "semantic").otherwise("fulltext"))
@@ -251,7 +252,7 @@ def scored(rows: DataFrame) -> DataFrame:
 RULE_COLUMNS = {"conditions": "array<struct<field:string,op:string,value:string,action:string,weight:double>>", "hidden": "array<string>", "boosted": "array<string>", "buried": "array<string>", "pinned": "array<string>"}
 
 
-def evaluated(queries: DataFrame, products: DataFrame, cands: DataFrame, rules: DataFrame | None = None, matched: DataFrame | None = None) -> DataFrame:
+def evaluated(queries: DataFrame, products: DataFrame, cands: DataFrame, rules: DataFrame | None = None, matched: DataFrame | None = None, null_safe: bool = False) -> DataFrame:
     """Candidate rows with product columns, scores, and ``failed``: the predicates each row fails.
 
     Rows hidden by a rule are gone from here on, and so from all counts.
@@ -262,8 +263,8 @@ def evaluated(queries: DataFrame, products: DataFrame, cands: DataFrame, rules:
     for name, kind in RULE_COLUMNS.items():
         q = q.withColumn(name, F.coalesce(name, F.array().cast(kind)) if rules is not None else F.array().cast(kind))
     rows = cands.join(q, "query_id").join(eligible(products), ["shop_id", "product_id"])
-    rows = rows.where(~F.array_contains("hidden", F.col("product_id")) & not_hidden(F.col("conditions")))
-    return scored(rows).withColumn("failed", failed_filters())
+    rows = rows.where(~F.array_contains("hidden", F.col("product_id")) & not_hidden(F.col("conditions"), null_safe))
+    return scored(rows, null_safe).withColumn("failed", failed_filters())
 
 
 def order_columns() -> list[Column]:
@@ -349,7 +350,7 @@ class Found:
 
 def search(
     queries: DataFrame, products: DataFrame, as_of: str, *, synonyms: DataFrame | None = None, redirects: DataFrame | None = None,
-    rules: DataFrame | None = None, vectors: DataFrame | None = None, stems: DataFrame | None = None, shops: DataFrame | None = None, index: Index | None = None,
+    rules: DataFrame | None = None, vectors: DataFrame | None = None, stems: DataFrame | None = None, shops: DataFrame | None = None, index: Index | None = None, null_safe: bool = False,
 ) -> Found:
     """A whole search: redirects, synonyms, candidates, rules, filters, scores, pins, order, page, totals, spelling.
 
@@ -370,7 +371,7 @@ def search(
         pins = pinned_candidates(rest, rules, matched).select("query_id", "product_id", *[F.lit(v).alias(k) for k, v in _PARTS.items()], F.lit(False).alias("matched"), "pin_no")
         best = {"dist": F.min, "pin_no": F.min}
         cands = found.unionByName(pins).groupBy("query_id", "product_id").agg(*[best.get(c, F.max)(c).alias(c) for c in (*_PARTS, "matched", "pin_no")])
-    rows = evaluated(rest, products, cands, rules, matched)
+    rows = evaluated(rest, products, cands, rules, matched, null_safe)
     if rules is not None:
         # A pinned product need not match the term, but must pass the filters.
         rows = rows.where(F.col("matched") | (F.size("failed") == 0)).drop("matched")

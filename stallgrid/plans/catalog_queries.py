@@ -161,8 +161,22 @@ def _stems(spark, d):
 
 
 def _stemmed(spark, d):
-    p = X.build_postings(Tables(spark, d).products(), _stems(spark, d))
-    return p.groupBy("field").agg(F.count("*").alias("n"), F.countDistinct("token").alias("tokens"))
+    return _listed(X.build_postings(Tables(spark, d).products(), _stems(spark, d)))
+
+
+def _listed(postings):
+    """Each product's postings, every word, field, weight and place of them, as a number and a digest."""
+    every = F.sort_array(F.collect_list(F.struct("pos", "token", "field", "weight")))
+    text = F.array_join(F.transform(every, lambda x: F.concat_ws(":", x["pos"], x["token"], x["field"], x["weight"])), ",")
+    return postings.groupBy("shop_id", "product_id").agg(F.count("*").alias("n"), F.sha2(text, 256).alias("h"))
+
+
+def _swatches(spark, d):
+    """Facets of the shops' own configuration, values with swatches by name whatever their case."""
+    rows = browse_rows(spark, d)
+    config = spark.createDataFrame([("shop1", "option:Color", "Shade", "swatch", 1, True), ("shop1", "vendor", "Maker", "list", 0, True), ("shop1", "tag", "Tag", "list", 2, False)], "shop_id string, source string, label string, display_as string, facet_no int, enabled boolean")
+    colours = spark.createDataFrame([(f"shop{i}", n, c) for i in range(4) for n, c in (("RED", "#f00"), ("Blue", "#00f"))], "shop_id string, name string, swatch string")
+    return FA.labelled(FA.value_facets(rows), requests(spark), config, swatches=colours).where("source IN ('option:Color', 'vendor', 'tag')").select("query_id", "source", "label", "facet_no", "value", F.coalesce("swatch", F.lit("")).alias("swatch"), "count")
 
 
 def _backlog(spark, d):
@@ -304,6 +318,7 @@ QUERIES = {
     "facet_price": lambda s, d: FA.price_facet(browse_rows(s, d)),
     "facet_signature": _signatures,
     "facet_labels": _labelled,
+    "facet_swatches": _swatches,
     "facet_values": lambda s, d: X.facet_values(Tables(s, d).products()),
     "fulltext_match": _fulltext,
     "substring_match": _substring,
@@ -322,7 +337,7 @@ QUERIES = {
     "did_you_mean": _spelling,
     "product_suggestions": lambda s, d: _long(R.product_suggestions(text_rows(s, d))).select("query_id", "product_id", F.round("score", 6).alias("score"), "rank"),
     "page_suggestions": _names,
-    "postings": lambda s, d: X.build_postings(Tables(s, d).products()).groupBy("field", "weight").agg(F.count("*").alias("n"), F.countDistinct("token").alias("tokens")),
+    "postings": lambda s, d: _listed(X.build_postings(Tables(s, d).products())),
     "first_variant": lambda s, d: S.first_variant(Tables(s, d).variants()),
     "embedding_text": lambda s, d: Tables(s, d).products().select("product_id", F.sha2(X.embedding_text(), 256).alias("h")),
     "normalize_text": lambda s, d: Tables(s, d).read("documents").select("doc_id", F.sha2(T.normalize_query(F.col("text")), 256).alias("h"), F.size(T.tokenize(F.col("text"))).cast("bigint").alias("tokens"), T.ts_config(F.col("lang")).alias("config")),
@@ -391,6 +406,16 @@ _DOC = "doc AS (SELECT shop_id, product_id, list_distinct(" + _TOK.format("conca
 _FULL = f"{requests_cte(TEXT)}, {_ELIG}, {_GROUPS}, {_DOC}, ft AS (SELECT DISTINCT q.query_id, d.product_id FROM req q JOIN grp ON grp.query_id = q.query_id JOIN doc d ON d.shop_id = q.shop_id WHERE list_has_all(d.toks, grp.toks))"
 
 
+_WORDS = (("title", "A", "title"), ("skus", "A", "sku"), ("vendor", "B", "vendor"), ("product_type", "B", "product_type"), ("tags", "B", "array_to_string(tags, ' ')"), ("description", "C", "description"))
+
+
+def _postings_sql(token: str, join: str = "") -> str:
+    """Each product's words, field behind field, with their places."""
+    lists = ", ".join(f"list_transform({_TOK.format(c)}, lambda t: {{'t': t, 'f': '{n}', 'w': '{k}'}})" for n, k, c in _WORDS)
+    return f"""l AS (SELECT shop_id, product_id, lang, flatten([{lists}]) AS l FROM v_products), u AS (SELECT shop_id, product_id, lang, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS x FROM l), w AS (SELECT shop_id, product_id, u.lang, pos, x.t AS token, x.f AS field, x.w AS weight FROM u)
+SELECT shop_id, product_id, count(*) AS n, sha256(string_agg(pos || ':' || {token} || ':' || field || ':' || weight, ',' ORDER BY pos)) AS h FROM w {join} GROUP BY ALL"""
+
+
 def _grams(x: str) -> str:
     return f"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 
@@ -424,7 +449,7 @@ ORACLE_SQL = {
     "substring_match": with_views(f"{requests_cte(TEXT)}, {_ELIG} SELECT query_id, product_id FROM req q JOIN elig p ON p.shop_id = q.shop_id AND contains(lower(p.title), lower(q.term))", "v_products"),
     "sku_match": with_views("SELECT CAST(product_id AS INT) AS query_id, product_id FROM v_products", "v_products"),
     "trigram_fuzzy": with_views(f"{requests_cte(TEXT)}, {_ELIG}, {_SIM} SELECT query_id, product_id, round(sim, 6) AS sim FROM sm JOIN elig p ON p.shop_id = sm.shop_id AND lower(p.title) = sm.t WHERE sim > 0.2", "v_products"),
-    "postings": with_views("w AS (" + " UNION ALL ".join(f"SELECT '{n}' AS field, '{k}' AS weight, unnest({_TOK.format(c)}) AS token FROM v_products" for n, k, c in (("title", "A", "title"), ("skus", "A", "sku"), ("vendor", "B", "vendor"), ("product_type", "B", "product_type"), ("tags", "B", "array_to_string(tags, ' ')"), ("description", "C", "description"))) + ") SELECT field, weight, count(*) AS n, count(DISTINCT token) AS tokens FROM w GROUP BY ALL", "v_products"),
+    "postings": with_views(_postings_sql("w.token"), "v_products"),
     "page_suggestions": f"""WITH n AS (SELECT 'shop' || (page_id % 4) AS shop_id, page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
 f AS (SELECT *, trim(regexp_replace(lower(strip_accents(title)), '\\s+', ' ', 'g')) AS t FROM n), q AS (SELECT page_id AS query_id, shop_id, trim(regexp_replace(lower(strip_accents(substr(title, 1, 9))), '\\s+', ' ', 'g')) AS norm FROM n WHERE page_id % 50 = 0),
 s AS (SELECT q.query_id, f.page_id, f.title, f.t, q.norm, CASE WHEN sim > 0.2 THEN sim ELSE 0 END AS sim FROM (SELECT q.*, f.page_id, len(list_intersect({_grams('q.norm')}, {_grams('strip_accents(f.title)')})) / len(list_distinct(list_concat({_grams('q.norm')}, {_grams('strip_accents(f.title)')})))::DOUBLE AS sim FROM q JOIN f ON f.shop_id = q.shop_id WHERE q.norm <> '') q JOIN f ON f.page_id = q.page_id WHERE sim > 0.2 OR contains(f.t, q.norm))
@@ -435,7 +460,8 @@ SELECT query_id, CAST(CASE shop_id WHEN 'shop0' THEN 3 WHEN 'shop1' THEN 1 ELSE
     "embedding_text": with_views("SELECT product_id, sha256(substr(concat_ws('. ', nullif(trim(title), ''), nullif(trim(product_type), ''), nullif(trim(vendor), ''), nullif(trim(array_to_string(tags, ', ')), ''), nullif(trim(substr(description, 1, 1000)), '')), 1, 4000)) AS h FROM v_products", "v_products"),
     "normalize_text": r"WITH n AS (SELECT doc_id, lang, trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, sha256(t) AS h, len(list_filter(regexp_split_to_array(t, '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS tokens, 'simple' AS config FROM n",
     "redirects": with_views("SELECT product_id AS query_id, CASE shop_id WHEN 'shop1' THEN '/pages/red' WHEN 'shop0' THEN '/pages/bolts' ELSE '/pages/rings' END AS url FROM v_products WHERE (shop_id, title) IN (('shop1', 'red widget'), ('shop0', 'hot bolt'), ('shop2', 'small ring'))", "v_products"),
-    "stemmed_postings": with_views("d AS (SELECT DISTINCT lang, token FROM (SELECT lang, unnest(" + _TOK.format("text") + ") AS token FROM documents) WHERE length(token) >= 5 AND token LIKE '%e'), w AS (" + " UNION ALL ".join(f"SELECT lang, '{n}' AS field, unnest({_TOK.format(c)}) AS token FROM v_products" for n, c in (("title", "title"), ("skus", "sku"), ("vendor", "vendor"), ("product_type", "product_type"), ("tags", "array_to_string(tags, ' ')"), ("description", "description"))) + ") SELECT field, count(*) AS n, count(DISTINCT CASE WHEN field <> 'skus' AND d.token IS NOT NULL THEN left(w.token, length(w.token) - 1) ELSE w.token END) AS tokens FROM w LEFT JOIN d ON d.lang = w.lang AND d.token = w.token GROUP BY 1", "v_products"),
+    "stemmed_postings": with_views("d AS (SELECT DISTINCT lang, token FROM (SELECT lang, unnest(" + _TOK.format("text") + ") AS token FROM documents) WHERE length(token) >= 5 AND token LIKE '%e'), " + _postings_sql("CASE WHEN field <> 'skus' AND d.token IS NOT NULL THEN left(w.token, length(w.token) - 1) ELSE w.token END", "LEFT JOIN d ON d.lang = w.lang AND d.token = w.token"), "v_products"),
+    "facet_swatches": _cat(", " + _FACETS + " SELECT t.query_id, t.source, CASE WHEN q.shop_id = 'shop1' THEN CASE t.source WHEN 'vendor' THEN 'Maker' ELSE 'Shade' END WHEN t.source = 'vendor' THEN 'Brand' ELSE 'Color' END AS label, CAST(CASE WHEN q.shop_id = 'shop1' THEN CASE t.source WHEN 'vendor' THEN 0 ELSE 1 END WHEN t.source = 'vendor' THEN 2 ELSE 3 END AS INT) AS facet_no, t.value, CASE lower(t.value) WHEN 'red' THEN '#f00' WHEN 'blue' THEN '#00f' ELSE '' END AS swatch, t.count FROM top t JOIN req q ON q.query_id = t.query_id WHERE n <= 50 AND t.source IN ('option:Color', 'vendor')"),
     "embedding_backlog": with_views("SELECT product_id, sha256(substr(concat_ws('. ', nullif(trim(title), ''), nullif(trim(product_type), ''), nullif(trim(vendor), ''), nullif(trim(array_to_string(tags, ', ')), ''), nullif(trim(substr(description, 1, 1000)), '')), 1, 4000)) AS h FROM v_products WHERE CAST(product_id AS INT) % 3 <> 0", "v_products"),
     "bestsellers": with_views(f"{_KEYS} SELECT * FROM (SELECT shop_id, product_id, row_number() OVER (PARTITION BY shop_id ORDER BY popularity DESC, published_at DESC NULLS LAST, product_id) AS rank FROM sell) WHERE rank <= 12", "v_products"),
     "recent": with_views(f"{_KEYS} SELECT * FROM (SELECT shop_id, product_id, row_number() OVER (PARTITION BY shop_id ORDER BY published_at DESC NULLS LAST, product_id) AS rank FROM sell) WHERE rank <= 12", "v_products"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stallgrid.functions import text as T
 from stallgrid.operators import analytics as A
+from stallgrid.operators import index as X
 from stallgrid.operators import merge as M
 from stallgrid.operators import search as S
 from stallgrid.operators import sinks
@@ -15,6 +16,7 @@ from stallgrid.plans.analytics_queries import _SEARCHES, searches
 from stallgrid.plans.catalog_queries import _cat, browse_rows
 from stallgrid.plans.fixtures import AS_OF, Tables, shared_folder, with_views
 from stallgrid.sources import catalog as C
+from stallgrid.sources.store import read_store, write_store
 
 
 #: Types of the products' second metafield, one after another: those that can be filtered by, one that has no type, and others.
@@ -175,7 +177,27 @@ def _highlight(spark, d):
     return Tables(spark, d).read("documents").select("doc_id", F.sha2(T.highlight(F.coalesce("text", F.lit("")), "the of"), 256).alias("h"))
 
 
+def _store(spark, d):
+    """Two shops' actions of eight days, read from a store of all of them."""
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    write_store(Tables(spark, d).actions(), path, "ts")
+    rows = read_store(spark, path, ["shop1", "shop2"], "2024-01-08 06:00:00", "2024-01-16 18:00:00")
+    return rows.groupBy("shop_id", "kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+def _letters(texts):
+    """In place of a provider: the length of a text and its number of e."""
+    return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+def _embed(spark, d):
+    p = Tables(spark, d).products().withColumn("content_hash", F.when(F.col("product_id") % 3 == 0, F.sha2(X.embedding_text(), 256)))
+    return X.embed(p, _letters).select("product_id", F.col("embedding")[0].cast("int").alias("chars"), F.col("embedding")[1].cast("int").alias("es"))
+
+
 QUERIES = {
+    "store_scan": _store,
+    "embedded": _embed,
     "export_roundtrip": _roundtrip,
     "export_files": _export_files,
     "export_rejects": _rejects,
@@ -208,6 +230,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY i DESC) AS n, C
 """
 
 ORACLE_SQL = {
+    "store_scan": with_views("SELECT shop_id, kind, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM v_actions WHERE shop_id IN ('shop1', 'shop2') AND ts >= TIMESTAMP '2024-01-08 06:00:00' AND ts <= TIMESTAMP '2024-01-16 18:00:00' GROUP BY ALL", "v_actions"),
+    "embedded": with_views("SELECT product_id, CAST(length(t) AS INT) AS chars, CAST(length(t) - length(replace(t, 'e', '')) AS INT) AS es FROM (SELECT product_id, substr(concat_ws('. ', nullif(trim(title), ''), nullif(trim(product_type), ''), nullif(trim(vendor), ''), nullif(trim(array_to_string(tags, ', ')), ''), nullif(trim(substr(description, 1, 1000)), '')), 1, 4000) AS t FROM v_products WHERE CAST(product_id AS INT) % 3 <> 0)", "v_products"),
     "export_files": with_views("SELECT shop_id, 'product' AS kind, count(*) AS lines FROM v_products GROUP BY 1 UNION ALL SELECT shop_id, 'collection', count(*) FROM v_products GROUP BY 1 UNION ALL SELECT shop_id, 'metafield', count(*) + count(material) FROM v_products GROUP BY 1 UNION ALL SELECT shop_id, 'variant', count(*) FROM v_variants GROUP BY 1", "v_products", "v_variants"),
     "export_roundtrip": with_views("""w AS (SELECT shop_id, product_id, bool_or(available) AS a, count(DISTINCT sku) AS n FROM v_variants GROUP BY ALL)
 SELECT p.shop_id, p.product_id, p.title, p.vendor, p.status, coalesce(w.a, false) AS available, round(p.price_min, 2) AS price_min, round(p.price_max, 2) AS price_max, p.collection AS collections, p.material, CASE WHEN CAST(p.product_id AS INT) % 15 <= 10 THEN 'v' || p.product_id END AS spec, least(200, coalesce(w.n, 0)) AS n_skus, w.n AS n_options FROM v_products p LEFT JOIN w ON w.shop_id = p.shop_id AND w.product_id = p.product_id""", "v_products", "v_variants"),

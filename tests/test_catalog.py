@@ -1,3 +1,4 @@
+import datetime
 import json
 
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from stallgrid.functions import text as T
 from stallgrid.operators import analytics as A
 from stallgrid.operators import events as E
 from stallgrid.operators import facets as FA
+from stallgrid.operators import index as X
 from stallgrid.operators import merge as M
 from stallgrid.operators import prepare as P
 from stallgrid.operators import search as S
@@ -13,6 +15,7 @@ from stallgrid.operators import sinks
 from stallgrid.plans.fixtures import Tables
 from stallgrid.plans.requests import _r, requests
 from stallgrid.sources import catalog as C
+from stallgrid.sources.store import read_store, write_store
 
 
 def lines(spark, rows):
@@ -173,3 +176,50 @@ def test_metafields_by_type(spark):
     df = spark.createDataFrame([(m,)], "m array<struct<key:string,namespace:string,value:string,type:string>>")
     got = df.select(C.flatten_metafields(F.col("m"))).collect()[0][0]
     assert got == {"n.a": "10", "a": "1", "n.b": "2", "b": "2", "n.c": "3", "c": "3", "custom.f": "6", "f": "6", "o.a": "9", "n.h": "x" * 200, "h": "x" * 200}
+
+
+def test_null_safe_conditions(spark):
+    p = spark.createDataFrame([("1", {"m": "a"}), ("2", {"m": "b"}), ("3", {})], "product_id string, metafields map<string,string>")
+    hide = lambda op: P.parse_conditions(F.lit(json.dumps([{"field": "metafield:m", "op": op, "value": "a", "action": "hide"}])))
+    rows = p.withColumns({"tags": F.array(F.lit("t")), "vendor": F.lit("v"), "product_type": F.lit("t"), "collections": F.array(F.lit("c")), "available": F.lit(True), "options": F.create_map(F.lit("o"), F.array(F.lit("x")))})
+    left = lambda op, safe: [r.product_id for r in rows.where(S.not_hidden(hide(op), safe)).orderBy("product_id").collect()]
+    assert left("eq", False) == ["2"] and left("eq", True) == ["2", "3"] and left("neq", False) == ["1"] and left("neq", True) == ["1"]
+
+
+def test_lenient_synonyms(spark):
+    q = spark.createDataFrame([(1, "s", "red T-Shirt"), (2, "s", "t shirt"), (3, "s", "shirt t")], "query_id int, shop_id string, term string")
+    syn = spark.createDataFrame([("s", "r1", "oneway", "t-shirt", ["tee"])], "shop_id string, rule_id string, type string, input string, terms array<string>")
+    added = lambda **k: sorted(r.query_id for r in P.expand_synonyms(q, syn, **k).where("phrase = 'tee'").collect())
+    assert added() == [] and added(lenient=True) == [1, 2]
+
+
+def test_revenue_of_two_orders(spark):
+    at = lambda h: datetime.datetime(2024, 1, 5, h)
+    rows = [(1, at(9), "search", None, 0.0), (2, at(10), "purchase", "o9", 5.0), (3, at(11), "purchase", "o1", 7.0), (4, at(12), "purchase", "o9", 5.0)]
+    a = spark.createDataFrame([(*r, "s", "st", "t", "p", 1) for r in rows], "event_id bigint, ts timestamp, kind string, order_id string, revenue double, shop_id string, session_token string, term string, product_id string, results_count int")
+    one = lambda **k: E.attributed_searches(a, **k).collect()[0]
+    assert (one().revenue, one().order_id) == (12.0, "o9") and (one(overwrite=True).revenue, one(overwrite=True).order_id) == (7.0, "o1")
+
+
+def test_store_reads_its_folders(spark, sf, tmp_path):
+    write_store(Tables(spark, sf).actions(), str(tmp_path / "store"), "ts")
+    rows = read_store(spark, str(tmp_path / "store"), ["shop1"], "2024-01-10 12:00:00", "2024-01-12 12:00:00")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "day#" in plan.split("PartitionFilters")[1] and "part#" in plan.split("PartitionFilters")[1]
+    want = Tables(spark, sf).actions().where("shop_id = 'shop1' AND ts >= '2024-01-10 12:00:00' AND ts <= '2024-01-12 12:00:00'")
+    assert sorted(r.event_id for r in rows.collect()) == sorted(r.event_id for r in want.collect())
+    assert read_store(spark, str(tmp_path / "store"), []).count() == 0
+
+
+def test_a_batch_that_fails_stays_pending(spark):
+    p = spark.createDataFrame([(str(i), "bad" if i == 3 else f"t{i}") for i in range(6)], "product_id string, title string").withColumns({"shop_id": F.lit("s"), "product_type": F.lit(""), "vendor": F.lit("v"), "tags": F.array(F.lit("x")), "description": F.lit("")})
+
+    def fn(texts):
+        if any(t.startswith("bad") for t in texts):
+            raise RuntimeError("provider")
+        return [[float(len(t))] for t in texts]
+
+    got = X.embed(p.coalesce(1), fn, batch=2).collect()
+    assert sorted(r.product_id for r in got) == ["0", "1", "4", "5"] and all(len(r.content_hash) == 64 for r in got)
+    later = p.join(spark.createDataFrame(got).select("product_id", "content_hash"), "product_id", "left")
+    assert sorted(r.product_id for r in X.pending_embeddings(later).collect()) == ["2", "3"]
