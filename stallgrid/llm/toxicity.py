@@ -21,6 +21,7 @@ at most ``max_terms`` terms, so the automaton has a bounded size. Of several lab
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,7 +38,7 @@ SEED_TERMS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthles
 REPORT = frozenset("said says wrote writes called calls quoted quote reported term word sagte schrieb nannte genannt zitat wort dit écrit appelé mot dijo escribió llamó palabra".split())
 ADDRESS = frozenset("you your you're u yourself du dich dein deine ihr sie tu te toi ton vous votre tú ti tus usted vosotros".split())
 OPENING, CLOSING = "\"'“‘«„‹(", "\"'”’»“›)"
-WINDOW_WORDS = 6
+WINDOW_WORDS, STRETCH_WORDS = 6, 60
 
 _WORD = re.compile(r"[^\W_]+")
 MIN_EDIT, MIN_FREE_EDIT, MIN_STEM, MAX_STEM, MAX_WORD = 4, 6, 4, 7, 20
@@ -172,7 +173,7 @@ class Automaton:
 _LETTER = np.array([chr(i).isalnum() for i in range(0x3000)] + [True])
 
 #: Kinds of evidence, each with the weight that it has where the labels say nothing; below them what a text has at least.
-FEATURES = {"hits": 0.3, "abuse": 1.0, "exact": 0.6, "addressed": 0.6, "density": 0.1, "any_abuse": 5.0, "any_exact": 1.5}
+FEATURES = {"hits": 0.3, "abuse": 1.0, "exact": 0.6, "addressed": 0.6, "peak": 0.3, "any_abuse": 5.0, "any_exact": 1.5}
 BIAS = -4.0
 
 
@@ -186,11 +187,24 @@ def _in_marks(before: str, after: str) -> bool:
     return before.count(mark) % 2 == 1 if mark in CLOSING else not any(c in before[opened + 1 :] for c in CLOSING)
 
 
-def evidence(text: str, automaton: Automaton) -> tuple[int, int, int, int, int, int]:
-    """Words, hits, misspelled hits, hits that are no quotation, exact ones of these, addressed ones of these."""
-    text = text.lower()
+#: Letters with a sign between any two, and letters written three times and more.
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][.*_-]){3,}[^\W_](?![^\W_])")
+_STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
+
+
+def plain(text: str) -> str:
+    """A text in lower case, full-width and other compatible letters as plain ones, without signs inside words and stretched letters."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    return _STRETCHED.sub(r"\1", _SPACED.sub(lambda m: re.sub("[.*_-]", "", m[0]), text.lower()))
+
+
+def evidence(text: str, automaton: Automaton) -> tuple[int, int, int, int, int, int, int]:
+    """Words, hits, misspelled hits, hits that are no quotation, exact ones of these, addressed ones, most of any stretch of words."""
+    text = plain(text)
     starts, ends, verdict = automaton.words(text)
     hits = np.flatnonzero(verdict)
+    meant = []
     abuse = exact = addressed = 0
     for h in hits.tolist():
         a, b = max(0, h - WINDOW_WORDS), min(len(starts), h + WINDOW_WORDS + 1)
@@ -202,15 +216,18 @@ def evidence(text: str, automaton: Automaton) -> tuple[int, int, int, int, int,
         if _in_marks(before, after) or (not to_someone and not around.isdisjoint(REPORT)):
             continue
         abuse += 1
+        meant.append(h)
         exact += verdict[h] == EXACT
         addressed += to_someone
-    return len(starts), len(hits), int((verdict[hits] == NEAR).sum()), abuse, int(exact), addressed
+    at = np.array(meant, np.int64)
+    peak = int((np.searchsorted(at, at + STRETCH_WORDS) - np.arange(len(at))).max()) if meant else 0
+    return len(starts), len(hits), int((verdict[hits] == NEAR).sum()), abuse, int(exact), addressed, peak
 
 
 def features(found: np.ndarray) -> np.ndarray:
     """The FEATURES of rows of ``evidence``."""
-    words, hits, _, abuse, exact, addressed = found.T.astype(np.float64)
-    return np.stack([np.log1p(hits), np.log1p(abuse), np.log1p(exact), np.log1p(addressed), 100 * abuse / (words + 50), abuse > 0, exact > 0], axis=1)
+    _, hits, _, abuse, exact, addressed, peak = found.T.astype(np.float64)
+    return np.stack([np.log1p(hits), np.log1p(abuse), np.log1p(exact), np.log1p(addressed), peak, abuse > 0, exact > 0], axis=1)
 
 
 @dataclass
@@ -285,7 +302,7 @@ def firm_terms(sample: DataFrame, terms: list[tuple[str, bool]], n_clean: int, r
         for batch in batches:
             found: Counter = Counter()
             for t in batch.column(0):
-                text = (t.as_py() or "").lower()
+                text = plain(t.as_py() or "")
                 starts, ends, verdict = shared.value.words(text)
                 found.update({text[starts[i] : ends[i]][: 2 * MAX_WORD] for i in np.flatnonzero(verdict == NEAR).tolist()})
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
@@ -368,8 +385,8 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = np.array([evidence(t.as_py() or "", m.automaton) for t in batch.column(1)], np.int64).reshape(-1, 6)
-            _, hits, near, abuse, _, _ = found.T
+            found = np.array([evidence(t.as_py() or "", m.automaton) for t in batch.column(1)], np.int64).reshape(-1, 7)
+            _, hits, near, abuse, _, _, _ = found.T
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.score(features(found))), pa.array(hits - near), pa.array(near), pa.array(hits - abuse)], ["doc_id", "score", "n_exact", "n_near", "n_quoted"])
 
     src = docs.select(F.col("doc_id").cast("bigint"), F.col(text).cast("string").alias("text"))

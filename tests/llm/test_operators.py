@@ -168,6 +168,28 @@ def test_stems_take_endings_and_edits():
     assert m.words(" ".join(words))[2].tolist() == [2, 2, 1, 1, 2, 2, 0, 0]
 
 
+def test_toxicity_is_not_diluted_and_sees_through_spellings():
+    terms = [(t, False) for t in toxicity.SEED_TERMS]
+    m = toxicity.ToxicityModel(terms, toxicity.Automaton(terms), np.array([*toxicity.FEATURES.values()]), toxicity.BIAS)
+    score = lambda t: float(m.score(toxicity.features(np.array([toxicity.evidence(t, m.automaton)])))[0])
+    clean, abuse = "the garden was green and people walked there " * 300, "you are a worthless idiot"
+    assert score(clean) < score("what an idiot he was") < score(abuse) == score(clean + abuse + " " + clean)
+    plain = score("well idiot then")
+    for spelling in ("id10t", "i.d.i.o.t", "i-d-i-o-t", "idiooooot", "\uff49\uff44\uff49\uff4f\uff54", "IDIOT"):
+        assert score(f"well {spelling} then") == plain, spelling
+    assert toxicity.plain("U.S. a-b 1.2.3 www") == "u.s. a-b 1.2.3 w"
+
+
+def test_most_hits_of_any_stretch():
+    m = toxicity.Automaton([(t, False) for t in toxicity.SEED_TERMS])
+    rng = random.Random(8)
+    for _ in range(40):
+        words = [rng.choice(["idiot", "green", "tree", "cloud"]) for _ in range(rng.randrange(1, 200))]
+        hits = [i for i, w in enumerate(words) if w == "idiot"]
+        want = max((sum(1 for j in hits if i <= j < i + toxicity.STRETCH_WORDS) for i in hits), default=0)
+        assert toxicity.evidence(" ".join(words), m)[6] == want
+
+
 def test_toxicity_context():
     m = toxicity.Automaton([("stupid", False)])
     # words, hits, misspelled, no quotation, exact of these, addressed of these
@@ -175,7 +197,7 @@ def test_toxicity_context():
         'he said "stupid" to all': (5, 1, 0, 0, 0, 0), "you are stupid": (3, 1, 0, 1, 1, 1), "a stupd thing": (3, 1, 1, 1, 0, 0), "the word stupid is old": (5, 1, 0, 0, 0, 0),
         'say "hello" to the stupid and "bye"': (7, 1, 0, 1, 1, 0), "« stupid »": (1, 1, 0, 0, 0, 0), "": (0, 0, 0, 0, 0, 0),
     }.items():
-        assert toxicity.evidence(text, m) == want, text
+        assert toxicity.evidence(text, m)[:6] == want, text
 
 
 def test_toxicity_orders_plain_misspelled_quoted_clean(spark):
