@@ -61,7 +61,7 @@ def _log(spark: SparkSession, folder: str, number: int, base: bool) -> None:
 
 
 def _batches(spark: SparkSession, folder: str) -> list[int]:
-    lines = spark.read.schema(_LOG).option("recursiveFileLookup", "true").parquet(f"{folder}/log").orderBy("number").collect()
+    lines = spark.read.schema(_LOG).option("recursiveFileLookup", "true").parquet(f"{folder}/log").orderBy("number").collect()  # bounded: a line a batch since the last compaction
     return [x.number for x in lines if x.number >= max(y.number for y in lines if y.base)]
 
 

@@ -30,7 +30,7 @@ _LOG = "number int, base boolean, touched bigint"
 
 def _segments(spark: SparkSession, folder: str) -> list:
     """The log's lines from the last whole index on, one a segment."""
-    lines = spark.read.schema(_LOG).option("recursiveFileLookup", "true").parquet(f"{folder}/log").orderBy("number").collect()
+    lines = spark.read.schema(_LOG).option("recursiveFileLookup", "true").parquet(f"{folder}/log").orderBy("number").collect()  # bounded: a line a batch since the last compaction
     first = max(i for i, x in enumerate(lines) if x.base)
     return lines[first:]
 

@@ -144,7 +144,7 @@ def _centre(rows: DataFrame, size: int) -> np.ndarray:
             n += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total), pa.array([n] * size, pa.int64())], ["i", "x", "n"])
 
-    sums = rows.select("embedding").mapInArrow(run, "i int, x double, n bigint").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("i").collect()
+    sums = rows.select("embedding").mapInArrow(run, "i int, x double, n bigint").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).orderBy("i").collect()  # bounded: a row a component
     return np.array([r.x / max(r.n, 1) for r in sums])
 
 
@@ -158,7 +158,7 @@ def neighbours(vectors: DataFrame, k: int = 12, tables: int = 6, block: int = 20
     v = vectors.withColumn("candidate", F.coalesce("candidate", F.lit(False)) if "candidate" in vectors.columns else F.lit(True))
     sound = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where(sound).withColumn("embedding", F.col("embedding").cast("array<double>"))
-    best = v.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "size")).alias("x")).collect()[0].x
+    best = v.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "size")).alias("x")).collect()[0].x  # bounded: one row
     size = best["size"] if best else 0
     key = F.unhex(F.left(F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256), F.lit(32)))
     v = v.where(F.size("embedding") == size).select("shop_id", "product_id", "candidate", "embedding", key.alias("vec"))

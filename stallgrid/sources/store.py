@@ -26,7 +26,7 @@ def read_store(spark: SparkSession, path: str, shops: list[str] | None = None, s
     """Rows of some shops, and of the times from ``since`` to ``until``, both included; each is optional."""
     rows = spark.read.parquet(path)
     if shops is not None:
-        parts = [r[0] for r in spark.createDataFrame([(s,) for s in sorted(set(shops))], "shop_id string").select(_part()).distinct().collect()] if shops else []
+        parts = [r[0] for r in spark.createDataFrame([(s,) for s in sorted(set(shops))], "shop_id string").select(_part()).distinct().collect()] if shops else []  # bounded: at most PARTS rows
         rows = rows.where(F.col("part").isin(parts) & F.col("shop_id").isin(list(shops)))
     for bound, after in ((since, True), (until, False)):
         if bound is not None:

@@ -71,7 +71,7 @@ def change_stream(raw: DataFrame, folder: str) -> object:
 
 
 def _state(spark: SparkSession, folder: str) -> tuple[int, list[int]]:
-    lines = spark.read.schema(_LOG).option("recursiveFileLookup", "true").parquet(f"{folder}/log").orderBy("number").collect()
+    lines = spark.read.schema(_LOG).option("recursiveFileLookup", "true").parquet(f"{folder}/log").orderBy("number").collect()  # bounded: a line a batch since the last compaction
     base = max(x.number for x in lines if x.base)
     return base, [x.number for x in lines if x.number > base]
 

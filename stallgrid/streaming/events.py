@@ -229,7 +229,7 @@ def catalog_stream(changes: DataFrame, start: DataFrame, folder: str, as_of: str
 
     def write(batch: DataFrame, number: int) -> None:
         mine = _bucket(batch)
-        touched = [r[0] for r in mine.select("_bucket").distinct().collect()]  # at most CATALOG_BUCKETS
+        touched = [r[0] for r in mine.select("_bucket").distinct().collect()]  # bounded: at most CATALOG_BUCKETS rows
         if touched:
             current = catalog_version(spark, folder, number - 1, touched)
             _bucket(apply_changes(current, mine.drop("_bucket"), as_of)).write.mode("overwrite").partitionBy("_bucket").parquet(f"{folder}/batch={number}")
@@ -244,7 +244,7 @@ def catalog_version(spark: SparkSession, folder: str, number: int | None = None,
     latest = dict.fromkeys(range(CATALOG_BUCKETS) if buckets is None else buckets, -1)
     if number is None or number >= 0:
         log = spark.read.schema("batch int, bucket int").option("recursiveFileLookup", "true").parquet(f"{folder}/log").where("bucket IS NOT NULL")
-        rows = (log if number is None else log.where(F.col("batch") <= number)).groupBy("bucket").agg(F.max("batch").alias("batch")).collect()
+        rows = (log if number is None else log.where(F.col("batch") <= number)).groupBy("bucket").agg(F.max("batch").alias("batch")).collect()  # bounded: a row a bucket
         latest |= {r.bucket: r.batch for r in rows if r.bucket in latest}
     out = None
     for batch in sorted(set(latest.values())):
