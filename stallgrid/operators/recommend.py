@@ -86,7 +86,7 @@ def related_attributes(products: DataFrame, k: int = 12, collection: str | None
         return keys.select("shop_id", "product_id", F.explode(_combinations(F.col("keys"))).alias("x")).select("shop_id", "product_id", "x.*")
 
     made = combined(products if anchors is None else anchors)
-    popular = combined(p).join(p.select("shop_id", "product_id", "popularity"), ["shop_id", "product_id"])
+    popular = (made if anchors is None else combined(p)).join(p.select("shop_id", "product_id", "popularity"), ["shop_id", "product_id"])
     best = _top(popular, k + 1, ["shop_id", "signature"], F.desc("popularity"), F.asc("product_id"))
     lists = best.groupBy("shop_id", "signature").agg(F.collect_list(F.struct("product_id", "popularity")).alias("list"))
     read = made.withColumnRenamed("product_id", "anchor_id").join(lists, ["shop_id", "signature"]).groupBy("shop_id", "anchor_id").agg(F.collect_list(F.struct("score", "list")).alias("lists"))
@@ -104,6 +104,7 @@ def personalized(seen: DataFrame, products: DataFrame, k: int = 12) -> DataFrame
     its profile allows, no other product can come before these, and it is settled; only the other sessions look at
     products by every kind of key.
     """
+    products = written(products.select("shop_id", "product_id", "status", "published_online", "available", "published_at", "popularity", "product_type", "vendor", "tags", "collections"))
     p = _sellable(products).select("shop_id", "product_id", "popularity", "product_type", "vendor", "tags", "collections")
     signals = _keys(products).groupBy("shop_id", "product_id").agg(F.collect_list(F.struct("kind", "key")).alias("keys"))
     known = seen.join(signals, ["shop_id", "product_id"]).groupBy("shop_id", "session_token").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"), F.collect_set("product_id").alias("ids"))
