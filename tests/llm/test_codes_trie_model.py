@@ -21,7 +21,7 @@ from stallgrid.llm.common import id_crc
 
 
 @pytest.mark.parametrize("name", ["op11_vector_codes", "op12_conversation_trie"])
-@pytest.mark.parametrize("size", ["0.001", "0.01"])
+@pytest.mark.parametrize("size", ["0.01"])
 def test_query_equals_sql(spark, name, size):
     got, names = spark_rows(queries.QUERIES[name](spark, f"/root/testdata/sf{size}"))
     want, sql_names = oracle_rows(queries.ORACLE_SQL[name], f"/root/testdata/sf{size}")
@@ -152,7 +152,7 @@ def chats(seed, n=120):
     return rows + [(None, 1, "user", "lost", 0, "k"), (500, 3, None, None, 0, None), (501, None, "user", "only", 0, None)]
 
 
-@pytest.mark.parametrize("n", [1, 3, 17, 60])
+@pytest.mark.parametrize("n", [3, 60])
 @pytest.mark.parametrize("small", [0, 50_000])
 def test_trie_against_brute_force(spark, monkeypatch, n, small):
     monkeypatch.setattr(P, "SMALL", small)
