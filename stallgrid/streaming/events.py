@@ -1,17 +1,19 @@
 """The event jobs over streams: event time, watermarks, keyed state. The batch forms are in operators.events.
 
-State is kept per (shop, session), (shop, session, term) or (shop, term). Events come in any order within the
+State is kept per (shop, term), or for many (shop, session) and (shop, session, term) together: these are dealt to a
+fixed number of buckets by hash, as most keys have few events and a call for each would cost more than they do. Events come in any order within the
 watermark's delay: each waits until the watermark has passed it, and is then taken in the order of time. State is
 bounded by that delay and the window it serves, and is dropped by an event-time timer.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,6 +25,31 @@ def _micros(frame: pd.DataFrame) -> pd.Series:
     return frame["ts"].astype("datetime64[us]").astype("int64")
 
 
+#: Buckets that sessions are dealt to; each has one state.
+SESSION_BUCKETS = 1024
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> GroupedData:
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(SESSION_BUCKETS)).cast("int")).groupBy("_bucket")
+
+
+def _stored(frame: pd.DataFrame) -> bytes:
+    """A table as it is kept in a state."""
+    table, sink = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _loaded(raw: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(raw).read_all().to_pandas()
+
+
+def _known(column: pd.Series) -> list:
+    """The values of a text column, a missing one as None."""
+    return [x if isinstance(x, str) else None for x in column]
+
+
 _EVENT = "array<struct<at:bigint,event:bigint,token:string>>"
 
 
@@ -89,71 +116,83 @@ def cap_events_stream(events: DataFrame, limit: int = 60, seconds: int = 60, lat
     span = seconds * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, start, n = state.get if state.exists else ([], None, 0)
-        due, waiting = _waiting(state, held, frames)
+        rows: list[tuple] = []
+        begun: dict[tuple, tuple[int, int]] = {}
+        if state.exists:
+            held, known = map(_loaded, state.get)
+            rows = list(zip(_known(held["shop"]), _known(held["session"]), held["at"].tolist(), held["event"].tolist(), strict=True))
+            begun = {(a, b): (at, n) for a, b, at, n in zip(_known(known["shop"]), _known(known["session"]), known["start"].tolist(), known["n"].tolist(), strict=True)}
+        if not state.hasTimedOut:
+            for f in frames:
+                rows += zip(_known(f["shop_id"]), _known(f["session_token"]), _micros(f).tolist(), f["event_id"].tolist(), strict=True)
+        passed = state.getCurrentWatermarkMs() * 1000
+        waiting = [x for x in rows if x[2] >= passed]
         kept = []
-        for at, event, _ in due:
+        for shop, session, at, event in sorted((x for x in rows if x[2] < passed), key=lambda x: x[2:]):
+            start, n = begun.get((shop, session), (None, 0))
             if start is None or at - start >= span:
                 start, n = at, 0
-            n += 1
-            if n <= limit:
+            begun[shop, session] = (start, n + 1)
+            if n < limit:
                 kept.append((event, at))
-        if start is not None and not waiting and start + span <= state.getCurrentWatermarkMs() * 1000:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((waiting, start, n))
-            _wake(state, waiting, (start or 0) + span)
+        # A window that is over for all that may still come is forgotten.
+        begun = {k: v for k, v in begun.items() if v[0] + span > passed}
+        if waiting or begun:
+            held = pd.DataFrame(waiting, columns=["shop", "session", "at", "event"])
+            known = pd.DataFrame([(*k, *v) for k, v in begun.items()], columns=["shop", "session", "start", "n"])
+            state.update((_stored(held), _stored(known)))
+            at = min(x[2] for x in waiting) if waiting else max(v[0] for v in begun.values()) + span
+            state.setTimeoutTimestamp(max(at // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield _kept(kept)
 
-    keyed = events.withWatermark("ts", late).groupBy("shop_id", "session_token")
-    return keyed.applyInPandasWithState(step, "event_id bigint, ts timestamp", f"waiting {_EVENT}, start bigint, n int", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = _dealt(events.withWatermark("ts", late), ["shop_id", "session_token"])
+    return keyed.applyInPandasWithState(step, "event_id bigint, ts timestamp", "waiting binary, begun binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def attribute_stream(actions: DataFrame, kind: str, hours: int, same_term: bool = False, late: str = "10 minutes") -> DataFrame:
     """event_id, shop_id, ts, product_id, order_id, search_id of each action of ``kind``; search_id is null where no search is near enough.
 
     A null search_id of a click is what a synthetic search is made from. An action waits until the watermark has
-    passed it, and is then given to the latest search at or before it, in whatever order the two came in. A key
-    keeps its waiting actions and the searches of its window.
+    passed it, and is then given to the latest search at or before it, in whatever order the two came in. A bucket
+    of keys keeps their waiting actions and the searches of their window.
     """
     keys = ["shop_id", "session_token"] + (["term"] if same_term else [])
     window = hours * 3_600_000_000
-    columns = ["event_id", "shop_id", "ts", "product_id", "order_id", "search_id"]
+    columns = [*keys, "event_id", "product_id", "order_id", "at", "search"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        searches, waiting = state.get if state.exists else ([], [])
-        searches, waiting = [tuple(x) for x in searches], [tuple(x) for x in waiting]
+        parts = [_loaded(state.get[0])] if state.exists else []
         if not state.hasTimedOut:
-            rows = pd.concat(list(frames), ignore_index=True)
-            for at, event, what, product, order in zip(_micros(rows).tolist(), rows["event_id"].tolist(), rows["kind"], rows["product_id"], rows["order_id"], strict=True):
-                if what == "search":
-                    searches.append((at, event))
-                else:
-                    waiting.append((at, event, product if isinstance(product, str) else None, order if isinstance(order, str) else None))
+            parts += [f.assign(at=_micros(f), search=f["kind"] == "search")[columns] for f in frames]
+        rows = pd.concat(parts, ignore_index=True)
         passed = state.getCurrentWatermarkMs() * 1000
-        searches.sort()
-        out = []
-        waiting.sort(key=lambda x: x[:2])
-        due = [x for x in waiting if x[0] < passed]
-        for at, event, product, order in due:
-            i = bisect_right(searches, (at, 2**63)) - 1
-            out.append((event, key[0], pd.Timestamp(at, unit="us"), product, order, searches[i][1] if i >= 0 and at - searches[i][0] <= window else None))
-        waiting = waiting[len(due) :]
-        # A search serves actions that wait or may still come: not those before the watermark.
-        first = min(waiting[0][0] if waiting else passed, passed)
-        searches = [x for x in searches if x[0] >= first - window]
-        if waiting or searches:
-            state.update((searches, waiting))
-            state.setTimeoutTimestamp(max((waiting[0][0] if waiting else searches[-1][0] + window) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        # In the order of key, time, searches first, id, the last search in front of an action is the one it is given to.
+        group = rows.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+        at, search, event = rows["at"].to_numpy(np.int64), rows["search"].to_numpy(bool), rows["event_id"].to_numpy(np.int64)
+        order = np.lexsort((event, ~search, at, group))
+        rows, group, at, search, event = rows.iloc[order], group[order], at[order], search[order], event[order]
+        last = np.maximum.accumulate(np.where(search, np.arange(len(rows)), -1))
+        good = (last >= 0) & (group[last] == group) & (at - at[last] <= window)
+        due = ~search & (at < passed)
+        found = pd.DataFrame({
+            "event_id": event[due], "shop_id": _known(rows["shop_id"][due]), "ts": pd.to_datetime(at[due], unit="us"), "product_id": _known(rows["product_id"][due]), "order_id": _known(rows["order_id"][due]),
+            "search_id": pd.array(event[last[due]], "Int64"),
+        })
+        found.loc[~good[due], "search_id"] = pd.NA
+        # A search serves actions that wait or may still come: none of them is before the watermark.
+        keep = np.where(search, at >= passed - window, at >= passed)
+        if keep.any():
+            state.update((_stored(rows[keep]),))
+            waits = at[keep & ~search]
+            state.setTimeoutTimestamp(max((int(waits.min()) if len(waits) else int(at[keep].max()) + window) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
-        frame = pd.DataFrame(out, columns=columns)
-        yield frame.astype({"event_id": "int64", "ts": "datetime64[us]", "search_id": "Int64"})
+        yield found.astype({"event_id": "int64", "ts": "datetime64[us]"})
 
-    pair, action = "array<struct<at:bigint,event:bigint>>", "array<struct<at:bigint,event:bigint,product:string,order:string>>"
     rows = actions.where(F.col("kind").isin("search", kind) & F.col("session_token").isNotNull()).withWatermark("ts", late)
-    return rows.groupBy(*keys).applyInPandasWithState(step, "event_id bigint, shop_id string, ts timestamp, product_id string, order_id string, search_id bigint", f"searches {pair}, waiting {action}", "append", GroupStateTimeout.EventTimeTimeout)
+    return _dealt(rows, keys).applyInPandasWithState(step, "event_id bigint, shop_id string, ts timestamp, product_id string, order_id string, search_id bigint", "rows binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def unique_orders_stream(purchases: DataFrame, late: str = "1 day") -> DataFrame:
