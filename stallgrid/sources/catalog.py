@@ -36,7 +36,8 @@ def parse_export(lines: DataFrame) -> DataFrame:
 
     Lines that are no JSON object, and lines of no known kind, are skipped. Order does not matter.
     """
-    x = lines.select("shop_id", F.from_json("value", EXPORT_LINE).alias("x")).where("x IS NOT NULL").select("shop_id", "x.*")
+    # As rows of a generator, so that a line is parsed once: filters on fields would be pushed below a plain projection, each with a parse of its own.
+    x = lines.select("shop_id", F.inline(F.array(F.from_json("value", EXPORT_LINE))))
     parent = F.col("__parentId").isNotNull()
     kind = (
         F.when(parent & F.col("id").contains("/ProductVariant/"), "variant").when(parent & (F.col("id").contains("/Metafield/") | F.col("key").isNotNull()), "metafield")
@@ -46,7 +47,10 @@ def parse_export(lines: DataFrame) -> DataFrame:
 
 
 def regroup_export(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(products with their children, rejected children without a product): one shuffle by parent."""
+    """(products with their children, rejected children without a product): one shuffle by parent for each.
+
+    Rejected children are counted only, so their lines travel as partial counts and no list of them is built.
+    """
     kind = lambda k, c: F.collect_list(F.when(F.col("kind") == k, c))
     g = lines.groupBy("shop_id", "parent").agg(
         F.max_by(F.struct("id", "handle", "title", "descriptionHtml", "vendor", "productType", "tags", "status", "priceRangeV2"), F.when(F.col("kind") == "product", F.col("id"))).alias("p"),
@@ -54,7 +58,12 @@ def regroup_export(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.sort_array(kind("metafield", F.struct("key", "namespace", "value", "type"))).alias("metafields"),
         F.sort_array(F.array_distinct(kind("collection", F.col("handle")))).alias("collections"),
     )
-    return g.where("p IS NOT NULL"), g.where("p IS NULL").select("shop_id", "parent", F.size("variants").alias("variants"), F.size("metafields").alias("metafields"), F.size("collections").alias("collections"))
+    n = lambda k: F.count(F.when(F.col("kind") == k, True))
+    # Equal handles count once: handles are counted by themselves first.
+    handle = F.when(F.col("kind") == "collection", F.col("handle"))
+    per = lines.groupBy("shop_id", "parent", handle.alias("_handle")).agg(n("product").alias("_products"), n("variant").alias("variants"), n("metafield").alias("metafields"))
+    counts = per.groupBy("shop_id", "parent").agg(F.sum("_products").alias("_products"), *[F.sum(c).cast("int").alias(c) for c in ("variants", "metafields")], F.count("_handle").cast("int").alias("collections"))
+    return g.where("p IS NOT NULL"), counts.where("_products = 0").drop("_products")
 
 
 def options_from_variants(variants: Column) -> Column:
