@@ -44,14 +44,16 @@ def match_fulltext(terms: DataFrame, queries: DataFrame, postings: DataFrame) ->
     return hits.join(need, ["query_id", "group_no"]).where("got = need").select("query_id", "shop_id", "product_id").distinct()
 
 
-def match_substring(queries: DataFrame, titles: DataFrame, grams: DataFrame) -> DataFrame:
+def match_substring(queries: DataFrame, titles: DataFrame, grams: DataFrame, spread: bool = True) -> DataFrame:
     """Products whose folded title holds the term. ``titles`` and ``grams`` are those of an index (``title_stretches``).
 
     Distinct titles are found by the term's last three characters, or by the whole of a shorter term, then tested, then
-    spread to their products.
+    spread to their products, unless ``spread`` is off.
     """
     q = queries.select("query_id", "shop_id", normalize_query(F.col("term")).alias("norm")).where("norm <> ''").withColumn("gram", F.right("norm", F.lit(3)))
     hit = meet(q, grams, "gram").where(F.col("folded_title").contains(F.col("norm"))).select("query_id", "shop_id", "folded_title")
+    if not spread:
+        return hit
     return meet(hit, titles, "folded_title").select("query_id", "shop_id", "product_id")
 
 

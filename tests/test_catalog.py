@@ -247,3 +247,27 @@ def test_personalized_whole(spark):
             got.setdefault(r.session_token, []).append((r.product_id, r.score))
         assert [x for _, x in got.pop("none")] == [0] * 4
         assert got == want
+
+
+def test_export_lines_parsed_once(spark):
+    """One parse of a line in the plan; rejects are counted without lists, equal handles once, and a line that is no object is skipped."""
+    rows = ['{"id": "g/Product/1"}', "no json", "[1]", '{"id": "g/ProductVariant/1", "__parentId": "g/Product/2"}', '{"key": "k", "__parentId": "g/Product/2"}'] + ['{"id": "g/Collection/%d", "handle": "h%d", "__parentId": "g/Product/2"}' % (i, i % 2) for i in range(4)] + ['{"id": "g/Collection/9", "__parentId": "g/Product/2"}', None]
+    lines = spark.createDataFrame([("s", r) for r in rows], "shop_id string, value string").repartition(3)
+    parsed = C.parse_export(lines)
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    good, rejects = C.regroup_export(parsed)
+    assert [tuple(r) for r in rejects.collect()] == [("s", "g/Product/2", 1, 1, 2)]
+    assert "collect_list" not in rejects._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.parent for r in good.collect()] == ["g/Product/1"]
+
+
+def test_name_suggestions_pair_distinct_rows(spark, monkeypatch):
+    """Equal terms and equal titles meet once: each title stands with its first items, and every request gets the same best."""
+    names = spark.createDataFrame([("s", f"{i:03d}", f"Red widget{' new' if i % 2 else ''}") for i in range(60)], "shop_id string, item_id string, title string")
+    q = spark.createDataFrame([(str(i), "s", "red  WIDGET", True) for i in range(5)], "query_id string, shop_id string, term string, typo_tolerance boolean")
+    asked, plain = [], R.title_similarity
+    monkeypatch.setattr(R, "title_similarity", lambda terms, grams: asked.append(terms.count()) or plain(terms, grams))
+    got = {}
+    for r in R.name_suggestions(q, names).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.item_id)
+    assert got == {str(i): ["000", "002", "004", "006"] for i in range(5)} and asked == [1]
