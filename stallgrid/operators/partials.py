@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallgrid.operators import analytics as A
-from stallgrid.operators.scratch import remove
+from stallgrid.operators.scratch import remove, written
 
 #: Table -> its key behind (shop_id, day).
 TABLES = {"funnel": "bucket", "terms": "term", "products": "product_id"}
@@ -48,8 +48,13 @@ def _added(df: DataFrame, table: str) -> DataFrame:
 
 
 def write_partials(folder: str, number: int, now: DataFrame, before: DataFrame | None = None) -> None:
-    """Batch ``number``: searches as they are now, and those of them that were counted, as they were."""
-    parts, off = _days(now, 1), _days(before, -1) if before is not None else {}
+    """Batch ``number``: searches as they are now, and those of them that were counted, as they were.
+
+    Both are read by every table, so they are written once.
+    """
+    columns = ("shop_id", "ts", "bucket", "term", "results_count", "clicked", "converted", "purchased", "revenue", "product_id")
+    parts = _days(written(now.select(*columns)), 1)
+    off = _days(written(before.select(*columns)), -1) if before is not None else {}
     for table, df in parts.items():
         rows = _added(df.unionByName(off[table]), table) if table in off else df
         rows.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{folder}/{table}/number={number}")

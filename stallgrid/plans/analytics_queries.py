@@ -11,6 +11,7 @@ from stallgrid.operators import analytics as A
 from stallgrid.operators import events as E
 from stallgrid.operators import partials as PA
 from stallgrid.operators import recommend as R
+from stallgrid.operators.scratch import written
 from stallgrid.plans.search_sql import grams, jaccard, whole_grams
 from stallgrid.plans.fixtures import AS_OF, Tables, shared_folder, with_views
 
@@ -97,6 +98,8 @@ def _plan_window(spark, d):
 def partials(spark, d):
     """Reports from partials of three batches: the first half of the searches before what came of them was known, those again as they are, and the others, which are earlier and later."""
     rows = searches(spark, d).select("search_id", "shop_id", "ts", "term", "results_count", "clicked", "converted", "purchased", "revenue", "product_id", "bucket")
+    # All batches are cut out of the attributed searches, which are worked out once.
+    rows = written(rows)
     no = F.lit(False)
     first = rows.where("search_id % 2 = 0").withColumns({"clicked": no, "converted": no, "purchased": no, "revenue": F.lit(None).cast("double"), "product_id": F.lit(None).cast("string")})
     folder = f"{shared_folder(spark)}/partials-{uuid.uuid4().hex}"

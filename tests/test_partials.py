@@ -72,3 +72,16 @@ def test_partials_read_the_days_of_the_window(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in plan
     with pytest.raises(ValueError):
         PA.Reports(spark, folder, "2024-02-01 10:00:00")
+
+
+def test_a_batch_is_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = spark.createDataFrame(searches(60), SCHEMA).mapInPandas(counted, SCHEMA)
+    PA.write_partials(str(tmp_path / "partials"), 0, rows)
+    assert seen.value == 60
