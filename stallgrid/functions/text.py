@@ -24,8 +24,8 @@ _ACCENTED, _PLAIN = _accent_table()
 
 
 def fold_accents(c: Column) -> Column:
-    """Base letters without diacritics; letters that do not decompose (ø, ß) stay."""
-    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"\p{M}", "")
+    """Base letters without diacritics; letters that do not decompose (ø, ß) stay. Text of one-byte characters is left as it is."""
+    return F.when(F.octet_length(c) > F.length(c), F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"\p{M}", "")).otherwise(c)
 
 
 def normalize_query(c: Column) -> Column:
@@ -35,8 +35,8 @@ def normalize_query(c: Column) -> Column:
 
 
 def tokenize(c: Column) -> Column:
-    """Words of a normalised text."""
-    return F.filter(F.split(normalize_query(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    """Words of a normalised text; control characters and white space separate words as they are."""
+    return F.array_remove(F.split(F.lower(fold_accents(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}]+"), "")
 
 
 # What a SKU looks like.

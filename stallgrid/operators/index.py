@@ -10,21 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallgrid.functions.text import fold_accents, tokenize, trigrams
+from stallgrid.operators.scratch import written
 
 # Weights of the text classes in ranking.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
 _FIELDS = (("title", "A"), ("skus", "A"), ("vendor", "B"), ("product_type", "B"), ("tags", "B"), ("variant_text", "B"), ("description", "C"))
 
 
+#: Words of a dictionary of stems that is broadcast.
+SMALL = 500_000
+
+
 def _labelled_tokens(text: Column, field: str, weight: str) -> Column:
     return F.transform(tokenize(text), lambda t: F.struct(t.alias("token"), F.lit(field).alias("field"), F.lit(weight).alias("weight")))
 
 
-def build_postings(products: DataFrame, stems: DataFrame | None = None) -> DataFrame:
-    """shop_id, token, product_id, field, weight, pos: every word of every product, positions running over the fields.
+def posting_lists(products: DataFrame, *kept: str) -> DataFrame:
+    """shop_id, product_id, postings (token, field, weight): every word of a product in the order of its places, as one array.
 
-    One narrow step: the fields' words are strung together per row and exploded once. ``stems`` (lang, token,
-    stem) replaces tokens of a language; SKUs are never stemmed.
+    No row leaves its task, so nothing is shuffled to put a product's postings together.
     """
     parts = []
     for field, weight in _FIELDS:
@@ -32,16 +36,31 @@ def build_postings(products: DataFrame, stems: DataFrame | None = None) -> DataF
             kind = dict(products.dtypes)[field]
             text = F.array_join(field, " ") if kind.startswith("array") else F.col(field)
             parts.append(_labelled_tokens(text, field, weight))
+    # As a row of a generator, so that the words are made once, however often the array is read.
+    return products.select("shop_id", "product_id", *kept, F.inline(F.array(F.struct(F.concat(*parts).alias("postings")))))
+
+
+def build_postings(products: DataFrame, stems: DataFrame | None = None) -> DataFrame:
+    """shop_id, token, product_id, field, weight, pos: every word of every product, positions running over the fields.
+
+    One narrow step: the fields' words are strung together per row and exploded once. ``stems`` (lang, token,
+    stem) replaces tokens of a language; SKUs are never stemmed.
+    """
     keep = ["shop_id", "product_id"] + (["lang"] if stems is not None else [])
-    rows = products.select(*keep, F.posexplode(F.concat(*parts)).alias("pos", "x")).select(*keep, "x.token", "x.field", "x.weight", (F.col("pos") + 1).alias("pos"))
+    rows = posting_lists(products, *keep[2:]).select(*keep, F.posexplode("postings").alias("pos", "x")).select(*keep, "x.token", "x.field", "x.weight", (F.col("pos") + 1).alias("pos"))
     if stems is not None:
         rows = apply_stems(rows, stems).drop("lang")
     return rows
 
 
 def apply_stems(tokens: DataFrame, stems: DataFrame) -> DataFrame:
-    """Tokens replaced by the stem of their language where the dictionary has one; SKU tokens stay."""
-    d = stems.select("lang", "token", "stem")
+    """Tokens replaced by the stem of their language where the dictionary has one; SKU tokens stay.
+
+    A dictionary of up to ``SMALL`` words is broadcast, so that the tokens stay where they are; with a larger one they meet
+    by a shuffle.
+    """
+    d = written(stems.select("lang", "token", "stem"))
+    d = F.broadcast(d) if d.limit(SMALL + 1).count() <= SMALL else d
     joined = tokens.join(d, ["lang", "token"], "left")
     sku = F.col("field") == "skus" if "field" in tokens.columns else F.lit(False)
     return joined.withColumn("token", F.when(~sku & F.col("stem").isNotNull(), F.col("stem")).otherwise(F.col("token"))).drop("stem").select(*tokens.columns)
