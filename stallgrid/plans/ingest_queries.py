@@ -53,7 +53,7 @@ def _roundtrip(spark, d):
 def _export_files(spark, d):
     """Each shop's export written as a file of lines, and read back from it."""
     folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
-    export_lines(spark, d).write.partitionBy("shop_id").text(folder)
+    C.write_export(export_lines(spark, d), folder)
     parts = [C.read_export(spark, f"{folder}/shop_id=shop{i}", f"shop{i}") for i in range(4)]
     return M.union(*parts).groupBy("shop_id", "kind").agg(F.count("*").alias("lines"))
 

@@ -31,6 +31,24 @@ def read_export(spark: SparkSession, path: str, shop_id: str) -> DataFrame:
     return parse_export(spark.read.text(path).select(F.lit(shop_id).alias("shop_id"), "value"))
 
 
+#: Shops whose files a task holds open at once; lines of more shops are sorted by shop first.
+OPEN_FILES = 256
+
+
+def write_export(lines: DataFrame, folder: str) -> None:
+    """Lines (shop_id, value) as text files in a folder for each shop.
+
+    A task keeps a file open for each of its shops, so that its lines are written as they come and not sorted by shop.
+    """
+    conf, name = lines.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, OPEN_FILES)
+    try:
+        lines.write.partitionBy("shop_id").text(folder)
+    finally:
+        conf.set(name, before)
+
+
 def parse_export(lines: DataFrame) -> DataFrame:
     """shop_id, kind (product, variant, metafield, collection), parent, and the line's fields.
 

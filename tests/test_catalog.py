@@ -271,3 +271,13 @@ def test_name_suggestions_pair_distinct_rows(spark, monkeypatch):
     for r in R.name_suggestions(q, names).orderBy("rank").collect():
         got.setdefault(r.query_id, []).append(r.item_id)
     assert got == {str(i): ["000", "002", "004", "006"] for i in range(5)} and asked == [1]
+
+
+def test_export_files_hold_each_shops_lines(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{i % 3}", f"line {i}") for i in range(30)], "shop_id string, value string")
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    C.write_export(rows.repartition(2), str(tmp_path / "export"))
+    assert spark.conf.get(name) == before
+    for i in range(3):
+        assert {r.value for r in spark.read.text(str(tmp_path / "export" / f"shop_id=s{i}")).collect()} == {f"line {n}" for n in range(i, 30, 3)}
