@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallgrid.operators.index import BUCKETS, PARTS, Index, build_postings, facet_values, placed, product_titles, sku_postings, title_grams, title_stretches
-from stallgrid.operators.scratch import remove
+from stallgrid.operators.scratch import remove, written
 from stallgrid.operators.search import eligible
 
 #: Table -> the column that its buckets are made of.
@@ -36,7 +36,8 @@ def _segments(spark: SparkSession, folder: str) -> list:
 
 
 def _write(df: DataFrame, folder: str, table: str, number: int) -> None:
-    rows = placed(df, KEYS[table]).repartition("part", "bucket").sortWithinPartitions("part", "bucket", "shop_id", KEYS[table])
+    # Rebalanced: a part and bucket with many rows is cut into several files.
+    rows = placed(df, KEYS[table]).hint("rebalance", "part", "bucket").sortWithinPartitions("part", "bucket", "shop_id", KEYS[table])
     rows.write.mode("overwrite").partitionBy("part", "bucket").parquet(f"{folder}/{table}/number={number}")
 
 
@@ -45,8 +46,8 @@ def _log(spark: SparkSession, folder: str, number: int, base: bool, touched: int
 
 
 def write_index(products: DataFrame, folder: str, stems: DataFrame | None = None, number: int = 0) -> None:
-    """The whole index of ``products`` as the first segment."""
-    shown = eligible(products)
+    """The whole index of ``products`` as the first segment; every table is made of them, so they are written once."""
+    shown = written(eligible(products))
     titles = product_titles(shown)
     made = {"postings": build_postings(shown, stems), "titles": titles, "stretches": title_stretches(titles), "grams": title_grams(titles), "skus": sku_postings(shown), "facets": facet_values(shown)}
     for table, df in made.items():
@@ -87,6 +88,7 @@ def update_index(folder: str, number: int, changes: DataFrame, deletes: DataFram
     batch.
     """
     spark = changes.sparkSession
+    changes = written(changes)
     shown = eligible(changes)
     touched = changes.select("shop_id", "product_id")
     if deletes is not None:
