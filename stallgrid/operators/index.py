@@ -17,7 +17,7 @@ WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
 _FIELDS = (("title", "A"), ("skus", "A"), ("vendor", "B"), ("product_type", "B"), ("tags", "B"), ("variant_text", "B"), ("description", "C"))
 
 
-#: Words of a dictionary of stems that is broadcast.
+#: Words of a dictionary of stems, or of requests, that are broadcast.
 SMALL = 500_000
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stallgrid.functions.text import fold_accents, looks_like_sku, normalize_query, trigrams, ts_config, word_sim
-from stallgrid.operators.index import WEIGHTS, Index, apply_stems, index_tables, meet
+from stallgrid.operators.index import SMALL, WEIGHTS, Index, apply_stems, index_tables, meet
 from stallgrid.operators.prepare import apply_redirects, boolean_query, expand_synonyms, match_rules, plain_terms, query_terms
 from stallgrid.operators.scratch import written
 from stallgrid.operators.vectors import blocked_matches
@@ -99,6 +99,8 @@ def cover_density(terms: DataFrame, queries: DataFrame, postings: DataFrame) ->
     member = F.transform(F.array_distinct(F.transform("gt", lambda x: x["group_no"])), lambda g: F.transform(F.filter("gt", lambda x: x["group_no"] == g), lambda x: F.array_position("tokens", x["token"])))
     groups = groups.select("query_id", "tokens", member.alias("groups"))
     t = terms.select("query_id", "token").distinct().join(queries.select("query_id", "shop_id"), "query_id")
+    # Up to a bounded number of words of requests go to the postings, which are then not shuffled before they are met.
+    t = F.broadcast(t) if t.limit(SMALL + 1).count() <= SMALL else t
     w = F.element_at(F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(1 / v))]), F.col("weight"))
     hits = meet(t, postings, "token").groupBy("query_id", "product_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", w.alias("inv")))).alias("p")).join(groups, "query_id")
     none = F.lit(None).cast("struct<pos:int,n:int,inv:double>")

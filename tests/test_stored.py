@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from stallgrid import registry
 from stallgrid.operators import index as X
+from stallgrid.operators import prepare as P
 from stallgrid.operators import search as S
 from stallgrid.operators import stored as ST
 from stallgrid.plans.fixtures import AS_OF, Tables
@@ -81,3 +83,53 @@ def test_browsing_reads_no_index(spark, sf):
 def test_search_of_an_empty_table_of_requests(spark, sf):
     found = S.search(requests(spark).limit(0), Tables(spark, sf).products(), AS_OF)
     assert found.hits.count() == found.totals.count() == found.suggestions.count() == 0
+
+
+def test_an_index_works_its_products_out_once(spark, sf, tmp_path):
+    p = Tables(spark, sf).products().limit(40)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    ST.write_index(p.mapInArrow(counted, p.schema), str(tmp_path / "index"))
+    assert seen.value == 40
+
+
+def test_postings_of_a_product_are_put_together_where_they_lie(spark, sf):
+    plan = registry.QUERIES["postings"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "posexplode" not in plan
+    p = Tables(spark, sf).products()
+    lists = p.sparkSession.createDataFrame(X.posting_lists(p).collect(), X.posting_lists(p).schema)
+    of_lists = lists.select("shop_id", "product_id", F.posexplode("postings").alias("n", "x")).select("shop_id", "product_id", "x.*", (F.col("n") + 1).alias("pos"))
+    assert rows_of(of_lists) == rows_of(X.build_postings(p))
+
+
+def test_stems_of_any_number_leave_the_same_words(spark, monkeypatch):
+    words = spark.createDataFrame([("en", w, f, i) for i, (w, f) in enumerate([("plate", "title"), ("plate", "skus"), ("ring", "title")])], "lang string, token string, field string, pos int")
+    stems = spark.createDataFrame([("en", "plate", "plat"), ("fr", "ring", "rin")], "lang string, token string, stem string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = X.apply_stems(words, stems)
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(X, "SMALL", 1)
+        many = X.apply_stems(words, stems)
+        assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+        assert rows_of(few) == rows_of(many) and {r.token for r in few.collect()} == {"plat", "plate", "ring"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_postings_are_not_shuffled_to_meet_few_requests(spark, sf):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = requests(spark, TEXT)
+        terms = P.query_terms(P.plain_terms(q))
+        plan = S.cover_density(terms, q, X.build_postings(S.eligible(Tables(spark, sf).products())))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "BroadcastHashJoin [shop_id" in plan
