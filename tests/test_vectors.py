@@ -140,3 +140,26 @@ def test_related_attributes_meet_once_a_profile(spark):
     # A product adds its own rows, and none for each combination of its keys.
     few, many = shuffled(2000), shuffled(8000)
     assert (many - few) / 6000 < 100
+
+
+def test_rail_in_a_collection_works_products_out_once(spark):
+    """Rows are those of every pair; the products behind them are made for one job that writes them, which reads its last stage twice."""
+    rng = random.Random(5)
+    rows = [("s", f"p{i:03d}", "ACTIVE", True, i % 5 != 0, f"t{rng.randrange(3)}", f"v{rng.randrange(4)}", [f"x{rng.randrange(5)}"], [f"c{rng.randrange(3)}"], float(rng.randrange(6))) for i in range(120)]
+    vectors = [("s", r[1], [rng.gauss(0, 1) for _ in range(8)], r[4] and r[8] == ["c1"]) for r in rows[:40]]
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        made.add(1)
+        return x
+
+    p = spark.createDataFrame(rows, RAIL_SCHEMA).withColumn("product_id", counted("product_id"))
+    got = {}
+    for r in R.related(p, spark.createDataFrame(vectors, SCHEMA).drop("candidate"), 4, collection="c1").orderBy("anchor_id", "rank").collect():
+        got.setdefault(r.anchor_id, []).append(r.product_id)
+    want = {a[1]: nearest(vectors, a, 4) for a in vectors}
+    for a in rows[40:]:
+        want[a[1]] = [x[2] for x in sorted((-likened(a, b), -b[9], b[1]) for b in rows if a[1] != b[1] and b[4] and b[8] == ["c1"] and likened(a, b))[:4]]
+    assert got == {k: v for k, v in want.items() if v}
+    assert made.value <= 2 * len(rows)
