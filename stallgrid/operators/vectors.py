@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stallgrid.operators.scratch import written
 from stallgrid.operators.skew import first_rows, join_by_share
 
 #: Rows of a packed matrix, and lanes that the matrices of a shop are dealt to.
@@ -153,16 +154,18 @@ def neighbours(vectors: DataFrame, k: int = 12, tables: int = 6, block: int = 20
 
     vectors: shop_id, product_id, embedding, and optionally candidate (false: an anchor only). Exact for shops of up to
     two blocks of distinct vectors; beyond that recall grows with ``tables`` and ``block`` (see the tests and README).
-    Vectors that are null or not finite, or not of the most common length, have no neighbours and are none.
+    Vectors that are null or not finite, or not of the most common length, have no neighbours and are none. Vectors,
+    pairs of them and lists are written, since several branches read them.
     """
     v = vectors.withColumn("candidate", F.coalesce("candidate", F.lit(False)) if "candidate" in vectors.columns else F.lit(True))
     sound = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = v.where(sound).withColumn("embedding", F.col("embedding").cast("array<double>"))
-    best = v.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "size")).alias("x")).collect()[0].x  # bounded: one row
-    size = best["size"] if best else 0
+    v = v.where(sound & (F.size("embedding") > 0)).withColumn("embedding", F.col("embedding").cast("array<double>"))
     key = F.unhex(F.left(F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256), F.lit(32)))
-    v = v.where(F.size("embedding") == size).select("shop_id", "product_id", "candidate", "embedding", key.alias("vec"))
-    distinct = v.groupBy("shop_id", "vec").agg(F.first("embedding").alias("embedding"), F.max("candidate").alias("candidate"))
+    v = written(v.select("shop_id", "product_id", "candidate", "embedding", key.alias("vec")))
+    best = v.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "size")).alias("x")).collect()[0].x  # bounded: one row
+    size = best["size"] if best else 0
+    v = v.where(F.size("embedding") == size)
+    distinct = written(v.groupBy("shop_id", "vec").agg(F.first("embedding").alias("embedding"), F.max("candidate").alias("candidate")))
     rng = np.random.default_rng(seed)
     planes = rng.standard_normal((size, tables * bits))
     centre = _centre(distinct, size) if size else np.zeros(0)
@@ -191,11 +194,11 @@ def neighbours(vectors: DataFrame, k: int = 12, tables: int = 6, block: int = 20
     near = found.groupBy("shop_id", "vec").agg(nearest.alias("near")).select("shop_id", "vec", F.explode("near").alias("x"))
     near = near.groupBy("shop_id", "vec", "x.other").agg(F.min("x.dist").alias("dist"))
     # Nearest of all are the other products of the vector itself.
-    pairs = near.unionByName(distinct.where("candidate").select("shop_id", "vec", F.col("vec").alias("other"), F.lit(0.0).alias("dist")))
+    pairs = written(near.unionByName(distinct.where("candidate").select("shop_id", "vec", F.col("vec").alias("other"), F.lit(0.0).alias("dist"))))
     order = [F.col("dist").asc(), F.col("product_id").asc()]
     few = first_rows(v.where("candidate").select("shop_id", F.col("vec").alias("other"), "product_id"), k + 1, ["shop_id", "other"], F.col("product_id").asc(), spread="product_id")
     lists = first_rows(join_by_share(pairs, few.groupBy("shop_id", "other").agg(F.sort_array(F.collect_list("product_id")).alias("ids")), ["shop_id", "other"]).select("shop_id", "vec", "dist", F.explode("ids").alias("product_id")), k + 1, ["shop_id", "vec"], *order, spread="product_id")
-    lists = lists.groupBy("shop_id", "vec").agg(F.sort_array(F.collect_list(F.struct("dist", "product_id"))).alias("near"))
+    lists = written(lists.groupBy("shop_id", "vec").agg(F.sort_array(F.collect_list(F.struct("dist", "product_id"))).alias("near")))
     rows = join_by_share(v.select("shop_id", "vec", F.col("product_id").alias("anchor_id")), lists, ["shop_id", "vec"])
     own = F.slice(F.filter("near", lambda x: x["product_id"] != F.col("anchor_id")), 1, k)
     return rows.select("shop_id", "anchor_id", F.posexplode(own).alias("_at", "x")).select("shop_id", "anchor_id", "x.product_id", "x.dist", (F.col("_at") + 1).alias("rank"))

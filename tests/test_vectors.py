@@ -163,3 +163,29 @@ def test_rail_in_a_collection_works_products_out_once(spark):
         want[a[1]] = [x[2] for x in sorted((-likened(a, b), -b[9], b[1]) for b in rows if a[1] != b[1] and b[4] and b[8] == ["c1"] and likened(a, b))[:4]]
     assert got == {k: v for k, v in want.items() if v}
     assert made.value <= 2 * len(rows)
+
+
+def test_rails_and_neighbours_read_their_inputs_once(spark):
+    """Vectors, anchors and comparisons of blocks are made for one job each, however many branches read them."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        made.add(1)
+        return x
+
+    rows = catalog()
+    found = V.neighbours(spark.createDataFrame(rows, SCHEMA).withColumn("product_id", counted("product_id")), 3)
+    got = {}
+    for r in found.orderBy("anchor_id", "rank").collect():
+        got.setdefault(r.anchor_id, []).append(r.product_id)
+    assert got == {r[1]: nearest(rows, r, 3) for r in rows}
+    assert made.value <= len(rows)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+    before = made.value
+    p = [("s", f"p{i}", "ACTIVE", True, True, f"t{i % 3}", "v", [], [], float(i)) for i in range(100)]
+    asked = [("s", f"a{i}", None, None, None, f"t{i % 4}", None, None, [None, ""], None) for i in range(50)]
+    alike = R.related_attributes(spark.createDataFrame(p, RAIL_SCHEMA), 2, anchors=spark.createDataFrame(asked, RAIL_SCHEMA).withColumn("product_id", counted("product_id")))
+    assert sorted((r.anchor_id, r["rank"], r.product_id) for r in alike.collect()) == sorted((f"a{i}", n, f"p{99 - (0, 2, 1)[i % 4] - 3 * (n - 1)}") for i in range(50) if i % 4 < 3 for n in (1, 2))
+    assert made.value - before <= len(asked)
