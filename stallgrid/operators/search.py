@@ -62,17 +62,33 @@ def match_sku(queries: DataFrame, skus: DataFrame) -> DataFrame:
     return meet(q, skus, "sku_lower").select("query_id", "shop_id", "product_id").distinct()
 
 
+def rarest_first(queries: DataFrame, grams: DataFrame) -> DataFrame:
+    """``queries`` with ``grams``: the trigrams of their terms, those that the fewest titles of ``grams`` hold in front."""
+    found = grams.groupBy("shop_id", "gram").agg(F.count("*").alias("_n"))
+    own = queries.select("query_id", "shop_id", F.explode(trigrams(normalize_query(F.col("term")))).alias("gram"))
+    # Trigrams of terms look as small as the terms to the planner: a hint keeps them from being broadcast.
+    ordered = own.join(found.hint("merge"), ["shop_id", "gram"], "left").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram"))).alias("x"))
+    return queries.join(ordered.select("query_id", F.col("x.gram").alias("grams")), "query_id", "left")
+
+
 def title_similarity(queries: DataFrame, grams: DataFrame, above: float = FUZZY) -> DataFrame:
     """query_id, shop_id, folded_title, sim for titles with more than ``above`` trigram similarity to the term.
 
-    ``grams`` are the trigrams of distinct titles (``title_grams``); pairs whose sizes alone rule the similarity out
-    go first.
+    ``grams`` are the trigrams of distinct titles (``title_grams``). A term's trigrams have an order: that of its column
+    ``grams`` (``rarest_first``), or any. A pair counts where the first of them meets that the title holds, and only if
+    those behind it can still be enough; there all are looked up in the title, so no pair is shuffled.
     """
-    q = queries.select("query_id", "shop_id", normalize_query(F.col("term")).alias("norm")).where("norm <> ''").withColumn("g", trigrams(F.col("norm")))
-    q = q.select("query_id", "shop_id", F.size("g").alias("nq"), F.explode("g").alias("gram"))
-    pairs = meet(q, grams, "gram").where((F.col("n_grams") > above * F.col("nq")) & (F.col("nq") > above * F.col("n_grams")))
-    both = pairs.groupBy("query_id", "shop_id", "folded_title", "nq", "n_grams").agg(F.count("*").alias("n"))
-    return both.withColumn("sim", F.col("n") / (F.col("nq") + F.col("n_grams") - F.col("n"))).where(F.col("sim") > above).select("query_id", "shop_id", "folded_title", "sim")
+    given = ["grams"] if "grams" in queries.columns else []
+    q = queries.select("query_id", "shop_id", normalize_query(F.col("term")).alias("norm"), *given).where("norm <> ''").withColumn("g", F.col("grams") if given else trigrams(F.col("norm")))
+    q = q.select("query_id", "shop_id", "g", F.size("g").alias("nq"), F.posexplode("g").alias("at", "gram"))
+    enough = (1 + above) * (F.col("nq") - F.col("at")) > above * (F.col("nq") + F.col("n_grams")) - 1e-9
+    pairs = meet(q, grams, "gram").where((F.col("n_grams") > above * F.col("nq")) & enough)
+    # Words padded as for their trigrams, so that a trigram is one of the title's if it stands in this text. As a row of a generator, so that it is made once.
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower("folded_title"), r"[^\p{L}\p{N}]+", "   "), F.lit(" "))
+    held = F.explode(F.transform(F.array(padded), lambda t: F.filter("g", lambda x: F.contains(t, x))))
+    both = pairs.select("query_id", "shop_id", "folded_title", "nq", "n_grams", "gram", held.alias("held")).where(F.get("held", F.lit(0)) == F.col("gram"))
+    n = F.size("held")
+    return both.withColumn("sim", n / (F.col("nq") + F.col("n_grams") - n)).where(F.col("sim") > above).select("query_id", "shop_id", "folded_title", "sim")
 
 
 def match_fuzzy(queries: DataFrame, titles: DataFrame, grams: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -281,3 +282,33 @@ def test_export_files_hold_each_shops_lines(spark, tmp_path):
     assert spark.conf.get(name) == before
     for i in range(3):
         assert {r.value for r in spark.read.text(str(tmp_path / "export" / f"shop_id=s{i}")).collect()} == {f"line {n}" for n in range(i, 30, 3)}
+
+
+def test_name_suggestions_broadcast_no_exploded_titles(spark):
+    """Titles that are small enough to be broadcast have stretches and trigrams that are not."""
+    names = spark.createDataFrame([("s", f"{i:03d}", f"Red widget number {i}") for i in range(60)], "shop_id string, item_id string, title string")
+    q = names.select(F.col("item_id").alias("query_id"), "shop_id", F.left("title", F.lit(9)).alias("term"), F.lit(True).alias("typo_tolerance"))
+    found = R.name_suggestions(q, names)
+    assert found.count() == 240
+    found.collect()
+    joins = re.findall(r"(\w+Join) \[shop_id#\d+, gram#\d+\]", found._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+
+def test_title_similarity_counts_every_pair_once(spark):
+    """Rarest trigrams first, or in any order: the pairs and values of brute force, with no shuffle of pairs."""
+    words = ["red", "wid-get", "é", "a", "ab", "Ring", "  x", "c3", "ring", "--", "redder", "a/b", "widge", "ñandú"]
+    titles = {" ".join(words[(i * k + k * k) % len(words)] for k in range(1 + i % 5)) for i in range(70)}
+    names = spark.createDataFrame([("s", f"{i}", t) for i, t in enumerate(sorted(titles))], "shop_id string, product_id string, title string")
+    grams = X.title_grams(X.product_titles(names)).cache()
+    q = names.select(F.col("product_id").alias("query_id"), "shop_id", F.left("title", F.lit(9)).alias("term"))
+    have = {r.folded_title: set(r.g) for r in grams.groupBy("folded_title").agg(F.collect_set("gram").alias("g")).collect()}
+    asked = {r.query_id: set(r.g) for r in q.select("query_id", T.trigrams(T.normalize_query(F.col("term"))).alias("g")).collect()}
+    for above in (0.2, 0.3):
+        want = {(i, t): len(g & h) / len(g | h) for i, g in asked.items() for t, h in have.items() if g and len(g & h) / len(g | h) > above}
+        for terms in (q, S.rarest_first(q, grams)):
+            sims = S.title_similarity(terms, grams, above)
+            rows = sims.collect()
+            assert {(r.query_id, r.folded_title): r.sim for r in rows} == want and len(rows) == len(want) > 100
+    plain = S.title_similarity(q, grams)
+    assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
