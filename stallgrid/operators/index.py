@@ -30,14 +30,68 @@ def posting_lists(products: DataFrame, *kept: str) -> DataFrame:
 
     No row leaves its task, so nothing is shuffled to put a product's postings together.
     """
+    # As a row of a generator, so that the words are made once, however often the array is read.
+    return products.select("shop_id", "product_id", *kept, F.inline(F.array(F.struct(_words(products).alias("postings")))))
+
+
+def _words(products: DataFrame) -> Column:
     parts = []
     for field, weight in _FIELDS:
         if field in products.columns:
             kind = dict(products.dtypes)[field]
             text = F.array_join(field, " ") if kind.startswith("array") else F.col(field)
             parts.append(_labelled_tokens(text, field, weight))
-    # As a row of a generator, so that the words are made once, however often the array is read.
-    return products.select("shop_id", "product_id", *kept, F.inline(F.array(F.struct(F.concat(*parts).alias("postings")))))
+    return F.concat(*parts)
+
+
+def stemmed_lists(products: DataFrame, stems: DataFrame) -> DataFrame:
+    """``posting_lists`` with the words that ``stems`` (lang, token, stem) has replaced by their stems; SKUs are never stemmed.
+
+    A dictionary of up to ``SMALL`` words is broadcast, and a product's words are put together where they lie. With a
+    larger one only the places of words that it has are shuffled: a bounded filter leaves out nearly all others, and a
+    product's places and stems meet its text, not its words.
+    """
+    d, few = _dictionary(stems)
+    if few:
+        dealt = products.repartition(int(products.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shop_id", "product_id")
+        rows = _replaced(_exploded(dealt, "lang"), d)
+        return rows.groupBy("shop_id", "product_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "field", "weight"))).alias("postings"))
+    return _stemmed_places(products, d)
+
+
+def _stemmed_places(products: DataFrame, d: DataFrame) -> DataFrame:
+    texts = [c for c, _ in _FIELDS if c in products.columns]
+    # The key of a row is all that its words are made of.
+    key = [F.xxhash64("shop_id", "product_id", "lang", *texts).alias("_a"), F.xxhash64(F.lit(1), "shop_id", "product_id", "lang", *texts).alias("_b")]
+    p = products.select("shop_id", "product_id", "lang", *texts, *key)
+    places = posting_lists(p, "lang", "_a", "_b").select("lang", "_a", "_b", F.posexplode("postings").alias("pos", "x")).where("x.field <> 'skus'").select("lang", "_a", "_b", "pos", "x.token")
+    slots, marks = _filter_of(d)
+    places = places.withColumns(slots).join(F.broadcast(marks), "slot").where("bits & mask = mask").drop("slot", "bits", "mask")
+    d = d.groupBy("lang", "token").agg(F.min("stem").alias("stem")).where("stem IS NOT NULL")
+    found = places.join(d.hint("merge"), ["lang", "token"])
+    found = found.groupBy("_a", "_b").agg(F.sort_array(F.collect_set(F.struct("pos", "stem"))).alias("found"))
+    # One entry for each place up to the last stem, null where the word stays: no search for each word.
+    gap = lambda x, i: x["pos"] - F.coalesce(F.get("found", i - 1)["pos"] + 1, F.lit(0))
+    dense = F.flatten(F.transform("found", lambda x, i: F.concat(F.array_repeat(F.lit(None).cast("string"), gap(x, i)), F.array(x["stem"]))))
+    rows = p.join(found.hint("merge"), ["_a", "_b"], "left")
+    rows = rows.select("shop_id", "product_id", F.inline(F.array(F.struct(_words(p).alias("postings"), dense.alias("stems")))))
+    one = lambda x, i: F.struct((i + 1).alias("pos"), F.coalesce(F.get("stems", i), x["token"]).alias("token"), x["field"].alias("field"), x["weight"].alias("weight"))
+    return rows.select("shop_id", "product_id", F.inline(F.array(F.struct(F.transform("postings", one).alias("postings")))))
+
+
+#: Words of 64 bits in the filter of a large dictionary: 32 million bits, of which a word of the dictionary sets three.
+SLOTS = 1 << 19
+
+
+def _filter_of(d: DataFrame) -> tuple[dict[str, Column], DataFrame]:
+    """The columns slot and mask of a word (lang, token), and the bits of each slot that a word of ``d`` is in.
+
+    A word of ``d`` has all bits of its mask in its slot. Its size is bounded; with more words it lets more others through.
+    """
+    h = F.xxhash64("token", "lang")
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftrightunsigned(h, n), F.lit(64)).cast("int"))
+    columns = {"slot": F.pmod(F.xxhash64("lang", "token"), F.lit(SLOTS)), "mask": bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12))}
+    return columns, d.withColumns(columns).groupBy("slot").agg(F.bit_or("mask").alias("bits"))
 
 
 def build_postings(products: DataFrame, stems: DataFrame | None = None) -> DataFrame:
@@ -46,11 +100,24 @@ def build_postings(products: DataFrame, stems: DataFrame | None = None) -> DataF
     One narrow step: the fields' words are strung together per row and exploded once. ``stems`` (lang, token,
     stem) replaces tokens of a language; SKUs are never stemmed.
     """
-    keep = ["shop_id", "product_id"] + (["lang"] if stems is not None else [])
-    rows = posting_lists(products, *keep[2:]).select(*keep, F.posexplode("postings").alias("pos", "x")).select(*keep, "x.token", "x.field", "x.weight", (F.col("pos") + 1).alias("pos"))
-    if stems is not None:
-        rows = apply_stems(rows, stems).drop("lang")
-    return rows
+    if stems is None:
+        return _exploded(products)
+    d, few = _dictionary(stems)
+    if few:
+        return _replaced(_exploded(products, "lang"), d).drop("lang")
+    return _stemmed_places(products, d).select("shop_id", "product_id", F.explode("postings").alias("x")).select("shop_id", "product_id", "x.token", "x.field", "x.weight", "x.pos")
+
+
+def _exploded(products: DataFrame, *kept: str) -> DataFrame:
+    keep = ["shop_id", "product_id", *kept]
+    return posting_lists(products, *kept).select(*keep, F.posexplode("postings").alias("pos", "x")).select(*keep, "x.token", "x.field", "x.weight", (F.col("pos") + 1).alias("pos"))
+
+
+def _dictionary(stems: DataFrame) -> tuple[DataFrame, bool]:
+    """The dictionary, written once and marked for a broadcast if it has up to ``SMALL`` words, and whether it has."""
+    d = written(stems.select("lang", "token", "stem"))
+    few = d.limit(SMALL + 1).count() <= SMALL
+    return (F.broadcast(d) if few else d), few
 
 
 def apply_stems(tokens: DataFrame, stems: DataFrame) -> DataFrame:
@@ -59,8 +126,10 @@ def apply_stems(tokens: DataFrame, stems: DataFrame) -> DataFrame:
     A dictionary of up to ``SMALL`` words is broadcast, so that the tokens stay where they are; with a larger one they meet
     by a shuffle.
     """
-    d = written(stems.select("lang", "token", "stem"))
-    d = F.broadcast(d) if d.limit(SMALL + 1).count() <= SMALL else d
+    return _replaced(tokens, _dictionary(stems)[0])
+
+
+def _replaced(tokens: DataFrame, d: DataFrame) -> DataFrame:
     joined = tokens.join(d, ["lang", "token"], "left")
     sku = F.col("field") == "skus" if "field" in tokens.columns else F.lit(False)
     return joined.withColumn("token", F.when(~sku & F.col("stem").isNotNull(), F.col("stem")).otherwise(F.col("token"))).drop("stem").select(*tokens.columns)

@@ -1,6 +1,7 @@
 """The stored index: equal to a rebuild behind random batches, and read in part."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -133,3 +134,33 @@ def test_postings_are_not_shuffled_to_meet_few_requests(spark, sf):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "BroadcastHashJoin [shop_id" in plan
+
+
+def test_stems_of_a_large_dictionary_leave_words_where_they_are(spark, monkeypatch):
+    """The same lists and postings with a dictionary of any size; with a large one no word is shuffled that it does not have."""
+    text = ["plate ring red plate", "", "ring", "the plate of é ring 9 ring", "nothing here", None]
+    rows = [("s", f"{i}", ("en", "fr", "en", "de")[i % 4], t, [f"plate-{i}", "ring"], f"{t} plate, red") for i, t in enumerate(text * 3)]
+    products = spark.createDataFrame(rows, "shop_id string, product_id string, lang string, title string, skus array<string>, description string")
+    stems = spark.createDataFrame([("en", "plate", "plat"), ("fr", "ring", "rin"), ("fr", "plate", "p"), ("en", "red", None), ("en", "here", "")], "lang string, token string, stem string")
+    got = []
+    for size in (500, 2):
+        monkeypatch.setattr(X, "SMALL", size)
+        lists = X.stemmed_lists(products, stems)
+        have = {r.product_id: [tuple(x) for x in r.postings] for r in lists.collect() if r.postings}
+        flat = {(r.product_id, r.pos, r.token, r.field, r.weight) for r in X.build_postings(products, stems).collect()}
+        assert flat == {(i, *x) for i, xs in have.items() for x in xs}
+        got.append(have)
+    assert got[0] == got[1] and len(have) == 18
+    assert [x[1] for x in have["0"]][:4] == ["plat", "ring", "red", "plat"] and ("plate", "skus") in {x[1:3] for x in have["0"]}
+    # The dictionary meets words that went through the filter, and no word comes back to its product one by one.
+    plan = X.build_postings(products, stems)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bits" in plan and re.search(r"Join LeftOuter, .*_a#", plan) and not re.search(r"Join LeftOuter, .*token#", plan)
+
+
+def test_the_filter_of_a_dictionary_leaves_out_no_word_of_it(spark, monkeypatch):
+    monkeypatch.setattr(X, "SLOTS", 64)
+    words = spark.range(400).select(F.lit("en").alias("lang"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("token"))
+    columns, marks = X._filter_of(words.where("token < 'w2'"))
+    left = {r.token for r in words.withColumns(columns).join(marks, "slot").where("bits & mask = mask").collect()}
+    own = {r.token for r in words.where("token < 'w2'").collect()}
+    assert own <= left and len(left) < 400
